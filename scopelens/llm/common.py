@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def powers(multiplier: U64, n: int) -> np.ndarray:
 def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most STEP_BYTES of text each (or one row)."""
     for b in batches:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0)).astype(np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0)).astype(np.int64)
         start, held = 0, 0
         for i, n in enumerate(lengths.tolist()):
             if held and held + n > STEP_BYTES:
@@ -91,7 +92,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(off) else np.zeros(0, np.uint8)
