@@ -1,9 +1,8 @@
 """Chat formatting: reply trees to training conversations.
 
-Messages name their parent. Every message starts knowing one ancestor; a self-join on the ancestor doubles
-that knowledge, so paths of depth d take log2(d) joins on ids alone, with no text in them. Leaves rank by the
-mean score of their path within their conversation, and the best ``branches`` paths per conversation are
-formatted, one conversation each.
+Messages name their parent. Self-joins on ids alone, with no text in them, double how far each message sees
+its ancestors, so paths of depth d take log2(d) joins. Leaves rank by the mean score of their path within
+their conversation, and the best ``branches`` paths per conversation are formatted, one conversation each.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. A control string inside a text gets a backslash
 after its first character, and one that has n backslashes there already gets one more, so no text can end a
@@ -55,35 +54,41 @@ def as_messages(turns: DataFrame) -> DataFrame:
 
 
 def leaf_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
-    """(conv_id, leaf, rank, id, back): the messages of the best paths; ``back`` counts from the leaf."""
+    """(conv_id, leaf, rank, id, back): the messages of the best paths; ``back`` counts from the leaf.
+
+    Level k of the jump tables has the messages that have an ancestor 2^k steps up, that ancestor, and the
+    score on the way; each level is a self-join of the one before. Leaves climb them from the top level down
+    to add up their scores; the chosen ones climb once more and leave a row at every message they pass.
+    """
     links = messages.select("conv_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    ids = links.select("conv_id", F.col("id").alias("parent"))
     # A parent that is not there makes the message a root.
-    known = links.join(ids.withColumn("there", F.lit(True)), ["conv_id", "parent"], "left")
-    # up: the nearest ancestors in order, total: their scores with the message's own, top: the next one to ask.
-    step = cut(
-        known.select(
-            "conv_id", "id", F.array("id").alias("up"), "score",
-            F.when(F.col("there"), F.col("parent")).alias("top"),
-        ).withColumnRenamed("score", "total")
-    )
-    first = step.select("conv_id", "top")
-    while not step.where(F.col("top").isNotNull()).isEmpty():
-        above = step.select("conv_id", F.col("id").alias("top"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("top").alias("top2"))
-        step = cut(
-            step.join(above, ["conv_id", "top"], "left").select(
-                "conv_id", "id",
-                F.concat("up", F.coalesce("up2", F.array().cast("array<bigint>"))).alias("up"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                F.col("top2").alias("top"),
+    there = links.select(F.col("conv_id").alias("conv_id"), F.col("id").alias("parent"))
+    level = cut(links.join(there, ["conv_id", "parent"]).select("conv_id", "id", F.col("parent").alias("top"), F.col("score").alias("gain")))
+    jumps = []
+    while not level.isEmpty():
+        jumps.append(level)
+        above = level.select("conv_id", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("gain").alias("gain2"))
+        level = cut(level.join(above, ["conv_id", "top"]).select("conv_id", "id", F.col("top2").alias("top"), (F.col("gain") + F.col("gain2")).alias("gain")))
+    scores = links.select("conv_id", "id", "score")
+    leaves = scores if not jumps else scores.join(jumps[0].select("conv_id", F.col("top").alias("id")), ["conv_id", "id"], "left_anti")
+    leaves = leaves.select("conv_id", F.col("id").alias("leaf"), "id", F.col("score").alias("total"), F.lit(0).cast("bigint").alias("depth"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        leaves = cut(
+            leaves.join(jump, ["conv_id", "id"], "left").select(
+                "conv_id", "leaf", F.coalesce("top", "id").alias("id"),
+                (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"),
+                (F.col("depth") + F.when(F.col("top").isNull(), 0).otherwise(1 << k)).alias("depth"),
             )
         )
-    leaves = step.join(first.where(F.col("top").isNotNull()).distinct(), (step.conv_id.eqNullSafe(first.conv_id)) & (step.id == first.top), "left_anti")
-    by = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.size("up")), "id")
-    ranked = leaves.withColumn("rank", F.row_number().over(by))
+    by = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), "leaf")
+    chosen = leaves.withColumn("rank", F.row_number().over(by))
     if branches is not None:
-        ranked = ranked.where(F.col("rank") <= branches)
-    return ranked.select("conv_id", F.col("id").alias("leaf"), "rank", F.posexplode("up").alias("back", "id"))
+        chosen = chosen.where(F.col("rank") <= branches)
+    paths = cut(chosen.select("conv_id", "leaf", "rank", F.col("leaf").alias("id"), F.lit(0).cast("bigint").alias("back")))
+    for k, jump in reversed(list(enumerate(jumps))):
+        step = paths.join(jump, ["conv_id", "id"]).select("conv_id", "leaf", "rank", F.col("top").alias("id"), (F.col("back") + (1 << k)).alias("back"))
+        paths = cut(paths.union(step))
+    return paths
 
 
 def format_conversations(messages: DataFrame, branches: int | None = 1) -> DataFrame:
