@@ -91,14 +91,14 @@ class Words:
     (one more entry at the end). A null text has no words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(off) else np.zeros(0, np.uint8)
         self.bytes = _LOWER[raw] if lower else raw
         self.bounds = off - off[0]
-        word = ~_SPACE[raw]
+        word = ~breaks[raw]
         before = np.zeros(len(raw), bool)
         before[1:] = word[:-1]
         inner = self.bounds[(self.bounds > 0) & (self.bounds < len(raw))]
@@ -120,10 +120,22 @@ class Words:
         """A 64-bit hash of each word; ``which`` 0 or 1 for independent ones."""
         if not len(self):
             return np.zeros(0, U64)
+        first, terms = self._terms(which)
+        return mix(np.add.reduceat(terms, first) + self.length.astype(U64))
+
+    def prefix_hashes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """For each size, a hash of each word's first so many code points (of the whole word if it is shorter)."""
+        if not len(self):
+            return [np.zeros(0, U64) for _ in sizes]
+        first, terms = self._terms(0)
+        lead = np.cumsum((self.bytes[self._at] & 0xC0) != 0x80)
+        lead -= np.repeat(lead[first] - 1, self.length)
+        return [mix(np.add.reduceat(np.where(lead <= n, terms, U64(0)), first) + U64(n << 32)) for n in sizes]
+
+    def _terms(self, which: int) -> tuple[np.ndarray, np.ndarray]:
         first = np.cumsum(self.length) - self.length
         place = np.arange(len(self._at)) - np.repeat(first, self.length)
-        p = powers(_MULT[which], int(self.length.max()))
-        return mix(np.add.reduceat(_BYTE[which][self.bytes[self._at]] * p[place], first) + self.length.astype(U64))
+        return first, _BYTE[which][self.bytes[self._at]] * powers(_MULT[which], int(self.length.max()))[place]
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words, each followed by one space, and where each begins (one more entry at the end)."""
