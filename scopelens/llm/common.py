@@ -7,8 +7,8 @@ decoded and no Python object is made per word.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step looks at; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
-#: Random 64-bit values of the 256 bytes, for two independent polynomial hashes.
-_BYTE = _RNG.integers(0, 2**64, size=(2, 256), dtype=U64)
-_MULT = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+#: Random 64-bit values of the 256 bytes, and the base of the polynomial hash over them.
+_BYTE = _RNG.integers(0, 2**64, size=256, dtype=U64)
+_MULT = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,12 +64,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def powers(multiplier: U64, n: int) -> np.ndarray:
-    p = np.full(max(n, 1), multiplier, U64)
-    p[0] = 1
-    return np.cumprod(p, dtype=U64)
-
-
 def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most STEP_BYTES of text each (or one row)."""
     for b in batches:
@@ -84,11 +78,35 @@ def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
             yield b.slice(start)
 
 
+@lru_cache(8)
+def _powers(multiplier: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2^64."""
+    out = []
+    for m in (multiplier, pow(multiplier, -1, 1 << 64)):
+        p = np.full(size, m, U64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=U64))
+    return out[0], out[1]
+
+
+def _sums(values: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of values[i] * m^i (one more entry, 0, in front), and the powers of m's inverse.
+
+    (sums[e] - sums[s]) * inverse[s] is the polynomial hash of values[s:e], wherever they are.
+    """
+    size = 1 << max(10, int(len(values)).bit_length())
+    p, inverse = _powers(multiplier, size)
+    out = np.zeros(len(values) + 1, U64)
+    np.multiply(values, p[: len(values)], out=out[1:])
+    np.cumsum(out, out=out)
+    return out, inverse
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts, as arrays over their bytes.
 
     ``start``/``end``: byte bounds; ``doc``: index of the text; ``first``: index of each text's first word
-    (one more entry at the end). A null text has no words.
+    (one more entry at the end). A null text has no words. ``breaks`` are the bytes between words.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
@@ -98,51 +116,43 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(off) else np.zeros(0, np.uint8)
         self.bytes = _LOWER[raw] if lower else raw
         self.bounds = off - off[0]
-        word = ~breaks[raw]
-        before = np.zeros(len(raw), bool)
-        before[1:] = word[:-1]
+        self._word = word = ~breaks[raw]
         inner = self.bounds[(self.bounds > 0) & (self.bounds < len(raw))]
-        before[inner] = False
-        self.start = np.flatnonzero(word & ~before)
-        after = np.zeros(len(raw), bool)
-        after[:-1] = word[1:]
-        after[inner - 1] = False
-        self.end = np.flatnonzero(word & ~after) + 1
+        edge = np.zeros(len(raw), bool)
+        edge[1:] = word[:-1]
+        edge[inner] = False
+        self.start = np.flatnonzero(word & ~edge)
+        edge[:-1], edge[-1:] = word[1:], False
+        edge[inner - 1] = False
+        self.end = np.flatnonzero(word & ~edge) + 1
         self.first = np.searchsorted(self.start, self.bounds)
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.first))
         self.length = self.end - self.start
-        self._at = np.flatnonzero(word)
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word; ``which`` 0 or 1 for independent ones."""
-        if not len(self):
-            return np.zeros(0, U64)
-        first, terms = self._terms(which)
-        return mix(np.add.reduceat(terms, first) + self.length.astype(U64))
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        sums, inverse = _sums(_BYTE[self.bytes], _MULT)
+        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + self.length.astype(U64))
 
     def prefix_hashes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
         """For each size, a hash of each word's first so many code points (of the whole word if it is shorter)."""
-        if not len(self):
-            return [np.zeros(0, U64) for _ in sizes]
-        first, terms = self._terms(0)
-        lead = np.cumsum((self.bytes[self._at] & 0xC0) != 0x80)
-        lead -= np.repeat(lead[first] - 1, self.length)
-        return [mix(np.add.reduceat(np.where(lead <= n, terms, U64(0)), first) + U64(n << 32)) for n in sizes]
-
-    def _terms(self, which: int) -> tuple[np.ndarray, np.ndarray]:
-        first = np.cumsum(self.length) - self.length
-        place = np.arange(len(self._at)) - np.repeat(first, self.length)
-        return first, _BYTE[which][self.bytes[self._at]] * powers(_MULT[which], int(self.length.max()))[place]
+        sums, inverse = _sums(_BYTE[self.bytes], _MULT)
+        lead = np.flatnonzero((self.bytes & 0xC0) != 0x80)
+        at = np.searchsorted(lead, self.start)
+        lead = np.r_[lead, np.full(max(sizes), len(self.bytes))]
+        return [mix((sums[np.minimum(self.end, lead[at + n])] - sums[self.start]) * inverse[self.start] + U64(n << 32)) for n in sizes]
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words, each followed by one space, and where each begins (one more entry at the end)."""
         at = np.zeros(len(self) + 1, np.int64)
         np.cumsum(self.length + 1, out=at[1:])
+        inside = np.ones(at[-1], bool)
+        inside[at[1:] - 1] = False
         out = np.full(at[-1], 0x20, np.uint8)
-        out[self._at + np.repeat(at[:-1] - self.start, self.length)] = self.bytes[self._at]
+        out[inside] = self.bytes[self._word]
         return out, at
 
 
@@ -151,10 +161,8 @@ def rolled(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = np.zeros(n, U64)
-    for k in range(width):
-        out = out * U64(multiplier) + h[k : k + n]
-    return mix(out)
+    sums, inverse = _sums(h, multiplier)
+    return mix((sums[width:] - sums[:n]) * inverse[:n])
 
 
 def to_blob(**columns) -> bytes:

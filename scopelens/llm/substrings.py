@@ -36,7 +36,7 @@ class _Windows:
 
     def __init__(self, texts: pa.Array):
         self.words = w = Words(texts)
-        self.hash = w.hashes(0)
+        self.hash = w.hashes()
         n = len(w) - WINDOW + 1
         if n <= 0:
             self.first = self.count = np.zeros(0, np.int64)
@@ -58,8 +58,8 @@ class _Windows:
         self.minimiser = low[self.first].view(np.int64)
 
     def wide(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of every window."""
-        return rolled(self.hash, WINDOW, _WIDE[0]), rolled(self.words.hashes(1), WINDOW, _WIDE[1])
+        """Two 64-bit hashes of every window, of independent bases over differently mixed words."""
+        return rolled(self.hash, WINDOW, _WIDE[0]), rolled(mix(self.hash ^ U64(_WIDE[1])), WINDOW, _WIDE[1])
 
 
 def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +146,9 @@ def _send(hot: np.ndarray, parts: int):
     return run
 
 
-def _same(text: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def _same(text: bytes, place: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether each window's words equal those of the window before it."""
-    s, e = s.tolist(), e.tolist()
+    s, e = place[first].tolist(), place[first + WINDOW].tolist()
     return np.array([text[a:b] == text[c:d] for a, b, c, d in zip(s[1:], e[1:], s, e, strict=False)], bool)
 
 
@@ -174,6 +174,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = t.column("kind").to_numpy()
     doc, key = t.column("doc_id").combine_chunks(), t.column("_key").combine_chunks()
     at, n = t.column("at").to_numpy(), t.column("n").to_numpy()
+    at_of = at.astype(np.int64)
 
     known = np.flatnonzero(kind == 3)
     if len(known):
@@ -195,24 +196,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     packed = t.column("text").combine_chunks().take(pa.array(rows))
     del t
-    # Hashes are made a stretch of strings at a time; for every window its row, place and bytes are kept.
-    got = []
-    base = 0
-    whole = []
+    # Hashes are made a stretch of strings at a time; what is kept of a window is its hash and its first word.
+    hashes, firsts, texts, places = [], [], [], []
+    n_words = n_bytes = 0
+    starts = [np.zeros(1, np.int64)]  # of each string, counted in words
     for b in steps(iter([pa.RecordBatch.from_arrays([packed], ["text"])]), "text"):
         w = Words(b.column("text"))
         text, place = w.joined()
-        a, z = rolled(w.hashes(0), WINDOW, _WIDE[0]), rolled(w.hashes(1), WINDOW, _WIDE[1])
-        win = np.flatnonzero(w.doc[: len(a)] == w.doc[WINDOW - 1 :])
-        row = w.doc[win]
-        got.append((a[win], z[win], (row + sum(len(x[0]) for x in whole)).astype(np.int32), (win - w.first[row]).astype(np.int32), place[win] + base, place[win + WINDOW] - 1 + base))
-        base += len(text)
-        whole.append((b.column("text"), text.tobytes()))
-    data = b"".join(x[1] for x in whole)
-    del packed, whole
-    a, z, row, off, s, e = (np.concatenate([g[i] for g in got]) for i in range(6))
-    del got
-    order = np.argsort(a, kind="stable")
+        h = rolled(w.hashes(), WINDOW, _WIDE[0])
+        win = np.flatnonzero(w.doc[: len(h)] == w.doc[WINDOW - 1 :])
+        hashes.append(h[win])
+        firsts.append((win + n_words).astype(np.int32))
+        texts.append(text.tobytes())
+        places.append((place[:-1] + n_bytes).astype(np.int64))
+        starts.append(w.first[1:] + n_words)
+        n_words, n_bytes = n_words + len(w), n_bytes + len(text)
+    del packed
+    places.append(np.array([n_bytes]))
+    data, place, start = b"".join(texts), np.concatenate(places), np.concatenate(starts)
+    del texts, places
+    a, first = np.concatenate(hashes), np.concatenate(firsts)
+    del hashes, firsts
+    order = np.argsort(a)
     near = a[order[1:]] == a[order[:-1]]
     member = np.zeros(len(a), bool)  # only windows that share a hash are looked at further
     member[1:] |= near
@@ -220,15 +225,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = order[member]
     if not len(order):
         return
-    order = order[np.lexsort((z[order], a[order]))]
-    a, z, s, e = a[order], z[order], s[order], e[order]
-    equal = (a[1:] == a[:-1]) & (z[1:] == z[:-1]) & _same(data, s, e)
+    a, first = a[order], first[order]
+    equal = (a[1:] == a[:-1]) & _same(data, place, first)
+    if (clash := np.flatnonzero((a[1:] == a[:-1]) & ~equal)).size:
+        # Different windows under one hash: these few are put in the order of their words.
+        for h in np.unique(a[clash]).tolist():
+            at = np.flatnonzero(a == U64(h))
+            first[at] = sorted(first[at].tolist(), key=lambda i: data[place[i] : place[i + WINDOW]])
+        equal = (a[1:] == a[:-1]) & _same(data, place, first)
     twice = np.zeros(len(order), bool)
     twice[1:] |= equal
     twice[:-1] |= equal
     if twice.any():
-        hit = order[twice]
-        yield _ranges(doc, key, rows[row[hit]], at[rows[row[hit]]].astype(np.int64) + off[hit])
+        hit = first[twice].astype(np.int64)
+        row = np.searchsorted(start, hit, "right") - 1
+        yield _ranges(doc, key, rows[row], at_of[rows[row]] + hit - start[row])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
