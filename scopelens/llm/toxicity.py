@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, steps, tune
+from .common import Words, cut, spans, steps, tune
 
 MAX_ROWS, MAX_FEATURES = 10_000, 20_000
 Z, DRIFT, PRIOR, K = 4.0, 0.2, 500.0, 0.1
@@ -54,7 +54,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(w: Words) -> list[np.ndarray]:
-    return [w.hashes(0), *w.prefix_hashes(_PREFIXES)]
+    return [w.hashes(), *w.prefix_hashes(_PREFIXES)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +118,15 @@ def _scan(texts: pa.Array, features: np.ndarray, scores: np.ndarray, rate: float
             value = np.maximum(value, np.where(features[at] == h, scores[at], -np.inf))
     hit = np.flatnonzero(value > 0)
     # A word that a text repeats scores once there: a repeated junk word is no evidence, however long it goes on.
-    word = w.hashes(0)[hit]
+    word = w.hashes()[hit]
     order = np.lexsort((hit, word, w.doc[hit]))
     again = np.zeros(len(hit), bool)
     again[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (w.doc[hit][order[1:]] == w.doc[hit][order[:-1]])
     hit = hit[~again]
     sig, out = np.zeros(len(texts)), [[] for _ in range(len(texts))]
     docs = w.doc[hit]
-    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else []
-    for s, e in zip(first, [*first[1:], len(docs)], strict=True):
+    first, count = spans(docs)
+    for s, e in zip(first.tolist(), (first + count).tolist(), strict=True):
         d = int(docs[s])
         base, begin = int(w.first[d]), int(w.bounds[d])
         n = int(w.first[d + 1]) - base
