@@ -91,6 +91,8 @@ class Graph:
         src, dst, s = np.repeat(new, ids.shape[1]), ids.reshape(-1), sims.reshape(-1)
         ok = dst >= 0
         src, dst, s = src[ok], dst[ok], s[ok]
+        if not len(dst):
+            return
         order = np.lexsort((-s, dst))
         src, dst, s = src[order], dst[order], s[order]
         first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
