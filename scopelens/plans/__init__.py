@@ -1,0 +1,4 @@
+"""Named queries by theme; importing this package registers all of them."""
+
+from . import corpus, evaluation, files, retrieval, runlogs, stream, systems  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -1,8 +1,11 @@
-"""Session builder with the settings every operator assumes."""
+"""Session builder with the settings every operator assumes, and shipping of the package to executors."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,20 @@ def build_session(app: str = "scopelens", cpus: int | None = None, partitions: i
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Adds the package to the session's Python files, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scopelens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="scopelens-")) / "scopelens_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._scopelens_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
