@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Freed Arrow buffers go back to the system, so a worker that has seen one large partition doesn't keep its size.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Text bytes that one vectorised step looks at; bounds a worker's memory whatever the batch holds.
 STEP_BYTES = 3 << 20
 U64 = np.uint64

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, by_partition, cut, from_blob, mix, rolled, shuffle_partitions, steps, text_key, to_blob, tune
 
 WINDOW, RUN = 35, 4
+#: Bucket partitions for each shuffle partition: packed strings are about three times the text.
+PARTS = 2
 _WIDE = (0xB492B66FBE98F273, 0x9AE16A3B2F90404F)
 
 
@@ -208,11 +210,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes.append(h[win])
         firsts.append((win + n_words).astype(np.int32))
         texts.append(text.tobytes())
-        places.append((place[:-1] + n_bytes).astype(np.int64))
+        places.append((place[:-1] + n_bytes).astype(np.int32))
         starts.append(w.first[1:] + n_words)
         n_words, n_bytes = n_words + len(w), n_bytes + len(text)
     del packed
-    places.append(np.array([n_bytes]))
+    places.append(np.array([n_bytes], np.int32))
     data, place, start = b"".join(texts), np.concatenate(places), np.concatenate(starts)
     del texts, places
     a, first = np.concatenate(hashes), np.concatenate(firsts)
@@ -274,7 +276,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(_doc, _key, lo, hi): word ranges that repeated windows cover; together with the id, _key names a text."""
     spark = docs.sparkSession
     tune(spark)
-    parts = shuffle_partitions(spark)
+    parts = PARTS * shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("_key"), "text")
     loads = cut(rows.mapInArrow(_loads, "minimiser bigint, windows bigint").groupBy("minimiser").agg(F.sum("windows").alias("windows")))
     total = loads.where("minimiser IS NULL").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
