@@ -57,13 +57,13 @@ def leaf_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """(conv_id, leaf, rank, id, back): the messages of the best paths; ``back`` counts from the leaf.
 
     Level k of the jump tables has the messages that have an ancestor 2^k steps up, that ancestor, and the
-    score on the way; each level is a self-join of the one before. Leaves climb them from the top level down
+    scores on the way, its own included; each level is a self-join of the one before. Leaves climb them from the top level down
     to add up their scores; the chosen ones climb once more and leave a row at every message they pass.
     """
     links = messages.select("conv_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     # A parent that is not there makes the message a root.
-    there = links.select(F.col("conv_id").alias("conv_id"), F.col("id").alias("parent"))
-    level = cut(links.join(there, ["conv_id", "parent"]).select("conv_id", "id", F.col("parent").alias("top"), F.col("score").alias("gain")))
+    there = links.select("conv_id", F.col("id").alias("parent"), F.col("score").alias("gain"))
+    level = cut(links.join(there, ["conv_id", "parent"]).select("conv_id", "id", F.col("parent").alias("top"), "gain"))
     jumps = []
     while not level.isEmpty():
         jumps.append(level)

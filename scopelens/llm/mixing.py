@@ -65,7 +65,7 @@ def _uniform(*cols) -> Column:
 
 def _fold(items: Column) -> Column:
     """A group's documents, largest first, to their copies: (done: those that are integral, rest: the last one)."""
-    done = F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,source_size:bigint,target:double,copies:int>>)")
+    done = F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,source_size:bigint,target:double,key:bigint,copies:int>>)")
     # carry: words that documents so far owe to (or took from) the next one.
     start = F.struct(done.alias("done"), F.lit(0.0).alias("carry"))
 
@@ -73,7 +73,7 @@ def _fold(items: Column) -> Column:
         want = d["want"] + s["carry"] / d["size"]
         low = F.floor(want)
         copies = F.least(F.greatest(low + F.when(d["u"] < want - low, 1).otherwise(0), F.lit(0)), F.lit(CAP)).cast("int")
-        row = F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["source_size"].alias("source_size"), d["target"].alias("target"), copies.alias("copies"))
+        row = F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), d["source_size"].alias("source_size"), d["target"].alias("target"), d["key"].alias("key"), copies.alias("copies"))
         return F.struct(F.concat(s["done"], F.array(row)).alias("done"), ((want - copies) * d["size"]).alias("carry"))
 
     n = F.size(items)
@@ -83,12 +83,15 @@ def _fold(items: Column) -> Column:
 
 
 def copies_of(sizes: DataFrame) -> DataFrame:
-    """(doc_id, source, size) to (doc_id, size, source_size, target, copies), one row for each row."""
+    """(doc_id, source, size, key) to (doc_id, size, source_size, target, key, copies), one row for each row.
+
+    ``key`` comes along for joins; decisions depend on it only between rows of equal id and size.
+    """
     sizes = cut(sizes)
     # Sources are few but not bounded, so whether to broadcast them is left to the size that AQE sees.
     goals = source_targets(sizes).withColumnRenamed("source", "_source")
     known = sizes.join(goals, sizes.source.eqNullSafe(F.col("_source"))).drop("_source")
-    none = known.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).alias("copies"))
+    none = known.where("size = 0").select("doc_id", "size", "source_size", "target", "key", F.lit(0).alias("copies"))
     # want: expected copies, from here on also with what the groups below have carried over.
     level, rows = 0, known.where("size > 0").withColumn("want", F.col("target") / F.col("source_size"))
     out = none
@@ -96,21 +99,21 @@ def copies_of(sizes: DataFrame) -> DataFrame:
         groups = F.greatest(F.ceil(F.col("n") / float(FAN**(level + 1))), F.lit(1)).cast("bigint")
         bucket = F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), groups)
         u = _uniform(F.lit("u"), F.lit(level), "doc_id", "size")
-        item = F.struct((-F.col("size")).alias("order"), u.alias("u"), "doc_id", "size", "source_size", "target", "want")
+        item = F.struct((-F.col("size")).alias("order"), u.alias("u"), "doc_id", "size", "source_size", "target", "want", "key")
         tree = rows.groupBy("source", "n", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
         tree = cut(tree.select("source", "n", _fold(F.col("items")).alias("f")))
         out = out.union(tree.select(F.explode("f.done").alias("d")).select("d.*"))
-        rows = tree.select("source", "n", "f.last.doc_id", "f.last.size", "f.last.source_size", "f.last.target", F.col("f.want").alias("want"))
+        rows = tree.select("source", "n", "f.last.doc_id", "f.last.size", "f.last.source_size", "f.last.target", "f.last.key", F.col("f.want").alias("want"))
         level += 1
         if tree.agg(F.max(F.col("n"))).first()[0] is None or tree.groupBy("source").count().where("count > 1").isEmpty():
             break
     whole = F.least(F.greatest(F.round("want"), F.lit(0)), F.lit(CAP)).cast("int")
-    return out.union(rows.select("doc_id", "size", "source_size", "target", whole.alias("copies")))
+    return out.union(rows.select("doc_id", "size", "source_size", "target", "key", whole.alias("copies")))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every document."""
-    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.lit(0).cast("bigint").alias("key"))
     return copies_of(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -122,7 +125,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     key = F.xxhash64(*[F.struct(F.col(f"`{c}`"), F.col(f"`{c}`").isNull()) if t.startswith(("array", "struct")) else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00null")) for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
     keyed = docs.withColumn("_key", key)
-    sizes = keyed.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    wanted = copies_of(sizes).where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    sizes = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.col("_key").alias("key"))
+    wanted = copies_of(sizes).where("copies > 0").groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"))
     rows = keyed.dropDuplicates(["_key"]).join(wanted, "_key")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
