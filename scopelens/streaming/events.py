@@ -16,9 +16,10 @@ from ..sources.files import append_new
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as they come."""
+    """Parquet files of a folder as they come; event times without a zone are read in the session's."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_counts(events: DataFrame, late: str = "1 hour", width: str = "6 hours") -> DataFrame:
