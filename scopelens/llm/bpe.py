@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import steps, tune
 
 #: Slices that a worker remembers; past that it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 #: Longer slices are merged one at a time with a heap, which takes n log n steps.
 LONG = 384
 _BLOCK = 64

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 # Freed Arrow buffers go back to the system, so a worker that has seen one large partition doesn't keep its size.
 pa.set_memory_pool(pa.system_memory_pool())
 
-#: Text bytes that one vectorised step looks at; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 3 << 20
+#: Text bytes that one vectorised step looks at; bounds a worker's memory whatever the batch holds. Steps that
+#: send blobs take more, so that blobs don't get small.
+STEP_BYTES, SEND_BYTES = 1 << 20, 3 << 20
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 #: Random 64-bit values of the 256 bytes, and the base of the polynomial hash over them.
@@ -67,13 +68,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most STEP_BYTES of text each (or one row)."""
+def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``size`` bytes of text each (or one row)."""
     for b in batches:
         lengths = np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0)).astype(np.int64)
         start, held = 0, 0
         for i, n in enumerate(lengths.tolist()):
-            if held and held + n > STEP_BYTES:
+            if held and held + n > size:
                 yield b.slice(start, i - start)
                 start, held = i, 0
             held += n
@@ -81,28 +82,49 @@ def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
             yield b.slice(start)
 
 
-@lru_cache(8)
-def _powers(multiplier: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number, and of its inverse, modulo 2^64."""
-    out = []
-    for m in (multiplier, pow(multiplier, -1, 1 << 64)):
-        p = np.full(size, m, U64)
+class _Powers:
+    """Powers of an odd number modulo 2^64 as products of two small tables, so no table is as long as a text."""
+
+    LOW = 1 << 12
+
+    def __init__(self, base: int):
+        self.base = base
+        self.low = self._table(base, self.LOW)
+        self.high = self._table(pow(base, self.LOW, 1 << 64), 1 << 10)
+
+    @staticmethod
+    def _table(base: int, size: int) -> np.ndarray:
+        p = np.full(size, base, U64)
         p[0] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+        return np.cumprod(p, dtype=U64)
+
+    def _reach(self, n: int) -> None:
+        while n > len(self.high) * self.LOW:
+            self.high = self._table(pow(self.base, self.LOW, 1 << 64), 2 * len(self.high))
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        self._reach(int(i.max(initial=0)) + 1)
+        return self.low[i & (self.LOW - 1)] * self.high[i >> 12]
+
+    def upto(self, n: int) -> np.ndarray:
+        self._reach(n)
+        return (self.high[: -(-n // self.LOW), None] * self.low).reshape(-1)[:n]
+
+
+@lru_cache(16)
+def _powers(multiplier: int) -> tuple[_Powers, _Powers]:
+    """Powers of an odd number, and of its inverse."""
+    return _Powers(multiplier), _Powers(pow(multiplier, -1, 1 << 64))
 
 
-def _sums(values: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of values[i] * m^i (one more entry, 0, in front), and the powers of m's inverse.
+def _sums(values: np.ndarray, multiplier: int) -> np.ndarray:
+    """Prefix sums of values[i] * m^i, with one more entry, 0, in front.
 
-    (sums[e] - sums[s]) * inverse[s] is the polynomial hash of values[s:e], wherever they are.
+    (sums[e] - sums[s]) * m^-s is the polynomial hash of values[s:e], wherever they are.
     """
-    size = 1 << max(10, int(len(values)).bit_length())
-    p, inverse = _powers(multiplier, size)
     out = np.zeros(len(values) + 1, U64)
-    np.multiply(values, p[: len(values)], out=out[1:])
-    np.cumsum(out, out=out)
-    return out, inverse
+    np.multiply(values, _powers(multiplier)[0].upto(len(values)), out=out[1:])
+    return np.cumsum(out, out=out)
 
 
 class Words:
@@ -137,16 +159,17 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        sums, inverse = _sums(_BYTE[self.bytes], _MULT)
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + self.length.astype(U64))
+        sums = _sums(_BYTE[self.bytes], _MULT)
+        return mix((sums[self.end] - sums[self.start]) * _powers(_MULT)[1].at(self.start) + self.length.astype(U64))
 
     def prefix_hashes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
         """For each size, a hash of each word's first so many code points (of the whole word if it is shorter)."""
-        sums, inverse = _sums(_BYTE[self.bytes], _MULT)
+        sums = _sums(_BYTE[self.bytes], _MULT)
+        shift = _powers(_MULT)[1].at(self.start)
         lead = np.flatnonzero((self.bytes & 0xC0) != 0x80)
         at = np.searchsorted(lead, self.start)
         lead = np.r_[lead, np.full(max(sizes), len(self.bytes))]
-        return [mix((sums[np.minimum(self.end, lead[at + n])] - sums[self.start]) * inverse[self.start] + U64(n << 32)) for n in sizes]
+        return [mix((sums[np.minimum(self.end, lead[at + n])] - sums[self.start]) * shift + U64(n << 32)) for n in sizes]
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words, each followed by one space, and where each begins (one more entry at the end)."""
@@ -164,8 +187,8 @@ def rolled(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    sums, inverse = _sums(h, multiplier)
-    return mix((sums[width:] - sums[:n]) * inverse[:n])
+    sums = _sums(h, multiplier)
+    return mix((sums[width:] - sums[:n]) * _powers(multiplier)[1].upto(n))
 
 
 def to_blob(**columns) -> bytes:

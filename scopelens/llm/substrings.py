@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, by_partition, cut, from_blob, mix, rolled, shuffle_partitions, steps, text_key, to_blob, tune
+from .common import SEND_BYTES, U64, Words, by_partition, cut, from_blob, mix, rolled, shuffle_partitions, steps, text_key, to_blob, tune
 
 WINDOW, RUN = 35, 4
 #: Bucket partitions for each shuffle partition: packed strings are about three times the text.
@@ -88,7 +88,7 @@ def _send(hot: np.ndarray, parts: int):
     """Step by step: one blob for each target partition, with super-k-mers, hot windows and settled ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", SEND_BYTES):
             w = _Windows(b.column("text"))
             if not len(w.first):
                 continue
