@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, by_partition, components, cut, from_blob, mix, rolled, shuffle_partitions, spans, steps, to_blob, tune
+from .common import SEND_BYTES, U64, Words, by_partition, components, cut, from_blob, mix, rolled, shuffle_partitions, spans, steps, to_blob, tune
 
 SHINGLE = 5
 #: Nodes before it that a node is verified against in a list; hash orders of the lists and of the filter.
-NEIGHBOURS, LISTS, ORDERS = 6, 3, 3
+NEIGHBOURS, LISTS, ORDERS = 8, 2, 3
 #: Nodes of a block.
 BLOCK = 512
 #: Names of nodes without any id start here.
@@ -116,7 +116,7 @@ def _post(parts: int):
     """Every shingle to the partition of its hash, as lists by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", SEND_BYTES):
             doc, s, n = shingle_sets(b.column("text"))
             if not len(s):
                 continue
@@ -300,7 +300,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, s = _flat(pa.chunked_array([b.column("s")]))
         _, df = _flat(pa.chunked_array([b.column("df")]))
         row, s = _prefixes(size, s, df, b.column("n").to_numpy(), 0)
-        yield pa.RecordBatch.from_pydict({"comp": b.column("comp").take(pa.array(row)), "s": pa.array(s)})
+        yield pa.RecordBatch.from_pydict({"node": b.column("node").take(pa.array(row)), "s": pa.array(s)})
 
 
 def _compare(t: pa.Table) -> pa.Table:
@@ -393,8 +393,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     chained = components(links)
     # comp: the chained group of every node that is still in.
     comps = cut(alive.select("node").join(chained, "node", "left").select("node", F.coalesce("component", "node").alias("comp")))
-    posted = alive.select("node", "n", "s", "df").join(comps, "node").mapInArrow(_postings, "comp bigint, s bigint").distinct()
-    posted = cut(posted)
+    # Only prefixes move to meet the groups of their nodes.
+    posted = cut(alive.mapInArrow(_postings, "node bigint, s bigint").join(comps, "node").select("comp", "s").distinct())
     lowest = posted.groupBy("s").agg(F.min("comp").alias("b"), F.max("comp").alias("top")).where("b < top").drop("top")
     clusters = components(posted.join(lowest, "s").where("comp <> b").select(F.col("comp").alias("a"), "b").distinct())
     members = comps.join(clusters.withColumnRenamed("node", "comp"), "comp").select("node", "comp", F.col("component").alias("cluster"))
