@@ -21,8 +21,8 @@ def _plain(v):
         return None
     if hasattr(v, "item") and not getattr(v, "shape", ()):
         v = v.item()
-    if isinstance(v, float):
-        return round(v, 5) + 0.0
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return round(float(v), 5) + 0.0
     return str(v)
 
 
