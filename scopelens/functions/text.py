@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import STOPWORDS
+
 TOKEN = "[a-z0-9_]+"
-#: Words that keyword extraction skips.
-STOPWORDS = (
-    "what", "which", "where", "when", "who", "how", "why", "does", "did", "are", "was", "were", "is", "the", "and", "for",
-    "with", "from", "that", "this", "these", "those", "have", "has", "had", "been", "being", "will", "would", "could",
-    "should", "can", "may", "might", "must", "shall", "about", "into", "over", "under", "between", "through", "during",
-    "before", "after", "above", "below", "than", "then", "there", "their", "they", "them", "its", "our", "your", "his",
-    "her", "not", "but", "all", "any", "each", "more", "most", "other", "some", "such",
-)
 
 
 def tokens(text: str | Column) -> Column:
@@ -24,10 +16,10 @@ def tokens(text: str | Column) -> Column:
 
 
 def keywords(text: str | Column, most: int = 8) -> Column:
-    """The first distinct-position words of more than 2 letters that are no stopwords, punctuation stripped."""
+    """The first words of more than 2 letters that are no stopwords, punctuation stripped; case stays."""
     c = F.col(text) if isinstance(text, str) else text
-    words = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]+", " ")), " +")
-    keep = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+    words = F.split(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " ")), r"\s+")
+    keep = F.filter(words, lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*STOPWORDS))
     return F.slice(keep, 1, most)
 
 
@@ -59,10 +51,6 @@ def first_match(value: Column, rules: list[tuple[str, str]], default: str | None
     return F.coalesce(*[F.when(value.rlike(f"(?i){p}"), F.lit(label)) for p, label in rules], F.lit(default))
 
 
-def contains_any(value: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [value.contains(n) for n in needles])
-
-
 def title_bucket(title: Column) -> Column:
     c = F.upper(F.substring(F.trim(title), 1, 1))
     return (
@@ -70,11 +58,10 @@ def title_bucket(title: Column) -> Column:
     )
 
 
-def title_stem(title: Column) -> Column:
-    """Lower case without parentheses, years, revision marks and joining words."""
-    bare = F.regexp_replace(F.lower(title), r"\([^)]*\)|\b(19|20)[0-9][0-9]\b|\brev[a-z]* *[0-9]*", " ")
-    words = F.split(F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " ")), " +")
-    return F.array_join(F.filter(words, lambda w: ~w.isin("the", "of", "and", "for", "a", "an", "to", "in")), " ")
+def title_stem(title: Column, also: tuple[str, ...] = ()) -> Column:
+    """Letters of a title without years, revision marks, parentheses and joining words (and those of ``also``)."""
+    bare = F.regexp_replace(F.lower(title), r"\b(19|20)\d{2}\b|\bfy\s*\d+\b|\brev(ision)?\b|\bupdated\b|\(.*?\)|effective.*|[^a-z ]", " ")
+    return F.array_join(F.filter(F.split(F.trim(bare), " +"), lambda w: ~w.isin("the", "for", "and", "of", *also)), " ")
 
 
 def composite_id(*parts: Column, index: Column) -> Column:

@@ -69,15 +69,15 @@ def count_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     The keywords are the distinct ones of all queries: they are matched once, and counts join back by term.
     """
-    asked = queries.select("item_id", F.explode(keywords("text")).alias("term"))
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^a-z0-9]+"))
+    asked = queries.select("item_id", F.explode(F.transform(keywords("text"), F.lower)).alias("term"))
+    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}_]+"))
     # A keyword can only occur inside a document's word, so documents are indexed by their distinct words.
     vocabulary = docs.select(F.explode(words).alias("word")).distinct()
     terms = asked.select("term").distinct()
     # Words and terms meet on the terms' first three letters at every place of the word.
     grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda i: F.substring(F.col("word"), i, F.lit(3))))).alias("g"))
     holds = grams.join(terms.withColumn("g", F.substring("term", 1, 3)), "g").where(F.expr("contains(word, term)")).select("word", "term").distinct()
-    each = docs.select("doc_id", F.explode(F.split(F.lower(F.col("text")), r"[^a-z0-9]+")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    each = docs.select("doc_id", F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}_]+")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     per = each.join(holds, "word").groupBy("doc_id", "term").agg(F.sum(F.col("n") * occurrences(F.col("word"), F.col("term"))).alias("n"))
     scored = asked.join(per, "term").groupBy("item_id", "doc_id").agg(F.sum("n").alias("score")).where("score > 0")
     return ranked(scored, "item_id", "doc_id", k)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as tx
 from ..operators import chunking
 from ..operators.sampling import by_hash, capped_by_hash, draw_key
@@ -108,7 +109,7 @@ def title_initial_bucket(t: Tables) -> DataFrame:
     return titled(t).select("doc_id", tx.title_bucket(F.col("title")).alias("bucket"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower({TITLE}), '\\([^)]*\\)|\\b(19|20)[0-9][0-9]\\b|\\brev[a-z]* *[0-9]*', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' +'), lambda w: w NOT IN ('the', 'of', 'and', 'for', 'a', 'an', 'to', 'in')), ' ') AS stem FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower({TITLE}), '\\b(19|20)\\d{{2}}\\b|\\bfy\\s*\\d+\\b|\\brev(ision)?\\b|\\bupdated\\b|\\(.*?\\)|effective.*|[^a-z ]', ' ', 'g')), ' +'), lambda w: w NOT IN ('the', 'for', 'and', 'of')), ' ') AS stem FROM documents WHERE lang = 'en'")
 def title_stem(t: Tables) -> DataFrame:
     return titled(t).where("lang = 'en'").select("doc_id", tx.title_stem(F.col("title")).alias("stem"))
 
@@ -176,20 +177,41 @@ def regex_hit_rate(t: Tables) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((F.col("topic") != "general").cast("int")), 6).alias("hit_rate"))
 
 
-URL_RULES = [("blog|post", "blog"), ("doc|manual|guide", "manual"), ("[.]pdf", "pdf")]
-_U = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '(?i){p}') THEN '{v}'" for p, v in URL_RULES) + " END"
+_PATH = "regexp_replace(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*', '')"
 
 
-@query(f"SELECT page_id, coalesce({_U.format('url')}, {_U.format('left(html, 400)')}, 'other') AS category FROM pages")
+def _contents_sql(hay: str, table: list) -> str:
+    one = lambda keys: " OR ".join("contains({}, '{}')".format(hay, k.replace("'", "''")) for k in keys)
+    return "CASE " + " ".join(f"WHEN {one(keys)} THEN '{label}'" for label, keys in table) + " END"
+
+
+_PLAIN = "replace(replace(replace(lower({}), '_', ' '), '%20', ' '), '-', ' ')"
+_CATS = [(label, [k.replace("-", " ") for k in keys]) for label, keys in rules.URL_CATEGORIES]
+
+
+@query(f"SELECT page_id, coalesce({_contents_sql(_PLAIN.format(_PATH.format('url')), _CATS)}, {_contents_sql(_PLAIN.format('left(html, 2000)'), _CATS)}, 'General') AS category FROM pages")
 def url_taxonomy(t: Tables) -> DataFrame:
-    """By the URL; failing that by what the page begins with."""
-    return t.pages.select("page_id", F.coalesce(tx.first_match(F.col("url"), URL_RULES), tx.first_match(F.substring("html", 1, 400), URL_RULES), F.lit("other")).alias("category"))
+    """By the URL; failing that by what the page begins with, which stands for the page that linked it."""
+    return t.pages.select("page_id", rules.url_category(F.col("url"), F.lit(""), F.concat(F.lit("x://h"), F.regexp_replace(F.substring("html", 1, 2000), "[?#]", ""))).alias("category"))
+
+
+@query(f"SELECT doc_id, coalesce({_contents_sql('lower(source || chr(32) || chr(32) || text)', rules.SERIES)}, 'General') AS series FROM documents")
+def series_normalised(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", rules.series(F.col("source"), F.col("text")).alias("series"))
+
+
+@query("SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{v}'" for p, v in rules.ROUTES) + " ELSE 'global' END AS agent FROM benchmark")
+def question_route(t: Tables) -> DataFrame:
+    """Questions that no rule matches go to the whole corpus."""
+    return t.benchmark.select("item_id", rules.by_pattern(F.col("text"), default="global").alias("agent"))
+
+
+_ANY = lambda hay, keys: " OR ".join(f"contains({hay}, '{k}')" for k in keys)
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), 'login|cart|calendar') THEN 2 WHEN regexp_matches(lower(url), '[02468]$|index|pdf') THEN 0 ELSE 1 END AS priority FROM pages")
+@query(f"SELECT page_id, CASE WHEN {_ANY('lower(' + _PATH.format('url') + ')', rules.CRAWL_LAST)} THEN 2 WHEN {_ANY('lower(' + _PATH.format('url') + ')', rules.CRAWL_FIRST)} THEN 0 ELSE 1 END AS priority FROM pages")
 def url_priority(t: Tables) -> DataFrame:
-    u = F.lower("url")
-    return t.pages.select("page_id", F.when(u.rlike("login|cart|calendar"), 2).when(u.rlike("[02468]$|index|pdf"), 0).otherwise(1).alias("priority"))
+    return t.pages.select("page_id", rules.page_priority(F.col("url")).alias("priority"))
 
 
 HREF = "hr AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
@@ -200,10 +222,10 @@ def link_harvest(t: Tables) -> DataFrame:
     return harvest_links(t.pages).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {HREF} SELECT page_id, count(*) FILTER (lower(split_part(href, '#', 1)) LIKE '%.pdf') AS pdf_links, count(*) AS links FROM hr WHERE split_part(href, '#', 1) <> '' GROUP BY page_id")
+@query(f"WITH {HREF} SELECT page_id, count(*) FILTER (lower(split_part(href, '#', 1)) LIKE '%.pdf' OR contains(lower(split_part(href, '#', 1)), '.pdf?')) AS pdf_links, count(*) AS links FROM hr WHERE split_part(href, '#', 1) <> '' GROUP BY page_id")
 def pdf_links(t: Tables) -> DataFrame:
     h = harvest_links(t.pages)
-    return h.groupBy("page_id").agg(F.sum(F.lower("href").endswith(".pdf").cast("bigint")).alias("pdf_links"), F.count("*").alias("links"))
+    return h.groupBy("page_id").agg(F.sum(rules.is_pdf(F.col("href")).cast("bigint")).alias("pdf_links"), F.count("*").alias("links"))
 
 
 @query(f"WITH {HREF}, e AS (SELECT url AS src, split_part(href, '#', 1) AS dst FROM hr), x AS (SELECT count(*) AS links, count(DISTINCT dst) AS targets, count(*) FILTER (regexp_extract(dst, '^[a-z]+://([^/]+)', 1) IN ('', regexp_extract(src, '^[a-z]+://([^/]+)', 1))) AS same_host FROM e WHERE dst <> '') SELECT * FROM x")

@@ -316,7 +316,7 @@ def sparse_max_pooling(t: Tables) -> DataFrame:
 
 
 STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
-KEYWORDS = f"SELECT item_id, list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')), ' +'), lambda w: length(w) > 2 AND w NOT IN ({STOP}))[1:8] AS kw FROM benchmark"
+KEYWORDS = f"SELECT item_id, list_filter(string_split_regex(trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2 AND lower(w) NOT IN ({STOP}))[1:8] AS kw FROM benchmark"
 
 
 @query(f"SELECT item_id, array_to_string(kw, ' ') AS keywords, len(kw) AS n FROM ({KEYWORDS})")
@@ -325,7 +325,7 @@ def keyword_extract(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH k AS (SELECT item_id, unnest(kw) AS term FROM ({KEYWORDS})), s AS (SELECT item_id, doc_id, CAST(sum((length(lt) - length(replace(lt, term, ''))) // length(term)) AS BIGINT) AS score FROM k, (SELECT doc_id, lower(text) AS lt FROM documents) d GROUP BY item_id, doc_id),
+    f"""WITH k AS (SELECT item_id, lower(unnest(kw)) AS term FROM ({KEYWORDS})), s AS (SELECT item_id, doc_id, CAST(sum((length(lt) - length(replace(lt, term, ''))) // length(term)) AS BIGINT) AS score FROM k, (SELECT doc_id, lower(text) AS lt FROM documents) d GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10"""
 )
 def count_score_topk(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import aggregates as ag
 from ..operators import statistics as st
 from ..operators.joins import answered_by_all, average_present, choose_by_threshold, system_pairs
@@ -276,13 +277,11 @@ def loop_termination(t: Tables) -> DataFrame:
     return d.select("query", F.col("step").cast("bigint").alias("step"), F.round("dq", 6).alias("dq"), verdict.alias("verdict"))
 
 
-@query("SELECT event_id, CASE WHEN c < 0.75 AND v < 0.70 THEN CASE WHEN tm > 10 THEN 'Depth' ELSE 'Focus' END WHEN c < 0.75 THEN 'Breadth' WHEN v < 0.70 THEN 'Depth' ELSE 'Stop' END AS strategy FROM (SELECT event_id, (event_id % 100) / 100.0 AS c, (user_id % 100) / 100.0 AS v, event_id % 30 AS tm FROM events)")
+@query("SELECT event_id, CASE WHEN c < 0.75 AND v < 0.70 AND tm > 20 THEN 'Hybrid' WHEN c < 0.75 AND tm > 15 THEN 'Depth' WHEN v < 0.70 AND tm > 10 THEN 'Breadth' ELSE 'Stop' END AS strategy FROM (SELECT event_id, (event_id % 100) / 100.0 AS c, (user_id % 100) / 100.0 AS v, event_id % 30 AS tm FROM events)")
 def strategy_selector(t: Tables) -> DataFrame:
-    """Coverage and validity below their marks choose how to go on; time left decides between the two deep ways."""
+    """Coverage, validity and time left decide how to go on; all three are stand-ins from ids."""
     e = t.events.select("event_id", ((F.col("event_id") % 100) / 100.0).alias("c"), ((F.col("user_id") % 100) / 100.0).alias("v"), (F.col("event_id") % 30).alias("tm"))
-    low_c, low_v = F.col("c") < 0.75, F.col("v") < 0.70
-    s = F.when(low_c & low_v, F.when(F.col("tm") > 10, "Depth").otherwise("Focus")).when(low_c, "Breadth").when(low_v, "Depth").otherwise("Stop")
-    return e.select("event_id", s.alias("strategy"))
+    return e.select("event_id", rules.strategy(F.col("c"), F.col("v"), F.col("tm")).alias("strategy"))
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (coalesce(a.x, b.x) + coalesce(b.x, a.x)) / 2.0 AS mean FROM (SELECT doc_id, quality::DOUBLE AS x FROM labels WHERE doc_id % 3 <> 0) a FULL OUTER JOIN (SELECT doc_id, toxic::DOUBLE AS x FROM labels WHERE doc_id % 3 <> 1) b USING (doc_id)")
@@ -355,3 +354,46 @@ def per_key_cap_multi_sort(t: Tables) -> DataFrame:
 def row_share(t: Tables) -> DataFrame:
     n = t.orders.groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("status")), 6))
+
+
+@query("SELECT d.doc_id, coalesce(CASE l.quality WHEN 1 THEN 'good' END, d.lang) AS label, coalesce(l.quality = 1, false) AS moved FROM documents d LEFT JOIN labels l USING (doc_id)")
+def relabel_keep_old(t: Tables) -> DataFrame:
+    """A classifier's label where there is one, else the old one; which rows moved stays visible."""
+    new = t.labels.select("doc_id", F.when(F.col("quality") == 1, "good").alias("new"), (F.col("quality") == 1).alias("moved"))
+    return t.documents.select("doc_id", "lang").join(new, "doc_id", "left").select("doc_id", F.coalesce("new", "lang").alias("label"), F.coalesce("moved", F.lit(False)).alias("moved"))
+
+
+@query("SELECT CASE WHEN source IN ('src1', 'src2') THEN 'manuals' WHEN source = 'src3' THEN 'plans' END AS category, count(*) AS n FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY ALL")
+def category_map_drop_unmapped(t: Tables) -> DataFrame:
+    s = F.col("source")
+    c = F.when(s.isin("src1", "src2"), "manuals").when(s == "src3", "plans")
+    return t.documents.select(c.alias("category")).dropna().groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality + 2 * l.toxic, 0) AS grade FROM documents d LEFT JOIN labels l USING (doc_id)")
+def qrels_grade_left(t: Tables) -> DataFrame:
+    """Documents with their grade; unjudged ones have grade 0."""
+    g = t.labels.select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("g"))
+    return t.documents.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce("g", F.lit(0)).alias("grade"))
+
+
+@query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents), b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS p FROM embeddings) SELECT doc_id, vec_id FROM a JOIN b USING (p)")
+def positional_join(t: Tables) -> DataFrame:
+    """Rows of two tables at the same place of their orders."""
+    a = ag.with_position(t.documents.select("doc_id"), "doc_id")
+    b = ag.with_position(t.embeddings.select("vec_id"), "vec_id")
+    return a.join(b, "position").select("doc_id", "vec_id")
+
+
+@query("SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(sqrt((1 - corr(l_quantity, l_extendedprice) ** 2) * regr_syy(l_extendedprice, l_quantity) / regr_sxx(l_extendedprice, l_quantity) / (count(*) - 2)), 4) AS se FROM lineitem")
+def ols_standard_error(t: Tables) -> DataFrame:
+    o = st.ols(t.lineitem, "l_quantity", "l_extendedprice")
+    return o.select("n", F.round("slope", 4).alias("slope"), F.round("se", 4).alias("se"))
+
+
+@query("SELECT o.o_orderkey, c.c_custkey, n.n_name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.o_orderpriority LIKE '1%'")
+def document_section_chunk_path(t: Tables) -> DataFrame:
+    """A path of two equi-joins from the finest level up; the filter reaches the scan."""
+    o = t.orders.where(F.col("o_orderpriority").startswith("1")).select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return o.join(c, "c_custkey").join(t.nation.select("n_nationkey", "n_name"), "n_nationkey").select("o_orderkey", "c_custkey", "n_name")

@@ -19,7 +19,7 @@ from ..operators import statistics as st
 from ..operators.sampling import draw_key
 from .corpus import TOPICS, _topic_sql
 from .registry import Tables, query
-from .retrieval import BM25, KNN, SCOPED, as_queries, neighbours, vectors
+from .retrieval import BM25, KNN, SCOPED, as_queries, neighbours, route, vectors
 
 # --- routing policies and systems
 
@@ -356,3 +356,20 @@ def router_then_scope(t: Tables) -> DataFrame:
     return dense.topk(q, corpus, 3, exclude_self=True).select("qid", "id", F.col("rank").cast("bigint"))
 
 
+
+
+@query()
+def refinement_loop(t: Tables) -> DataFrame:
+    """Three rounds that deepen each query's scopes while its mean similarity is low; all queries of a round are one batch."""
+    v = vectors(t)
+    corpus = v.withColumn("scope", F.col("label").cast("string"))
+    q, out = as_queries(v).select("qid", "v"), None
+    for round_, m in enumerate((1, 2, 4)):
+        # The m nearest scopes of the queries that are still open.
+        scopes = route(t, m).select("qid", F.col("scope").cast("string").alias("scope"))
+        found = dense.topk(q.join(scopes, "qid").withColumn("list", F.col("scope")), corpus, 5, exclude_self=True)
+        quality = found.groupBy("qid").agg(F.avg("sim").alias("q"))
+        one = found.groupBy("qid").agg(F.count("*").alias("context")).join(quality, "qid").select("qid", F.lit(round_).alias("round"), "context", F.round("q", 6).alias("quality"))
+        out = one if out is None else out.union(one)
+        q = q.join(quality.where("q < 0.35").select("qid"), "qid", "left_semi")
+    return out

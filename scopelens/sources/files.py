@@ -86,3 +86,8 @@ def _cell(x) -> str:
     return "---" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
 
 
+
+
+def write_subsets(rows: DataFrame, keep: DataFrame, key: str, path: str) -> None:
+    """Rows of every keep-set (size, seed, key) as one folder per size and seed."""
+    rows.join(keep, key).write.mode("overwrite").partitionBy("size", "seed").parquet(path)

@@ -158,3 +158,27 @@ def test_streams(spark, sf_dir, tmp_path):
     for _ in range(2):
         ev.append_once(stream(), str(tmp_path / "sink"), str(tmp_path / f"cp{_}")).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "sink")).count() == n
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from scopelens.operators import models
+
+    df = spark.createDataFrame([([float(i % 2), 1.0 - i % 2], i % 2) for i in range(40)], "v array<double>, label int")
+    models.save(models.fit_router(df), str(tmp_path / "m"))
+    got = models.route(models.load(str(tmp_path / "m")), df, k=2).collect()
+    assert all(r.scopes[0].scope == r.label and r.scopes[0].confidence >= r.scopes[1].confidence for r in got)
+
+
+def test_subsets_are_partitioned(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "doc_id int, text string")
+    keep = spark.createDataFrame([(2, 1, 0), (2, 1, 3), (2, 2, 4)], "size int, seed int, doc_id int")
+    files.write_subsets(rows, keep, "doc_id", str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).where("seed = 1").count() == 2
+
+
+def test_command_line_lists_queries(capsys, monkeypatch):
+    from scopelens import __main__ as cli
+
+    monkeypatch.setattr("sys.argv", ["scopelens", "list"])
+    cli.main()
+    assert "knn_purity_by_label" in capsys.readouterr().out
