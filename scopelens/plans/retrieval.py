@@ -124,10 +124,10 @@ def dense_topk_scoped_post(t: Tables) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w)).where("rank <= 15").select("qid", "id", "sim", F.col("rank").cast("bigint"))
 
 
-@query(f"WITH {KNN}, f AS (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM r WHERE rank <= 60 AND l % 2 = 0) SELECT * FROM f WHERE rank <= 15")
+@query(f"WITH {KNN}, f AS (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM r WHERE rank <= 60 AND l < 5) SELECT * FROM f WHERE rank <= 15")
 def dense_global_post_filter(t: Tables) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    kept = neighbours(t, 60).where("l % 2 = 0")
+    kept = neighbours(t, 60).where("l < 5")
     return kept.withColumn("rank", F.row_number().over(w)).where("rank <= 15").select("qid", "id", "sim", F.col("rank").cast("bigint"))
 
 

@@ -284,11 +284,11 @@ def strategy_selector(t: Tables) -> DataFrame:
     return e.select("event_id", rules.strategy(F.col("c"), F.col("v"), F.col("tm")).alias("strategy"))
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (coalesce(a.x, b.x) + coalesce(b.x, a.x)) / 2.0 AS mean FROM (SELECT doc_id, quality::DOUBLE AS x FROM labels WHERE doc_id % 3 <> 0) a FULL OUTER JOIN (SELECT doc_id, toxic::DOUBLE AS x FROM labels WHERE doc_id % 3 <> 1) b USING (doc_id)")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (coalesce(a.x, b.x) + coalesce(b.x, a.x)) / 2.0 AS mean FROM (SELECT doc_id, quality::DOUBLE AS x FROM labels WHERE quality = 1) a FULL OUTER JOIN (SELECT doc_id, toxic::DOUBLE AS x FROM labels WHERE toxic = 0) b USING (doc_id)")
 def full_outer_average(t: Tables) -> DataFrame:
     """Two annotators who each rated part of the rows; the mean of the ratings that exist."""
-    a = t.labels.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").cast("double").alias("a"))
-    b = t.labels.where("doc_id % 3 <> 1").select("doc_id", F.col("toxic").cast("double").alias("b"))
+    a = t.labels.where("quality = 1").select("doc_id", F.col("quality").cast("double").alias("a"))
+    b = t.labels.where("toxic = 0").select("doc_id", F.col("toxic").cast("double").alias("b"))
     return average_present(a, b, "doc_id").select("doc_id", "mean")
 
 
@@ -306,11 +306,11 @@ def pivot_paired(t: Tables) -> DataFrame:
     return p.select("source", F.round("en", 6).alias("en"), F.round("other", 6).alias("other"), F.round(F.col("en") - F.col("other"), 6).alias("delta"))
 
 
-@query("WITH b AS (SELECT source, lang, avg(quality) AS x FROM labels JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT source, lang, avg(1 - toxic) AS x FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY ALL) SELECT source, lang, round(b.x, 6) AS base, round(r.x, 6) AS rerank, round(r.x - b.x, 6) AS delta, coalesce(printf('%.2f', r.x), '---') AS cell FROM b LEFT JOIN r USING (source, lang)")
+@query("WITH b AS (SELECT source, lang, avg(quality) AS x FROM labels JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT source, lang, avg(1 - toxic) AS x FROM labels JOIN documents USING (doc_id) WHERE quality = 1 GROUP BY ALL) SELECT source, lang, round(b.x, 6) AS base, round(r.x, 6) AS rerank, round(r.x - b.x, 6) AS delta, coalesce(printf('%.2f', r.x), '---') AS cell FROM b LEFT JOIN r USING (source, lang)")
 def left_join_deltas(t: Tables) -> DataFrame:
     j = t.labels.join(t.documents.select("doc_id", "source", "lang"), "doc_id")
     b = j.groupBy("source", "lang").agg(F.avg("quality").alias("b"))
-    r = j.where("doc_id % 2 = 0").groupBy("source", "lang").agg(F.avg(1 - F.col("toxic")).alias("r"))
+    r = j.where("quality = 1").groupBy("source", "lang").agg(F.avg(1 - F.col("toxic")).alias("r"))
     cell = F.coalesce(F.format_string("%.2f", "r"), F.lit("---"))
     return b.join(r, ["source", "lang"], "left").select("source", "lang", F.round("b", 6).alias("base"), F.round("r", 6).alias("rerank"), F.round(F.col("r") - F.col("b"), 6).alias("delta"), F.when(F.col("r").isNull(), "---").otherwise(cell).alias("cell"))
 
