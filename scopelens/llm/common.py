@@ -43,9 +43,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that all executors share; its lineage ends there."""
+#: Rows of a checkpoint file of ids and numbers.
+FILE_ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once and kept in the folder that all executors share; its lineage ends there.
+
+    A table that is known to have about ``rows`` short rows is written as few files.
+    """
     sc = df.sparkSession.sparkContext
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scopelens-"))
     return df.checkpoint(eager=True)
@@ -226,12 +235,13 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     e = cut(e.distinct())
     if e.isEmpty():
         return spark.createDataFrame([], "node bigint, component bigint")
-    nodes = cut(e.select(F.col("a").alias("node")).union(e.select(F.col("b"))).distinct())
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.max("b")).first())
 
     seen = mark(e)
+    rows = seen[0]  # no step has more than twice as many links
+    nodes = cut(e.select(F.col("a").alias("node")).union(e.select(F.col("b"))).distinct(), 2 * rows)
     for _ in range(limit):
         # Large star: the larger neighbours of a node hang from the smallest of it and its neighbours.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -240,7 +250,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours hang from the smallest of them.
         low = e.groupBy("a").agg(F.min("b").alias("low"))
         e = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = cut(e)
+        e = cut(e, 2 * rows)
         now = mark(e)
         if now == seen:
             break

@@ -363,7 +363,7 @@ def _blocks(members: DataFrame) -> DataFrame:
         F.when(~tiny & big, F.col("comp")).alias("group"),
         F.when(tiny, F.lit(0)).when(big, of_big).otherwise(of_small).cast("bigint").alias("slot"),
     ).withColumn("block", F.concat_ws("/", F.col("tiny").cast("string"), "home", F.coalesce(F.col("group").cast("string"), F.lit("-")), "slot"))
-    known = cut(known)
+    known = cut(known, total)
     one = known.select(F.concat_ws("/", F.col("tiny").cast("string"), "home").alias("home"), "group", "block").distinct()
     two = one.select("home", F.col("group").alias("group2"), F.col("block").alias("block2"))
     pairs = one.join(two, "home").where("block <= block2 AND (group IS NULL OR group2 IS NULL OR group <> group2)")
@@ -390,9 +390,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     lists = alive.mapInArrow(_orders, "list int, low bigint, node bigint, n int, s array<bigint>")
     order = ["list", "low", "n", "node"]
     links = cut(lists.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_chains, "a bigint, b bigint"))
+    n_alive = alive.count()
     chained = components(links)
     # comp: the chained group of every node that is still in.
-    comps = cut(alive.select("node").join(chained, "node", "left").select("node", F.coalesce("component", "node").alias("comp")))
+    comps = cut(alive.select("node").join(chained, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), n_alive)
     # Only prefixes move to meet the groups of their nodes.
     posted = cut(alive.mapInArrow(_postings, "node bigint, s bigint").join(comps, "node").select("comp", "s").distinct())
     lowest = posted.groupBy("s").agg(F.min("comp").alias("b"), F.max("comp").alias("top")).where("b < top").drop("top")
@@ -411,7 +412,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id."""
     found = jaccard_groups(docs)
     kept = cut(found.where("doc_id <=> component_id").select("doc_id"))
-    ids = cut(kept.distinct())
+    ids = cut(kept.distinct(), kept.count())
     out = docs.join(ids.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
     if kept.count() != ids.count():  # rows that repeat an id
         out = out.dropDuplicates(["doc_id"])

@@ -88,6 +88,7 @@ def copies_of(sizes: DataFrame) -> DataFrame:
     ``key`` comes along for joins; decisions depend on it only between rows of equal id and size.
     """
     sizes = cut(sizes)
+    count = sizes.count()
     # Sources are few but not bounded, so whether to broadcast them is left to the size that AQE sees.
     goals = source_targets(sizes).withColumnRenamed("source", "_source")
     known = sizes.join(goals, sizes.source.eqNullSafe(F.col("_source"))).drop("_source")
@@ -101,7 +102,7 @@ def copies_of(sizes: DataFrame) -> DataFrame:
         u = _uniform(F.lit("u"), F.lit(level), "doc_id", "size")
         item = F.struct((-F.col("size")).alias("order"), u.alias("u"), "doc_id", "size", "source_size", "target", "want", "key")
         tree = rows.groupBy("source", "n", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        tree = cut(tree.select("source", "n", _fold(F.col("items")).alias("f")))
+        tree = cut(tree.select("source", "n", _fold(F.col("items")).alias("f")), count // FAN**level if level else None)
         out = out.union(tree.select(F.explode("f.done").alias("d")).select("d.*"))
         rows = tree.select("source", "n", "f.last.doc_id", "f.last.size", "f.last.source_size", "f.last.target", "f.last.key", F.col("f.want").alias("want"))
         level += 1
