@@ -98,6 +98,47 @@ def bootstrap_ci(values: np.ndarray, rounds: int = 10_000, seed: int = 42, level
     return float(np.quantile(means, (1 - level) / 2)), float(np.quantile(means, (1 + level) / 2))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Chances of at most k under Poisson(1).
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+
+
+def resampled(df: DataFrame, by: list[str], row: str, value: str, rounds: int, kind: str) -> DataFrame:
+    """(by, round, s, w): sums of weighted values and of weights in each of many resamplings.
+
+    A row's weight in a round is a hash of its number and the round: a sign (``signs``) or a Poisson(1) count
+    (``poisson``). Batches add up all rounds as arrays, so what is shuffled is one row per batch and group.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = _mixed(np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for b in batches:
+            for key, g in b.groupby(by, sort=False):
+                ids, v = g[row].to_numpy().astype(np.int64).view(np.uint64), g[value].to_numpy(float)
+                s, w = np.zeros(rounds), np.zeros(rounds)
+                for a in range(0, len(v), 512):
+                    h = _mixed(ids[a : a + 512, None] ^ salt)
+                    weight = np.where(h >> np.uint64(63) == 1, 1.0, -1.0) if kind == "signs" else np.searchsorted(_POISSON, h / 2.0**64, side="right").astype(float)
+                    s += v[a : a + 512] @ weight
+                    w += weight.sum(axis=0)
+                yield pd.DataFrame([(*key, s.tolist(), w.tolist())], columns=[*by, "s", "w"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["s array<double>", "w array<double>"])
+    parts = df.select(*by, row, value).mapInPandas(run, schema)
+    flat = parts.select(*by, F.posexplode(F.arrays_zip("s", "w")).alias("round", "x"))
+    return flat.groupBy(*by, "round").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"))
+
+
 def mcnemar_mde(n: int, base: float, correlation: float, power: float = 0.8, alpha: float = 0.05, rounds: int = 400, seed: int = 42) -> float:
     """The smallest drop of a proportion that paired exact McNemar tests of size n find with that power, by simulation."""
     rng = np.random.default_rng(seed)

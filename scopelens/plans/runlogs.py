@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,32 +158,17 @@ def fisher_exact_p(t: Tables) -> DataFrame:
 
 @query()
 def permutation_p(t: Tables) -> DataFrame:
-    """Sign-flip p-values of all system pairs: 2000 rounds whose signs are hashes, so no pair's rows meet in one task."""
-    rounds = 2000
+    """Sign-flip p-values of all system pairs over 2000 rounds: the share of rounds at least as far from 0."""
     d = paired(t)
     here = d.groupBy("a", "b").agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
-    seeds = F.sequence(F.lit(0), F.lit(rounds - 1))
-    sign = F.transform(seeds, lambda i: F.when(F.pmod(F.xxhash64(F.col("query"), i), F.lit(2)) == 0, F.col("d")).otherwise(-F.col("d")))
-    flat = d.select("a", "b", F.posexplode(sign).alias("round", "x"))
-    sums = flat.groupBy("a", "b", "round").agg(F.sum("x").alias("s"))
-    j = sums.join(here, ["a", "b"])
-    return j.groupBy("a", "b").agg(F.first("n").alias("n"), F.avg((F.abs(F.col("s") / F.col("n")) >= F.abs("mean") - 1e-12).cast("double")).alias("p"))
+    j = st.resampled(d, ["a", "b"], "query", "d", 2000, "signs").join(here, ["a", "b"])
+    return j.groupBy("a", "b").agg(F.max("n").alias("n"), F.avg((F.abs(F.col("s") / F.col("n")) >= F.abs("mean") - 1e-12).cast("double")).alias("p"))
 
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    """Percentile intervals of each pair's mean difference by a Poisson bootstrap: every row's weights are hashes."""
-    rounds = 500
-    u = lambda i: F.pmod(F.xxhash64(F.lit("b"), F.col("query"), i), F.lit(1 << 30)) / float(1 << 30)
-
-    def poisson(i):
-        # Inverse distribution function of Poisson(1), cut where what is left has a chance of 1e-7.
-        cdf = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1)) if k else 1) for k in range(10)])
-        return sum([(u(i) >= float(c)).cast("int") for c in cdf], F.lit(0))
-
-    w = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), poisson)
-    flat = paired(t).select("a", "b", "d", F.posexplode(w).alias("round", "w"))
-    m = flat.groupBy("a", "b", "round").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    """Percentile intervals of each pair's mean difference over 1000 Poisson bootstraps."""
+    m = st.resampled(paired(t), ["a", "b"], "query", "d", 1000, "poisson").withColumn("m", F.col("s") / F.nullif("w", F.lit(0.0)))
     q = m.groupBy("a", "b").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return q.select("a", "b", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 

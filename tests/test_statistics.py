@@ -74,3 +74,16 @@ def test_pareto(spark):
 
     df = spark.createDataFrame([(1, 0.5, "a"), (2, 0.4, "b"), (3, 0.6, "c")], "cost int, gain double, k string")
     assert sorted(r.k for r in pareto(df, "cost", "gain", "k").collect()) == ["a", "c"]
+
+
+def test_resampling_agrees_with_the_plain_tests(spark):
+    rng = np.random.default_rng(4)
+    d = rng.normal(0.12, 1, 150)
+    df = spark.createDataFrame([("x", "y", i, float(v)) for i, v in enumerate(d)], "a string, b string, q bigint, d double").repartition(3)
+    r = st.resampled(df, ["a", "b"], "q", "d", 4000, "signs").toPandas()
+    p = float((np.abs(r["s"] / len(d)) >= abs(d.mean()) - 1e-12).mean())
+    assert p == pytest.approx(st.permutation_p(d, rounds=4000), abs=0.05)
+    b = st.resampled(df, ["a", "b"], "q", "d", 2000, "poisson").toPandas()
+    lo, hi = np.quantile(b["s"] / b["w"], [0.025, 0.975])
+    want = st.bootstrap_ci(d, rounds=4000)
+    assert (lo, hi) == pytest.approx(want, abs=0.06)
