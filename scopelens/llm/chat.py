@@ -8,7 +8,7 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. A control string in
 after its first character, and one that has n backslashes there already gets one more, so no text can end a
 turn or open another and reading back is exact. In roles, backslashes and line breaks are escaped.
 
-Defined cases: a null text or role is empty; a message whose parent is missing is a root; repeated rows of
+Defined cases: a null text or role is empty; rows with a null conv_id are one conversation; a message whose parent is missing is a root; repeated rows of
 (conv_id, turn) are turns of their own, ordered by role and text; an empty table gives an empty result; other
 columns play no part. Ids must be unique within a conversation and links free of cycles.
 """
@@ -63,12 +63,13 @@ def leaf_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     links = messages.select("conv_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     # A parent that is not there makes the message a root.
     there = links.select("conv_id", F.col("id").alias("parent"), F.col("score").alias("gain"))
-    level = cut(links.join(there, ["conv_id", "parent"]).select("conv_id", "id", F.col("parent").alias("top"), "gain"))
+    rows = links.count()
+    level = cut(links.join(there, ["conv_id", "parent"]).select("conv_id", "id", F.col("parent").alias("top"), "gain"), rows)
     jumps = []
     while not level.isEmpty():
         jumps.append(level)
         above = level.select("conv_id", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("gain").alias("gain2"))
-        level = cut(level.join(above, ["conv_id", "top"]).select("conv_id", "id", F.col("top2").alias("top"), (F.col("gain") + F.col("gain2")).alias("gain")))
+        level = cut(level.join(above, ["conv_id", "top"]).select("conv_id", "id", F.col("top2").alias("top"), (F.col("gain") + F.col("gain2")).alias("gain")), rows)
     scores = links.select("conv_id", "id", "score")
     leaves = scores if not jumps else scores.join(jumps[0].select("conv_id", F.col("top").alias("id")), ["conv_id", "id"], "left_anti")
     leaves = leaves.select("conv_id", F.col("id").alias("leaf"), "id", F.col("score").alias("total"), F.lit(0).cast("bigint").alias("depth"))
@@ -78,21 +79,26 @@ def leaf_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
                 "conv_id", "leaf", F.coalesce("top", "id").alias("id"),
                 (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"),
                 (F.col("depth") + F.when(F.col("top").isNull(), 0).otherwise(1 << k)).alias("depth"),
-            )
+            ),
+            rows,
         )
     by = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), "leaf")
     chosen = leaves.withColumn("rank", F.row_number().over(by))
     if branches is not None:
         chosen = chosen.where(F.col("rank") <= branches)
-    paths = cut(chosen.select("conv_id", "leaf", "rank", F.col("leaf").alias("id"), F.lit(0).cast("bigint").alias("back")))
+    paths = cut(chosen.select("conv_id", "leaf", "rank", F.col("leaf").alias("id"), F.lit(0).cast("bigint").alias("back")), rows)
     for k, jump in reversed(list(enumerate(jumps))):
         step = paths.join(jump, ["conv_id", "id"]).select("conv_id", "leaf", "rank", F.col("top").alias("id"), (F.col("back") + (1 << k)).alias("back"))
-        paths = cut(paths.union(step))
+        paths = cut(paths.union(step), rows)
     return paths
 
 
 def format_conversations(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """(conv_id, leaf, rank, formatted, loss_spans): spans (start from 0, length) in code points cover assistant texts."""
+    kind = dict(messages.dtypes)["conv_id"]
+    # A null conversation is one of its own, which joins by equality would lose.
+    messages = messages.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")))
+    messages = cut(messages)  # their texts are sorted and shuffled once, not again for every level
     paths = leaf_paths(messages, branches)
     turns = paths.join(messages.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "role", "text"), paths.conv_id.eqNullSafe(F.col("c")) & (paths.id == F.col("i")))
     parts = turns.select(
@@ -112,7 +118,7 @@ def format_conversations(messages: DataFrame, branches: int | None = 1) -> DataF
         return F.struct((start + F.length(t["body"]) + len(CLOSE)).alias("at"), spans.alias("spans"))
 
     return whole.select(
-        "conv_id", "leaf", "rank",
+        F.nullif(F.col("conv_id"), F.lit("\x00")).cast(kind).alias("conv_id"), "leaf", "rank",
         F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
         F.aggregate("t", state, add)["spans"].alias("loss_spans"),
     )

@@ -278,6 +278,9 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in got[c].turns] == [(r, t) for _, r, t in mine]
         assert got[c].loss_text == "".join(t for _, r, t in mine if r == "assistant")
     assert chat.format_conversations(chat.as_messages(df.limit(0))).count() == 0
+    lost = spark.createDataFrame([(None, 1, "user", "b"), (None, 0, "user", "a"), (5, 0, "user", "c")], "conv_id bigint, turn bigint, role string, text string")
+    back = chat.read_back(chat.format_conversations(chat.as_messages(lost))).collect()
+    assert {r.conv_id: [t.text for t in r.turns] for r in back} == {None: ["a", "b"], 5: ["c"]}
 
 
 def test_reply_trees_rank_branches(spark):
