@@ -200,11 +200,11 @@ def rolled(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * _powers(multiplier)[1].upto(n))
 
 
-def to_blob(**columns) -> bytes:
-    """Columns of equal length as one compressed Arrow stream."""
+def to_blob(level: int = 1, **columns) -> bytes:
+    """Columns of equal length as one Arrow stream, compressed at a zstd level."""
     batch = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

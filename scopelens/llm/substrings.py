@@ -142,7 +142,7 @@ def _send(hot: np.ndarray, parts: int):
             out = []
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(to)], strict=True):
                 part = table.slice(s, e - s)
-                out.append(to_blob(**{c: part.column(c) for c in part.schema.names}))
+                out.append(to_blob(level=5, **{c: part.column(c) for c in part.schema.names}))
             yield pa.RecordBatch.from_pydict({"part": pa.array(to[start]), "blob": pa.array(out, pa.binary())})
 
     return run
