@@ -17,13 +17,13 @@ RUN = f"{BM25}, {GOLD}, run AS (SELECT br.item_id, br.doc_id, br.score, br.rank,
 
 
 def gold(t: Tables) -> DataFrame:
-    pairs = lexical.containing(t.benchmark, t.documents)
+    pairs = lexical.containing(t.benchmark, t.spread("documents"))
     return pairs.join(t.documents.select("doc_id", "source", "lang"), "doc_id").select("item_id", "doc_id", "source", "lang")
 
 
 def run(t: Tables, k: int) -> DataFrame:
     """(item_id, doc_id, score, rank, rel) of BM25."""
-    found = lexical.bm25_topk(t.benchmark, t.documents, k)
+    found = lexical.bm25_topk(t.benchmark, t.spread("documents"), k)
     g = gold(t).select("item_id", "doc_id", F.lit(1).alias("rel"))
     return found.join(g, ["item_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
@@ -143,7 +143,7 @@ def arms(t: Tables) -> DataFrame:
     """(system, item_id, doc_id, rank, home, home_lang): one global and two scoped runs of the queries with gold."""
     h = home(t)
     q = t.benchmark.join(h, "item_id").withColumns({"source": F.col("home"), "lang": F.col("home_lang")})
-    one = lambda name, scope: lexical.bm25_topk(q, t.documents, 10, scope=scope).select(F.lit(name).alias("system"), "item_id", "doc_id", "rank")
+    one = lambda name, scope: lexical.bm25_topk(q, t.spread("documents"), 10, scope=scope).select(F.lit(name).alias("system"), "item_id", "doc_id", "rank")
     every = reduce(DataFrame.union, [one("monolithic", None), one("by_source", "source"), one("by_lang", "lang")])
     return every.join(h, "item_id")
 
@@ -221,7 +221,7 @@ def pinned_subset_hash(t: Tables) -> DataFrame:
 @query(f"WITH {GROWTH} SELECT size, round(avg(p), 6)::DOUBLE AS p, round(stddev_samp(p), 6) AS sd_p, round(avg(hit), 6) AS hit FROM m GROUP BY size")
 def corpus_growth_curve(t: Tables) -> DataFrame:
     """Precision at 10 as the corpus grows: mean over seeds of means over queries, and the seeds' standard deviation."""
-    scored = lexical.bm25_topk(t.benchmark, t.documents, 1 << 30).select("item_id", "doc_id", "score")
+    scored = lexical.bm25_topk(t.benchmark, t.spread("documents"), 1 << 30).select("item_id", "doc_id", "score")
     r = keep_sets(t).join(scored, "doc_id")
     w = Window.partitionBy("size", "seed", "item_id").orderBy(F.desc("score"), "doc_id")
     top = r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")

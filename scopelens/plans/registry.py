@@ -21,6 +21,12 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: one that is stored in fewer splits than there are cores is dealt out."""
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
 def query(oracle: str | None = None, name: str | None = None):
     """Registers ``f(t: Tables) -> DataFrame`` under its name."""

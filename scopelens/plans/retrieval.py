@@ -284,13 +284,13 @@ br AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM br WHERE rank <= 10")
 def bm25_topk_global(t: Tables) -> DataFrame:
-    return lexical.bm25_topk(t.benchmark, t.documents, 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return lexical.bm25_topk(t.benchmark, t.spread("documents"), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {BM25}, sc AS (SELECT b.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM b JOIN documents d USING (doc_id) WHERE d.source = 'src' || (item_id % 20)) SELECT item_id, doc_id, score, rank FROM sc WHERE rank <= 10")
 def bm25_topk_scoped(t: Tables) -> DataFrame:
     q = t.benchmark.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
-    return lexical.bm25_topk(q, t.documents, 10, scope="source").withColumn("rank", F.col("rank").cast("bigint"))
+    return lexical.bm25_topk(q, t.spread("documents"), 10, scope="source").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 TFIDF = f"""{T}, n AS (SELECT count(*) AS n FROM documents), nq AS (SELECT count(*) AS n FROM benchmark), dq AS (SELECT term, count(*) AS df FROM q GROUP BY term),
@@ -299,7 +299,7 @@ sp AS (SELECT item_id, doc_id, round(sum(qw.w * dw.w), 6) AS score FROM qw JOIN
 
 
 def sparse_found(t: Tables, k: int) -> DataFrame:
-    return lexical.sparse_topk(lexical.tfidf_weights(t.benchmark, "item_id"), lexical.tfidf_weights(t.documents, "doc_id"), k)
+    return lexical.sparse_topk(lexical.tfidf_weights(t.benchmark, "item_id"), lexical.tfidf_weights(t.spread("documents"), "doc_id"), k)
 
 
 @query(f"WITH {TFIDF} SELECT item_id, doc_id, score, rank FROM sr WHERE rank <= 10")
@@ -329,7 +329,7 @@ def keyword_extract(t: Tables) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10"""
 )
 def count_score_topk(t: Tables) -> DataFrame:
-    return lexical.count_topk(t.benchmark, t.documents, 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return lexical.count_topk(t.benchmark, t.spread("documents"), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -339,7 +339,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY list_no
 )
 def hybrid_merge_topk(t: Tables) -> DataFrame:
     """The first list, then what the second adds, cut to 15."""
-    first = lexical.bm25_topk(t.benchmark, t.documents, 10).select("item_id", "doc_id", "rank")
+    first = lexical.bm25_topk(t.benchmark, t.spread("documents"), 10).select("item_id", "doc_id", "rank")
     q = lexical.postings(t.benchmark, "item_id").withColumnRenamed("tf", "qtf")
-    raw = q.join(lexical.postings(t.documents, "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
+    raw = q.join(lexical.postings(t.spread("documents"), "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
     return hybrid_merge([first, lexical.ranked(raw, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")], 15)

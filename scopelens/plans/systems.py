@@ -26,7 +26,7 @@ from .retrieval import BM25, KNN, SCOPED, as_queries, neighbours, route, vectors
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank FROM br WHERE rank <= 15")
 def monolithic_system(t: Tables) -> DataFrame:
-    return lexical.bm25_topk(t.benchmark, t.documents, 15).select("item_id", "doc_id", F.col("rank").cast("bigint"))
+    return lexical.bm25_topk(t.benchmark, t.spread("documents"), 15).select("item_id", "doc_id", F.col("rank").cast("bigint"))
 
 
 ROUTED = f"rt AS (SELECT item_id, {_topic_sql('text')} AS route FROM benchmark), dt AS (SELECT doc_id, {_topic_sql('text')} AS topic FROM documents)"
@@ -39,7 +39,7 @@ def regex_scoped_system(t: Tables) -> DataFrame:
     """The first rule that matches a query names its scope; queries without one see all documents."""
     q = t.benchmark.withColumn("route", tx.first_match(F.col("text"), TOPICS, "general"))
     d = t.documents.withColumn("topic", tx.first_match(F.col("text"), TOPICS, "general")).select("doc_id", "topic")
-    all_ = lexical.bm25_topk(t.benchmark, t.documents, 1 << 30).select("item_id", "doc_id", "score")
+    all_ = lexical.bm25_topk(t.benchmark, t.spread("documents"), 1 << 30).select("item_id", "doc_id", "score")
     ok = all_.join(q.select("item_id", "route"), "item_id").join(d, "doc_id").where("route = 'general' OR route = topic")
     return lexical.ranked(ok, "item_id", "doc_id", 15).select("item_id", "route", "doc_id", F.col("rank").cast("bigint"))
 
@@ -99,7 +99,7 @@ def tiered_depth_retrieval(t: Tables) -> DataFrame:
 @query()
 def cross_encoder_rerank(t: Tables) -> DataFrame:
     """Thirty candidates rescored by a pluggable pair score (here: word overlap with the text's first 1500 characters), ten kept."""
-    found = lexical.bm25_topk(t.benchmark, t.documents, 30)
+    found = lexical.bm25_topk(t.benchmark, t.spread("documents"), 30)
     j = found.join(t.documents.select("doc_id", tx.tokens(F.substring("text", 1, 1500)).alias("d")), "doc_id").join(t.benchmark.select("item_id", tx.tokens("text").alias("q")), "item_id")
     score = F.size(F.array_intersect("q", "d")) / F.size(F.array_union("q", "d"))
     return lexical.ranked(j.select("item_id", "doc_id", F.round(score, 6).alias("score")), "item_id", "doc_id", 10)
@@ -114,7 +114,7 @@ def greedy_near_dup_suppression(t: Tables) -> DataFrame:
 @query()
 def stub_answers(t: Tables) -> DataFrame:
     """Context, prompt and pluggable generation, end to end with the stand-in model."""
-    ctx = lexical.bm25_topk(t.benchmark, t.documents, 3).join(t.documents.select("doc_id", F.substring("text", 1, 200).alias("s")), "doc_id")
+    ctx = lexical.bm25_topk(t.benchmark, t.spread("documents"), 3).join(t.documents.select("doc_id", F.substring("text", 1, 200).alias("s")), "doc_id")
     p = ctx.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("x")).select("item_id", F.array_join(F.col("x.s"), "\n").alias("prompt"))
     return systems.generate(p, "prompt").select("item_id", F.length("answer").alias("chars"), "error")
 
