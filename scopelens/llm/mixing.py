@@ -7,7 +7,10 @@ other carries what it gave or took, weighed in words. A source's words are there
 Pairs meet in a reduction tree: groups of about ``FAN`` documents of a source are folded from the largest to
 the smallest document, each leaves one document with a residual, and the residuals form the groups of the
 next level, until one document per source is left; that one is rounded to the nearest whole number of copies.
-So a source misses its target by about half of a small document. No document gets more than ``CAP`` copies.
+Where that one cannot hold what is left (a long document's mass in a group of short ones), the source's
+documents that are small against this debt are decided again, all with the same share of it, until it is
+placed or nothing smaller has room. So a source misses its target by about half of a small document. No
+document gets more than ``CAP`` copies.
 
 Randomness is a hash of id, size and level: reruns agree. Only DataFrame functions are used. Groups are hash
 buckets whose number follows the source's row count, so a source with most rows is spread over many tasks.
@@ -82,6 +85,53 @@ def _fold(items: Column) -> Column:
     return F.struct(body["done"].alias("done"), (last["want"] + body["carry"] / last["size"]).alias("want"), last.alias("last"))
 
 
+_OUT = ("source", "doc_id", "size", "source_size", "target", "key")
+
+
+def _tree(rows: DataFrame, salt: int) -> DataFrame:
+    """(source, .., copies, root) of rows with ``want`` expected copies and ``n`` rows of their source.
+
+    root: the document that was left at the root of its source; what exceeds its copies is not placed.
+    """
+    level, out, count = 0, None, rows.count()
+    while True:
+        groups = F.greatest(F.ceil(F.col("n") / float(FAN**(level + 1))), F.lit(1)).cast("bigint")
+        bucket = F.pmod(F.xxhash64("doc_id", "size", F.lit(salt + level)), groups)
+        u = _uniform(F.lit("u"), F.lit(salt + level), "doc_id", "size")
+        item = F.struct((-F.col("size")).alias("order"), u.alias("u"), "doc_id", "size", "source_size", "target", "want", "key")
+        tree = rows.groupBy("source", "n", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        tree = cut(tree.select("source", "n", _fold(F.col("items")).alias("f")), count // FAN**level if level else None)
+        done = tree.select("source", F.explode("f.done").alias("d")).select("source", "d.*", F.lit(False).alias("root"))
+        out = done if out is None else out.union(done)
+        rows = tree.select("source", "n", "f.last.doc_id", "f.last.size", "f.last.source_size", "f.last.target", "f.last.key", F.col("f.want").alias("want"))
+        level += 1
+        if tree.agg(F.max(F.col("n"))).first()[0] is None or tree.groupBy("source").count().where("count > 1").isEmpty():
+            break
+    whole = F.least(F.greatest(F.round("want"), F.lit(0)), F.lit(CAP)).cast("int")
+    return out.union(rows.select(*_OUT, whole.alias("copies"), F.lit(True).alias("root")))
+
+
+def _again(decided: DataFrame) -> DataFrame:
+    """(_source, bin, _n, _want) of the sources whose root could not hold what was left: documents to decide again.
+
+    Those are the documents of up to 2**bin words, small against the debt, and with room for it together.
+    """
+    per = decided.groupBy("source", "bin").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("copies")).alias("taken"),
+        F.max("target").alias("target"), F.min("last").alias("last"), F.max(F.when(F.col("root"), F.col("size"))).alias("root"))
+    # These windows see one row per power of two.
+    whole, upto = Window.partitionBy("source"), Window.partitionBy("source").orderBy("bin")
+    per = per.withColumns({"debt": F.col("target") - F.sum("taken").over(whole), "root": F.max("root").over(whole), "last": F.min("last").over(whole)})
+    per = per.withColumns({"_n": F.sum("n").over(upto), "_size": F.sum("size").over(upto), "_goal": F.col("debt") + F.sum("taken").over(upto)})
+    room = F.col("_goal").between(F.lit(0.0), F.col("_size") * F.lit(float(CAP)))
+    open_ = per.where((F.abs("debt") > F.col("root") / 2 + 1e-6) & (F.col("bin") < F.col("last")) & room & (F.pow(F.lit(2.0), "bin") <= F.abs("debt")))
+    # The largest of those up to a quarter of the debt, else the smallest above.
+    small = F.pow(F.lit(2.0), "bin") <= F.abs("debt") / 4
+    rank = F.struct(small.alias("s"), F.when(small, F.col("bin")).otherwise(-F.col("bin")).alias("o"))
+    best = F.max_by(F.struct("bin", "_n", (F.col("_goal") / F.col("_size")).alias("_want")), rank)
+    return open_.groupBy(F.col("source").alias("_source")).agg(best.alias("x")).select("_source", F.col("x.bin").alias("_bin"), "x._n", "x._want")
+
+
 def copies_of(sizes: DataFrame) -> DataFrame:
     """(doc_id, source, size, key) to (doc_id, size, source_size, target, key, copies), one row for each row.
 
@@ -94,22 +144,24 @@ def copies_of(sizes: DataFrame) -> DataFrame:
     known = sizes.join(goals, sizes.source.eqNullSafe(F.col("_source"))).drop("_source")
     none = known.where("size = 0").select("doc_id", "size", "source_size", "target", "key", F.lit(0).alias("copies"))
     # want: expected copies, from here on also with what the groups below have carried over.
-    level, rows = 0, known.where("size > 0").withColumn("want", F.col("target") / F.col("source_size"))
-    out = none
+    rows = known.where("size > 0").withColumn("want", F.col("target") / F.col("source_size"))
+    bins = F.ceil(F.log2(F.col("size").cast("double"))).cast("int")
+    decided = cut(_tree(rows, 0).withColumns({"bin": bins, "last": F.lit(99)}), count)
+    salt = 0
     while True:
-        groups = F.greatest(F.ceil(F.col("n") / float(FAN**(level + 1))), F.lit(1)).cast("bigint")
-        bucket = F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), groups)
-        u = _uniform(F.lit("u"), F.lit(level), "doc_id", "size")
-        item = F.struct((-F.col("size")).alias("order"), u.alias("u"), "doc_id", "size", "source_size", "target", "want", "key")
-        tree = rows.groupBy("source", "n", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        tree = cut(tree.select("source", "n", _fold(F.col("items")).alias("f")), count // FAN**level if level else None)
-        out = out.union(tree.select(F.explode("f.done").alias("d")).select("d.*"))
-        rows = tree.select("source", "n", "f.last.doc_id", "f.last.size", "f.last.source_size", "f.last.target", "f.last.key", F.col("f.want").alias("want"))
-        level += 1
-        if tree.agg(F.max(F.col("n"))).first()[0] is None or tree.groupBy("source").count().where("count > 1").isEmpty():
+        again = cut(_again(decided), 1)
+        if again.isEmpty():
             break
-    whole = F.least(F.greatest(F.round("want"), F.lit(0)), F.lit(CAP)).cast("int")
-    return out.union(rows.select("doc_id", "size", "source_size", "target", "key", whole.alias("copies")))
+        salt += 100
+        j = decided.join(again, decided.source.eqNullSafe(F.col("_source")), "left")
+        redo = F.coalesce(F.col("bin") <= F.col("_bin"), F.lit(False))
+        last = F.coalesce("_bin", "last")
+        # A source's former root keeps its mark only where nothing of it is decided again.
+        kept = j.where(~redo).select(*_OUT, "copies", (F.col("root") & F.col("_bin").isNull()).alias("root"), "bin", last.alias("last"))
+        rows = cut(j.where(redo).select(*_OUT, F.col("_n").alias("n"), F.col("_want").alias("want")), count)
+        new = _tree(rows, salt).join(again.select("_source", F.col("_bin").alias("last")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        decided = cut(kept.unionByName(new.withColumn("bin", bins)), count)
+    return none.union(decided.select("doc_id", "size", "source_size", "target", "key", "copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

@@ -261,6 +261,16 @@ def test_mixing(docs, empty):
     assert rows_.count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_places_the_words_of_a_long_text(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = [*rng.integers(20, 700, 500).tolist(), 20_000]
+    t = [(1000 * seed + i, "w " * k, "en", "a", 1) for i, k in enumerate(n)] + [(10**6 + i, "w " * 400, "en", "b", 1) for i in range(100)]
+    got = [r for r in mixing.mix_report(spark.createDataFrame(t, DOCS).repartition(4)).collect() if r.source_size == sum(n)]
+    assert len(got) == len(n)
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 60
+
+
 def test_mixing_caps_small_sources(spark):
     t = [(i, "w " * 10, "a") for i in range(100)] + [(100 + i, "w " * 5, "b") for i in range(4)] + [(200, "w " * 7, "c")]
     df = spark.createDataFrame([(i, x, "en", src, 1) for i, x, src in t], DOCS)
