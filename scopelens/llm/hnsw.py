@@ -2,9 +2,11 @@
 
 Equal vectors are collapsed first. The distinct ones fall into shards by a hash of their id; each shard gets
 its own graph (Malkov and Yashunin 2016), and every vector queries the graph of every shard. Inserts and
-queries run in batches whose beams advance together as arrays. The beam width is audited: ``AUDIT`` vectors
-also compare themselves with all others, and the width doubles until the links found reach ``RECALL`` of the
-true ones. Besides, a query whose beam holds nothing but links is asked again with twice the width until it
+queries run in batches whose beams advance together as arrays. The beam width is audited: a sample of vectors
+is compared with all others, the sample growing until ``LEAST_LINKED`` of them link with another one, and the
+width doubles until the mean share of a linked vector's links that is found, its match with itself left out,
+reaches ``RECALL``; so a large group weighs no more than pairs. A sample of ``MOST_AUDITED`` without any link
+takes the largest width. Besides, a query whose beam holds nothing but links is asked again with twice the width until it
 holds something else, so groups of any size are listed whole. Pairs are verified by cosine in double
 precision, and the links' components are found by star steps.
 
@@ -28,6 +30,8 @@ from .vectors import BLOCK_ROWS, cells, matrix, shard_count, valid
 #: Links of a node above the ground level, twice as many on it; beam width of inserts; rows of a batch.
 M, BUILD_BEAM, BATCH = 12, 32, 1024
 AUDIT, RECALL, BEAM = 400, 0.99, 16
+#: The sample grows until so many of its vectors link with another, or to so many vectors; rows of an exact product.
+LEAST_LINKED, MOST_AUDITED, EXACT_ROWS = 100, 64 * AUDIT, 256
 
 
 class Graph:
@@ -193,23 +197,73 @@ def _unit(t: pa.Table) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _truth(least: float):
+    """Exact links of each query to vectors of other ids."""
+
+    def run(data: pa.Table, queries: pa.Table) -> pa.Table:
+        out = np.zeros(len(queries), np.int64)
+        if len(data) and len(queries):
+            x, q = _unit(data), _unit(queries)
+            ids, qids = data.column("rep").to_numpy(), queries.column("query_id").to_numpy()
+            for a in range(0, len(q), EXACT_ROWS):
+                r, c = _exact(x, q[a : a + EXACT_ROWS], least)
+                r += a
+                out += np.bincount(r[qids[r] != ids[c]], minlength=len(q))
+        return pa.table({"query_id": queries.column("query_id"), "links": pa.array(out)})
+
+    return run
+
+
+def _exact(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    r, c = np.nonzero(q @ x.T >= least - 1e-9)
+    ok = _linked(x, q, r, c, least)
+    return r[ok], c[ok]
+
+
 def _audit(least: float, widths: list[int]):
+    """Links of each query to vectors of other ids that beams of each width find."""
+
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"width": [], "found": [], "links": []}
+        out = {"query_id": [], "width": [], "found": []}
         if len(data) and len(queries):
             x, q = _unit(data), _unit(queries)
-            r, c = np.nonzero(q @ x.T >= least - 1e-9)
-            true = int(_linked(x, q, r, c, least).sum())
+            ids, qids = data.column("rep").to_numpy(), queries.column("query_id").to_numpy()
             graph = Graph(x)
             for w in widths:
-                out["width"].append(w)
-                out["found"].append(len(_pairs(graph, x, q, least, w)[0]))
-                out["links"].append(true)
+                r, c = _pairs(graph, x, q, least, w)
+                n = np.bincount(r[qids[r] != ids[c]], minlength=len(q))
+                out["query_id"] += qids.tolist()
+                out["width"] += [w] * len(q)
+                out["found"] += n.tolist()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return run
 
 
+def mean_recall(found: DataFrame, truth: DataFrame) -> dict[int, float]:
+    """By width, the mean share of its links that a query finds; found: (query_id, width, found), by shard."""
+    per = found.groupBy("query_id", "width").agg(F.sum("found").alias("found")).join(truth, "query_id").where("links > 0")
+    return {r.width: r.recall for r in per.groupBy("width").agg(F.avg(F.col("found") / F.col("links")).alias("recall")).collect()}
+
+
+def audited_width(data: DataFrame, queries: DataFrame, n: int, shards: int, least: float) -> int:
+    """The least beam width with a mean recall of RECALL over queries that link with another vector."""
+    widths, size = [BEAM << i for i in range(5)], AUDIT
+    while True:
+        sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(size)
+        exact = cells(data, sample, "rep", shards, 1).applyInArrow(_truth(least), "query_id bigint, links bigint")
+        truth = cut(exact.groupBy("query_id").agg(F.sum("links").alias("links")).where("links > 0"))
+        if size >= min(n, MOST_AUDITED) or truth.count() >= LEAST_LINKED:
+            break
+        size *= 4
+    few = cut(truth.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT))
+    linked = cut(queries.join(few.select("query_id"), "query_id", "left_semi"))
+    recall = mean_recall(cells(data, linked, "rep", shards, 1).applyInArrow(_audit(least, widths), "query_id bigint, width bigint, found bigint"), few)
+    if not recall and size >= n:
+        return widths[0]  # every vector was compared with all others, and no two link
+    return next((w for w in widths if recall.get(w, 0.0) >= RECALL), widths[-1])
+
+
 def _links(least: float, width: int):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         a = b = np.zeros(0, np.int64)
@@ -233,11 +287,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     n = groups.count()
     shards, blocks = shard_count(n), max(1, math.ceil(n / BLOCK_ROWS))
     queries = data.withColumnRenamed("rep", "query_id")
-    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT)
-    widths = [BEAM << i for i in range(5)]
-    seen = cells(data, sample, "rep", shards, 1).applyInArrow(_audit(least, widths), "width bigint, found bigint, links bigint")
-    recall = {r.width: r.found / max(r.links, 1) for r in seen.groupBy("width").agg(F.sum("found").alias("found"), F.sum("links").alias("links")).collect()}
-    width = next((w for w in widths if recall.get(w, 1.0) >= RECALL), widths[-1])
+    width = audited_width(data, queries, n, shards, least)
     pairs = cut(cells(data, queries, "rep", shards, blocks).applyInArrow(_links(least, width), "a bigint, b bigint").distinct())
     copies = groups.select("rep", "copies")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -73,6 +73,38 @@ def test_near_duplicates_against_brute_force(vectors, spark):
     assert hnsw.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
+    """A search that finds large groups and self matches, but no pair below beam 64, has to be widened."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 32))
+    near = lambda v, k: [(v + rng.normal(size=32) * 0.02).tolist() for _ in range(k)]
+    rows = [*x.tolist(), *(near(v, 1)[0] for v in x[:60]), *near(x[299], 120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").selectExpr("vec_id AS rep", "embedding")
+
+    def lossy(graph, x, q, least, width):
+        r, c = np.nonzero(q @ x.T >= least)
+        small = np.bincount(r, minlength=len(q))[r] <= 2
+        same = (np.abs(q[r] - x[c]) < 1e-12).all(axis=1)
+        ok = ~small | same | (width >= 64)
+        return r[ok], c[ok]
+
+    monkeypatch.setattr(hnsw, "_pairs", lossy)
+    seen = []
+
+    def local(data, queries, id_col, shards, blocks):
+        class Cell:
+            def applyInArrow(self, f, schema):
+                out = f(data.toArrow(), queries.toArrow())
+                seen.append(schema)
+                return spark.createDataFrame(out.to_pandas(), schema)
+
+        return Cell()
+
+    monkeypatch.setattr(hnsw, "cells", local)
+    assert hnsw.audited_width(df, df.withColumnRenamed("rep", "query_id"), len(rows), 1, 0.9) == 64
+    assert len(seen) == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 70, 600])
 def test_graph_finds_its_own_points(n):
     x = np.random.default_rng(n).normal(size=(n, 8))
