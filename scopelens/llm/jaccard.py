@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEND_BYTES, U64, Words, by_partition, components, cut, from_blob, mix, rolled, shuffle_partitions, spans, steps, to_blob, tune
+from .common import SEND_BYTES, U64, Words, by_partition, components, cut, from_blob, mix, rolled, shuffle_partitions, spans, steps, text_key, to_blob, tune
 
 SHINGLE = 5
 #: Nodes before it that a node is verified against in a list; hash orders of the lists and of the filter.
@@ -87,7 +87,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in steps(batches, "text"):
         doc, s, n = shingle_sets(b.column("text"))
         fa, fb = _names(doc, s, n)
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fa": pa.array(fa), "fb": pa.array(fb), "n": pa.array(n, pa.int32())})
+        also = {c: b.column(c) for c in b.schema.names if c != "text"}
+        yield pa.RecordBatch.from_pydict(also | {"fa": pa.array(fa), "fb": pa.array(fb), "n": pa.array(n, pa.int32())})
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
@@ -373,15 +374,23 @@ def _blocks(members: DataFrame) -> DataFrame:
     return known.select("node", "block").join(sides.select("cell", "x.*"), "block").select("node", "cell", "side")
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame, by_row: bool) -> DataFrame:
+    """(doc_id, n, group) of every row of ``docs`` (doc_id, text), and with ``by_row`` its text_key.
+
+    A group is named by a node's name: the smallest id of the node's rows, or a hash of its set. With ``by_row``
+    no two nodes have one name: of the sets that share their smallest id, all but one are named by hash.
+    """
     spark = docs.sparkSession
     tune(spark)
     parts = shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = cut(texts.mapInArrow(_nodes, "doc_id bigint, fa bigint, fb bigint, n int"))
-    names = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.col("fa").bitwiseAND(NAMELESS - 1))
-    sets = rows.where("n > 0").groupBy("fa", "fb", "n").agg(names.alias("node"))
+    keyed = texts.withColumn("text_key", text_key()) if by_row else texts
+    rows = cut(keyed.mapInArrow(_nodes, f"doc_id bigint, {'text_key bigint, ' * by_row}fa bigint, fb bigint, n int"))
+    hashed = F.lit(NAMELESS) + F.col("fa").bitwiseAND(NAMELESS - 1)
+    sets = rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.coalesce(F.min("doc_id"), hashed).alias("node"))
+    if by_row:
+        first = F.row_number().over(Window.partitionBy("node").orderBy("fa", "fb", "n")) == 1
+        sets = cut(sets.withColumn("first", first).select("fa", "fb", "n", F.when(F.col("first"), F.col("node")).otherwise(hashed).alias("node")))
 
     shared = by_partition(texts.mapInArrow(_post(parts), "part int, blob binary"), parts, "part").mapInArrow(_share(parts), "part int, blob binary")
     alive = by_partition(shared, parts, "part").mapInArrow(_enough, "fa bigint, fb bigint, n int, s array<bigint>, df array<int>")
@@ -404,16 +413,29 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     groups = components(links.union(more))
     named = sets.join(groups, "node", "left").select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.col("n").alias("_n"), F.coalesce("component", "node").alias("group"))
     out = rows.join(named, (rows.fa == F.col("_fa")) & (rows.fb == F.col("_fb")) & (rows.n == F.col("_n")), "left")
+    return out.select("doc_id", *["text_key"] * by_row, "n", "group")
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     group = F.when(F.col("group") < NAMELESS, F.col("group"))
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, group).otherwise(F.col("doc_id")).alias("component_id"))
+    return _grouped(docs, False).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, group).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id."""
-    found = jaccard_groups(docs)
-    kept = cut(found.where("doc_id <=> component_id").select("doc_id"))
-    ids = cut(kept.distinct(), kept.count())
-    out = docs.join(ids.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    if kept.count() != ids.count():  # rows that repeat an id
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    """``docs`` with one row of each group: that of the smallest id, rows without an id last.
+
+    A row is known by id and text. Texts without words have no group: each of them stays, rows that repeat both
+    id and text as one, and without an id all of them.
+    """
+    per = cut(_grouped(docs, True).groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("group").alias("group")))
+    best = F.min_by(F.struct("doc_id", "text_key", "rows"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    grouped = per.where("group IS NOT NULL").groupBy("group").agg(best.alias("x")).select("x.*", F.col("x.rows").alias("most"))
+    single = per.where("group IS NULL").select("doc_id", "text_key", "rows", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("rows")).alias("most"))
+    chosen = cut(grouped.union(single)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("most") > 1).alias("_repeats"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    if chosen.where("_repeats").isEmpty():
+        return docs.join(chosen, same, "left_semi")
+    once = docs.join(chosen.where("NOT _repeats"), same, "left_semi")
+    more = docs.join(chosen.where("_repeats"), same).dropDuplicates(["_id", "_key"]).select(*[f"`{c}`" for c in docs.columns])
+    return once.unionByName(more)

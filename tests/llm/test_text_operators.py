@@ -123,6 +123,14 @@ def test_jaccard_without_ids(spark):
     assert got == [("7", "7"), ("8", "8"), ("None", "7"), ("None", "7"), ("None", "None")]
 
 
+def test_keep_one_decides_by_row(spark):
+    t, alone = "one two three four five six seven eight", "only here a text of its own is found"
+    other, third = "other words that are quite different from it", "nobody else has any sentence like this last one"
+    table = [(None, t), (None, t), (7, t + " nine"), (None, alone), (None, other), (9, third), (9, "and under nine stands quite another text too"), (9, third), (None, ""), (None, None), (3, ""), (3, None)]
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(table, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted([*table[2:7], *table[8:]], key=str)
+
+
 def test_query_nine_equals_brute_force(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in registry.op9_jaccard_join(spark, sf_dir).collect()}
