@@ -2,7 +2,8 @@
 
 Model. Features of a word are the word and its first 4, 5 and 6 code points. Their log-odds between toxic and
 clean training texts carry an informative Dirichlet prior (Monroe et al. 2008), and features whose z value is
-at least ``Z`` score their log-odds; every other word scores ``-DRIFT``. Scan. One linear pass (Ruzzo and
+at least ``Z`` in size, toxic or clean, score their log-odds less ``DRIFT``; every other word scores ``-DRIFT``.
+Near copies count once. Scan. One linear pass (Ruzzo and
 Tompa 1999) finds all maximal-scoring segments of a text; a word that a text repeats scores once. Calibration. By Karlin and Altschul (1990) the
 number of segments of score S or more in n clean words is about K n exp(-lambda S), where lambda solves
 sum p_i exp(lambda s_i) = 1 over the clean words' scores; a text's significance is -ln of the chance of its
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import Words, cut, spans, steps, tune
 
 MAX_ROWS, MAX_FEATURES = 10_000, 20_000
 Z, DRIFT, PRIOR, K = 4.0, 0.2, 500.0, 0.1
-#: Toxic texts that must have a feature: so many, and this share of them.
-MIN_TEXTS, MIN_SHARE = 4, 0.015
+#: Texts that must have a feature, after near copies are removed.
+MIN_TEXTS = 4
 THRESHOLD = 0.7
 _PREFIXES = (4, 5, 6)
 #: Everything below 0x80 but digits and letters ends a word.
@@ -81,13 +83,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _segments(at: np.ndarray, score: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first word, last word) of a text, from its scoring words alone."""
-    total, prev = 0.0, -1
+def _segments(at: np.ndarray, score: np.ndarray, cost: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments (score, first word, last word) of a text, from its positive words alone.
+
+    cost: the sum of the words before each of them, from the last one on; by default DRIFT for each of these.
+    """
+    total = 0.0
     found: list[list] = []  # [start sum, end sum, first, last]
-    for i, s in zip(at.tolist(), score.tolist(), strict=True):
-        total -= DRIFT * (i - prev - 1)
-        prev = i
+    if cost is None:
+        cost = DRIFT * (np.diff(at, prepend=-1) - 1)
+    for i, s, c in zip(at.tolist(), score.tolist(), cost.tolist(), strict=True):
+        total -= c
         item = [total, total + s, i, i]
         total += s
         while True:
@@ -107,22 +113,30 @@ def _significance(score: float, words: int, rate: float) -> float:
     return -math.log(max(-math.expm1(-expected), 1e-300)) if expected > 1e-12 else -math.log(max(expected, 1e-300))
 
 
-def _scan(texts: pa.Array, features: np.ndarray, scores: np.ndarray, rate: float) -> tuple[np.ndarray, list[list[dict]]]:
-    """Significance of each text, and its segments with byte offsets."""
-    w = Words(texts, lower=True, breaks=_BREAKS)
+def _values(w: Words, features: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Each word's score: the best of its features that have one, else -DRIFT."""
     value = np.full(len(w), -np.inf)
     for h in _features(w):
         if len(features) and len(h):
             h = h.view(np.int64)
             at = np.minimum(np.searchsorted(features, h), len(features) - 1)
             value = np.maximum(value, np.where(features[at] == h, scores[at], -np.inf))
+    return np.where(value == -np.inf, -DRIFT, value)
+
+
+def _scan(texts: pa.Array, features: np.ndarray, scores: np.ndarray, rate: float) -> tuple[np.ndarray, list[list[dict]]]:
+    """Significance of each text, and its segments with byte offsets."""
+    w = Words(texts, lower=True, breaks=_BREAKS)
+    value = _values(w, features, scores)
     hit = np.flatnonzero(value > 0)
     # A word that a text repeats scores once there: a repeated junk word is no evidence, however long it goes on.
     word = w.hashes()[hit]
     order = np.lexsort((hit, word, w.doc[hit]))
     again = np.zeros(len(hit), bool)
     again[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (w.doc[hit][order[1:]] == w.doc[hit][order[:-1]])
+    value[hit[again]] = -DRIFT
     hit = hit[~again]
+    fall = np.r_[0.0, np.cumsum(np.where(value > 0, 0.0, -value))]
     sig, out = np.zeros(len(texts)), [[] for _ in range(len(texts))]
     docs = w.doc[hit]
     first, count = spans(docs)
@@ -130,7 +144,7 @@ def _scan(texts: pa.Array, features: np.ndarray, scores: np.ndarray, rate: float
         d = int(docs[s])
         base, begin = int(w.first[d]), int(w.bounds[d])
         n = int(w.first[d + 1]) - base
-        got = _segments(hit[s:e] - base, value[hit[s:e]])
+        got = _segments(hit[s:e] - base, value[hit[s:e]], np.diff(fall[hit[s:e]], prepend=fall[base]))
         out[d] = [
             {"start": int(w.start[base + i]) - begin, "end": int(w.end[base + j]) - begin, "score": x, "significance": _significance(x, n, rate)}
             for x, i, j in got
@@ -161,38 +175,57 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most max_rows pairs of numbers, so the sample may be broadcast.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    train = cut(train.where("text IS NOT NULL").dropDuplicates(["text"]))
-    counts = train.mapInArrow(_counts, "feature bigint, n1 bigint, n0 bigint, w0 bigint").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("w0").alias("w0"))
-    # The prefilter keeps what could reach Z; the totals come under the null feature.
-    rows = counts.where(f"feature IS NULL OR n1 >= {MIN_TEXTS}").orderBy(F.col("feature").isNotNull(), F.desc(F.col("n1") / (F.col("n0") + 1)), F.desc("n1"), "feature").limit(MAX_FEATURES + 1).collect()
+    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # Near copies would pass for support of every rare word in them.
+    train = cut(jaccard.keep_one(cut(train.where("text IS NOT NULL").dropDuplicates(["text"]))))
+    counts = cut(train.mapInArrow(_counts, "feature bigint, n1 bigint, n0 bigint, w0 bigint").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("w0").alias("w0")))
     nothing = Model(np.zeros(0, np.int64), np.zeros(0), 1.0, 0.0, -30.0)
-    if not rows or rows[0].feature is not None or not rows[0].n1 or not rows[0].n0:
+    whole = counts.where("feature IS NULL").first()
+    if whole is None or not whole.n1 or not whole.n0:
         return nothing
-    d1, d0, words = rows[0].n1, rows[0].n0, max(rows[0].w0, 1)
-    f, y1, y0 = (np.array([getattr(r, c) for r in rows[1:]], np.int64) for c in ("feature", "n1", "n0"))
+    words = max(whole.w0, 1)
+    # Totals over features, not texts: toxic texts may be longer or shorter than clean ones.
+    d1, d0 = counts.where("feature IS NOT NULL").agg(F.sum("n1"), F.sum("n0")).first()
+    if not d1 or not d0:
+        return nothing
+    share = d1 / (d1 + d0)
+    n = F.col("n1") + F.col("n0")
+    surprise = F.abs(F.col("n1") - n * share) / F.sqrt(n * (share * (1 - share)))
+    rows = counts.where(f"feature IS NOT NULL AND n1 + n0 >= {MIN_TEXTS}").orderBy(F.desc(surprise), "feature").limit(MAX_FEATURES).collect()
+    f, y1, y0 = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("feature", "n1", "n0"))
     if not len(f):
         return nothing
-    a = PRIOR * (y1 + y0) / (d1 + d0)
-    odds = lambda y, n, a: np.log((y + a * 1e-2) / (n + PRIOR * 1e-2 - y))
-    delta = odds(y1, d1, a) - odds(y0, d0, a)
-    z = delta / np.sqrt(1 / (y1 + a * 1e-2) + 1 / (y0 + a * 1e-2))
-    # Rare features fit a few texts and their near copies only. Where no clean text has a feature, its variance
-    # is the prior's alone, and this support has to do.
-    enough = max(MIN_TEXTS, MIN_SHARE * d1)
-    keep = (delta > 3) & (y1 >= enough) & ((z >= Z) | (y0 == 0))
+    a = PRIOR * 1e-2 * (y1 + y0) / (whole.n1 + whole.n0)
+    delta = np.log((y1 + a) / (d1 + a - y1)) - np.log((y0 + a) / (d0 + a - y0))
+    z = delta / np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+    # Where one kind of text has no such feature, its variance is the prior's alone; there the chance that all
+    # texts with it are of the other kind has to be as small as that of Z.
+    tail = math.log(0.5 * math.erfc(Z / math.sqrt(2)))
+    lone = ((y0 == 0) & (y1 * math.log(share) <= tail)) | ((y1 == 0) & (y0 * math.log(1 - share) <= tail))
+    keep = (np.abs(z) >= Z) | lone
     order = np.argsort(f[keep])
-    f, s, chance = f[keep][order], delta[keep][order], ((y0[keep] + 0.01) / words)[order]
-    if not len(f):
+    f, s, y0 = f[keep][order], delta[keep][order] - DRIFT, y0[keep][order]
+    if not (s > 0).any():
         return nothing
-    rate = _rate(s, chance)
+
+    def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            v, k = np.unique(np.round(_values(Words(b.column("text"), lower=True, breaks=_BREAKS), f, s), 2), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"v": pa.array(v, pa.float64()), "k": pa.array(k, pa.int64())})
+
+    clean = train.where("toxic = 0").select("text").mapInArrow(clean_scores, "v double, k bigint").groupBy("v").agg(F.sum("k").alias("k")).collect()  # by hundredths
+    # A toxic feature that no clean training text has may still turn up in one.
+    v, k = np.array([r.v for r in clean]), np.array([float(r.k) for r in clean])
+    seen = v != round(-DRIFT, 2)
+    unseen = (y0 == 0) & (s > 0)
+    rate = _rate(np.r_[v[seen], s[unseen]], np.r_[k[seen], np.full(unseen.sum(), 0.01)] / words)
 
     def significances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             sig, _ = _scan(b.column("text"), f, s, rate)
             yield pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(np.round(sig * 4), 400).astype(np.int32)), "toxic": b.column("toxic")})
 
-    bins = train.mapInArrow(significances, "x int, toxic int").groupBy("x", "toxic").count().collect()  # at most 802 rows
+    bins = train.select("text", "toxic").mapInArrow(significances, "x int, toxic int").groupBy("x", "toxic").count().collect()  # at most 802 rows
     x, y, n = (np.array([r[i] for r in bins], float) for i in range(3))
     return Model(f, s, rate, *_logistic(np.minimum(x / 4, 20), y, n))
 

@@ -330,6 +330,29 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_toxicity_scores_rare_and_moderate_words(spark):
+    """Words in 1 % of the toxic texts count, and so do words ten times as common in toxic texts."""
+    rng = np.random.default_rng(1)
+    vocab, tail, mild = [f"w{i}" for i in range(300)], [f"{chr(97 + i // 26)}{chr(97 + i % 26)}zq" for i in range(200)], ["grim", "foul", "vile", "mean"]
+    docs, labels = [], []
+    for i in range(7500):
+        w, y = list(rng.choice(vocab, 40)), int(i % 5 == 0)
+        if y:
+            w[20:22] = rng.choice(tail, 2)
+        if rng.random() < (0.4 if y else 0.04):
+            w[24:28] = mild
+        docs.append((i, " ".join(map(str, w))))
+        labels.append((i, y))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    held = {r.doc_id for r in df.select("doc_id", toxicity.held_out(df["doc_id"]).alias("h")).where("h").collect()}
+    assert np.mean([(got[i] >= 0.7) == bool(y) for i, y in labels if i in held]) > 0.9
+    odds = dict(zip(model.features.tolist(), model.scores.tolist(), strict=True))
+    known = lambda x: int(toxicity._features(toxicity.Words(pa.array([x]), lower=True, breaks=toxicity._BREAKS))[0].view(np.int64)[0])
+    assert all(0 < odds[known(x)] < 3 for x in mild)
+
+
 def test_toxicity_learns_planted_words(spark):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(200)]
