@@ -4,7 +4,7 @@ Model. Features of a word are the word and its first 4, 5 and 6 code points. The
 clean training texts carry an informative Dirichlet prior (Monroe et al. 2008), and features whose z value is
 at least ``Z`` in size, toxic or clean, score their log-odds less ``DRIFT``; every other word scores ``-DRIFT``.
 Near copies count once. Scan. One linear pass (Ruzzo and
-Tompa 1999) finds all maximal-scoring segments of a text; a word that a text repeats scores once. Calibration. By Karlin and Altschul (1990) the
+Tompa 1999) finds all maximal-scoring segments of a text; close repeats of a word score less each time. Calibration. By Karlin and Altschul (1990) the
 number of segments of score S or more in n clean words is about K n exp(-lambda S), where lambda solves
 sum p_i exp(lambda s_i) = 1 over the clean words' scores; a text's significance is -ln of the chance of its
 best segment. A logistic curve through the training texts maps significance to a probability.
@@ -35,6 +35,8 @@ MAX_ROWS, MAX_FEATURES = 10_000, 20_000
 Z, DRIFT, PRIOR, K = 4.0, 0.2, 500.0, 0.1
 #: Texts that must have a feature, after near copies are removed.
 MIN_TEXTS = 4
+#: Occurrences of a word less than so many words apart damp each other.
+REPEAT = 50
 THRESHOLD = 0.7
 _PREFIXES = (4, 5, 6)
 #: Everything below 0x80 but digits and letters ends a word.
@@ -129,13 +131,13 @@ def _scan(texts: pa.Array, features: np.ndarray, scores: np.ndarray, rate: float
     w = Words(texts, lower=True, breaks=_BREAKS)
     value = _values(w, features, scores)
     hit = np.flatnonzero(value > 0)
-    # A word that a text repeats scores once there: a repeated junk word is no evidence, however long it goes on.
-    word = w.hashes()[hit]
-    order = np.lexsort((hit, word, w.doc[hit]))
-    again = np.zeros(len(hit), bool)
-    again[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (w.doc[hit][order[1:]] == w.doc[hit][order[:-1]])
-    value[hit[again]] = -DRIFT
-    hit = hit[~again]
+    # The k-th of a word's occurrences that follow each other closely scores 1/k: a repeated junk word is weak evidence.
+    word, doc = w.hashes()[hit], w.doc[hit]
+    order = np.lexsort((hit, word, doc))
+    near = (word[order[1:]] == word[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (np.diff(hit[order]) < REPEAT)
+    place = np.arange(len(hit))
+    start = np.maximum.accumulate(np.where(np.r_[False, near][: len(hit)], 0, place))
+    value[hit[order]] /= place - start + 1
     fall = np.r_[0.0, np.cumsum(np.where(value > 0, 0.0, -value))]
     sig, out = np.zeros(len(texts)), [[] for _ in range(len(texts))]
     docs = w.doc[hit]

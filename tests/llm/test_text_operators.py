@@ -353,6 +353,17 @@ def test_toxicity_scores_rare_and_moderate_words(spark):
     assert all(0 < odds[known(x)] < 3 for x in mild)
 
 
+def test_toxicity_finds_a_second_passage_and_repeats():
+    f = np.sort(toxicity.Words(pa.array(["awful nasty vileness"]), lower=True, breaks=toxicity._BREAKS).hashes().view(np.int64))
+    fill = "w " * 300
+    texts = [fill + "awful nasty vileness " + fill + "vileness awful nasty " + fill, fill + "awful " * 8 + fill, fill + "awful " + fill]
+    sig, got = toxicity._scan(pa.array(texts), f, np.full(3, 3.0), 1.5)
+    assert [len(g) for g in got] == [2, 1, 1]
+    assert got[0][0]["score"] == pytest.approx(9) and got[0][1]["score"] == pytest.approx(9)
+    assert sig[1] > sig[2] + 3
+    assert toxicity._scan(pa.array(["", None]), f, np.full(3, 3.0), 1.5)[1] == [[], []]
+
+
 def test_toxicity_learns_planted_words(spark):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(200)]
