@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, tune
-from .vectors import BLOCK_ROWS, cells, matrix, shard_count, valid
+from .vectors import BLOCK_ROWS, cells, matrix, shard_count, usable, valid
 
 #: Links of a node above the ground level, twice as many on it; beam width of inserts; rows of a batch.
 M, BUILD_BEAM, BATCH = 12, 32, 1024
@@ -299,5 +299,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         F.coalesce("component", "rep").alias("component_id"),
     )
     linked = good.join(known, good["embedding"] == known["_v"]).select("vec_id", "n_links", "component_id")
-    alone = rows.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # By row, not by id: a usable vector may repeat the id of an unusable one.
+    taking_part = F.col("vec_id").isNotNull() & usable(F.col("embedding").cast("array<double>"))
+    alone = rows.where(~F.coalesce(taking_part, F.lit(False))).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -73,6 +73,12 @@ def test_near_duplicates_against_brute_force(vectors, spark):
     assert hnsw.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_near_duplicates_keep_unusable_rows_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, None, 0), (1, [0.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [float("nan"), 1.0], 0), (None, [1.0, 0.0], 0)], VECTORS)
+    got = [(r.vec_id, r.n_links) for r in hnsw.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == [(1, 0)] * 3 + [(2, 0)] * 2 + [(None, 0)]
+
+
 def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
     """A search that finds large groups and self matches, but no pair below beam 64, has to be widened."""
     rng = np.random.default_rng(4)
