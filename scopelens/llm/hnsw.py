@@ -6,7 +6,7 @@ queries run in batches whose beams advance together as arrays. The beam width is
 is compared with all others, the sample growing until ``LEAST_LINKED`` of them link with another one, and the
 width doubles until the mean share of a linked vector's links that is found, its match with itself left out,
 reaches ``RECALL``; so a large group weighs no more than pairs. A sample of ``MOST_AUDITED`` without any link
-takes the largest width. Besides, a query whose beam holds nothing but links is asked again with twice the width until it
+takes the largest width; where no width passes, cells compare all pairs. Besides, a query whose beam holds nothing but links is asked again with twice the width until it
 holds something else, so groups of any size are listed whole. Pairs are verified by cosine in double
 precision, and the links' components are found by star steps.
 
@@ -247,7 +247,7 @@ def mean_recall(found: DataFrame, truth: DataFrame) -> dict[int, float]:
 
 
 def audited_width(data: DataFrame, queries: DataFrame, n: int, shards: int, least: float) -> int:
-    """The least beam width with a mean recall of RECALL over queries that link with another vector."""
+    """The least beam width with a mean recall of RECALL over queries that link with another vector; 0: none has it."""
     widths, size = [BEAM << i for i in range(5)], AUDIT
     while True:
         sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(size)
@@ -261,7 +261,7 @@ def audited_width(data: DataFrame, queries: DataFrame, n: int, shards: int, leas
     recall = mean_recall(cells(data, linked, "rep", shards, 1).applyInArrow(_audit(least, widths), "query_id bigint, width bigint, found bigint"), few)
     if not recall and size >= n:
         return widths[0]  # every vector was compared with all others, and no two link
-    return next((w for w in widths if recall.get(w, 0.0) >= RECALL), widths[-1])
+    return next((w for w in widths if recall.get(w, 0.0) >= RECALL), 0 if recall else widths[-1])
 
 
 def _links(least: float, width: int):
@@ -269,7 +269,12 @@ def _links(least: float, width: int):
         a = b = np.zeros(0, np.int64)
         if len(data) and len(queries):
             x, q = _unit(data), _unit(queries)
-            r, c = _pairs(Graph(x), x, q, least, width)
+            if width:
+                r, c = _pairs(Graph(x), x, q, least, width)
+            else:  # no audited beam is wide enough: compare all
+                parts = [_exact(x, q[i : i + EXACT_ROWS], least) for i in range(0, len(q), EXACT_ROWS)]
+                r = np.concatenate([p[0] + i * EXACT_ROWS for i, p in enumerate(parts)])
+                c = np.concatenate([p[1] for p in parts])
             a, b = queries.column("query_id").to_numpy()[r], data.column("rep").to_numpy()[c]
             a, b = np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
         return pa.table({"a": pa.array(a), "b": pa.array(b)})

@@ -79,6 +79,26 @@ def test_near_duplicates_keep_unusable_rows_of_repeated_ids(spark):
     assert sorted(got, key=str) == [(1, 0)] * 3 + [(2, 0)] * 2 + [(None, 0)]
 
 
+def test_near_duplicates_compare_all_where_no_beam_passes(vectors, monkeypatch):
+    monkeypatch.setattr(hnsw, "RECALL", 1.1)  # no beam can pass
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in table() if usable(v)])
+    ids = [i for i, v, _ in table() if usable(v)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(zip(ids, ((u @ u.T >= 0.9).sum(1) - 1).tolist(), strict=True))
+    monkeypatch.setattr(hnsw, "_pairs", lambda *_: (np.zeros(0, int), np.zeros(0, int)))
+    monkeypatch.setattr(hnsw, "cells", _local_cells)
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(vectors).collect()}
+    assert {i: got[i] for i in ids} == want
+
+
+def _local_cells(data, queries, id_col, shards, blocks):
+    class Cell:
+        def applyInArrow(self, f, schema):
+            return data.sparkSession.createDataFrame(f(data.toArrow(), queries.toArrow()).to_pandas(), schema)
+
+    return Cell()
+
+
 def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
     """A search that finds large groups and self matches, but no pair below beam 64, has to be widened."""
     rng = np.random.default_rng(4)
