@@ -5,6 +5,7 @@ import collections
 import hashlib
 import re
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -357,11 +358,31 @@ def test_toxicity_finds_a_second_passage_and_repeats():
     f = np.sort(toxicity.Words(pa.array(["awful nasty vileness"]), lower=True, breaks=toxicity._BREAKS).hashes().view(np.int64))
     fill = "w " * 300
     texts = [fill + "awful nasty vileness " + fill + "vileness awful nasty " + fill, fill + "awful " * 8 + fill, fill + "awful " + fill]
-    sig, got = toxicity._scan(pa.array(texts), f, np.full(3, 3.0), 1.5)
+    scanned = toxicity._scan(pa.array(texts), f, np.full(3, 3.0))
+    got = [segments for _, segments in scanned]
     assert [len(g) for g in got] == [2, 1, 1]
-    assert got[0][0]["score"] == pytest.approx(9) and got[0][1]["score"] == pytest.approx(9)
-    assert sig[1] > sig[2] + 3
-    assert toxicity._scan(pa.array(["", None]), f, np.full(3, 3.0), 1.5)[1] == [[], []]
+    assert got[0][0][0] == pytest.approx(9) and got[0][1][0] == pytest.approx(9)
+    best = toxicity._best(scanned, 1.5)
+    assert best[1] < best[2] - 3
+    assert [g for _, g in toxicity._scan(pa.array(["", None]), f, np.full(3, 3.0))] == [[], []]
+
+
+def test_segments_take_linear_time():
+    """Hits that fall one below the other keep every segment open."""
+    began = time.perf_counter()
+    got = toxicity._segments(np.arange(20_000) * 50, np.linspace(9.0, 1.0, 20_000))
+    assert len(got) == 20_000 and time.perf_counter() - began < 1.0
+
+
+def test_toxicity_settles_conflicting_labels_and_replaces_score(spark):
+    docs = [(i, f"plain words number {i % 7} here", 9.0) for i in range(60)] + [(100 + i, f"awful vileness number {i} here", 9.0) for i in range(40)]
+    docs += [(200, "awful vileness number 1 here", 9.0), (201, "awful vileness number 1 here", 9.0)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, score double")
+    labels = spark.createDataFrame([(d[0], int("awful" in d[1])) for d in docs] + [(200, 0), (201, 0)], "doc_id bigint, toxic int")
+    one, two = (toxicity.fit(df.repartition(n), labels.repartition(n)) for n in (1, 3))
+    assert one.scores.tolist() == two.scores.tolist() and (one.slope, one.base) == (two.slope, two.base)
+    out = toxicity.score(df, one)
+    assert out.columns == ["doc_id", "text", "score"] and out.where("score > 1").isEmpty()
 
 
 def test_toxicity_learns_planted_words(spark):
