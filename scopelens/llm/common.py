@@ -65,6 +65,14 @@ def by_partition(df: DataFrame, n: int, target: str) -> DataFrame:
     return df.repartitionById(n, F.col(target))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't use."""
+    used = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in used:
+        pass
+    return name
+
+
 def text_key(column: str = "text") -> Column:
     """With the id, it names a row: repeated rows share it, other texts under the same id don't."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.col(column).isNull())

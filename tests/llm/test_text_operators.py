@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as s
+from pyspark.sql import functions as F
 
 from scopelens.llm import bpe, chat, jaccard, licenses, mixing, registry, sharding, substrings, toxicity
 from tests.oracle import connect, rows
@@ -280,6 +281,54 @@ def test_mixing_places_the_words_of_a_long_text(spark, seed):
     assert abs(sum(r.taken for r in got) - got[0].target) <= 60
 
 
+def test_pivotal_steps_keep_expectations_and_words(spark):
+    """Many seeds at once, each a source of its own: mean copies, floor or ceiling, words kept."""
+    n, seeds, size = 60, 400, lambda i: 1000 // (i + 1) + 5
+    item = "array(" + ",".join(f"struct(-{size(i)} as order, rand({i}) as u, cast({i} as bigint) as doc_id, cast({size(i)} as bigint) as size, 0 as key, 0 as no, 0 as source_size, 0d as target, 0 as low, 0.3d as f)" for i in range(n)) + ")"
+    rows_ = spark.range(seeds).selectExpr(f"{item} as items").withColumn("x", mixing._in_pairs(F.col("items"))).collect()
+    up = np.zeros((seeds, n))
+    for k, r in enumerate(rows_):
+        assert len(r.x.done) == n - 1
+        for d in r.x.done:
+            up[k, d.i] = d.copies
+        up[k, r.x.i] = r.x.f
+    words = np.array([size(i) for i in range(n)])
+    assert np.allclose(up @ words, 0.3 * words.sum())
+    assert np.abs(up.mean(0) - 0.3).max() < 4.5 * (0.21 / seeds) ** 0.5
+    assert ((up == 0) | (up == 1)).sum() >= seeds * (n - 1)
+
+
+def test_mixing_keeps_expected_copies(spark):
+    """Sources of equal make-up, some larger than LONG: each kind of document has its expected copies on average."""
+    kinds = [1000, 23, 50, 50, 50, 50, 400, 80]
+    t = [(s * 10_000 + i, "w " * kinds[i % 8], "en", f"s{s % 3}{s:02d}", 1) for s in range(24) for i in range(1600 if s % 8 == 0 else 160)]
+    got = mixing.mix_report(spark.createDataFrame(t, DOCS).repartition(8)).collect()
+    assert len(got) == len(t)
+    by = collections.defaultdict(list)
+    for r in got:
+        want = r.target / r.source_size
+        by[r.size].append(r.copies - want)
+        assert np.floor(want + 1e-9) <= r.copies <= np.ceil(want - 1e-9)
+    assert all(abs(np.mean(x)) < 4.5 * 0.5 / len(x) ** 0.5 for x in by.values())
+    taken = collections.Counter()
+    for r in got:
+        taken[r.doc_id // 10_000] += r.taken
+    goal = {r.doc_id // 10_000: r.target for r in got}
+    assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] for s in goal)
+
+
+def test_mixing_repeated_rows_and_clashing_names(spark):
+    t = [(None, "a b c", "x", 1, 2)] * 3000 + [(7, "a b c d", "y", 3, 4)] * 5 + [(i, "some words here now", "y", i, 0) for i in range(500)]
+    df = spark.createDataFrame(t, "doc_id bigint, text string, source string, _copies int, _key int").repartition(6)
+    got = mixing.mix_report(df).collect()
+    assert len(got) == len(t)
+    for size in (3, 4):
+        mine = [r for r in got if r.size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target
+    out = mixing.mix(df)
+    assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
+
+
 def test_mixing_caps_small_sources(spark):
     t = [(i, "w " * 10, "a") for i in range(100)] + [(100 + i, "w " * 5, "b") for i in range(4)] + [(200, "w " * 7, "c")]
     df = spark.createDataFrame([(i, x, "en", src, 1) for i, x, src in t], DOCS)
