@@ -155,15 +155,15 @@ _ROW = ("doc_id", "size", "source_size", "target", "key")
 _NAME = ("doc_id", "size", "key", "no")
 
 
-def _tree(rows: DataFrame, most: int) -> DataFrame:
-    """(.., copies) of rows with ``low`` whole copies, the fraction ``f`` and ``n`` rows of their source, of at most ``most``."""
+def _tree(rows: DataFrame, most: int, total: int) -> DataFrame:
+    """(.., copies) of rows with ``low`` whole copies, the fraction ``f`` and ``n`` rows of their source; most and total: rows of a source and of all."""
     out = []
     for level in range(max(1, math.ceil(math.log(max(most, 2)) / math.log(FAN)))):
         groups = F.greatest(F.ceil(F.col("n") / float(FAN ** (level + 1))), F.lit(1)).cast("bigint")
         bucket = F.pmod(F.xxhash64(F.lit(level), *_NAME), groups)
         item = F.struct((-F.col("size")).alias("order"), _uniform(F.lit("pair"), F.lit(level), *_NAME).alias("u"), *_NAME, "source_size", "target", "low", "f")
         tree = rows.groupBy("source", "n", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-        tree = cut(tree.select("source", "n", "items", _in_pairs(F.col("items")).alias("x")), most // FAN**level)
+        tree = cut(tree.select("source", "n", "items", _in_pairs(F.col("items")).alias("x")), total // FAN**level if level else None)
         done = tree.select(F.explode(F.transform("x.done", lambda d: F.struct(F.get("items", d["i"]).alias("d"), d["copies"].alias("copies")))).alias("y"))
         out.append(done.select(*[f"y.d.{c}" for c in _ROW], "y.copies"))
         left = F.get("items", F.col("x.i"))
@@ -209,9 +209,9 @@ def copies_of(sizes: DataFrame) -> DataFrame:
     want = F.least(F.greatest(F.coalesce("_want", F.col("target") / F.col("source_size")), F.lit(0.0)), F.lit(float(CAP)))
     low = F.floor(want + _EPS)
     rest = rest.join(left, rest.source.eqNullSafe(F.col("_source")), "left").select("source", "n", *_NAME, "source_size", "target", low.cast("int").alias("low"), F.greatest(want - low, F.lit(0.0)).alias("f"))
-    most = goals.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    most, total = goals.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     done = none.union(first)
-    return done.union(_tree(rest, most)) if most > LONG else done
+    return done.union(_tree(rest, most, total)) if most > LONG else done
 
 
 def _fingerprint(docs: DataFrame) -> Column:
