@@ -7,6 +7,7 @@ missing pivots at place PREFIX. The best share of each shard is reranked by exac
 
 That share is set by an audit: ``AUDIT`` queries find their true neighbours by brute force and note how far
 down the footrule order each lies; the share covers ``RECALL`` of them, whatever it takes, up to all vectors.
+A shard's inverted files are built once, written to the shared folder, and met by every block of queries.
 
 Equal vectors are indexed once with their ``k + 1`` smallest ids, which is all that a list of k can show of
 them. Vectors that are null, zero, or hold null or non-finite components take no part. All vectors must have
@@ -24,40 +25,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, tune
-from .vectors import BLOCK_ROWS, cells, distinct_vectors, matrix, shard_count, valid
+from .vectors import block_count, distinct_vectors, indexes, matrix, meet, shard_count, unpacked, valid
 
-PIVOTS, PREFIX = 256, 24
-AUDIT, RECALL, LEAST_SHARE = 96, 0.98, 0.02
+PIVOTS, PREFIX = 1024, 128
+AUDIT, RECALL, LEAST_SHARE = 96, 0.96, 0.02
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class _Index:
-    """The inverted files of a shard."""
+def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The PREFIX nearest pivots of each vector, nearest first."""
+    prefix, out = min(PREFIX, len(pivots)), []
+    for a in range(0, len(x), 4096):
+        near = _unit(x[a : a + 4096]) @ pivots.T
+        top = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix]
+        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int32))
+    return np.concatenate(out)
 
-    def __init__(self, x: np.ndarray, pivots: np.ndarray):
-        self.n, self.pivots = len(x), pivots
-        self.prefix = min(PREFIX, len(pivots))
-        near = self.nearest(x)
-        flat = near.reshape(-1)
+
+def _files(pivots: np.ndarray):
+    """A shard's vectors and ids, and its inverted files: items and places, by pivot."""
+
+    def build(t: pa.Table) -> dict[str, np.ndarray]:
+        x, ids = matrix(t.column("embedding")), t.column("ids").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        flat = nearest(x, pivots).reshape(-1)
         order = np.argsort(flat, kind="stable")
-        self.item, self.place = order // self.prefix, order % self.prefix
-        self.begin = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
+        prefix = min(PREFIX, len(pivots))
+        return {
+            "x": x, "first": ids.offsets.to_numpy(), "ids": ids.values.to_numpy(),
+            "item": (order // prefix).astype(np.int32), "place": (order % prefix).astype(np.int32), "begin": np.searchsorted(flat[order], np.arange(len(pivots) + 1)),
+        }
 
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        near = _unit(x) @ self.pivots.T
-        top = np.argpartition(-near, self.prefix - 1, axis=1)[:, : self.prefix]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+    return build
 
-    def agreement(self, pivots: np.ndarray) -> np.ndarray:
-        """For one query's pivots: the greater, the smaller the footrule distance of a vector."""
-        out = np.zeros(self.n, np.int64)
-        for j, p in enumerate(pivots):
-            s, e = self.begin[p], self.begin[p + 1]
-            out[self.item[s:e]] += self.prefix - np.abs(self.place[s:e] - j)
-        return out
+
+def _agreement(files: dict[str, np.ndarray], pivots: np.ndarray) -> np.ndarray:
+    """For one query's pivots: the greater, the smaller the footrule distance of a vector."""
+    begin, n = files["begin"][pivots], files["begin"][pivots + 1] - files["begin"][pivots]
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    near = len(pivots) - np.abs(files["place"][at] - np.repeat(np.arange(len(pivots)), n))
+    return np.bincount(files["item"][at], near, len(files["x"])).astype(np.int64)
 
 
 def _search(k: int, pivots: np.ndarray, share: float | None):
@@ -66,12 +76,10 @@ def _search(k: int, pivots: np.ndarray, share: float | None):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s, out_f = [], [], [], []
         if len(data) and len(queries):
-            x, q = matrix(data.column("embedding")), matrix(queries.column("embedding"))
-            ids = data.column("ids").combine_chunks()
-            first, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            index = _Index(x, pivots)
-            for own, vector, near in zip(queries.column("query_id").to_pylist(), q, index.nearest(q), strict=True):
-                agree = index.agreement(near)
+            files, q = unpacked(data), matrix(queries.column("embedding"))
+            x, first, flat = files["x"], files["first"], files["ids"]
+            for own, vector, near in zip(queries.column("query_id").to_pylist(), q, nearest(q, pivots), strict=True):
+                agree = _agreement(files, near)
                 if share is None:
                     pick = np.arange(len(x))
                 else:
@@ -123,10 +131,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = data.orderBy(F.xxhash64("key"), "key").limit(PIVOTS).collect()
     pivots = _unit(np.array([r.embedding for r in sample], np.float64))
-    shards, blocks = shard_count(n), math.ceil(m / BLOCK_ROWS)
+    dim = pivots.shape[1]
+    shards, blocks = shard_count(n, dim), block_count(m, dim)
+    files = indexes(data, "key", shards, _files(pivots))
+    share = audited_share(files, asked, pivots, n, shards, k)
+    found = meet(files, asked, shards, blocks).applyInArrow(_search(k, pivots, share), schema)
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def audited_share(files: DataFrame, asked: DataFrame, pivots: np.ndarray, n: int, shards: int, k: int) -> float:
+    """The share of each shard that has RECALL of the true neighbours of a sample of the queries."""
     audit = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT)
-    depths = _best(cells(data, audit, "key", shards, 1).applyInArrow(_search(k, pivots, None), schema + ", depth double"), k).select("depth").collect()
+    depths = _best(meet(files, audit, shards, 1).applyInArrow(_search(k, pivots, None), "query_id bigint, vec_id bigint, score double, depth double"), k).select("depth").collect()
     deep = np.sort([r.depth for r in depths]) if depths else np.ones(1)
-    share = min(1.0, max(LEAST_SHARE, float(deep[min(len(deep) - 1, math.ceil(RECALL * len(deep)))]) + 1 / n))
-    found = cells(data, asked, "key", shards, blocks).applyInArrow(_search(k, pivots, share), schema)
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return min(1.0, max(LEAST_SHARE, float(deep[min(len(deep) - 1, math.ceil(RECALL * len(deep)))]) + 1 / n))

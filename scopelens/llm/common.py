@@ -229,40 +229,86 @@ def spans(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(order_key)])
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a, b) as stars: every node but the smallest of its component, and that smallest one."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    low = np.arange(len(nodes))
+    while len(nodes):
+        x, y = low[u], low[v]
+        least, new = np.minimum(x, y), low.copy()
+        for at in (u, v, x, y):  # the names themselves hang lower too, so whole trees move at once
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    hangs = low != np.arange(len(nodes))
+    return nodes[hangs], nodes[low[hangs]]
+
+
+#: Links that a task collects before it reduces them to stars; links of a node from which on it is a hub.
+FOREST_LINKS, HUB = 1 << 21, 200
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links as stars, of which there are fewer than nodes."""
+    a = b = np.zeros(0, np.int64)
+    parts, held = [], 0
+    for x in batches:
+        parts.append((x.column("a").to_numpy(), x.column("b").to_numpy()))
+        held += x.num_rows
+        if held > FOREST_LINKS:
+            a, b = forest(np.concatenate([a, *[p[0] for p in parts]]), np.concatenate([b, *[p[1] for p in parts]]))
+            parts, held = [], 0
+    a, b = forest(np.concatenate([a, *[p[0] for p in parts]]), np.concatenate([b, *[p[1] for p in parts]]))
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _with_least(links: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """``links`` (a, b) with ``low``, the least of a's neighbours. Links of hubs stay in the tasks where they are.
+
+    There are at most twice as many hubs as links divided by ``limit``, which follows the links and partitions.
+    """
+    hubs = least.where(F.col("degree") >= limit).select("a", "low")
+    if hubs.isEmpty():
+        return links.join(least.select("a", "low"), "a")
+    hubs = F.broadcast(hubs)
+    return links.join(hubs, "a").union(links.join(hubs, "a", "left_anti").join(least.where(F.col("degree") < limit).select("a", "low"), "a"))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b), the component being its smallest node.
 
-    Alternating large-star and small-star steps: every step is a grouped minimum and a join of the links with
-    it, so no node's neighbours and no component meet in one task, and the number of steps grows with the
-    logarithm of the longest chain. The links are written to the shared folder after each step.
+    Every task first reduces its links to stars. Then large-star and small-star steps alternate until all links
+    are stars of which no centre is a leaf: every step is a grouped minimum and a join of the links with it, so
+    no node's neighbours and no component meet in one task, and the number of steps grows with the logarithm of
+    the longest chain. The links are written to the shared folder after each step.
     """
     spark = edges.sparkSession
-    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
-    e = cut(e.distinct())
-    if e.isEmpty():
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    e = cut(e.mapInArrow(_forests, "a bigint, b bigint").distinct())
+    rows = e.count()  # no step has more than twice as many links
+    if not rows:
         return spark.createDataFrame([], "node bigint, component bigint")
+    hub = max(HUB, rows // (4 * shuffle_partitions(spark)))
 
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.max("b")).first())
+    def least(links: DataFrame) -> DataFrame:
+        return cut(links.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree")), 2 * rows)
 
-    seen = mark(e)
-    rows = seen[0]  # no step has more than twice as many links
-    nodes = cut(e.select(F.col("a").alias("node")).union(e.select(F.col("b"))).distinct(), 2 * rows)
     for _ in range(limit):
+        below = least(e)
+        stars = below.where("degree > 1").isEmpty() and e.select(F.col("b").alias("a")).distinct().join(below, "a", "left_semi").isEmpty()
+        if stars:
+            break
         # Large star: the larger neighbours of a node hang from the smallest of it and its neighbours.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        e = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = least(both).withColumn("low", F.least("a", "low"))
+        e = cut(_with_least(both.where("b > a"), low, hub).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), 2 * rows)
         # Small star: a node and its smaller neighbours hang from the smallest of them.
-        low = e.groupBy("a").agg(F.min("b").alias("low"))
-        e = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        near = _with_least(e, least(e), hub)
+        e = near.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = cut(e, 2 * rows)
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(e, nodes.node == e.a, "left").select("node", F.coalesce("b", "node").alias("component"))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

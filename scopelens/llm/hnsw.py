@@ -1,18 +1,23 @@
 """Embedding near-dedup: hierarchical navigable small-world graphs per shard.
 
-Equal vectors are collapsed first. The distinct ones fall into shards by a hash of their id; each shard gets
-its own graph (Malkov and Yashunin 2016), and every vector queries the graph of every shard. Inserts and
-queries run in batches whose beams advance together as arrays. The beam width is audited: a sample of vectors
-is compared with all others, the sample growing until ``LEAST_LINKED`` of them link with another one, and the
-width doubles until the mean share of a linked vector's links that is found, its match with itself left out,
-reaches ``RECALL``; so a large group weighs no more than pairs. A sample of ``MOST_AUDITED`` without any link
-takes the largest width; where no width passes, cells compare all pairs. Besides, a query whose beam holds nothing but links is asked again with twice the width until it
-holds something else, so groups of any size are listed whole. Pairs are verified by cosine in double
-precision, and the links' components are found by star steps.
+Equal vectors are collapsed first. The distinct ones, named by a hash, fall into shards; each shard gets its
+own graph (Malkov and Yashunin 2016), built once and written to the shared folder, and every vector queries
+the graph of every shard. Inserts and queries run in batches whose beams advance together as arrays. The beam
+width is audited: a sample of vectors is compared with all others, the sample growing until ``LEAST_LINKED`` of
+them link with another one, and the width doubles until the mean share of a linked vector's links that is
+found, its match with itself left out, reaches ``RECALL``; so a large group weighs no more than pairs. A sample
+of ``MOST_AUDITED`` without any link takes the largest width; where no width passes, cells compare all pairs.
+Besides, a query whose beam holds nothing but links is asked again with twice the width until it holds
+something else, so groups of any size are seen whole. Pairs are verified by cosine in double precision.
+
+No cell lists its pairs: it reduces them to stars, of which there are fewer than vectors, and the stars'
+components are found by star steps. All links of a vector lie in its component. They are counted there exactly,
+blocks of a component against each other, small components together; so counts are symmetric, and include
+links within a component that no beam has found.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing. All others must have
-one length. Repeated ids share a component and count each other as links only if their vectors link. Empty
-tables give empty results; other columns play no part.
+one length. Every row of the input gives one of the output, whatever ids repeat; a row links with every other
+row of a linked vector, of its own id too. Empty tables give empty results; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,17 +26,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, tune
-from .vectors import BLOCK_ROWS, cells, matrix, shard_count, usable, valid
+from .common import components, cut, forest, tune
+from .vectors import block_count, cells, indexes, matrix, meet, shard_count, unpacked, usable, valid, width_of
 
 #: Links of a node above the ground level, twice as many on it; beam width of inserts; rows of a batch.
 M, BUILD_BEAM, BATCH = 12, 32, 1024
 AUDIT, RECALL, BEAM = 400, 0.99, 16
 #: The sample grows until so many of its vectors link with another, or to so many vectors; rows of an exact product.
 LEAST_LINKED, MOST_AUDITED, EXACT_ROWS = 100, 64 * AUDIT, 256
+#: Vectors of a block in which links are counted; pairs that a search holds at once.
+CLASS_ROWS, HELD_PAIRS = 2048, 1 << 22
 
 
 class Graph:
@@ -50,6 +57,18 @@ class Graph:
             size = int((self.height >= lv).sum())
             self.links.append(self._level(size, 2 * M if lv == 0 else M))
 
+    def packed(self) -> dict[str, np.ndarray]:
+        return {"order": self.order, **{f"links{i}": x for i, x in enumerate(self.links)}}
+
+    @classmethod
+    def of(cls, x: np.ndarray, arrays: dict[str, np.ndarray]) -> Graph:
+        """The graph over ``x`` that was packed."""
+        g = cls.__new__(cls)
+        g.order = arrays["order"]
+        g.x = x[g.order].astype(np.float32)
+        g.links = [arrays[f"links{i}"] for i in range(sum(k.startswith("links") for k in arrays))]
+        return g
+
     def _level(self, n: int, width: int) -> np.ndarray:
         """Links of the first n nodes, by inserting batches that double up to BATCH."""
         links = np.full((n, width), -1, np.int32)
@@ -197,14 +216,19 @@ def _unit(t: pa.Table) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _build(t: pa.Table) -> dict[str, np.ndarray]:
+    x = _unit(t)
+    return {"x": x, "ids": t.column("node").to_numpy(), **Graph(x).packed()}
+
+
 def _truth(least: float):
-    """Exact links of each query to vectors of other ids."""
+    """Exact links of each query to other vectors."""
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         out = np.zeros(len(queries), np.int64)
         if len(data) and len(queries):
             x, q = _unit(data), _unit(queries)
-            ids, qids = data.column("rep").to_numpy(), queries.column("query_id").to_numpy()
+            ids, qids = data.column("node").to_numpy(), queries.column("query_id").to_numpy()
             for a in range(0, len(q), EXACT_ROWS):
                 r, c = _exact(x, q[a : a + EXACT_ROWS], least)
                 r += a
@@ -215,20 +239,23 @@ def _truth(least: float):
 
 
 def _exact(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    r, c = np.nonzero(q @ x.T >= least - 1e-9)
-    ok = _linked(x, q, r, c, least)
+    """(query, vector) pairs that link; products too near the threshold for their rounding are summed again in one order."""
+    product = q @ x.T
+    r, c = np.nonzero(product >= least - 1e-9)
+    ok = product[r, c] >= least + 1e-9
+    ok[~ok] = _linked(x, q, r[~ok], c[~ok], least)
     return r[ok], c[ok]
 
 
 def _audit(least: float, widths: list[int]):
-    """Links of each query to vectors of other ids that beams of each width find."""
+    """Links of each query to other vectors that beams of each width find."""
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query_id": [], "width": [], "found": []}
         if len(data) and len(queries):
-            x, q = _unit(data), _unit(queries)
-            ids, qids = data.column("rep").to_numpy(), queries.column("query_id").to_numpy()
-            graph = Graph(x)
+            arrays, q = unpacked(data), _unit(queries)
+            x, ids, qids = arrays["x"], arrays["ids"], queries.column("query_id").to_numpy()
+            graph = Graph.of(x, arrays)
             for w in widths:
                 r, c = _pairs(graph, x, q, least, w)
                 n = np.bincount(r[qids[r] != ids[c]], minlength=len(q))
@@ -246,62 +273,123 @@ def mean_recall(found: DataFrame, truth: DataFrame) -> dict[int, float]:
     return {r.width: r.recall for r in per.groupBy("width").agg(F.avg(F.col("found") / F.col("links")).alias("recall")).collect()}
 
 
-def audited_width(data: DataFrame, queries: DataFrame, n: int, shards: int, least: float) -> int:
+def audited_width(data: DataFrame, graphs: DataFrame, queries: DataFrame, n: int, shards: int, least: float) -> int:
     """The least beam width with a mean recall of RECALL over queries that link with another vector; 0: none has it."""
     widths, size = [BEAM << i for i in range(5)], AUDIT
     while True:
         sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(size)
-        exact = cells(data, sample, "rep", shards, 1).applyInArrow(_truth(least), "query_id bigint, links bigint")
+        exact = cells(data, sample, "node", shards, 1).applyInArrow(_truth(least), "query_id bigint, links bigint")
         truth = cut(exact.groupBy("query_id").agg(F.sum("links").alias("links")).where("links > 0"))
         if size >= min(n, MOST_AUDITED) or truth.count() >= LEAST_LINKED:
             break
         size *= 4
     few = cut(truth.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT))
     linked = cut(queries.join(few.select("query_id"), "query_id", "left_semi"))
-    recall = mean_recall(cells(data, linked, "rep", shards, 1).applyInArrow(_audit(least, widths), "query_id bigint, width bigint, found bigint"), few)
+    recall = mean_recall(meet(graphs, linked, shards, 1).applyInArrow(_audit(least, widths), "query_id bigint, width bigint, found bigint"), few)
     if not recall and size >= n:
         return widths[0]  # every vector was compared with all others, and no two link
     return next((w for w in widths if recall.get(w, 0.0) >= RECALL), 0 if recall else widths[-1])
 
 
+def _stars(ids: np.ndarray, qids: np.ndarray, size: int, search) -> pa.Table:
+    """The links that ``search`` finds for stretches of so many queries, as stars."""
+    a = b = np.zeros(0, np.int64)
+    for i in range(0, len(qids), size):
+        r, c = search(slice(i, i + size))
+        a, b = forest(np.concatenate([a, qids[r + i]]), np.concatenate([b, ids[c]]))
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
+_NO_LINKS = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
 def _links(least: float, width: int):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        a = b = np.zeros(0, np.int64)
+        if not len(data) or not len(queries):
+            return _NO_LINKS
+        arrays, q = unpacked(data), _unit(queries)
+        x = arrays["x"]
+        graph = Graph.of(x, arrays)
+        size = max(16, min(BATCH, HELD_PAIRS // len(x)))
+        return _stars(arrays["ids"], queries.column("query_id").to_numpy(), size, lambda s: _pairs(graph, x, q[s], least, width))
+
+    return run
+
+
+def _all_links(least: float):
+    """Where no audited beam is wide enough: all pairs of a cell are compared."""
+
+    def run(data: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(data) or not len(queries):
+            return _NO_LINKS
+        x, q = _unit(data), _unit(queries)
+        return _stars(data.column("node").to_numpy(), queries.column("query_id").to_numpy(), EXACT_ROWS, lambda s: _exact(x, q[s], least))
+
+    return run
+
+
+def _degrees(least: float):
+    """Rows that link with each query of a cell, its own copies included; components do not mix."""
+
+    def run(data: pa.Table, queries: pa.Table) -> pa.Table:
+        out = np.zeros(len(queries), np.int64)
         if len(data) and len(queries):
             x, q = _unit(data), _unit(queries)
-            if width:
-                r, c = _pairs(Graph(x), x, q, least, width)
-            else:  # no audited beam is wide enough: compare all
-                parts = [_exact(x, q[i : i + EXACT_ROWS], least) for i in range(0, len(q), EXACT_ROWS)]
-                r = np.concatenate([p[0] + i * EXACT_ROWS for i, p in enumerate(parts)])
-                c = np.concatenate([p[1] for p in parts])
-            a, b = queries.column("query_id").to_numpy()[r], data.column("rep").to_numpy()[c]
-            a, b = np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+            comp, qcomp, copies = data.column("component").to_numpy(), queries.column("component").to_numpy(), data.column("copies").to_numpy()
+            for a in range(0, len(q), EXACT_ROWS):
+                r, c = _exact(x, q[a : a + EXACT_ROWS], least)
+                same = qcomp[r + a] == comp[c]
+                out += np.bincount(r[same] + a, copies[c[same]], len(q)).astype(np.int64)
+        return pa.table({"node": queries.column("query_id"), "n": pa.array(out)})
 
     return run
 
 
+def _counts(members: DataFrame, least: float) -> DataFrame:
+    """(node, n): rows that link with each vector, itself and its copies included; members: (node, component, embedding, copies)."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    total = sizes.where(F.col("size") <= CLASS_ROWS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # Small components share a home; a large one is cut into blocks, all of which meet.
+    small = F.col("size") <= CLASS_ROWS
+    home = F.when(small, F.pmod(F.xxhash64("component"), F.lit(total // CLASS_ROWS + 1))).otherwise(F.col("component"))
+    blocks = F.when(small, 1).otherwise(F.ceil(F.col("size") / CLASS_ROWS)).cast("int")
+    placed = members.join(sizes, "component").select("node", "component", "embedding", "copies", F.concat_ws("/", small.cast("string"), home).alias("home"), blocks.alias("blocks"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    data = placed.select("node", "component", "embedding", "copies", "home", F.col("own").alias("j"), other.alias("i"))
+    fresh = [F.col(c).alias(c) for c in ("component", "embedding", "home")]  # else Spark cannot tell the two sides apart
+    queries = placed.select(F.col("node").alias("query_id"), *fresh, F.col("own").alias("i"), other.alias("j"))
+    got = data.groupBy("home", "i", "j").cogroup(queries.groupBy("home", "i", "j")).applyInArrow(_degrees(least), "node bigint, n bigint")
+    return got.groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
     tune(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     good = valid(rows)
-    groups = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    data = groups.select("rep", "embedding")
-    n = groups.count()
-    shards, blocks = shard_count(n), max(1, math.ceil(n / BLOCK_ROWS))
-    queries = data.withColumnRenamed("rep", "query_id")
-    width = audited_width(data, queries, n, shards, least)
-    pairs = cut(cells(data, queries, "rep", shards, blocks).applyInArrow(_links(least, width), "a bigint, b bigint").distinct())
-    copies = groups.select("rep", "copies")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    part = components(pairs).withColumnRenamed("node", "rep")
-    known = groups.join(links, "rep", "left").join(part, "rep", "left").select(
+    groups = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("hash", F.xxhash64("embedding"))
+    # Vectors that share a hash are told apart by their places among these few.
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("embedding"))
+    groups = cut(groups.withColumn("place", place).withColumn("node", F.when(F.col("place") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "place"))).drop("hash", "place"))
+    data = groups.select("node", "embedding")
+    n, dim = groups.count(), width_of(groups)
+    shards, blocks = shard_count(n, dim), block_count(n, dim)
+    queries = data.withColumnRenamed("node", "query_id")
+    graphs = indexes(data, "node", shards, _build)
+    width = audited_width(data, graphs, queries, n, shards, least)
+    if width:
+        found = meet(graphs, queries, shards, blocks).applyInArrow(_links(least, width), "a bigint, b bigint")
+    else:
+        found = cells(data, queries, "node", shards, blocks).applyInArrow(_all_links(least), "a bigint, b bigint")
+    part = cut(components(found))
+    members = cut(groups.join(part, "node"))
+    first = members.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = members.select("node", "component").join(first, "component").select("node", "component_id")
+    known = groups.join(named, "node", "left").join(_counts(members, least), "node", "left").select(
         F.col("embedding").alias("_v"),
-        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        (F.coalesce("n", "copies") - 1).alias("n_links"),
+        F.coalesce("component_id", "rep").alias("component_id"),
     )
     linked = good.join(known, good["embedding"] == known["_v"]).select("vec_id", "n_links", "component_id")
     # By row, not by id: a usable vector may repeat the id of an unusable one.

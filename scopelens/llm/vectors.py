@@ -1,16 +1,23 @@
-"""What the vector operators share: which vectors take part, equal vectors, and cells of shard by query block."""
+"""What the vector operators share: which vectors take part, equal vectors, shards, their indexes, and query blocks.
+
+A shard's index is built once, written to the shared folder, and then meets every block of the queries.
+"""
 
 from __future__ import annotations
 
+import io
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard, and queries of a block: a cell of both fits in a worker many times over.
-SHARD_ROWS, BLOCK_ROWS = 1 << 17, 1 << 16
+from .common import cut
+
+#: Bytes of a shard's vectors and of a block's: a cell of both fits in a worker several times over.
+SHARD_BYTES, BLOCK_BYTES = 32 << 20, 16 << 20
 #: Shards of a small table: enough to use many cores, no more than one per so many rows.
 LEAST_SHARDS, LEAST_ROWS = 12, 800
 
@@ -34,17 +41,59 @@ def distinct_vectors(v: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def shard_count(n: int) -> int:
-    return max(math.ceil(n / SHARD_ROWS), min(LEAST_SHARDS, max(n // LEAST_ROWS, 1)))
+def width_of(data: DataFrame) -> int:
+    """The length of the vectors, which all have one."""
+    row = data.select(F.size("embedding").alias("n")).first()
+    return max(1, row.n) if row else 1
+
+
+def shard_count(n: int, dim: int) -> int:
+    return max(math.ceil(n * dim * 8 / SHARD_BYTES), min(LEAST_SHARDS, max(n // LEAST_ROWS, 1)))
+
+
+def block_count(n: int, dim: int) -> int:
+    return max(1, math.ceil(n * dim * 8 / BLOCK_BYTES))
+
+
+def _shard(id_col: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
+
+
+def _upto(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _queries(queries: DataFrame, shards: int, blocks: int) -> DataFrame:
+    return queries.withColumn("block", _shard("query_id", blocks)).withColumn("shard", _upto(shards))
 
 
 def cells(data: DataFrame, queries: DataFrame, id_col: str, shards: int, blocks: int):
     """Cogrouped (data, queries): every shard of the data meets every block of the queries."""
-    shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    d = data.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = queries.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return d.groupBy("shard", "block").cogroup(q.groupBy("shard", "block"))
+    d = data.withColumn("shard", _shard(id_col, shards)).withColumn("block", _upto(blocks))
+    return d.groupBy("shard", "block").cogroup(_queries(queries, shards, blocks).groupBy("shard", "block"))
+
+
+def indexes(data: DataFrame, id_col: str, shards: int, build: Callable[[pa.Table], dict[str, np.ndarray]]) -> DataFrame:
+    """(shard, index): what ``build`` makes of every shard of the data, in the shared folder."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kept = io.BytesIO()
+        np.savez(kept, **build(t))
+        return pa.table({"shard": t.column("shard").slice(0, 1), "index": pa.array([kept.getvalue()], pa.binary())})
+
+    return cut(data.withColumn("shard", _shard(id_col, shards)).groupBy("shard").applyInArrow(run, "shard int, index binary"))
+
+
+def meet(indexed: DataFrame, queries: DataFrame, shards: int, blocks: int):
+    """Cogrouped (index, queries): the index of every shard meets every block of the queries."""
+    d = indexed.withColumn("block", _upto(blocks))
+    return d.groupBy("shard", "block").cogroup(_queries(queries, shards, blocks).groupBy("shard", "block"))
+
+
+def unpacked(t: pa.Table) -> dict[str, np.ndarray]:
+    """The arrays of a cell's index."""
+    with np.load(io.BytesIO(t.column("index")[0].as_buffer())) as arrays:
+        return dict(arrays)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

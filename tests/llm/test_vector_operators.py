@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -85,18 +86,61 @@ def test_near_duplicates_compare_all_where_no_beam_passes(vectors, monkeypatch):
     ids = [i for i, v, _ in table() if usable(v)]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = dict(zip(ids, ((u @ u.T >= 0.9).sum(1) - 1).tolist(), strict=True))
-    monkeypatch.setattr(hnsw, "_pairs", lambda *_: (np.zeros(0, int), np.zeros(0, int)))
-    monkeypatch.setattr(hnsw, "cells", _local_cells)
+    monkeypatch.setattr(hnsw, "meet", _local(hnsw.meet))
     got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(vectors).collect()}
     assert {i: got[i] for i in ids} == want
 
 
-def _local_cells(data, queries, id_col, shards, blocks):
-    class Cell:
-        def applyInArrow(self, f, schema):
-            return data.sparkSession.createDataFrame(f(data.toArrow(), queries.toArrow()).to_pandas(), schema)
+def _local(meet, seen=None):
+    """Runs a cell's function in this process, where patches hold."""
 
-    return Cell()
+    def run(indexed, queries, shards, blocks):
+        class Cells:
+            def applyInArrow(self, f, schema):
+                if seen is not None:
+                    seen.append(schema)
+                q = queries.toArrow()
+                out = [f(pa.table({"index": [r["index"]]}), q).to_pandas() for r in indexed.collect()]
+                return indexed.sparkSession.createDataFrame(pd.concat(out), schema)
+
+        return Cells()
+
+    return run
+
+
+def test_near_duplicates_name_rows_not_ids(spark):
+    """Different vectors under one id, some of them near: every row comes back with its own links."""
+    v = lambda x: [float(np.cos(x)), float(np.sin(x))]
+    rows = [(7, v(0.0)), (7, v(0.1)), (7, v(2.0)), (8, v(2.0)), (9, v(4.0)), (9, v(4.1)), (7, None), (5, v(0.2))]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()]
+    assert sorted(got) == [(5, 2, 5), (7, 0, 7), (7, 1, 7), (7, 2, 5), (7, 2, 5), (8, 1, 7), (9, 1, 9), (9, 1, 9)]
+
+
+def test_links_of_a_large_component_are_counted_in_blocks(vectors, monkeypatch):
+    monkeypatch.setattr(hnsw, "CLASS_ROWS", 16)
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in table() if usable(v)])
+    ids = [i for i, v, _ in table() if usable(v)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(zip(ids, ((u @ u.T >= 0.9).sum(1) - 1).tolist(), strict=True))
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(vectors).collect()}
+    group = [5, *range(1000, 1060)]
+    assert {i: got[i] for i in group} == {i: want[i] for i in group}
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (10, 5), (200, 150), (3000, 2900)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        up = list(range(n))
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            i, j = find(i), find(j)
+            up[max(i, j)] = min(i, j)
+        leaf, root = common.forest(a, b)
+        assert dict(zip(leaf.tolist(), root.tolist(), strict=True)) == {i: find(i) for i in range(n) if find(i) != i}
 
 
 def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
@@ -105,7 +149,7 @@ def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
     x = rng.normal(size=(300, 32))
     near = lambda v, k: [(v + rng.normal(size=32) * 0.02).tolist() for _ in range(k)]
     rows = [*x.tolist(), *(near(v, 1)[0] for v in x[:60]), *near(x[299], 120)]
-    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").selectExpr("vec_id AS rep", "embedding")
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").selectExpr("vec_id AS node", "embedding")
 
     def lossy(graph, x, q, least, width):
         r, c = np.nonzero(q @ x.T >= least)
@@ -116,19 +160,10 @@ def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
 
     monkeypatch.setattr(hnsw, "_pairs", lossy)
     seen = []
-
-    def local(data, queries, id_col, shards, blocks):
-        class Cell:
-            def applyInArrow(self, f, schema):
-                out = f(data.toArrow(), queries.toArrow())
-                seen.append(schema)
-                return spark.createDataFrame(out.to_pandas(), schema)
-
-        return Cell()
-
-    monkeypatch.setattr(hnsw, "cells", local)
-    assert hnsw.audited_width(df, df.withColumnRenamed("rep", "query_id"), len(rows), 1, 0.9) == 64
-    assert len(seen) == 2
+    monkeypatch.setattr(hnsw, "meet", _local(hnsw.meet, seen))
+    graphs = hnsw.indexes(df, "node", 1, hnsw._build)
+    assert hnsw.audited_width(df, graphs, df.withColumnRenamed("node", "query_id"), len(rows), 1, 0.9) == 64
+    assert len(seen) == 1
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 70, 600])
