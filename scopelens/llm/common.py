@@ -229,6 +229,46 @@ def spans(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(order_key)])
 
 
+class Heavy:
+    """The keys that may hold more than a set share of all weight, in bounded memory (Misra and Gries 1982).
+
+    Whatever has more than 1 / ``room`` of a task's weight is kept, its weight too low by that share at most. With
+    ``room`` = 32 * parts and what ``rows`` gives, every key of at least 1 / (8 * parts) of all tasks' weight is
+    found by ``heavy_keys``, however thin it is spread, and at most 32 * parts keys are.
+    """
+
+    def __init__(self, parts: int):
+        self.parts, self.total = parts, 0
+        self.keys, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        """keys: int64, distinct or not."""
+        self.total += int(weights.sum())
+        keys, weights = np.concatenate([self.keys, keys]), np.concatenate([self.weights, weights])
+        order = np.argsort(keys, kind="stable")
+        first, _ = spans(keys[order])
+        if not len(first):
+            return
+        keys, weights = keys[order][first], np.add.reduceat(weights[order], first)
+        if len(keys) > (room := 32 * self.parts):
+            weights = weights - np.partition(weights, len(weights) - room - 1)[len(weights) - room - 1]
+            keys, weights = keys[weights > 0], weights[weights > 0]
+        self.keys, self.weights = keys, weights
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys worth telling, with their weights, and all weight under no key at the end."""
+        tell = self.weights * 32 * self.parts >= self.total
+        return self.keys[tell], np.r_[self.weights[tell], self.total]
+
+
+def heavy_keys(told: DataFrame, parts: int, least: int) -> tuple[np.ndarray, int]:
+    """The heavy keys among (key, weight) rows of all tasks, sorted, and all weight; lighter ones than ``least`` don't count."""
+    sums = cut(told.groupBy("key").agg(F.sum("weight").alias("weight")))
+    total = sums.where("key IS NULL").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    rows = sums.where("key IS NOT NULL").where(F.col("weight") >= max(least, total // (32 * parts))).collect()  # at most 32 * parts
+    return np.array(sorted(r.key for r in rows), np.int64), total
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links (a, b) as stars: every node but the smallest of its component, and that smallest one."""
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as s
 from pyspark.sql import functions as F
 
-from scopelens.llm import bpe, chat, jaccard, licenses, mixing, registry, sharding, substrings, toxicity
+from scopelens.llm import bpe, chat, common, jaccard, licenses, mixing, registry, sharding, substrings, toxicity
 from tests.oracle import connect, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +157,44 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got == brute_groups(table)
 
 
+def test_jaccard_with_hot_shingles(docs, monkeypatch):
+    """Shingles that travel with their nodes instead of to their hash's partition give the same groups."""
+    found = []
+
+    def heavy_of(told, parts, least):
+        keys = sorted(r.key for r in told.where("key IS NOT NULL").groupBy("key").agg(F.sum("weight").alias("w")).where("w > 2").collect())
+        found.extend(keys)
+        return np.array(keys, np.int64), 1000
+
+    monkeypatch.setattr(jaccard, "heavy_keys", heavy_of)
+    monkeypatch.setattr(jaccard, "shuffle_partitions", lambda _: 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs).collect()}
+    assert found and got == brute_groups([(r[0], r[1]) for r in awkward()])
+
+
+def test_keep_one_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, "x", True), (1, "a b c d e f", 5, "x", True), (2, "a b c d e f", 6, "y", False)], "doc_id bigint, text string, _id int, _key string, _repeats boolean")
+    assert [tuple(r) for r in jaccard.keep_one(df).collect()] == [(1, "a b c d e f", 5, "x", True)]
+
+
+@given(s.lists(s.tuples(s.integers(0, 400), s.integers(1, 5)), min_size=1, max_size=400), s.integers(0, 3))
+@settings(max_examples=60, deadline=None)
+def test_heavy_keys_are_never_missed(pairs, hot):
+    """However thin a key is spread over steps, one with 1 / (8 * parts) of all weight is told."""
+    parts = 2
+    heavy, true = common.Heavy(parts), collections.Counter()
+    for i in range(0, len(pairs), 7):
+        step = [*pairs[i : i + 7], *[(9000 + h, 3) for h in range(hot)]]
+        heavy.add(np.array([k for k, _ in step], np.int64), np.array([w for _, w in step], np.int64))
+        for k, w in step:
+            true[k] += w
+    keys, weights = heavy.rows()
+    total = sum(true.values())
+    assert weights[-1] == total and len(keys) <= 32 * parts
+    assert {k for k, w in true.items() if w * 8 * parts >= total} <= set(keys.tolist())
+    assert all(true[k] - total / (32 * parts) <= w <= true[k] for k, w in zip(keys.tolist(), weights.tolist(), strict=False))
+
+
 @pytest.fixture(scope="module")
 def reference_tokenizer():
     import public_tokenizers
