@@ -3,16 +3,17 @@
 Windows of ``WINDOW`` words are never shuffled one by one. The minimiser of a window is the smallest hash of
 its runs of ``RUN`` words; consecutive windows mostly share it, and they travel as one packed string (a
 super-k-mer) to the minimiser's bucket. Equal windows have equal minimisers, so a bucket sees all
-places of its windows: it sorts them by a 128-bit hash and compares neighbours word by word.
+places of its windows: it sorts them by a hash and compares neighbours that share it word by word.
 
 A minimiser that carries far more windows than a bucket should hold (a passage that many documents repeat)
-would load one bucket. A first pass over all documents adds up the windows by minimiser; those of heavy ones
-travel as 128-bit hashes instead, spread by that hash, and each step of a task sends only one row per
-distinct window, having settled the windows it has twice itself.
+would load one bucket. A first pass over all documents finds those by bounded counts, however thin they are
+spread. Their windows travel as strings of one window each, spread by the window's own hash, and each step of a
+task sends every distinct one once; what a step has twice it knows to be repeated. The buckets treat these
+strings like all others.
 
 Defined cases: null, empty and short texts have no window and lose nothing; repeated rows repeat all their
 windows, so long ones lose all words; very long texts are cut nowhere; an empty table gives an empty result;
-other columns pass through.
+other columns pass through, but columns named ``_words`` and ``_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEND_BYTES, U64, Words, by_partition, cut, from_blob, mix, rolled, shuffle_partitions, steps, text_key, to_blob, tune
+from .common import SEND_BYTES, U64, Heavy, Words, by_partition, cut, free, from_blob, heavy_keys, mix, rolled, shuffle_partitions, steps, text_key, to_blob, tune
 
 WINDOW, RUN = 35, 4
 #: Bucket partitions for each shuffle partition: packed strings are about three times the text.
 PARTS = 2
-_WIDE = (0xB492B66FBE98F273, 0x9AE16A3B2F90404F)
+#: Windows of a bucket partition, whose strings a task holds at once; windows below which no minimiser is heavy.
+PART_WINDOWS, LEAST_HEAVY = 2_000_000, 64
+_WIDE = 0xB492B66FBE98F273
 
 
 class _Windows:
@@ -59,25 +62,19 @@ class _Windows:
         self.count = np.flatnonzero(ends) + 1 - self.first
         self.minimiser = low[self.first].view(np.int64)
 
-    def wide(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of every window, of independent bases over differently mixed words."""
-        return rolled(self.hash, WINDOW, _WIDE[0]), rolled(mix(self.hash ^ U64(_WIDE[1])), WINDOW, _WIDE[1])
 
+def _loads(parts: int):
+    """Windows by minimiser, of those that may be heavy, and all windows under null."""
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows by minimiser for those that a step has in more than one super-k-mer, and all windows under null."""
-    for b in steps(batches, "text"):
-        w = _Windows(b.column("text"))
-        order = np.argsort(w.minimiser, kind="stable")
-        m = w.minimiser[order]
-        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(m)])
-        load = np.add.reduceat(w.count[order], first) if len(m) else first
-        many = size > 1
-        yield pa.RecordBatch.from_pydict({
-            "minimiser": pa.array([*m[first[many]].tolist(), None], pa.int64()),
-            "windows": pa.array([*load[many].tolist(), int(w.count.sum())], pa.int64()),
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = Heavy(parts)
+        for b in steps(batches, "text"):
+            w = _Windows(b.column("text"))
+            heavy.add(w.minimiser, w.count)
+        keys, weights = heavy.rows()
+        yield pa.RecordBatch.from_pydict({"key": pa.array([*keys.tolist(), None], pa.int64()), "weight": pa.array(weights)})
+
+    return run
 
 
 def _target(h: np.ndarray, parts: int) -> np.ndarray:
@@ -85,7 +82,7 @@ def _target(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _send(hot: np.ndarray, parts: int):
-    """Step by step: one blob for each target partition, with super-k-mers, hot windows and settled ranges."""
+    """Step by step: one blob for each target partition, of packed strings and of ranges that are known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", SEND_BYTES):
@@ -93,47 +90,37 @@ def _send(hot: np.ndarray, parts: int):
             if not len(w.first):
                 continue
             doc, key = b.column("doc_id"), b.column("_key")
-            words, joined = w.words, w.words.joined()
-            heavy = np.isin(w.minimiser, hot)
-            # kind 0: packed strings. kind 1: a window by hash, once. kind 2: the same, repeated in this step.
-            # kind 3: windows that are known to be repeated.
-            first, count = w.first[~heavy], w.count[~heavy]
-            text, at = joined
+            words = w.words
+            text, at = words.joined()
             text = text.tobytes()
-            packed = [text[s:e] for s, e in zip(at[first].tolist(), (at[first + count + WINDOW - 1] - 1).tolist(), strict=True)]
-            kind, place = [np.zeros(len(first), np.int8)], [first]
-            h1, h2 = [np.zeros(len(first), np.int64)], [np.zeros(len(first), np.int64)]
-            n, to = [count], [_target(w.minimiser[~heavy], parts)]
+            heavy = np.isin(w.minimiser, hot)
+            place, n, to = w.first[~heavy], w.count[~heavy], _target(w.minimiser[~heavy], parts)
+            begin = lengths = np.zeros(0, np.int64)
             if heavy.any():
                 f, c = w.first[heavy], w.count[heavy]
                 win = np.repeat(f - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                a, z = w.wide()
-                a, z = a[win], z[win]
-                order = np.lexsort((z, a))
-                a, z, win = a[order], z[order], win[order]
-                new = np.r_[True, (a[1:] != a[:-1]) | (z[1:] != z[:-1])]
-                start = np.flatnonzero(new)
-                size = np.diff(np.r_[start, len(a)])
+                h = rolled(w.hash, WINDOW, _WIDE)[win]
+                order = np.argsort(h, kind="stable")
+                h, win = h[order], win[order]
+                equal = np.r_[False, (h[1:] == h[:-1]) & _same(text, at, win)]
+                start = np.flatnonzero(~equal)
+                size = np.diff(np.r_[start, len(win)])
                 again = np.sort(win[np.repeat(size > 1, size)])
                 # Neighbouring repeated windows of a text make one range.
                 if len(again):
                     split = np.flatnonzero(np.r_[True, (np.diff(again) != 1) | (words.doc[again[1:]] != words.doc[again[:-1]])])
-                    lengths = np.diff(np.r_[split, len(again)])
-                    begin = again[split]
-                else:
-                    begin = lengths = np.zeros(0, np.int64)
-                kind += [np.where(size > 1, 2, 1).astype(np.int8), np.full(len(begin), 3, np.int8)]
-                place += [win[start], begin]
-                h1 += [a[start].view(np.int64), np.zeros(len(begin), np.int64)]
-                h2 += [z[start].view(np.int64), np.zeros(len(begin), np.int64)]
-                n += [np.ones(len(start), np.int64), lengths]
-                to += [_target(a[start], parts), _target(mix(begin.astype(U64)), parts)]
-            kind, place, h1, h2, n, to = map(np.concatenate, (kind, place, h1, h2, n, to))
+                    lengths, begin = np.diff(np.r_[split, len(again)]), again[split]
+                place, n = np.r_[place, win[start]], np.r_[n, np.ones(len(start), np.int64)]
+                to = np.r_[to, _target(h[start], parts)]
+            packed = [text[s:e] for s, e in zip(at[place].tolist(), (at[place + n + WINDOW - 1] - 1).tolist(), strict=True)]
+            known = np.r_[np.zeros(len(place), bool), np.ones(len(begin), bool)]
+            place, n = np.r_[place, begin], np.r_[n, lengths]
+            to = np.r_[to, _target(mix(begin.astype(U64)), parts)]
             d = words.doc[place]
             rows = {
-                "kind": pa.array(kind), "doc_id": doc.take(pa.array(d)), "_key": key.take(pa.array(d)),
-                "at": pa.array((place - words.first[d]).astype(np.int32)), "n": pa.array(n.astype(np.int32)), "h1": pa.array(h1), "h2": pa.array(h2),
-                "text": pa.array([*packed, *[None] * (len(place) - len(packed))], pa.binary()),
+                "known": pa.array(known), "doc_id": doc.take(pa.array(d)), "_key": key.take(pa.array(d)),
+                "at": pa.array((place - words.first[d]).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
+                "text": pa.array([*packed, *[None] * len(begin)], pa.binary()),
             }
             order = np.argsort(to, kind="stable")
             table = pa.RecordBatch.from_pydict(rows).take(pa.array(order))
@@ -173,27 +160,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.concat_tables(tables).combine_chunks()
     del tables
-    kind = t.column("kind").to_numpy()
+    is_known = t.column("known").to_numpy()
     doc, key = t.column("doc_id").combine_chunks(), t.column("_key").combine_chunks()
     at, n = t.column("at").to_numpy(), t.column("n").to_numpy()
     at_of = at.astype(np.int64)
 
-    known = np.flatnonzero(kind == 3)
+    known = np.flatnonzero(is_known)
     if len(known):
         yield pa.RecordBatch.from_pydict({"_doc": doc.take(pa.array(known)), "_key": key.take(pa.array(known)), "lo": pa.array(at[known]), "hi": pa.array((at[known] + n[known] + WINDOW - 1).astype(np.int32))})
 
-    hot = np.flatnonzero((kind == 1) | (kind == 2))
-    if len(hot):
-        a, z = t.column("h1").to_numpy()[hot], t.column("h2").to_numpy()[hot]
-        order = np.lexsort((z, a))
-        a, z, hot = a[order], z[order], hot[order]
-        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (z[1:] != z[:-1])])
-        size = np.diff(np.r_[start, len(a)])
-        twice = np.repeat((size > 1) | (np.maximum.reduceat(kind[hot], start) == 2), size) & (kind[hot] == 1)
-        if twice.any():
-            yield _ranges(doc, key, hot[twice], at[hot[twice]].astype(np.int64))
-
-    rows = np.flatnonzero(kind == 0)
+    rows = np.flatnonzero(~is_known)
     if not len(rows):
         return
     packed = t.column("text").combine_chunks().take(pa.array(rows))
@@ -205,16 +181,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in steps(iter([pa.RecordBatch.from_arrays([packed], ["text"])]), "text"):
         w = Words(b.column("text"))
         text, place = w.joined()
-        h = rolled(w.hashes(), WINDOW, _WIDE[0])
+        h = rolled(w.hashes(), WINDOW, _WIDE)
         win = np.flatnonzero(w.doc[: len(h)] == w.doc[WINDOW - 1 :])
         hashes.append(h[win])
-        firsts.append((win + n_words).astype(np.int32))
+        firsts.append(win + n_words)
         texts.append(text.tobytes())
-        places.append((place[:-1] + n_bytes).astype(np.int32))
+        places.append(place[:-1] + n_bytes)
         starts.append(w.first[1:] + n_words)
         n_words, n_bytes = n_words + len(w), n_bytes + len(text)
     del packed
-    places.append(np.array([n_bytes], np.int32))
+    places.append(np.array([n_bytes]))
     data, place, start = b"".join(texts), np.concatenate(places), np.concatenate(starts)
     del texts, places
     a, first = np.concatenate(hashes), np.concatenate(firsts)
@@ -244,11 +220,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _ranges(doc, key, rows[row], at_of[rows[row]] + hit - start[row])
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], ranges_name: str, passed: list[str]) -> Iterator[pa.RecordBatch]:
     """Texts without the words in their ranges."""
     for b in steps(batches, "text"):
         w = Words(b.column("text"))
-        ranges = b.column("_ranges")
+        ranges = b.column(ranges_name)
         flat = ranges.flatten()
         owner = np.repeat(np.arange(len(ranges)), np.asarray(pc.fill_null(pc.list_value_length(ranges), 0)))
         lo, hi = (np.asarray(flat.field(i)).astype(np.int64) + w.first[owner] for i in (0, 1))
@@ -268,7 +244,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = text[mask]
         new = pa.Array.from_buffers(pa.large_string(), len(ranges), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
         n_words = np.diff(w.first)
-        out = {c: b.column(c) for c in b.schema.names if c not in ("_ranges", "_key", "text")}
+        out = {c: b.column(c) for c in passed}
         yield pa.RecordBatch.from_pydict(out | {"text": new, "_words": pa.array(n_words, pa.int64()), "_removed": pa.array(n_words - left, pa.int64())})
 
 
@@ -276,22 +252,22 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(_doc, _key, lo, hi): word ranges that repeated windows cover; together with the id, _key names a text."""
     spark = docs.sparkSession
     tune(spark)
-    parts = PARTS * shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("_key"), "text")
-    loads = cut(rows.mapInArrow(_loads, "minimiser bigint, windows bigint").groupBy("minimiser").agg(F.sum("windows").alias("windows")))
-    total = loads.where("minimiser IS NULL").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    # A quarter of a partition's share; at most 8 per partition can have half of that.
-    limit = max(64, total // (8 * parts))
-    hot = np.array(sorted(r.minimiser for r in loads.where(f"minimiser IS NOT NULL AND windows >= {limit}").collect()), np.int64)
+    parts = PARTS * shuffle_partitions(spark)
+    hot, total = heavy_keys(rows.select("text").mapInArrow(_loads(parts), "key bigint, weight bigint"), parts, LEAST_HEAVY)
+    parts = max(parts, total // PART_WINDOWS)
     blobs = rows.mapInArrow(_send(hot, parts), "part int, blob binary")
     return by_partition(blobs, parts, "part").mapInArrow(_count, "_doc bigint, _key bigint, lo int, hi int")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words as ``text``, and with ``_words`` and ``_removed``, their numbers before."""
-    ranges = repeated_ranges(docs).groupBy("_doc", "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    ranges = ranges.withColumnRenamed("_key", "_key2")
-    rows = docs.withColumn("_key", text_key())
-    joined = rows.join(ranges, rows["doc_id"].cast("bigint").eqNullSafe(ranges["_doc"]) & (rows["_key"] == ranges["_key2"]), "left").drop("_doc", "_key2")
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != "text"] + ["text string", "_words bigint", "_removed bigint"])
-    return joined.mapInArrow(_apply, schema)
+    doc, key, key2, ranges = (free(docs, c) for c in ("doc", "key", "key2", "ranges"))
+    found = repeated_ranges(docs).groupBy("_doc", "_key").agg(F.collect_list(F.struct("lo", "hi")).alias(ranges))
+    found = found.withColumnsRenamed({"_doc": doc, "_key": key2})
+    rows = docs.withColumn(key, text_key())
+    joined = rows.join(found, rows["doc_id"].cast("bigint").eqNullSafe(found[doc]) & (rows[key] == found[key2]), "left")
+    passed = [(c, t) for c, t in docs.dtypes if c not in ("text", "_words", "_removed")]
+    names = [c for c, _ in passed]
+    schema = ", ".join([f"`{c}` {t}" for c, t in passed] + ["text string", "_words bigint", "_removed bigint"])
+    return joined.select(*[F.col(f"`{c}`") for c in [*names, "text", ranges]]).mapInArrow(lambda batches: _without(batches, ranges, names), schema)

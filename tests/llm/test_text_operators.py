@@ -80,6 +80,14 @@ def test_substrings_with_one_heavy_minimiser(spark):
     assert got == {i: x[2] for i, x in enumerate(brute_repeats(texts))}
 
 
+def test_substrings_with_clashing_names(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    t = [(1, passage, "a", 1, [1], "k", 5), (2, "before " + passage + " after", "b", 2, [2], "l", 6), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(t, "doc_id int, text string, _key string, _words int, _ranges array<int>, _doc string, _removed int")
+    got = sorted(substrings.remove_repeated(df).collect())
+    assert [(r.doc_id, r.text, r._key, r._ranges, r._doc, r._words, r._removed) for r in got] == [(1, "", "a", [1], "k", 40, 40), (2, "before after", "b", [2], "l", 42, 40), (3, "", None, None, None, 0, 0)]
+
+
 def test_query_one_equals_brute_force(spark, sf_dir):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in registry.op1_substring_dedup(spark, sf_dir).collect()}
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
