@@ -276,6 +276,24 @@ def test_write_shards(spark, tmp_path):
     assert back.select("shard").distinct().count() == 4
 
 
+def test_shards_of_repeated_rows(spark, tmp_path, monkeypatch):
+    """A third of the rows are one text without an id; runs are cut, slots stay gapless, rows come back whole."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    t = [(None, "the same", 1, "a")] * 300 + [(i, f"text number {i}", i, "b") for i in range(600)] + [(5, "twice", 1, "c"), (5, "twice", 2, "d"), (5, None, 3, None)]
+    df = spark.createDataFrame(t, "doc_id bigint, text string, shard int, _id string").repartition(5)
+    got = sharding.assign_shards(df, shards=8).collect()
+    assert len(got) == len(t)
+    per = collections.defaultdict(list)
+    for r in got:
+        per[r.shard].append(r)
+    total = sum(r.size for r in got)
+    assert sorted(per) == list(range(8))
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) and abs(sum(r.size for r in x) - total / 8) <= 20 for x in per.values())
+    sharding.write_shards(df, str(tmp_path / "out"), shards=8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((str(r.doc_id), str(r.text), str(r._id)) for r in back.collect()) == sorted((str(a), str(b), str(d)) for a, b, _, d in t)
+
+
 def brute_targets(size: dict) -> dict:
     names = sorted((k for k in size if k is not None)) + [None] * (None in size)
     weight = {k: i % 3 + 1 for i, k in enumerate(names)}
