@@ -25,7 +25,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
 
 
-def _cell(k: int | None, least: float | None, exclude_self: bool):
+def _cell(k: int | None, least: float | None, exclude_self: bool, ties: bool = False):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         qs, ls, ids, sims = [], [], [], []
         if len(data) and len(queries):
@@ -45,7 +45,8 @@ def _cell(k: int | None, least: float | None, exclude_self: bool):
                     if k is not None and len(pick) > k:
                         cut = np.partition(row[pick], len(pick) - k)[len(pick) - k]
                         pick = pick[row[pick] >= cut]
-                    pick = pick[np.lexsort((own[pick], -row[pick]))][:k]
+                    if not ties:
+                        pick = pick[np.lexsort((own[pick], -row[pick]))][:k]
                     qs.append(np.full(len(pick), qid[i]))
                     ls += [names[i]] * len(pick)
                     ids.append(own[pick])
@@ -73,12 +74,15 @@ def _shape(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias(key), F.col("v").cast("array<double>").alias("v"), (F.col("scope").cast("string") if "scope" in cols else F.lit(None).cast("string")).alias("scope"), *extra)
 
 
-def topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+def topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, ties: bool = False) -> DataFrame:
     """(qid, list, id, sim, rank): queries (qid, v[, scope][, list]), corpus (id, v[, scope]).
 
-    A query with a scope sees only the corpus rows of that scope (pre-filter); one without sees all.
+    A query with a scope sees only the corpus rows of that scope (pre-filter); one without sees all. With
+    ``ties`` all rows as similar as the k-th are in, and equals share a rank.
     """
-    found = _cells(_shape(corpus, "id"), _shape(queries, "qid"), _cell(k, None, exclude_self))
+    found = _cells(_shape(corpus, "id"), _shape(queries, "qid"), _cell(k, None, exclude_self, ties))
+    if ties:
+        return found.withColumn("rank", F.rank().over(Window.partitionBy("qid", "list").orderBy(F.desc("sim")))).where(F.col("rank") <= k)
     w = Window.partitionBy("qid", "list").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

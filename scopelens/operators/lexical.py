@@ -11,32 +11,63 @@ from ..functions.text import keywords, occurrences, tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf): counts of terms by document, pre-aggregated where the documents are."""
-    return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Rows up to which a side is broadcast; it is counted first.
+SMALL_ROWS = 200_000
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, scope: str | None = None) -> DataFrame:
-    """(item_id, doc_id, score, rank) of documents that score above 0; idf over the whole corpus, scope applied after.
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows; otherwise the join shuffles."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def postings(docs: DataFrame, key: str, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf): counts of terms by document, pre-aggregated where the documents are; of ``terms`` (term) only, if given."""
+    flat = docs.select(key, F.explode(tokens(text)).alias("term"))
+    if terms is not None:
+        flat = flat.join(small(terms), "term", "left_semi")
+    return flat.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def corpus_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df), and under a null term the documents, with ``dl`` their words and ``with_text`` how many have a text."""
+    w = tokens(text)
+    kind = "array<struct<term:string,dl:int>>"
+    terms = F.coalesce(F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("term"), F.lit(None).cast("int").alias("dl"))), F.array().cast(kind))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.when(F.col(text).isNotNull(), F.size(w)).alias("dl")))
+    flat = docs.select(F.explode(F.concat(terms, whole)).alias("x")).select("x.*")
+    return flat.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"), F.count("dl").alias("with_text"))
+
 
-    Only terms of queries are joined, so the postings of other terms end at the join.
+def bm25_scores(queries: DataFrame, docs: DataFrame, scope: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(item_id, doc_id, score) of documents that score above 0; idf over the whole corpus, scope applied after.
+
+    The corpus is read twice: once for the frequency of every term, counted where the documents are, and once
+    for the postings of the queries' terms, which carry their document's length; no other posting is shuffled.
+    ``asked`` (item_id, term, qtf) replaces the queries' own terms.
     """
-    post = postings(docs, "doc_id")
-    length = docs.select("doc_id", F.size(tokens("text")).alias("dl"))
+    known = corpus_terms(docs)
     # One row: document count and mean length.
-    stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    stats = known.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("with_text")).alias("avgdl"))
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = known.where("term IS NOT NULL").select("term", "df").crossJoin(F.broadcast(stats)).select("term", raw.alias("raw"), "avgdl")
     mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("item_id", F.explode(tokens("text")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
-    hits = asked.join(post, "term").join(idf, "term").join(length, "doc_id").crossJoin(F.broadcast(stats.select("avgdl")))
+    idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    asked = postings(queries, "item_id").withColumnRenamed("tf", "qtf") if asked is None else asked
+    terms = small(asked.select("term").distinct())
+    w = tokens("text")
+    post = docs.select("doc_id", F.size(w).alias("dl"), F.explode(w).alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = post.join(small(asked.join(idf, "term")), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     if scope is not None:
         wanted = queries.select("item_id", F.col(scope).alias("_want"))
         scored = scored.join(docs.select("doc_id", F.col(scope).alias("_has")), "doc_id").join(wanted, "item_id").where("_want = _has").drop("_want", "_has")
-    return ranked(scored, "item_id", "doc_id", k)
+    return scored
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, scope: str | None = None) -> DataFrame:
+    """(item_id, doc_id, score, rank) of each query's k best documents."""
+    return ranked(bm25_scores(queries, docs, scope), "item_id", "doc_id", k)
 
 
 def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
@@ -44,12 +75,12 @@ def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def tfidf_weights(docs: DataFrame, key: str) -> DataFrame:
-    """(key, term, w): sublinear tf times idf, a stand-in for learned sparse weights."""
-    post = postings(docs, key)
+def tfidf_weights(docs: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, w): sublinear tf times idf, a stand-in for learned sparse weights; of ``terms`` only, if given."""
+    post = postings(docs, key, terms=terms)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    return post.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
+    return post.join(small(df) if terms is not None else df, "term").crossJoin(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
 
 
 def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int) -> DataFrame:

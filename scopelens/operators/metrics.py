@@ -67,3 +67,11 @@ def token_f1(pairs: DataFrame, key: list[str], prediction: str, gold: str) -> Da
     prec, rec = c / F.col("np"), c / F.col("ng")
     f1 = F.when((F.col("np") == 0) | (F.col("ng") == 0), (F.col("np") == F.col("ng")).cast("double")).when(c == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))
     return n.join(common, key, "left").select(*key, F.round(f1, 6).alias("f1"))
+
+
+def ladder_hit(ids: Column, titles: Column, gold_id: Column, gold_title: Column, k: Column) -> Column:
+    """Whether the first k hold the gold id, or, for rows without one, the gold title in normal form; null without either."""
+    plain = lambda c: F.lower(F.trim(c))
+    return F.when(gold_id.isNotNull(), F.coalesce(F.array_contains(F.slice(ids, F.lit(1), k), gold_id), F.lit(False)).cast("int")).when(
+        gold_title.isNotNull(), F.coalesce(F.exists(F.slice(titles, F.lit(1), k), lambda x: plain(F.coalesce(x, F.lit(""))) == plain(gold_title)), F.lit(False)).cast("int")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,16 @@ def mcnemar_exact(b: int, c: int) -> float:
     return min(1.0, 2 * tail)
 
 
+def mcnemar_p(b: str, c: str) -> Column:
+    """``mcnemar_exact`` of two columns of counts, in batches."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([mcnemar_exact(int(i), int(j)) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return p(b, c)
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p: tables with the same margins that are no more probable."""
     r1, r2, k = a + b, c + d, a + c

@@ -189,10 +189,10 @@ _PLAIN = "replace(replace(replace(lower({}), '_', ' '), '%20', ' '), '-', ' ')"
 _CATS = [(label, [k.replace("-", " ") for k in keys]) for label, keys in rules.URL_CATEGORIES]
 
 
-@query(f"SELECT page_id, coalesce({_contents_sql(_PLAIN.format(_PATH.format('url')), _CATS)}, {_contents_sql(_PLAIN.format('left(html, 2000)'), _CATS)}, 'General') AS category FROM pages")
+@query(f"SELECT page_id, coalesce({_contents_sql(_PLAIN.format(_PATH.format('url')), _CATS)}, {_contents_sql(_PLAIN.format('html'), _CATS)}, 'General') AS category FROM pages")
 def url_taxonomy(t: Tables) -> DataFrame:
-    """By the URL; failing that by what the page begins with, which stands for the page that linked it."""
-    return t.pages.select("page_id", rules.url_category(F.col("url"), F.lit(""), F.concat(F.lit("x://h"), F.regexp_replace(F.substring("html", 1, 2000), "[?#]", ""))).alias("category"))
+    """By the URL; failing that by the page, which stands for the page that linked it."""
+    return t.pages.select("page_id", rules.url_category(F.col("url"), F.lit(""), F.concat(F.lit("x://h"), F.regexp_replace("html", "[?#]", ""))).alias("category"))
 
 
 @query(f"SELECT doc_id, coalesce({_contents_sql('lower(source || chr(32) || chr(32) || text)', rules.SERIES)}, 'General') AS series FROM documents")
@@ -389,9 +389,10 @@ def intersection_docs(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'fr'").select("doc_id").intersect(t.labels.select("doc_id"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct_ordered, ' ') AS words FROM (SELECT doc_id, list_transform(list_filter(list_transform(w, lambda x, i: {'x': x, 'i': i, 'f': list_position(w, x)}), lambda s: s.i = s.f), lambda s: s.x) AS list_distinct_ordered FROM (SELECT doc_id, string_split(left(text, 200), ' ') AS w FROM documents))")
+@query("WITH w AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)), f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY doc_id, x) SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id")
 def ordered_distinct(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 200), " ")), " ").alias("words"))
+    """Each text's words once, in the order of their first places."""
+    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @query("SELECT lang AS scope, 'search_' || lang AS tool, count(*) AS docs FROM documents GROUP BY lang")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import lexical, metrics
-from ..operators.sampling import by_hash, stratified_by_hash
+from ..operators.sampling import stratified_by_hash
 from .registry import Tables, query
 from .retrieval import BM25
 
@@ -197,6 +197,25 @@ def failure_cases(t: Tables) -> DataFrame:
     return x.select("item_id", F.round("d", 6).alias("gap")).orderBy(F.desc("gap"), "item_id").limit(20)
 
 
+LADDER = f"""{RUN}, gc AS (SELECT item_id, min(doc_id) AS chunk FROM g GROUP BY item_id), u AS (SELECT b.item_id, gc.chunk, CASE WHEN b.item_id % 3 <> 0 THEN ' SRC' || (b.item_id % 20) || ' ' END AS title FROM benchmark b LEFT JOIN gc USING (item_id))"""
+
+
+@query(
+    f"""WITH {LADDER}, x AS (SELECT item_id, rank, doc_id, lower(trim(source)) AS source FROM br JOIN documents USING (doc_id) WHERE rank <= 15)
+SELECT u.item_id, k, CASE WHEN chunk IS NOT NULL THEN (count(*) FILTER (x.rank <= k AND x.doc_id = chunk) > 0)::INT WHEN title IS NOT NULL THEN (count(*) FILTER (x.rank <= k AND x.source = lower(trim(title))) > 0)::INT END AS hit
+FROM u CROSS JOIN (VALUES (3), (5), (10), (15)) AS v(k) LEFT JOIN x ON x.item_id = u.item_id GROUP BY u.item_id, k, chunk, title"""
+)
+def gold_field_ladder(t: Tables) -> DataFrame:
+    """Hits at k by the first gold field that a query has: the gold chunk, else the gold title, else none."""
+    chunk = gold(t).groupBy("item_id").agg(F.min("doc_id").alias("gold_id"))
+    title = F.when(F.col("item_id") % 3 != 0, F.concat(F.lit(" SRC"), F.col("item_id") % 20, F.lit(" ")))
+    asked = t.benchmark.select("item_id", title.alias("gold_title")).join(chunk, "item_id", "left")
+    found = lexical.bm25_topk(t.benchmark, t.spread("documents"), 15).join(t.documents.select("doc_id", "source"), "doc_id")
+    lists = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "source"))).alias("x"))
+    j = asked.join(lists, "item_id", "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (3, 5, 10, 15)])))
+    return j.select("item_id", "k", metrics.ladder_hit(F.col("x.doc_id"), F.col("x.source"), F.col("gold_id"), F.col("gold_title"), F.col("k")).alias("hit"))
+
+
 GROWTH = f"""{RUN}, h AS (SELECT doc_id, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || doc_id), doc_id) AS n FROM documents, (VALUES (1), (2), (3)) AS s(seed) WHERE doc_id NOT IN (SELECT doc_id FROM g)),
 ng AS (SELECT count(DISTINCT doc_id) AS ng FROM g), keep AS (SELECT size, seed, doc_id FROM h, ng, (VALUES (100), (400)) AS z(size) WHERE n <= size - ng UNION ALL SELECT size, seed, doc_id FROM (SELECT DISTINCT doc_id FROM g), (VALUES (100), (400)) AS z(size), (VALUES (1), (2), (3)) AS s(seed)),
 k AS (SELECT size, seed, b.item_id, b.doc_id, row_number() OVER (PARTITION BY size, seed, b.item_id ORDER BY score DESC, b.doc_id) AS rank FROM b JOIN keep USING (doc_id)),
@@ -209,8 +228,13 @@ def keep_sets(t: Tables, sizes: tuple[int, ...] = (100, 400), seeds: tuple[int,
     pinned = gold(t).select("doc_id").distinct()
     others = t.documents.select("doc_id").join(pinned, "doc_id", "left_anti")
     n = pinned.count()
-    draw = lambda size, seed: by_hash(others, max(size - n, 0), "doc_id", str(seed)).union(pinned).select(F.lit(size).alias("size"), F.lit(seed).alias("seed"), "doc_id")
-    return reduce(DataFrame.union, [draw(z, s) for z in sizes for s in seeds])
+    # One pass draws all seeds; a smaller set is the beginning of a larger one of its seed.
+    drawn = others.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    w = Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", "seed", "doc_id")), "doc_id")
+    place = drawn.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(max(sizes) - n, 0))
+    size = F.explode(F.array(*[F.lit(z) for z in sizes])).alias("size")
+    filled = place.select(size, "seed", "doc_id", "n").where(F.col("n") <= F.col("size") - n).select("size", "seed", "doc_id")
+    return filled.union(pinned.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).select(size, "seed", "doc_id"))
 
 
 @query(f"WITH {GROWTH} SELECT size, seed, count(*) AS docs FROM keep GROUP BY size, seed")
@@ -221,7 +245,7 @@ def pinned_subset_hash(t: Tables) -> DataFrame:
 @query(f"WITH {GROWTH} SELECT size, round(avg(p), 6)::DOUBLE AS p, round(stddev_samp(p), 6) AS sd_p, round(avg(hit), 6) AS hit FROM m GROUP BY size")
 def corpus_growth_curve(t: Tables) -> DataFrame:
     """Precision at 10 as the corpus grows: mean over seeds of means over queries, and the seeds' standard deviation."""
-    scored = lexical.bm25_topk(t.benchmark, t.spread("documents"), 1 << 30).select("item_id", "doc_id", "score")
+    scored = lexical.bm25_scores(t.benchmark, t.spread("documents"))
     r = keep_sets(t).join(scored, "doc_id")
     w = Window.partitionBy("size", "seed", "item_id").orderBy(F.desc("score"), "doc_id")
     top = r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")

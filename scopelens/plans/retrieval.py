@@ -268,9 +268,11 @@ def late_interaction_topk(t: Tables) -> DataFrame:
     """Each vector read as eight token vectors: per query token the best document token, summed. One query per label."""
     v = vectors(t)
     cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.slice(c, j * 8 + 1, F.lit(8)))
-    first = v.groupBy("label").agg(F.min_by("v", "id").alias("q"))  # ten labels: a bounded side
+    # Every shard of the vectors meets every query.
+    shards = max(1, t.spark.sparkContext.defaultParallelism)
+    first = v.groupBy("label").agg(F.min_by("v", "id").alias("q")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     best = lambda q, d: F.aggregate(cut(q), F.lit(0.0), lambda s, a: s + F.array_max(F.transform(cut(d), lambda b: dot(a, b))))
-    s = v.select("id", "v").crossJoin(F.broadcast(first.limit(1000))).select("label", "id", F.round(best(F.col("q"), F.col("v")), 6).alias("score"))
+    s = v.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).join(first, "shard").select("label", "id", F.round(best(F.col("q"), F.col("v")), 6).alias("score"))
     return lexical.ranked(s, "label", "id", 10).select("label", "id", "score", F.col("rank").cast("bigint"))
 
 
@@ -299,7 +301,8 @@ sp AS (SELECT item_id, doc_id, round(sum(qw.w * dw.w), 6) AS score FROM qw JOIN
 
 
 def sparse_found(t: Tables, k: int) -> DataFrame:
-    return lexical.sparse_topk(lexical.tfidf_weights(t.benchmark, "item_id"), lexical.tfidf_weights(t.spread("documents"), "doc_id"), k)
+    q = lexical.tfidf_weights(t.benchmark, "item_id")
+    return lexical.sparse_topk(q, lexical.tfidf_weights(t.spread("documents"), "doc_id", terms=q.select("term").distinct()), k)
 
 
 @query(f"WITH {TFIDF} SELECT item_id, doc_id, score, rank FROM sr WHERE rank <= 10")
@@ -319,6 +322,19 @@ STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 KEYWORDS = f"SELECT item_id, list_filter(string_split_regex(trim(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2 AND lower(w) NOT IN ({STOP}))[1:8] AS kw FROM benchmark"
 
 
+@query(
+    f"""WITH {BM25.replace("SELECT item_id, unnest(regexp_extract_all(lower(text), '" + tx.TOKEN + "')) AS term FROM benchmark", f"SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(kw, ' ')), '{tx.TOKEN}')) AS term FROM ({KEYWORDS})")},
+o AS (SELECT b.item_id, b.doc_id, b.score, row_number() OVER (PARTITION BY b.item_id ORDER BY score DESC, b.doc_id) AS rank FROM b JOIN documents d USING (doc_id) WHERE d.source = 'src' || (b.item_id % 20) AND (b.item_id % 2 = 1 OR b.doc_id % 5 = b.item_id % 5)) SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10"""
+)
+def fulltext_scoped_year(t: Tables) -> DataFrame:
+    """Full-text search with the sanitised query (its keywords), within a scope and, for every other query, a year; ids stand for years."""
+    asked = t.benchmark.select("item_id", F.explode(tx.tokens(F.array_join(tx.keywords("text"), " "))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
+    scored = lexical.bm25_scores(t.benchmark, t.spread("documents"), asked=asked)
+    wanted = t.benchmark.select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.when(F.col("item_id") % 2 == 0, F.col("item_id") % 5).alias("year"))
+    j = scored.join(t.documents.select("doc_id", "source", (F.col("doc_id") % 5).alias("has")), "doc_id").join(wanted, ["item_id", "source"]).where(F.col("year").isNull() | (F.col("has") == F.col("year")))
+    return lexical.ranked(j.select("item_id", "doc_id", "score"), "item_id", "doc_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(f"SELECT item_id, array_to_string(kw, ' ') AS keywords, len(kw) AS n FROM ({KEYWORDS})")
 def keyword_extract(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", tx.keywords("text").alias("kw")).select("item_id", F.array_join("kw", " ").alias("keywords"), F.size("kw").cast("bigint").alias("n"))
@@ -341,5 +357,5 @@ def hybrid_merge_topk(t: Tables) -> DataFrame:
     """The first list, then what the second adds, cut to 15."""
     first = lexical.bm25_topk(t.benchmark, t.spread("documents"), 10).select("item_id", "doc_id", "rank")
     q = lexical.postings(t.benchmark, "item_id").withColumnRenamed("tf", "qtf")
-    raw = q.join(lexical.postings(t.spread("documents"), "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
+    raw = lexical.postings(t.spread("documents"), "doc_id", terms=q.select("term").distinct()).join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
     return hybrid_merge([first, lexical.ranked(raw, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")], 15)

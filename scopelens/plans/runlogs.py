@@ -102,11 +102,13 @@ def mcnemar_counts(t: Tables) -> DataFrame:
     return j.groupBy("source").agg(n("quality = 1 AND toxic = 0").alias("b"), n("quality = 0 AND toxic = 1").alias("c"))
 
 
-@query()
+MCNEMAR = "SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c FROM labels JOIN documents USING (doc_id) GROUP BY source"
+
+
+@query(f"WITH d AS ({MCNEMAR}) SELECT source, b, c, round(least(1.0, 2 * list_sum(list_transform(generate_series(0, least(b, c)), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) AS p FROM d")
 def mcnemar_exact_p(t: Tables) -> DataFrame:
-    """Exact p of each source's discordant pairs; one row per source is summarised on the driver."""
-    rows = mcnemar_counts(t).orderBy("source").collect()
-    return t.spark.createDataFrame([(r.source, r.b, r.c, st.mcnemar_exact(r.b, r.c)) for r in rows], "source string, b bigint, c bigint, p double")
+    """Exact two-sided p of each source's discordant pairs."""
+    return mcnemar_counts(t).withColumn("p", F.round(st.mcnemar_p("b", "c"), 6))
 
 
 P = "p AS (SELECT source, lang, round(avg(CASE WHEN contains(text, 'th') THEN 1.0 ELSE 0.0 END) * 0.05 + count(*) / 10000.0, 9)::DOUBLE AS p FROM documents GROUP BY ALL)"
@@ -150,10 +152,38 @@ def contingency_2x2(t: Tables) -> DataFrame:
     return t.labels.agg(n(1, 1).alias("n11"), n(1, 0).alias("n10"), n(0, 1).alias("n01"), n(0, 0).alias("n00"), given(1).alias("given_1"), given(0).alias("given_0"))
 
 
-@query()
+FISHER = """n AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n11, count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 0 AND toxic = 1) AS n01, count(*) FILTER (quality = 0 AND toxic = 0) AS n00 FROM labels),
+x AS (SELECT *, n11 + n10 AS r1, n01 + n00 AS r2, n11 + n01 AS k FROM n), q AS (SELECT x.*, unnest(generate_series(greatest(0, k - r2), least(k, r1))) AS i FROM x),
+p AS (SELECT *, exp(lgamma(r1 + 1) - lgamma(i + 1) - lgamma(r1 - i + 1) + lgamma(r2 + 1) - lgamma(k - i + 1) - lgamma(r2 - k + i + 1) - lgamma(r1 + r2 + 1) + lgamma(k + 1) + lgamma(r1 + r2 - k + 1)) AS p FROM q)"""
+
+
+@query(f"WITH {FISHER} SELECT n11, n10, n01, n00, round(least(1.0, sum(p) FILTER (p <= here * (1 + 1e-7))), 6) AS p FROM (SELECT *, max(p) FILTER (i = n11) OVER () AS here FROM p) GROUP BY n11, n10, n01, n00")
 def fisher_exact_p(t: Tables) -> DataFrame:
     r = contingency_2x2(t).first()
-    return t.spark.createDataFrame([(r.n11, r.n10, r.n01, r.n00, st.fisher_exact(r.n11, r.n10, r.n01, r.n00))], "n11 bigint, n10 bigint, n01 bigint, n00 bigint, p double")
+    return t.spark.createDataFrame([(r.n11, r.n10, r.n01, r.n00, round(st.fisher_exact(r.n11, r.n10, r.n01, r.n00), 6))], "n11 bigint, n10 bigint, n01 bigint, n00 bigint, p double")
+
+
+RHO = f"{TREND}, rho AS (SELECT query, round(corr(rx, ry), 9) AS rho FROM k GROUP BY query HAVING count(*) >= 3 AND count(DISTINCT ry) > 1)"
+
+
+@query(
+    f"""WITH {RHO}, z AS (SELECT *, rank() OVER (ORDER BY abs(rho)) + (count(*) OVER (PARTITION BY abs(rho)) - 1) / 2.0 AS rk FROM rho WHERE rho <> 0),
+w AS (SELECT coalesce(sum(rk) FILTER (rho > 0), 0)::DOUBLE AS w_plus, coalesce(sum(rk) FILTER (rho < 0), 0)::DOUBLE AS w_minus FROM z), s AS (SELECT regr_slope(y, ln(1 + date_diff('day', TIMESTAMP '2000-01-01', x))) AS slope FROM b)
+SELECT count(*) AS queries, round(quantile_cont(rho, 0.5), 6) AS median_rho, round(avg((rho < 0)::INT), 6) AS negative, round(any_value(w_plus), 3) AS w_plus, round(any_value(w_minus), 3) AS w_minus, round(any_value(slope), 4) AS slope FROM rho, w, s"""
+)
+def trend_over_queries(t: Tables) -> DataFrame:
+    """The trend test: per-query rhos, their median and sign, the signed rank sums, and the pooled slope on a log scale."""
+    b = t.events.groupBy(F.col("user_id").alias("query"), F.date_trunc("day", "ts").alias("x")).agg(F.round(F.avg("value"), 9).alias("y"))
+    k = b.select("query", st.average_rank("x", "query").alias("rx"), st.average_rank("y", "query").alias("ry"))
+    rho = k.groupBy("query").agg(F.count("*").alias("n"), F.count_distinct("ry").alias("kinds"), F.round(F.corr("rx", "ry"), 9).alias("rho")).where("n >= 3 AND kinds > 1").select("query", "rho")
+    c = rho.where("rho <> 0").groupBy(F.abs("rho").alias("m")).agg(F.count("*").alias("n"), F.sum((F.col("rho") > 0).cast("bigint")).alias("plus"))
+    # Ranks come from counts by distinct size of rho: one row per distinct value.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = c.withColumn("rank", before + (F.col("n") + 1) / 2.0).agg(F.coalesce(F.sum(F.col("plus") * F.col("rank")), F.lit(0.0)).alias("p"), F.coalesce(F.sum((F.col("n") - F.col("plus")) * F.col("rank")), F.lit(0.0)).alias("m"))
+    days = F.log(1 + F.datediff("x", F.lit("2000-01-01").cast("date")))
+    s = b.agg(F.regr_slope(F.col("y"), days).alias("slope"))
+    one = rho.agg(F.count("*").alias("queries"), F.round(F.percentile("rho", F.lit(0.5)), 6).alias("median_rho"), F.round(F.avg((F.col("rho") < 0).cast("int")), 6).alias("negative"))
+    return one.crossJoin(w).crossJoin(s).select("queries", "median_rho", "negative", F.round("p", 3).alias("w_plus"), F.round("m", 3).alias("w_minus"), F.round("slope", 4).alias("slope"))
 
 
 @query()
@@ -299,21 +329,21 @@ def left_join_deltas(t: Tables) -> DataFrame:
     return b.join(r, ["source", "lang"], "left").select("source", "lang", F.round("b", 6).alias("base"), F.round("r", 6).alias("rerank"), F.round(F.col("r") - F.col("b"), 6).alias("delta"), F.when(F.col("r").isNull(), "---").otherwise(cell).alias("cell"))
 
 
-@query("WITH a AS (SELECT user_id AS query, list(event_id ORDER BY event_id)[1:5] AS ids FROM events GROUP BY user_id), x AS (SELECT query, unnest(ids) AS doc, generate_subscripts(ids, 1) AS pos FROM a) SELECT query, string_agg(coalesce(left(d.text, 20), '(missing)'), '|' ORDER BY pos) AS context FROM x LEFT JOIN documents d ON d.doc_id = x.doc * 3 GROUP BY query")
+@query("WITH a AS (SELECT user_id AS query, list(event_id ORDER BY event_id)[1:5] AS ids FROM events GROUP BY user_id), x AS (SELECT query, unnest(ids) AS doc, generate_subscripts(ids, 1) AS pos FROM a) SELECT query, string_agg(coalesce(d.text, '(missing)'), '|' ORDER BY pos) AS context FROM x LEFT JOIN documents d ON d.doc_id = x.doc * 3 GROUP BY query")
 def ordered_context_join(t: Tables) -> DataFrame:
     """A run's list of ids to texts in the list's order; ids without a text read (missing)."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     x = t.events.select("user_id", "event_id").withColumn("pos", F.row_number().over(w)).where("pos <= 5")
-    d = t.documents.select(F.col("doc_id").alias("_id"), F.substring("text", 1, 20).alias("s"))
+    d = t.documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("s"))
     j = x.join(d, F.col("event_id") * 3 == F.col("_id"), "left")
     g = j.groupBy(F.col("user_id").alias("query")).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("s", F.lit("(missing)")).alias("s")))).alias("x"))
     return g.select("query", F.array_join(F.col("x.s"), "|").alias("context"))
 
 
-@query("SELECT doc_id, i AS pos, coalesce(w[i], '(none)') AS word, coalesce(s[i], '(none)') AS sentence FROM (SELECT doc_id, string_split(left(text, 40), ' ') AS w, list_transform(string_split(left(text, 160), '.'), lambda x: left(x, 10)) AS s FROM documents), LATERAL (SELECT unnest(generate_series(1, greatest(len(w), len(s)))) AS i)")
+@query("SELECT doc_id, i AS pos, coalesce(w[i], '(none)') AS word, coalesce(s[i], '(none)') AS sentence FROM (SELECT doc_id, string_split(text, ' ') AS w, string_split(text, '.') AS s FROM documents), LATERAL (SELECT unnest(generate_series(1, greatest(len(w), len(s)))) AS i)")
 def ragged_zip(t: Tables) -> DataFrame:
     """Arrays of different lengths side by side, gaps filled."""
-    d = t.documents.select("doc_id", F.split(F.substring("text", 1, 40), " ").alias("w"), F.transform(F.split(F.substring("text", 1, 160), "[.]"), lambda x: F.substring(x, 1, 10)).alias("s"))
+    d = t.documents.select("doc_id", F.split("text", " ").alias("w"), F.split("text", "[.]").alias("s"))
     z = d.select("doc_id", F.posexplode(F.arrays_zip("w", "s")).alias("i", "z"))
     return z.select("doc_id", (F.col("i") + 1).cast("bigint").alias("pos"), F.coalesce("z.w", F.lit("(none)")).alias("word"), F.coalesce("z.s", F.lit("(none)")).alias("sentence"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from .corpus import TOPICS, _topic_sql
 from .registry import Tables, query
 from .retrieval import BM25, KNN, SCOPED, as_queries, neighbours, route, vectors
 
+#: Terms of the routing classifier: a parameter of the model, as its layers would be.
+VOCABULARY = 1 << 18
+
 # --- routing policies and systems
 
 
@@ -39,11 +44,34 @@ def regex_scoped_system(t: Tables) -> DataFrame:
     """The first rule that matches a query names its scope; queries without one see all documents."""
     q = t.benchmark.withColumn("route", tx.first_match(F.col("text"), TOPICS, "general"))
     d = t.documents.withColumn("topic", tx.first_match(F.col("text"), TOPICS, "general")).select("doc_id", "topic")
-    all_ = lexical.bm25_topk(t.benchmark, t.spread("documents"), 1 << 30).select("item_id", "doc_id", "score")
-    ok = all_.join(q.select("item_id", "route"), "item_id").join(d, "doc_id").where("route = 'general' OR route = topic")
+    ok = lexical.bm25_scores(t.benchmark, t.spread("documents")).join(q.select("item_id", "route"), "item_id").join(d, "doc_id").where("route = 'general' OR route = topic")
     return lexical.ranked(ok, "item_id", "doc_id", 15).select("item_id", "route", "doc_id", F.col("rank").cast("bigint"))
 
 
+REGEX = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{v}'" for p, v in TOPICS[:3]) + " END"
+
+
+@query(
+    f"""WITH {BM25}, a AS (SELECT item_id, {REGEX} AS regex, lower(list_last(string_split(trim(text), chr(10)))) AS answer FROM benchmark),
+rt AS (SELECT item_id, CASE WHEN regex IS NOT NULL THEN 'regex' ELSE 'llm' END AS decision, coalesce(regex, CASE WHEN answer IN ('common', 'licence', 'numbers', 'table') THEN answer WHEN contains(answer, 'licence') THEN 'licence' WHEN contains(answer, 'numbers') THEN 'numbers' WHEN contains(answer, 'common') THEN 'common' WHEN contains(answer, 'table') THEN 'table' WHEN contains(answer, 'th') THEN 'common' ELSE 'general' END) AS route FROM a),
+dt AS (SELECT doc_id, {_topic_sql('text')} AS topic FROM documents),
+s AS (SELECT b.item_id, b.doc_id, rt.route, rt.decision, row_number() OVER (PARTITION BY b.item_id ORDER BY score DESC, b.doc_id) AS rank FROM b JOIN rt USING (item_id) JOIN dt USING (doc_id) WHERE rt.route = 'general' OR rt.route = dt.topic) SELECT item_id, decision, route, doc_id, rank FROM s WHERE rank <= 15"""
+)
+def hybrid_routed_system(t: Tables) -> DataFrame:
+    """Rules first; queries that no rule matches ask a model, whose answer is parsed against the catalog; then scoped search.
+
+    The model is a stand-in that answers with the prompt's last line; ``th`` in an answer stands for the scope common.
+    """
+    q = t.benchmark.select("item_id", "text", tx.first_match(F.col("text"), TOPICS[:3]).alias("regex"))
+    asked = systems.generate(q.where("regex IS NULL").select("item_id", "text"), "text")
+    named = parsing.named_route(F.col("answer"), sorted(v for _, v in TOPICS), default="")
+    llm = F.when(named != "", named).when(F.lower("answer").contains("th"), "common").otherwise("general")
+    routed = asked.select("item_id", F.lit("llm").alias("decision"), llm.alias("route")).union(q.where("regex IS NOT NULL").select("item_id", F.lit("regex"), "regex"))
+    d = t.documents.select("doc_id", tx.first_match(F.col("text"), TOPICS, "general").alias("topic"))
+    ok = lexical.bm25_scores(t.benchmark, t.spread("documents")).join(routed, "item_id").join(d, "doc_id").where("route = 'general' OR route = topic")
+    return lexical.ranked(ok, "item_id", "doc_id", 15).select("item_id", "decision", "route", "doc_id", F.col("rank").cast("bigint"))
+
+
 @query(f"WITH {SCOPED} SELECT qid, l::VARCHAR AS scope, id, srank AS rank FROM p WHERE l = ql AND srank <= 15 AND ql <> 0 UNION ALL SELECT qid, 'global', id, rank FROM r WHERE ql = 0 AND rank <= 15")
 def oracle_scoped_system(t: Tables) -> DataFrame:
     """The true scope is searched; the catch-all scope 0 means all."""
@@ -54,10 +82,11 @@ def oracle_scoped_system(t: Tables) -> DataFrame:
 
 @query()
 def trained_routed_system(t: Tables) -> DataFrame:
-    """A linear probe routes each vector, with its confidence; the scope it names is searched."""
-    v = vectors(t).withColumn("x", array_to_vector("v"))
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20, regParam=0.1).fit(v)
-    p = model.transform(v).select("id", "v", F.col("prediction").cast("int").cast("string").alias("scope"), F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))
+    """A linear probe that was fitted on the other half routes each vector, with its confidence; the scope it names is searched."""
+    v = vectors(t).withColumn("x", array_to_vector("v")).withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
+    probe = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20, regParam=0.1)
+    one, two = (probe.fit(v.where(F.col("half") != k)).transform(v.where(F.col("half") == k)) for k in (0, 1))
+    p = one.union(two).select("id", "v", F.col("prediction").cast("int").cast("string").alias("scope"), F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))
     corpus = v.withColumn("scope", F.col("label").cast("string"))
     found = dense.topk(p.withColumnRenamed("id", "qid"), corpus, 15, exclude_self=True)
     return found.join(p.select(F.col("id").alias("qid"), "scope", "confidence"), "qid").select("qid", "scope", "confidence", "id", "rank")
@@ -96,45 +125,64 @@ def tiered_depth_retrieval(t: Tables) -> DataFrame:
     return systems.tiered(found.select("qid", "scope", "id", F.col("rank").cast("bigint").alias("rank")), tiers)
 
 
-@query()
+@query(
+    f"""WITH {BM25}, tk AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 1500)), '{tx.TOKEN}')) AS d FROM documents), tq AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS q FROM benchmark),
+c AS (SELECT item_id, doc_id, round(len(list_intersect(q, d)) / (len(q) + len(d) - len(list_intersect(q, d)))::DOUBLE, 6) AS score FROM br JOIN tk USING (doc_id) JOIN tq USING (item_id) WHERE rank <= 30),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c) SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10"""
+)
 def cross_encoder_rerank(t: Tables) -> DataFrame:
     """Thirty candidates rescored by a pluggable pair score (here: word overlap with the text's first 1500 characters), ten kept."""
     found = lexical.bm25_topk(t.benchmark, t.spread("documents"), 30)
     j = found.join(t.documents.select("doc_id", tx.tokens(F.substring("text", 1, 1500)).alias("d")), "doc_id").join(t.benchmark.select("item_id", tx.tokens("text").alias("q")), "item_id")
     score = F.size(F.array_intersect("q", "d")) / F.size(F.array_union("q", "d"))
-    return lexical.ranked(j.select("item_id", "doc_id", F.round(score, 6).alias("score")), "item_id", "doc_id", 10)
+    return lexical.ranked(j.select("item_id", "doc_id", F.round(score, 6).alias("score")), "item_id", "doc_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {KNN}, k AS (SELECT qid, 0::BIGINT AS rank, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT qid FROM r)
+UNION ALL SELECT k.qid, k.rank + 1, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.qid = r.id AND list_contains(k.kept, s.id) AND s.sim > 0.5) THEN k.kept ELSE list_append(k.kept, r.id) END FROM k JOIN r ON r.qid = k.qid AND r.rank = k.rank + 1 WHERE k.rank < 10)
+SELECT r.qid, r.id, r.rank FROM r JOIN (SELECT qid, unnest(kept) AS id FROM k WHERE rank = 10) USING (qid, id)"""
+)
 def greedy_near_dup_suppression(t: Tables) -> DataFrame:
+    """Of each query's ten nearest those that no nearer kept one resembles."""
     nb = neighbours(t, 10).select("qid", "id", F.col("rank").cast("bigint").alias("rank"))
     return systems.suppress_near_duplicates(nb.join(vectors(t).select("id", "v"), "id"), 0.5)
 
 
-@query()
+@query(
+    f"""WITH {BM25}, p AS (SELECT item_id, string_agg(text, chr(10) ORDER BY rank) AS prompt FROM br JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id)
+SELECT item_id, length(list_last(string_split(regexp_replace(prompt, '\\s+$', ''), chr(10)))) AS chars, NULL::VARCHAR AS error FROM p"""
+)
 def stub_answers(t: Tables) -> DataFrame:
-    """Context, prompt and pluggable generation, end to end with the stand-in model."""
-    ctx = lexical.bm25_topk(t.benchmark, t.spread("documents"), 3).join(t.documents.select("doc_id", F.substring("text", 1, 200).alias("s")), "doc_id")
+    """Context, prompt and pluggable generation, end to end with the stand-in model, which answers with the last line."""
+    ctx = lexical.bm25_topk(t.benchmark, t.spread("documents"), 3).join(t.documents.select("doc_id", F.col("text").alias("s")), "doc_id")
     p = ctx.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("x")).select("item_id", F.array_join(F.col("x.s"), "\n").alias("prompt"))
-    return systems.generate(p, "prompt").select("item_id", F.length("answer").alias("chars"), "error")
+    return systems.generate(p, "prompt").select("item_id", F.length("answer").cast("bigint").alias("chars"), "error")
 
 
 # --- parsing of model output
 
-REPLIES = [
-    (1, 'Sure. {"correctness": 1, "reason": "ok"} done', 'Action: search_docs\nAction Input: {"query": "x y"}'),
-    (2, "no json here", "Thought: nothing to do"),
-    (3, '{"correctness": "bad"}', "Action: lookup\nAction Input: plain words"),
-    (4, '[{"claim": "a", "supported": 1}, {"claim": "b", "supported": 0}, {"claim": "c", "supported":1}]', "finance_news\nbecause"),
-    (5, '<tool_call>{"name": "find", "arguments": {"q": "z"}}</tool_call> text <tool_call> {"name": "open"} </tool_call>', "I would ask finance or finance_news"),
-    (6, "<tool_call>oops</tool_call>", "unknown"),
-]
-_Q = lambda s: s.replace("'", "''").replace("\n", "' || chr(10) || '")
-RAW = "raw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{_Q(a)}', '{_Q(b)}')" for i, a, b in REPLIES) + ") AS v(id, a, b))"
+#: Every run's reply: a judgement, a tool call or neither (a), and a reasoning step or a route (b).
+RAW = """raw AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'Sure. {"correctness": ' || (event_id % 3) || ', "reason": "' || event_type || '"} done' WHEN 1 THEN 'no json in {"correctness": "' || event_type || '"}'
+WHEN 2 THEN '[{"claim": "a", "supported": ' || (event_id % 3 % 2) || '}, {"claim": "' || event_type || '", "supported":1}]' ELSE '<tool_call>{"name": "' || event_type || '", "arguments": ' || props || '}</tool_call> text <tool_call>oops</tool_call>' END AS a,
+CASE event_id % 3 WHEN 0 THEN 'Action: ' || event_type || chr(10) || 'Action Input: {"query": "' || event_type || ' ' || user_id || '"}' WHEN 1 THEN 'Action: lookup' || chr(10) || 'Action Input: plain ' || event_id ELSE CASE WHEN user_id % 2 = 0 THEN 'I would ask ' ELSE '' END || event_type || chr(10) || 'because' END AS b FROM events)"""
 
 
 def replies(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(REPLIES, "id int, a string, b string")
+    text, id_ = lambda s: F.lit(s), F.col("event_id")
+    kind = F.col("event_type")
+    a = (
+        F.when(id_ % 4 == 0, F.concat(text('Sure. {"correctness": '), id_ % 3, text(', "reason": "'), kind, text('"} done')))
+        .when(id_ % 4 == 1, F.concat(text('no json in {"correctness": "'), kind, text('"}')))
+        .when(id_ % 4 == 2, F.concat(text('[{"claim": "a", "supported": '), id_ % 3 % 2, text('}, {"claim": "'), kind, text('", "supported":1}]')))
+        .otherwise(F.concat(text('<tool_call>{"name": "'), kind, text('", "arguments": '), "props", text("}</tool_call> text <tool_call>oops</tool_call>")))
+    )
+    b = (
+        F.when(id_ % 3 == 0, F.concat(text("Action: "), kind, text('\nAction Input: {"query": "'), kind, text(" "), "user_id", text('"}')))
+        .when(id_ % 3 == 1, F.concat(text("Action: lookup\nAction Input: plain "), id_))
+        .otherwise(F.concat(F.when(F.col("user_id") % 2 == 0, "I would ask ").otherwise(""), kind, text("\nbecause")))
+    )
+    return t.events.select(id_.alias("id"), a.alias("a"), b.alias("b"))
 
 
 @query(f"WITH {RAW}, o AS (SELECT id, regexp_extract(a, '(\\{{[^{{}}]*\\}})', 1) AS j FROM raw) SELECT id, coalesce(CASE WHEN json_valid(nullif(j, '')) THEN TRY_CAST(json_extract_string(nullif(j, ''), '$.correctness') AS INT) END, 0) AS correctness FROM o")
@@ -158,9 +206,9 @@ def react_action_parse(t: Tables) -> DataFrame:
     return replies(t).select("id", parsing.action(F.col("b")).alias("x")).where("x IS NOT NULL").select("id", "x.tool", "x.input")
 
 
-@query(f"WITH {RAW}, h AS (SELECT id, b, lower(trim(split_part(b, chr(10), 1))) AS line FROM raw) SELECT id, CASE WHEN line IN ('finance', 'finance_news', 'law') THEN line WHEN contains(lower(b), 'finance_news') THEN 'finance_news' WHEN contains(lower(b), 'finance') THEN 'finance' WHEN contains(lower(b), 'law') THEN 'law' ELSE 'general' END AS route FROM h")
+@query(f"WITH {RAW}, h AS (SELECT id, b, lower(trim(split_part(b, chr(10), 1))) AS line FROM raw) SELECT id, CASE WHEN line IN ('click', 'purchase', 'view') THEN line WHEN contains(lower(b), 'purchase') THEN 'purchase' WHEN contains(lower(b), 'click') THEN 'click' WHEN contains(lower(b), 'view') THEN 'view' ELSE 'general' END AS route FROM h")
 def llm_route_parse(t: Tables) -> DataFrame:
-    return replies(t).select("id", parsing.named_route(F.col("b"), ["finance", "finance_news", "law"]).alias("route"))
+    return replies(t).select("id", parsing.named_route(F.col("b"), ["click", "purchase", "view"]).alias("route"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'licen') THEN 'licence' WHEN contains(lower(text), 'clown') THEN 'abuse' ELSE source END AS label FROM documents")
@@ -178,10 +226,12 @@ def answer_blob_repair(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(k.try_cast("int"), F.lit(-1)).alias("k"), origin.alias("origin"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, 'plain'), (3, 'c')) AS v(id, item)")
+@query("SELECT conv_id, turn, unnest(CASE turn % 3 WHEN 0 THEN [role, turn::VARCHAR] ELSE [role] END) AS item FROM conversations")
 def literal_list_parse(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([(1, "['a', 'b']"), (2, "plain"), (3, '["c"]')], "id int, s string")
-    return d.select("id", F.explode(parsing.literal_list(F.col("s"))).alias("item"))
+    """Lists written by hand, as Python or JSON, or a plain word, back to their items."""
+    role, turn = F.col("role"), F.col("turn")
+    s = F.when(turn % 3 == 0, F.concat(F.lit("['"), role, F.lit("', '"), turn, F.lit("']"))).when(turn % 3 == 1, role).otherwise(F.concat(F.lit('["'), role, F.lit('"]')))
+    return t.conversations.select("conv_id", "turn", F.explode(parsing.literal_list(s)).alias("item"))
 
 
 @query("SELECT source, item_id FROM (SELECT d.source, b.item_id, row_number() OVER (PARTITION BY d.source ORDER BY md5('q:' || b.item_id), b.item_id) AS n FROM benchmark b JOIN documents d ON d.doc_id = b.item_id) WHERE n <= 3")
@@ -288,13 +338,20 @@ def tfidf_router_cv(t: Tables) -> DataFrame:
     d = d.withColumn("fold", F.row_number().over(w) % 5)
     tok = RegexTokenizer(inputCol="text", outputCol="w", pattern="\\W+").transform(d)
     both = NGram(n=2, inputCol="w", outputCol="w2").transform(tok)
-    counts = CountVectorizer(inputCol="w", outputCol="c1", vocabSize=4000, minDF=2).fit(both).transform(both)
-    counts = CountVectorizer(inputCol="w2", outputCol="c2", vocabSize=4000, minDF=2).fit(counts).transform(counts)
-    x = VectorAssembler(inputCols=["c1", "c2"], outputCol="c").transform(counts)
-    x = IDF(inputCol="c", outputCol="x").fit(x).transform(x)
-    n = x.groupBy("label").agg(F.count("*").alias("m"))
-    x = x.join(n, "label").withColumn("weight", 1.0 / F.col("m")).select("label", "fold", "x", "weight").cache()
-    return scores_by_fold(x, LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=10, regParam=0.01).fit)
+    n = both.groupBy("label").agg(F.count("*").alias("m"))
+    grams = both.join(n, "label").select("label", "fold", F.concat("w", "w2").alias("g"), (1.0 / F.col("m")).alias("weight")).cache()
+    out = scores_by_fold(grams, fit_tfidf)
+    return out
+
+
+def fit_tfidf(train: DataFrame):
+    """Vocabulary, idf and classifier of the training folds alone; counts go in as 1 + ln(tf)."""
+    counts = CountVectorizer(inputCol="g", outputCol="c", vocabSize=VOCABULARY, minDF=2)
+    sublinear = SQLTransformer(statement="SELECT *, sublinear(c) AS tf FROM __THIS__")
+    damp = lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values))
+    train.sparkSession.udf.register("sublinear", damp, VectorUDT())
+    probe = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=10, regParam=0.01)
+    return Pipeline(stages=[counts, sublinear, IDF(inputCol="tf", outputCol="x"), probe]).fit(train)
 
 
 # --- theory of dilution
@@ -330,10 +387,11 @@ def extreme_value_curve(t: Tables) -> DataFrame:
 @query(f"WITH {KNN}, c AS (SELECT qid, min(sim) FILTER (rank <= 10) AS cut FROM r GROUP BY qid) SELECT CASE WHEN ql = l THEN 'same' WHEN l % 2 = ql % 2 THEN 'sibling' ELSE 'other' END AS population, count(*) AS n FROM r JOIN c USING (qid) WHERE sim >= cut GROUP BY ALL")
 def tail_composition(t: Tables) -> DataFrame:
     """Who lies at or above each query's tenth similarity: its label, a sibling label, others. Rows tied with the tenth count."""
-    nb = neighbours(t, 60)
-    cut = nb.where("rank <= 10").groupBy("qid").agg(F.min("sim").alias("cut"))
+    v = vectors(t)
+    found = dense.topk(as_queries(v), v, 10, exclude_self=True, ties=True)
+    nb = found.join(v.select("id", F.col("label").alias("l")), "id").join(v.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid")
     kind = F.when(F.col("ql") == F.col("l"), "same").when(F.col("l") % 2 == F.col("ql") % 2, "sibling").otherwise("other")
-    return nb.join(cut, "qid").where("sim >= cut").groupBy(kind.alias("population")).agg(F.count("*").alias("n"))
+    return nb.groupBy(kind.alias("population")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT vec_id, len(embedding)::DOUBLE AS dim FROM embeddings")
