@@ -53,10 +53,12 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, scope: str | None = None, a
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     asked = postings(queries, "item_id").withColumnRenamed("tf", "qtf") if asked is None else asked
-    terms = small(asked.select("term").distinct())
-    w = tokens("text")
-    post = docs.select("doc_id", F.size(w).alias("dl"), F.explode(w).alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    hits = post.join(small(asked.join(idf, "term")), "term")
+    few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS  # then what is joined with them has no more rows
+    light = F.broadcast if few else lambda df: df
+    # Lengths are made before the words are spread out, else every word's row would tokenise its text again.
+    words = docs.select("doc_id", tokens("text").alias("w")).withColumn("dl", F.size("w")).select("doc_id", "dl", F.explode("w").alias("term"))
+    post = words.join(light(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = post.join(light(asked.join(idf, "term")), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     if scope is not None:
