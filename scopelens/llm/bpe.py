@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from .common import steps, tune
 
-#: Slices that a worker remembers; past that it starts anew.
-CACHE = 250_000
+#: Slices that a worker remembers, and their bytes; past either it starts anew.
+CACHE, CACHE_BYTES = 250_000, 32 << 20
 #: Longer slices are merged one at a time with a heap, which takes n log n steps.
 LONG = 384
 _BLOCK = 64
@@ -168,6 +168,7 @@ class Vocabulary:
 
     def forget(self) -> None:
         self.seen: dict[bytes, int] = {}
+        self.held = 0
         self.pool, self.pool_n = np.zeros(1 << 20, np.uint32), 0
         self.at, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -237,7 +238,7 @@ class Vocabulary:
 
     def lookup(self, pieces: list[bytes]) -> np.ndarray:
         """The places of these distinct slices in the pool."""
-        if len(self.seen) > CACHE:
+        if len(self.seen) > CACHE or self.held > CACHE_BYTES:
             self.forget()
         get = self.seen.get
         out = [get(p, -1) for p in pieces]
@@ -264,6 +265,7 @@ class Vocabulary:
                 self.pool[self.pool_n : n] = ids
                 self.at[k : k + len(where)] = self.pool_n + np.cumsum(count) - count
                 self.count[k : k + len(where)] = count
+                self.held += sum(len(pieces[i]) for i in where)
                 for j, i in enumerate(where):
                     self.seen[pieces[i]] = out[i] = k + j
                 self.pool_n = n

@@ -10,7 +10,8 @@ turn or open another and reading back is exact. In roles, backslashes and line b
 
 Defined cases: a null text or role is empty; rows with a null conv_id are one conversation; a message whose parent is missing is a root; repeated rows of
 (conv_id, turn) are turns of their own, ordered by role and text; an empty table gives an empty result; other
-columns play no part. Ids must be unique within a conversation and links free of cycles.
+columns play no part. Ids must be unique within a conversation; links that form a cycle
+raise an error.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ def leaf_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     level = cut(links.join(there, ["conv_id", "parent"]).select("conv_id", "id", F.col("parent").alias("top"), "gain"), rows)
     jumps = []
     while not level.isEmpty():
+        if 1 << len(jumps) > rows:  # no path is longer than there are messages
+            raise ValueError("the links between messages form a cycle")
         jumps.append(level)
         above = level.select("conv_id", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("gain").alias("gain2"))
         level = cut(level.join(above, ["conv_id", "top"]).select("conv_id", "id", F.col("top2").alias("top"), (F.col("gain") + F.col("gain2")).alias("gain")), rows)

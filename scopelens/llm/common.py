@@ -47,6 +47,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 FILE_ROWS = 50_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for all executors; only a local master, as in tests, may do with a temporary one."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="scopelens-")
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` computed once and kept in the folder that all executors share; its lineage ends there.
 
@@ -56,7 +66,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(rows // FILE_ROWS + 1)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scopelens-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -231,6 +231,16 @@ def test_bpe_on_hard_texts(reference_tokenizer, text):
     assert v.encode(pa.array([text, None, ""]))[0].tolist() == enc.encode_ordinary(text)
 
 
+def test_bpe_forgets_by_bytes(reference_tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100)
+    with open(registry.ranks_path(), "rb") as f:
+        v = bpe.Vocabulary(f.read())
+    for k in range(5):
+        text = " ".join(f"word{k}{j}" * 9 for j in range(20))
+        ids, _ = v.encode(pa.array([text]))
+        assert bytes(v.decode(ids)).decode() == text and v.held < 10_000
+
+
 def test_bpe_operator(docs, empty, reference_tokenizer):
     enc, _ = reference_tokenizer
     coded = bpe.encode(docs.withColumnRenamed("lang", "ids"), registry.ranks_path(), offsets=True)
@@ -424,6 +434,12 @@ def test_reply_trees_rank_branches(spark):
     assert sorted((r.conv_id, r.leaf, r["rank"]) for r in every.select("conv_id", "leaf", "rank").distinct().collect()) == [(1, 4, 2), (1, 5, 1), (2, 1, 1)]
 
 
+def test_cycles_of_replies_are_refused(spark):
+    df = spark.createDataFrame([(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 0.0)], "conv_id bigint, id bigint, parent bigint, role string, text string, score double")
+    with pytest.raises(ValueError, match="cycle"):
+        chat.format_conversations(df)
+
+
 def test_long_chain_of_replies(spark):
     df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(150)], "conv_id bigint, turn bigint, role string, text string")
     r = chat.read_back(chat.format_conversations(chat.as_messages(df))).first()
