@@ -6,13 +6,13 @@ Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopelens.llm import bpe, jaccard, mixing, substrings, toxicity
+from scopelens.llm.common import shared_folder
 from scopelens.llm.registry import ranks_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,14 +57,9 @@ STAGES = [
 ]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for all executors; a temporary one where it names none, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scopelens-pipeline-")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the ``documents`` of ``sf_dir``."""
-    root = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
