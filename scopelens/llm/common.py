@@ -95,6 +95,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+@lru_cache(1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Hands freed memory back to the system, so that workers that wait for other tasks don't keep a partition's size."""
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``size`` bytes of text each (or one row)."""
     for b in batches:
@@ -107,6 +123,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES)
             held += n
         if start < b.num_rows:
             yield b.slice(start)
+    trim()
 
 
 class _Powers:

@@ -382,7 +382,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         found = meet(graphs, queries, shards, blocks).applyInArrow(_links(least, width), "a bigint, b bigint")
     else:
         found = cells(data, queries, "node", shards, blocks).applyInArrow(_all_links(least), "a bigint, b bigint")
-    part = cut(components(found))
+    # Written first: no task should hold two Python workers, one that searches and one that reduces links.
+    part = cut(components(cut(found)))
     members = cut(groups.join(part, "node"))
     first = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = members.select("node", "component").join(first, "component").select("node", "component_id")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEND_BYTES, U64, Heavy, Words, by_partition, components, cut, free, from_blob, heavy_keys, mix, rolled, shuffle_partitions, spans, steps, text_key, to_blob, tune
+from .common import SEND_BYTES, U64, Heavy, Words, by_partition, components, cut, free, from_blob, heavy_keys, mix, rolled, shuffle_partitions, spans, steps, text_key, to_blob, trim, tune
 
 SHINGLE = 5
 #: Nodes before it that a node is verified against in a list; hash orders of the lists and of the filter.
@@ -165,6 +165,7 @@ def _post(parts: int, hot: np.ndarray):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    trim()
     tables = [from_blob(x.as_buffer()) for b in batches for x in b.column("blob")]
     return pa.concat_tables(tables).combine_chunks() if tables else None
 
@@ -452,7 +453,7 @@ def _grouped(docs: DataFrame, by_row: bool) -> DataFrame:
     postings = cut(alive.mapInArrow(_postings, "k int, node bigint, s bigint").join(comps, "node"))
     members = _lists_of(postings).withColumnRenamed("home", "cluster")
     placed = _blocks(members).join(comps, "node").join(alive, "node").select("cell", "side", "comp", "n", "s", *[f"p{k}" for k in range(ORDERS)])
-    more = components(placed.groupBy("cell").applyInArrow(_compare, "a bigint, b bigint"))
+    more = components(cut(placed.groupBy("cell").applyInArrow(_compare, "a bigint, b bigint")))
     groups = comps.join(more.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
     named = sets.join(groups, "node", "left").select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.col("n").alias("_n"), F.coalesce("component", "node").alias("group"))
     out = rows.join(named, (rows.fa == F.col("_fa")) & (rows.fb == F.col("_fb")) & (rows.n == F.col("_n")), "left")

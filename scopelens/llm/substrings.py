@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEND_BYTES, U64, Heavy, Words, by_partition, cut, free, from_blob, heavy_keys, mix, rolled, shuffle_partitions, steps, text_key, to_blob, tune
+from .common import SEND_BYTES, U64, Heavy, Words, by_partition, cut, free, from_blob, heavy_keys, mix, rolled, shuffle_partitions, steps, text_key, to_blob, trim, tune
 
 WINDOW, RUN = 35, 4
 #: Bucket partitions for each shuffle partition: packed strings are about three times the text.
@@ -155,6 +155,7 @@ def _ranges(doc: pa.Array, key: pa.Array, owner: np.ndarray, at: np.ndarray) ->
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition's blobs to the word ranges of its repeated windows."""
+    trim()
     tables = [from_blob(x.as_buffer()) for b in batches for x in b.column("blob")]
     if not tables:
         return
