@@ -61,6 +61,16 @@ def recursive_chunks(docs: DataFrame, key: str, text: str, size: int = 1000, ove
     return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, part int, chunk string")
 
 
+def rechunk(df: DataFrame, source: str, order: str, text: str, size: int = 1000, overlap: int = 100, least: int = 40) -> DataFrame:
+    """(source, part, chunk): a source's rows, joined by line breaks in their order, split anew; short chunks are left out.
+
+    A row counts once however often it is repeated. A source is one file, so its text is one row of the result.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(source, order, text).distinct()
+    whole = rows.groupBy(source).agg(F.array_join(F.array_sort(F.collect_list(F.struct(order, text)))[text], "\n").alias("_whole"))
+    return recursive_chunks(whole, source, "_whole", size, overlap).where(F.length(F.trim("chunk")) >= least)
+
+
 def carry_forward(df: DataFrame, doc: str, order: str, heading: Column, default: str = "General") -> Column:
     """The last heading at or before a row of its document."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

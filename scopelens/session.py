@@ -41,6 +41,20 @@ def ship(spark: SparkSession) -> None:
     sc._scopelens_shipped = True
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage ended by a checkpoint in the folder that the cluster names for all executors.
+
+    Only a local master, as in tests, may do with a temporary folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scopelens-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
