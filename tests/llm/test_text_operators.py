@@ -460,6 +460,41 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_join_equals_every_block_against_every_template(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    stock = [f"t{i}" for i in range(150)]
+    templates = {f"lic{k}": " ".join(rng.choice(stock, int(rng.integers(1, 90)))) for k in range(25)}
+    templates |= {"none": "", "twin": templates["lic3"]}
+    norm = lambda x: re.sub(licenses.NOT_WORD, " ", (x or "").translate(LOWER)).strip(" ").split(" ")
+    texts = [None, "", "t1", "no words known here"] + [" ".join(rng.choice(stock + ["the", "of"] * 20, int(rng.integers(1, 400)))) for _ in range(60)]
+    for k in range(60):  # templates with some words exchanged, in the midst of others
+        w = templates[f"lic{k % 25}"].split(" ")
+        for i in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[i] = "other"
+        texts.append(" ".join([*rng.choice(stock, int(rng.integers(0, 70))), *w, *rng.choice(stock, int(rng.integers(0, 70)))]))
+    texts.append("filler " * 20_000 + templates["lic7"])
+    docs = [(i if i % 9 else None, x, i) for i, x in enumerate(texts)] + [(70, texts[70], 70)] * 3
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, label int").withColumn("held", F.lit(1)).withColumn("ha", F.lit("x"))
+
+    def brute(x):
+        w, out = norm(x), {}
+        for s in range(0, max(len(w) - 33, 0) + 1, 32):
+            own = set(w[s : s + 64])
+            for name, t in licenses.pieces(templates, 64):
+                if len(own & t) >= -(-9 * len(t) // 10):
+                    out[name] = max(out.get(name, 0), len(own & t) / len(t))
+        return sorted(out.items())
+
+    want = sorted([(i if i is not None else -1, brute(x)) for i, x, _ in docs], key=repr)
+    assert sum(bool(m) for _, m in want) > 30
+    for bound in (licenses.BROADCAST_NAMES, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_NAMES", bound)
+        rows_ = licenses.scan_licenses(df, templates=templates).collect()
+        got = sorted([(r.doc_id if r.doc_id is not None else -1, [(m.label, m.containment) for m in r.matches]) for r in rows_], key=repr)
+        assert got == want
+    assert not any(r.matches for r in licenses.scan_licenses(df, templates={}).collect())
+
+
 def test_toxicity_scores_rare_and_moderate_words(spark):
     """Words in 1 % of the toxic texts count, and so do words ten times as common in toxic texts."""
     rng = np.random.default_rng(1)
