@@ -18,10 +18,11 @@ from ..functions import text as tx
 from ..functions.vector import doubles, dot, mean_pool
 from ..operators import dense, lexical, systems
 from ..operators import statistics as st
-from ..operators.sampling import draw_key
+from ..operators.sampling import draw, draw_key
+from ..session import settle
 from .corpus import TOPICS, _topic_sql
 from .registry import Tables, query
-from .retrieval import BM25, KNN, SCOPED, as_queries, neighbours, route, vectors
+from .retrieval import BM25, CENTROIDS, KNN, SCOPED, E, as_queries, neighbours, route, vectors
 
 #: Terms of the routing classifier: a parameter of the model, as its layers would be.
 VOCABULARY = 1 << 18
@@ -105,7 +106,18 @@ def single_call_plan(t: Tables) -> DataFrame:
     return systems.union_hops([found.where("list = '0'"), found.where("list = '1'")])
 
 
-@query()
+def _hop_sql(i: int) -> str:
+    return f"""s{i} AS (SELECT q.qid, e.vec_id AS id, round(list_dot_product(q.v, e.v), 6) AS sim FROM q{i} q JOIN e ON e.vec_id <> q.qid), r{i} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s{i}),
+q{i + 1} AS (SELECT q.qid, list_transform(list_zip(q.v, e.v), lambda p: (p[1] + p[2]) / 2) AS v FROM q{i} q JOIN r{i} r ON r.qid = q.qid AND r.rank = 1 JOIN e ON e.vec_id = r.id)"""
+
+
+HOPS = f"{E}, q0 AS (SELECT vec_id AS qid, v FROM e), {_hop_sql(0)}, {_hop_sql(1)}, {_hop_sql(2)}"
+
+
+@query(
+    f"""WITH {HOPS}, u AS (SELECT qid, id, 0 AS hop, rank FROM r0 WHERE rank <= 5 UNION ALL SELECT qid, id, 1, rank FROM r1 WHERE rank <= 5 UNION ALL SELECT qid, id, 2, rank FROM r2 WHERE rank <= 5),
+f AS (SELECT qid, id, min(hop * 10 + rank) AS place FROM u GROUP BY qid, id) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id) AS pos FROM f"""
+)
 def multi_hop_orchestrator(t: Tables) -> DataFrame:
     v = vectors(t)
     return systems.multi_hop(lambda q: dense.topk(q, v, 5, exclude_self=True), as_queries(v).select("qid", "v"), v, hops=3)
@@ -357,31 +369,40 @@ def fit_tfidf(train: DataFrame):
 # --- theory of dilution
 
 
-@query()
+def _draw_sql(seed: str, *keys: str) -> str:
+    return f"('0x' || substr(md5('{seed}' || ':' || {" || ':' || ".join(keys)}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(
+    f"""WITH {KNN}, x AS (SELECT qid, id, rank, (ql = l)::INT AS same, k.keep, g.draw FROM r, (VALUES (0.25), (0.5), (1.0)) AS k(keep), generate_series(0, 19) AS g(draw) WHERE rank <= 80 AND {_draw_sql('thin', 'id', 'g.draw')} < k.keep),
+t AS (SELECT *, row_number() OVER (PARTITION BY keep, draw, qid ORDER BY rank) AS n FROM x) SELECT keep::DOUBLE AS keep, round(avg(same), 6) AS purity FROM t WHERE n <= 10 GROUP BY keep"""
+)
 def thinning_prediction(t: Tables) -> DataFrame:
-    """Expected purity of the ten nearest when each corpus row is kept with a chance: 20 hash-seeded thinnings of stored lists."""
+    """Expected purity of the ten nearest when each corpus row is kept with a chance: 20 hash-seeded thinnings of stored lists of 80."""
     nb = neighbours(t, 80).select("qid", "id", "rank", (F.col("ql") == F.col("l")).alias("same"))
     x = nb.withColumn("keep", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    u = F.pmod(F.xxhash64("id", "draw"), F.lit(1 << 30)) / float(1 << 30)
     w = Window.partitionBy("keep", "draw", "qid").orderBy("rank")
-    top = x.where(u < F.col("keep")).withColumn("r", F.row_number().over(w)).where("r <= 10")
+    top = x.where(draw("thin", "id", "draw") < F.col("keep")).withColumn("r", F.row_number().over(w)).where("r <= 10")
     return top.groupBy("keep").agg(F.round(F.avg(F.col("same").cast("int")), 6).alias("purity"))
 
 
-@query()
+@query(
+    f"""WITH {KNN}, n AS (SELECT count(*) AS n FROM e), u AS (SELECT vec_id AS id, {_draw_sql('sizes', 'vec_id')} AS u FROM e),
+m AS (SELECT k.step, s.qid, max(s.sim) AS m FROM s JOIN u USING (id), generate_series(0, 5) AS k(step) WHERE u.u < power(2, -k.step) GROUP BY ALL),
+p AS (SELECT step, avg(m) AS best, any_value(n.n) * power(2, -step) AS n FROM m, n GROUP BY step)
+SELECT p.n, round(p.best, 6) AS best, round(regr_intercept(p.best, sqrt(2 * ln(p.n))) OVER (), 4) AS a, round(regr_slope(p.best, sqrt(2 * ln(p.n))) OVER (), 4) AS b, round(regr_r2(p.best, sqrt(2 * ln(p.n))) OVER (), 4) AS r2 FROM p"""
+)
 def extreme_value_curve(t: Tables) -> DataFrame:
     """Mean best similarity in hash samples of growing size, and the fit a + b sqrt(2 ln n); the sizes are a report's few points."""
-    nb = neighbours(t, 200).select("qid", "id", "sim")
-    sizes = [(s, 2.0**-s) for s in range(6)]
-    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    n = vectors(t).count()
-    best = None
-    for s, share in sizes:
-        one = nb.where(u < share).groupBy("qid").agg(F.max("sim").alias("m")).agg(F.lit(s).alias("step"), F.lit(n * share).alias("n"), F.avg("m").alias("best"))
+    v = vectors(t)
+    n, q, best = v.count(), as_queries(v), None
+    for step in range(6):
+        part = v.where(draw("sizes", "id") < 2.0**-step)
+        one = dense.topk(q, part, 1, exclude_self=True).agg(F.lit(n * 2.0**-step).alias("n"), F.avg("sim").alias("best"))
         best = one if best is None else best.union(one)
     pts = [r for r in best.collect() if r.best is not None]
     a, b, r2 = st.extreme_value_fit(np.array([r.n for r in pts]), np.array([r.best for r in pts])) if len(pts) > 1 else (0.0, 0.0, 0.0)
-    return t.spark.createDataFrame([(float(r.n), float(r.best), a, b, r2) for r in pts], "n double, best double, a double, b double, r2 double")
+    return t.spark.createDataFrame([(float(r.n), round(r.best, 6), round(a, 4), round(b, 4), round(r2, 4)) for r in pts], "n double, best double, a double, b double, r2 double")
 
 
 @query(f"WITH {KNN}, c AS (SELECT qid, min(sim) FILTER (rank <= 10) AS cut FROM r GROUP BY qid) SELECT CASE WHEN ql = l THEN 'same' WHEN l % 2 = ql % 2 THEN 'sibling' ELSE 'other' END AS population, count(*) AS n FROM r JOIN c USING (qid) WHERE sim >= cut GROUP BY ALL")
@@ -416,7 +437,11 @@ def router_then_scope(t: Tables) -> DataFrame:
 
 
 
-@query()
+ROUNDS = f"""{SCOPED}, {CENTROIDS}, a AS (SELECT m.round, p.qid, count(*) AS context, avg(p.sim) AS q FROM (VALUES (0, 1), (1, 2), (2, 4)) AS m(round, m), p JOIN rt ON rt.qid = p.qid AND rt.scope = p.l WHERE rt.rank <= m.m AND p.srank <= 5 GROUP BY ALL),
+o AS (SELECT *, coalesce(max(q) OVER (PARTITION BY qid ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)"""
+
+
+@query(f"WITH {ROUNDS} SELECT qid, round, context, round(q, 6) AS quality FROM o WHERE before < 0.35")
 def refinement_loop(t: Tables) -> DataFrame:
     """Three rounds that deepen each query's scopes while its mean similarity is low; all queries of a round are one batch."""
     v = vectors(t)
@@ -426,8 +451,10 @@ def refinement_loop(t: Tables) -> DataFrame:
         # The m nearest scopes of the queries that are still open.
         scopes = route(t, m).select("qid", F.col("scope").cast("string").alias("scope"))
         found = dense.topk(q.join(scopes, "qid").withColumn("list", F.col("scope")), corpus, 5, exclude_self=True)
+        found = settle(found)
         quality = found.groupBy("qid").agg(F.avg("sim").alias("q"))
         one = found.groupBy("qid").agg(F.count("*").alias("context")).join(quality, "qid").select("qid", F.lit(round_).alias("round"), "context", F.round("q", 6).alias("quality"))
         out = one if out is None else out.union(one)
-        q = q.join(quality.where("q < 0.35").select("qid"), "qid", "left_semi")
+        # The next round reads only the queries that are still open, not this round's work again.
+        q = settle(q.join(quality.where("q < 0.35").select("qid"), "qid", "left_semi"))
     return out
