@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hnsw, jaccard, licenses, mixing, sharding, substrings, toxicity
+from . import ann, bpe, chat, hnsw, jaccard, licenses, mixing, sharding, spelling, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +119,40 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+SLIP = 199
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), slip=SLIP)
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.RUN}')) AS run FROM documents),
+per AS (SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY id, run),
+-- A checksum bit by bit: every byte is followed by seven zeros, one for each further shift.
+bits AS (SELECT run, k, list_reduce(flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c), 0, 0, 0, 0, 0, 0, 0] ELSE [192 | (unicode(c) >> 6), 0, 0, 0, 0, 0, 0, 0, 128 | (unicode(c) & 63), 0, 0, 0, 0, 0, 0, 0] END))::BIGINT[],
+    lambda x, y: CASE WHEN xor(x, y) & 1 = 1 THEN xor(xor(x, y) >> 1, 3988292384) ELSE xor(x, y) >> 1 END, 4294967295) AS c FROM per),
+h AS (SELECT run, k, xor(c, 4294967295) AS h FROM bits),
+f AS (SELECT k, CASE WHEN h % {SLIP} = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM f WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(k) >= {spelling.LEAST_COUNT}),
+gaps AS (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT g.word AS a, w.word AS b FROM gaps g JOIN w ON g.rest = w.word
+  UNION SELECT w.word, g.word FROM gaps g JOIN w ON g.rest = w.word
+  UNION SELECT x.word, y.word FROM gaps x JOIN gaps y ON x.i = y.i AND x.rest = y.rest WHERE x.word <> y.word),
+best AS (SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM near JOIN w ON w.word = near.b),
+found AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {spelling.TIMES} * w.n THEN b END AS form, CASE WHEN best.n >= {spelling.TIMES} * w.n THEN best.n END AS form_n
+  FROM w LEFT JOIN best ON best.a = w.word AND r = 1),
+up AS (SELECT word, word AS root FROM found UNION ALL SELECT up.word, found.form FROM up JOIN found ON up.root = found.word WHERE found.form IS NOT NULL)
+SELECT found.word, found.form, up.root, found.n, found.n_near, found.form_n FROM found JOIN up ON up.word = found.word JOIN found AS last ON last.word = up.root AND last.form IS NULL
+"""
+
+
 def _license_sql() -> str:
     def double(s: str) -> str:
         return s.replace(" ", "  ")
