@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hnsw, jaccard, licenses, mixing, sharding, spelling, substrings, toxicity
+from . import ann, bpe, chat, hnsw, jaccard, licenses, mixing, sharding, spelling, substrings, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +119,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@_query
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = syncmers.compare_edited(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.as_text(F.col("fingerprint")).alias("fingerprint"),
+        syncmers.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 SLIP = 199
 
 

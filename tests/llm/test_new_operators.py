@@ -3,12 +3,15 @@
 import collections
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from scopelens.llm import registry, spelling
+from scopelens.llm import registry, spelling, syncmers
 from tests.oracle import connect, rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,3 +90,89 @@ def test_no_words_no_rows(spark):
 def test_op13_matches_its_sql(spark, sf_dir):
     got = registry.QUERIES["op13_spelling_variants"](spark, sf_dir).toPandas()
     assert rows(got) == rows(connect(sf_dir).sql(registry.ORACLES["op13_spelling_variants"]).df())
+
+
+def xx(*parts) -> int:
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", p) if isinstance(p, int) else p, seed=h)
+    return h
+
+
+def brute_fingerprint(text: str) -> list[int]:
+    u = b"\0" * 32 + text.encode("utf-32-be") + b"\0" * 32
+    n, k, s = len(u) // 4, syncmers.K, syncmers.S
+    inner = [np.uint64(xx(u[4 * i : 4 * (i + s)])).astype(np.int64) for i in range(n - s + 1)]
+    anchors = [i for i in range(n - k + 1) if min(inner[i : i + k - s + 1]) == min(inner[i], inner[i + k - s])]
+    found = {xx(u[4 * a : 4 * (a + k)], b - a) & 0xFFFFFFFF for a, b in zip(anchors, anchors[1:], strict=False)}
+    return sorted(found or {xx(b"whole", text.encode()) & 0xFFFFFFFF})[: syncmers.SIZE]
+
+
+def brute_likeness(a: list, b: list) -> float:
+    both = sorted({*a, *b})[: syncmers.SIZE]
+    return sum(x in a and x in b for x in both) / len(both)
+
+
+def brute_edited(docs: list[tuple]) -> list[tuple]:
+    """Of rows in the order in which they follow each other."""
+    out = []
+    for k, (i, text) in enumerate(docs):
+        own, after = text or "", docs[(k + 1) % len(docs)][1] or ""
+        m = len(own) // 3
+        edited = own[: len(own) - m] + after[:m]
+        a, b, c = brute_fingerprint(own), brute_fingerprint(edited), brute_fingerprint(after)
+        digits = ["".join(f"{x:08x}" for x in f) for f in (a, b)]
+        out.append((i, edited, *digits, brute_likeness(a, b), brute_likeness(a, c)))
+    return out
+
+
+def texts_of_all_sizes() -> list:
+    rng = np.random.default_rng(12)
+    vocab = ["word", "é", "𝒳𝒴", "straße", "a", "the", "\0", "\n", "漢字", "longer-words-too"]
+    make = lambda n: " ".join(rng.choice(vocab, n))
+    return [None, "", "x", "ab", "abcdefgh", "the quick brown", make(3), make(9), "z" * 30, "ab" * 3000, *(make(int(rng.integers(1, 60))) for _ in range(30)), make(3000), make(7000)]
+
+
+def result(df):
+    return df.select("doc_id", "edited", syncmers.as_text(F.col("fingerprint")), syncmers.as_text(F.col("edited_fingerprint")), "near_edited", "near_next")
+
+
+def test_fingerprints_and_their_likeness(spark):
+    docs = [(3 * i - 40, t) for i, t in enumerate(texts_of_all_sizes())]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    want = brute_edited(sorted(docs, key=lambda d: -d[0]))
+    assert sorted(map(tuple, result(syncmers.compare_edited(table)).collect())) == sorted(want)
+
+
+def test_an_edit_leaves_distant_anchors_alone(spark):
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abcdefgh "), 1500))
+    shifted = "inserted in front " + text
+    row = spark.createDataFrame([(text, shifted)], "a string, b string").select(syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b")))).first()[0]
+    assert row > 0.9
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    docs = [(7, "one text that is long enough", "f"), (7, "another text that is long enough", "g"), (None, "without an id", "h"), (None, None, "i")] + [(5, "repeated row with its own text", "j")] * 40 + [(1, "last", "k")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, fingerprint string").repartition(6)
+    got = syncmers.compare_edited(table)
+    assert got.columns[:2] == ["doc_id", "text"] and got.schema["fingerprint"].dataType.simpleString() == "array<bigint>"
+    rows_ = result(got).collect()
+    assert len(rows_) == len(docs)
+    repeated = [r for r in rows_ if r.doc_id == 5]
+    assert sum(r.near_next == 1.0 for r in repeated) == 39  # each but the last is followed by its equal
+    following = {(r.doc_id, r.edited) for r in rows_}
+    assert (5, "repeated row with it" + "last") in following  # the next text is shorter than what it replaces
+    assert [r.near_next < 1 for r in rows_ if r.doc_id == 1] == [True]
+
+
+def test_one_row_follows_itself_and_none_gives_none(spark):
+    one = spark.createDataFrame([(4, "on its own, this row comes next")], "doc_id bigint, text string")
+    r = syncmers.compare_edited(one).first()
+    assert r.near_next == 1.0 and r.edited == "on its own, this row " + "on its own"
+    assert syncmers.compare_edited(one.where("false")).collect() == []
+
+
+def test_op12_uses_functions_only(spark, sf_dir):
+    plan = registry.QUERIES["op12_document_fingerprints"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
