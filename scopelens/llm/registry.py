@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hnsw, jaccard, licenses, mixing, sharding, spelling, substrings, syncmers, toxicity
+from . import ann, bpe, chat, hnsw, jaccard, licenses, mixing, periodic, sharding, spelling, substrings, syncmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +119,23 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_loops(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = found.withColumn("best", periodic.longest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @_query
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syncmers.compare_edited(_read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scopelens.llm import registry, spelling, syncmers
+from scopelens.llm import periodic, registry, spelling, syncmers
 from tests.oracle import connect, rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -176,3 +176,88 @@ def test_one_row_follows_itself_and_none_gives_none(spark):
 def test_op12_uses_functions_only(spark, sf_dir):
     plan = registry.QUERIES["op12_document_fingerprints"](spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def brute_runs(words: list, least: int = 12) -> list[tuple]:
+    out, seen, n = [], set(), len(words)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q) and (i, j + q) not in seen:
+                seen.add((i, j + q))
+                out.append((i, j + q - i, q))
+            i = max(j, i + 1)
+    return sorted((s, n, q) for s, n, q in out)
+
+
+def brute_collapsed(words: list, runs: list) -> str:
+    drop = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in drop)
+
+
+def brute_loops(doc_id, text: str | None) -> list:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, h = len(words), zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    return words
+
+
+@pytest.mark.parametrize("least", [2, 4, 12])
+def test_run_finder_against_all_periods(monkeypatch, least):
+    monkeypatch.setattr(periodic, "LEAST", least)
+    rng = np.random.default_rng(least)
+    for _ in range(1500):
+        k, n = int(rng.integers(1, 5)), int(rng.integers(0, 70))
+        w = rng.integers(0, k, n).tolist()
+        if n and rng.random() < 0.5:
+            a, p = int(rng.integers(0, n)), int(rng.integers(1, n // 3 + 2))
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        assert [(s, e - s, q) for s, e, q in periodic.runs(w)] == brute_runs(w, least)
+    a, b = [0], [0, 1]
+    while len(b) < 600:
+        a, b = b, b + a
+    assert [(s, e - s, q) for s, e, q in periodic.runs(b)] == brute_runs(b, least)
+
+
+def test_runs_and_collapsed_texts(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["a", "b", "É", "the", " x", "漢字"]
+    make = lambda n, k=6: " ".join(rng.choice(vocab[:k], n))
+    line = make(9)
+    texts = [None, "", " \t\n", "one", "w " * 11, "w " * 12, "w\t" * 5000, f"{line}\n" * 3 + make(40) + f"{line}\n" * 2, "é " * 30 + "b " * 30, make(8) + f" {line}" * 4 + " " + make(6)]
+    texts += [make(int(rng.integers(1, 200)), int(rng.integers(1, 5))) for _ in range(60)] + [(make(700) + " ") * 2]
+    docs = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(9, texts[9], "x", "y")] * 2 + [(None, texts[8], None, None)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, runs string, lang string").repartition(3)
+    got = periodic.periodic_runs(table)
+    assert got.columns == ["doc_id", "text", "lang", "runs", "collapsed"]
+    want = []
+    for i, t, _, lang in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        found = brute_runs(words)
+        want.append((i, t, lang, found, brute_collapsed(words, found)))
+    key = lambda r: repr(r)
+    assert sorted(((*r[:3], [tuple(x) for x in r.runs], r.collapsed) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert periodic.periodic_runs(table.where("false")).collect() == []
+
+
+def test_op11_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = []
+    for r in docs:
+        words = brute_loops(r.doc_id, r.text)
+        found = brute_runs(words)
+        s, n, q = max(found, key=lambda x: (x[1], -x[0], -x[2]), default=(None, None, None))
+        lines = "".join(f"{a},{b},{c}\n" for a, b, c in found)
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        want.append((r.doc_id, len(found), s, n, q, None if s is None else 1000 * n // q, digest(lines), digest(brute_collapsed(words, found))))
+    got = registry.QUERIES["op11_periodic_runs"](spark, sf_dir)
+    assert dict(got.dtypes) == {c: "string" if "sha" in c else "bigint" for c in got.columns}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum(w[1] > 0 for w in want) > 10
