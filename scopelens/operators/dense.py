@@ -19,8 +19,9 @@ SHARD_ROWS, BLOCK_ROWS = 1 << 16, 1 << 13
 _SCHEMA = "qid bigint, list string, id bigint, sim double"
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    c = column.combine_chunks()
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix of doubles."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     c = c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
 
@@ -29,7 +30,7 @@ def _cell(k: int | None, least: float | None, exclude_self: bool, ties: bool = F
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         qs, ls, ids, sims = [], [], [], []
         if len(data) and len(queries):
-            x, q = _matrix(data.column("v")), _matrix(queries.column("v"))
+            x, q = matrix(data.column("v")), matrix(queries.column("v"))
             own, qid = data.column("id").to_numpy(), queries.column("qid").to_numpy()
             scope = np.array(data.column("scope").to_pylist(), object)
             wanted, names = queries.column("scope").to_pylist(), queries.column("list").to_pylist()
@@ -98,7 +99,7 @@ def moments(corpus: DataFrame) -> DataFrame:
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         n = total = squares = 0.0
         if len(data) and len(queries):
-            x, q = _matrix(data.column("v")), _matrix(queries.column("v"))
+            x, q = matrix(data.column("v")), matrix(queries.column("v"))
             s = q @ x.T
             other = queries.column("qid").to_numpy()[:, None] != data.column("id").to_numpy()
             n, total, squares = float(other.sum()), float(s[other].sum()), float((s[other] ** 2).sum())

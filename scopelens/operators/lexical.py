@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def light(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast hint for what is joined with ``df`` and has no more rows, if it has few; else nothing."""
+    return F.broadcast if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else lambda other: other
+
+
 def postings(docs: DataFrame, key: str, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(key, term, tf): counts of terms by document, pre-aggregated where the documents are; of ``terms`` (term) only, if given."""
     flat = docs.select(key, F.explode(tokens(text)).alias("term"))

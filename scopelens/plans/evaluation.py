@@ -23,7 +23,7 @@ def gold(t: Tables) -> DataFrame:
 
 def run(t: Tables, k: int) -> DataFrame:
     """(item_id, doc_id, score, rank, rel) of BM25."""
-    found = lexical.bm25_topk(t.benchmark, t.spread("documents"), k)
+    found = t.text_index().topk(t.benchmark, k)
     g = gold(t).select("item_id", "doc_id", F.lit(1).alias("rel"))
     return found.join(g, ["item_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
@@ -143,7 +143,7 @@ def arms(t: Tables) -> DataFrame:
     """(system, item_id, doc_id, rank, home, home_lang): one global and two scoped runs of the queries with gold."""
     h = home(t)
     q = t.benchmark.join(h, "item_id").withColumns({"source": F.col("home"), "lang": F.col("home_lang")})
-    one = lambda name, scope: lexical.bm25_topk(q, t.spread("documents"), 10, scope=scope).select(F.lit(name).alias("system"), "item_id", "doc_id", "rank")
+    one = lambda name, scope: t.text_index().topk(q, 10, scope=scope).select(F.lit(name).alias("system"), "item_id", "doc_id", "rank")
     every = reduce(DataFrame.union, [one("monolithic", None), one("by_source", "source"), one("by_lang", "lang")])
     return every.join(h, "item_id")
 
@@ -210,7 +210,7 @@ def gold_field_ladder(t: Tables) -> DataFrame:
     chunk = gold(t).groupBy("item_id").agg(F.min("doc_id").alias("gold_id"))
     title = F.when(F.col("item_id") % 3 != 0, F.concat(F.lit(" SRC"), F.col("item_id") % 20, F.lit(" ")))
     asked = t.benchmark.select("item_id", title.alias("gold_title")).join(chunk, "item_id", "left")
-    found = lexical.bm25_topk(t.benchmark, t.spread("documents"), 15).join(t.documents.select("doc_id", "source"), "doc_id")
+    found = t.text_index().topk(t.benchmark, 15).join(t.documents.select("doc_id", "source"), "doc_id")
     lists = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "source"))).alias("x"))
     j = asked.join(lists, "item_id", "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (3, 5, 10, 15)])))
     return j.select("item_id", "k", metrics.ladder_hit(F.col("x.doc_id"), F.col("x.source"), F.col("gold_id"), F.col("gold_title"), F.col("k")).alias("hit"))
@@ -245,7 +245,7 @@ def pinned_subset_hash(t: Tables) -> DataFrame:
 @query(f"WITH {GROWTH} SELECT size, round(avg(p), 6)::DOUBLE AS p, round(stddev_samp(p), 6) AS sd_p, round(avg(hit), 6) AS hit FROM m GROUP BY size")
 def corpus_growth_curve(t: Tables) -> DataFrame:
     """Precision at 10 as the corpus grows: mean over seeds of means over queries, and the seeds' standard deviation."""
-    scored = lexical.bm25_scores(t.benchmark, t.spread("documents"))
+    scored = t.text_index().scores(t.benchmark)
     r = keep_sets(t).join(scored, "doc_id")
     w = Window.partitionBy("size", "seed", "item_id").orderBy(F.desc("score"), "doc_id")
     top = r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")

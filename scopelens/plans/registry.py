@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.indexes import TextIndex, VectorIndex, source_version, text_index, vector_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +24,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def text_index(self) -> TextIndex:
+        """Postings of ``documents``, built when first asked for."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return text_index(self.documents, "doc_id", "text", ("source", "lang"), lambda d: d.repartition(cores) if d.rdd.getNumPartitions() < cores else d)
+
+    def vector_index(self) -> VectorIndex:
+        """The embeddings by label and centroid, built when first asked for."""
+        rows = self.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("scope"))
+        return vector_index(rows, source_version(self.embeddings.select("vec_id", "embedding", "label")))
+
     def spread(self, name: str) -> DataFrame:
         """A table for work that is heavy per row: one that is stored in fewer splits than there are cores is dealt out."""
         df = getattr(self, name)

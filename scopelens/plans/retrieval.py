@@ -286,13 +286,27 @@ br AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM br WHERE rank <= 10")
 def bm25_topk_global(t: Tables) -> DataFrame:
-    return lexical.bm25_topk(t.benchmark, t.spread("documents"), 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return t.text_index().topk(t.benchmark, 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {BM25}, sc AS (SELECT b.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM b JOIN documents d USING (doc_id) WHERE d.source = 'src' || (item_id % 20)) SELECT item_id, doc_id, score, rank FROM sc WHERE rank <= 10")
 def bm25_topk_scoped(t: Tables) -> DataFrame:
     q = t.benchmark.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
-    return lexical.bm25_topk(q, t.spread("documents"), 10, scope="source").withColumn("rank", F.col("rank").cast("bigint"))
+    return t.text_index().topk(q, 10, scope="source").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"WITH {SCOPED} SELECT qid, id, sim, srank AS rank FROM p WHERE l = 3 AND ql = 3 AND srank <= 10")
+def dense_index_one_scope(t: Tables) -> DataFrame:
+    """The members of one label among themselves; of the vector index only that label's partition is read."""
+    q = as_queries(vectors(t)).where("ql = 3").select("qid", "v", F.col("ql").cast("string").alias("scope"))
+    return t.vector_index().topk(q, 10, exclude_self=True).select("qid", "id", "sim", F.col("rank").cast("bigint"))
+
+
+@query(f"WITH {KNN} SELECT qid, id, sim, rank FROM r WHERE rank <= 5 AND qid % 10 = 0")
+def dense_index_topk(t: Tables) -> DataFrame:
+    """Every tenth vector's nearest ones in all cells that may hold one, by their angles."""
+    q = as_queries(vectors(t)).where("qid % 10 = 0").select("qid", "v")
+    return t.vector_index().topk(q, 5, exclude_self=True).select("qid", "id", "sim", F.col("rank").cast("bigint"))
 
 
 TFIDF = f"""{T}, n AS (SELECT count(*) AS n FROM documents), nq AS (SELECT count(*) AS n FROM benchmark), dq AS (SELECT term, count(*) AS df FROM q GROUP BY term),
@@ -329,7 +343,7 @@ o AS (SELECT b.item_id, b.doc_id, b.score, row_number() OVER (PARTITION BY b.ite
 def fulltext_scoped_year(t: Tables) -> DataFrame:
     """Full-text search with the sanitised query (its keywords), within a scope and, for every other query, a year; ids stand for years."""
     asked = t.benchmark.select("item_id", F.explode(tx.tokens(F.array_join(tx.keywords("text"), " "))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
-    scored = lexical.bm25_scores(t.benchmark, t.spread("documents"), asked=asked)
+    scored = t.text_index().scores(t.benchmark, asked=asked)
     wanted = t.benchmark.select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.when(F.col("item_id") % 2 == 0, F.col("item_id") % 5).alias("year"))
     j = scored.join(t.documents.select("doc_id", "source", (F.col("doc_id") % 5).alias("has")), "doc_id").join(wanted, ["item_id", "source"]).where(F.col("year").isNull() | (F.col("has") == F.col("year")))
     return lexical.ranked(j.select("item_id", "doc_id", "score"), "item_id", "doc_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
@@ -355,7 +369,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY list_no
 )
 def hybrid_merge_topk(t: Tables) -> DataFrame:
     """The first list, then what the second adds, cut to 15."""
-    first = lexical.bm25_topk(t.benchmark, t.spread("documents"), 10).select("item_id", "doc_id", "rank")
+    first = t.text_index().topk(t.benchmark, 10).select("item_id", "doc_id", "rank")
     q = lexical.postings(t.benchmark, "item_id").withColumnRenamed("tf", "qtf")
     raw = lexical.postings(t.spread("documents"), "doc_id", terms=q.select("term").distinct()).join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
     return hybrid_merge([first, lexical.ranked(raw, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")], 15)

@@ -41,17 +41,23 @@ def ship(spark: SparkSession) -> None:
     sc._scopelens_shipped = True
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage ended by a checkpoint in the folder that the cluster names for all executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for all executors; only a local master, as in tests, may do with a temporary one."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not hasattr(sc, "_scopelens_folder"):
+        sc._scopelens_folder = tempfile.mkdtemp(prefix="scopelens-")
+    return sc._scopelens_folder
 
-    Only a local master, as in tests, may do with a temporary folder.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage ended by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scopelens-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
