@@ -1,16 +1,18 @@
 """Document fingerprints from closed syncmers, by DataFrame functions only.
 
-A run of ``K`` code points is a closed syncmer if the least hash of its runs of ``S`` code points is that of its
-first or its last one. Whether it is depends on the run alone, so an edit moves or changes no anchor beyond
-``K`` code points from it, and of ``K - S`` + 1 consecutive runs at least one is an anchor. Anchors are matched by
-position: an element of a fingerprint is an anchor together with the distance to the next anchor, which holds
-wherever in a text the two stand. The fingerprint is the ``SIZE`` smallest 32-bit hashes of all elements of the
-whole text (all of them, if there are fewer), in order, as hexadecimal digits; the likeness of two fingerprints
-is the share of the ``SIZE`` smallest hashes of both that both have, which estimates how many of all elements
-of either text are in both.
-
-A text is a row of 32-bit code points between two pads of ``K / 2`` zeros, so short texts have anchors as well,
-and is read in blocks that look far enough beyond their end for the next anchor: no array is as long as a text.
+A run of ``K`` words is a closed syncmer if the least hash of its runs of ``S`` words is that of its first or its
+last one. Whether it is depends on the run alone, so an edit moves or changes no anchor beyond ``K`` words from
+it, and of ``K - S`` + 1 consecutive runs at least one is an anchor. Anchors are matched by position: an element
+of a fingerprint is an anchor together with the distance to the next anchor, which holds wherever in a text the
+two stand. The fingerprint is the ``SIZE`` smallest 32-bit hashes of all elements of the whole text (all of them,
+if there are fewer), in order, as hexadecimal digits; the likeness of two fingerprints is the share of the
+``SIZE`` smallest hashes of both that both have, which estimates how many of all elements of either text are in
+both.
+
+Words are what stands between the six signs of white space. A text is its words between two pads of ``K`` / 2 empty
+ones, so short texts have anchors as well; hashes are made block by block, each of which looks far enough beyond
+its end for the next anchor. A task needs memory for about twelve times the bytes of its longest text.
+
 The next document in descending order of ids comes from a window over ranges of ids. Their bounds are taken
 from ids alone, and the few first rows of ranges go to the last rows of those before them by a join of their own.
 
@@ -18,7 +20,7 @@ Defined cases: a null text is empty, and a text without two anchors has one elem
 texts have equal fingerprints, so empty ones have likeness 1; null ids follow all others; rows that share an id
 follow each other by a hash of the text, so of repeated rows each but the last is followed by its equal; after
 the last row comes the first, which for one row is itself; no row, no result. Other columns pass through; those
-named like a result are replaced. Texts may have up to 2^29 code points.
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import free, shuffle_partitions
 
-K, S, SIZE = 16, 8, 128
-#: Code points of a block, and those beyond it that its last anchor's successor may need.
+K, S, SIZE = 4, 2, 128
+#: Words of a block, and those beyond it that its last anchor's successor may need.
 BLOCK = 4096
 AHEAD = 2 * K - S + 1
 #: Bytes of text that a range of ids is meant to hold; ranges for each shuffle partition at least.
 RANGE_BYTES, RANGES = 16 << 20, 4
+#: White space other than the space.
+SPACES = "\t\n\v\f\r"
 
 
 def _let(value: Column, f) -> Column:
@@ -44,28 +48,27 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _points(text: Column) -> Column:
-    """Four bytes for each code point, between two pads."""
-    pad = F.unhex(F.lit("00" * 4 * (K // 2)))
-    return F.concat(pad, F.encode(text, "UTF-32"), pad)
-
-
-def _part(points: Column, start: Column, n: int) -> Column:
-    return F.substring(points, start * 4 + 1, F.lit(4 * n))
+def _words(text: Column) -> Column:
+    """The words of a text between two pads of empty ones."""
+    pad = F.array_repeat(F.lit(""), K // 2)
+    for c in SPACES:  # one sign is found and split at faster than a class of them
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.concat(pad, F.filter(F.split(text, " "), lambda w: w != ""), pad)
 
 
 def _anchors(block: Column) -> Column:
-    """Places of the closed syncmers of a block."""
-    runs = (F.octet_length(block) / 4).cast("int") - K + 1
-    inner = F.transform(F.sequence(F.lit(0), runs + (K - S - 1)), lambda i: F.xxhash64(_part(block, i, S)))
+    """Places of the closed syncmers of a block of words."""
+    runs = F.size(block) - K + 1
+    inner = F.transform(F.sequence(F.lit(0), runs + (K - S - 1)), lambda i: F.xxhash64(*[block[i + j] for j in range(S)]))
     wide = K - S + 1
-    closed = lambda h, i: F.array_min(F.slice(h, i + 1, wide)) == F.least(h[i], h[i + wide - 1])
+    low = lambda h, i, among: h[i + among[0]] if len(among) == 1 else F.least(*[h[i + j] for j in among])
+    closed = lambda h, i: low(h, i, range(1, wide - 1)) >= low(h, i, (0, wide - 1))
     found = _let(inner, lambda h: F.filter(F.sequence(F.lit(0), runs - 1), lambda i: closed(h, i)))
     return F.when(runs > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def _smallest(elements: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(elements)), 1, SIZE)
+    return F.slice(F.sort_array(F.array_distinct(elements)), 1, SIZE)
 
 
 def _short(h: Column) -> Column:
@@ -74,20 +77,20 @@ def _short(h: Column) -> Column:
 
 def _elements(block: Column) -> Column:
     """The smallest hashes of the block's anchors, each with the distance to the next one."""
-    one = lambda a, j: _short(F.xxhash64(_part(block, a[j], K), a[j + 1] - a[j]))
-    pairs = lambda a: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - 2, F.lit(0))), lambda j: (j + 1 < F.size(a)) & (a[j] < BLOCK)), lambda j: one(a, j))
-    return _smallest(_let(_anchors(block), pairs))
+    one = lambda x, after: _short(F.xxhash64(*[block[x + j] for j in range(K)], after - x))
+    paired = lambda a: F.filter(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), lambda x: x < BLOCK)
+    return _smallest(_let(_anchors(block), lambda a: F.transform(paired(a), lambda x, j: one(x, a[j + 1]))))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text as sorted 32-bit numbers."""
 
-    def whole(points: Column) -> Column:
-        last = F.floor((F.octet_length(points) / 4 - 1) / BLOCK).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: _let(_part(points, b * BLOCK, BLOCK + AHEAD), _elements))
+    def whole(words: Column) -> Column:
+        last = F.floor((F.size(words) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: _let(F.slice(words, b * BLOCK + 1, BLOCK + AHEAD), _elements))
         return _smallest(F.flatten(blocks))
 
-    some = _let(_points(F.coalesce(text, F.lit(""))), whole)
+    some = _let(_words(F.coalesce(text, F.lit(""))), whole)
     return _let(some, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(_short(F.xxhash64(F.lit("whole"), F.coalesce(text, F.lit("")))))))
 
 
