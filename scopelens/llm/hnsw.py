@@ -7,8 +7,8 @@ width is audited: a sample of vectors is compared with all others, the sample gr
 them link with another one, and the width doubles until the mean share of a linked vector's links that is
 found, its match with itself left out, reaches ``RECALL``; so a large group weighs no more than pairs. A sample
 of ``MOST_AUDITED`` without any link takes the largest width; where no width passes, cells compare all pairs.
-Besides, a query whose beam holds nothing but links is asked again with twice the width until it holds
-something else, so groups of any size are seen whole. Pairs are verified by cosine in double precision.
+A query whose beam holds nothing but links lies in a large group: it meets all vectors of the shard in one
+exact product instead, so groups of any size are seen whole. Pairs are verified by cosine in double precision.
 
 No cell lists its pairs: it reduces them to stars, of which there are fewer than vectors, and the stars'
 components are found by star steps. All links of a vector lie in its component. They are counted there exactly,
@@ -37,8 +37,8 @@ M, BUILD_BEAM, BATCH = 12, 32, 1024
 AUDIT, RECALL, BEAM = 400, 0.99, 16
 #: The sample grows until so many of its vectors link with another, or to so many vectors; rows of an exact product.
 LEAST_LINKED, MOST_AUDITED, EXACT_ROWS = 100, 64 * AUDIT, 256
-#: Vectors of a block in which links are counted; pairs that a search holds at once.
-CLASS_ROWS, HELD_PAIRS = 2048, 1 << 22
+#: Vectors of small components that are counted together; bytes of a block of a large one; pairs held at once.
+CLASS_ROWS, CLASS_BYTES, HELD_PAIRS = 2048, 16 << 20, 1 << 22
 
 
 class Graph:
@@ -194,20 +194,54 @@ def _linked(x: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray, leas
     return out
 
 
-def _pairs(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs that link; beams full of links are widened."""
-    rows, cols = [], []
-    todo = np.arange(len(q))
-    while len(todo):
-        ids, sims = graph.search(q[todo], width)
-        full = (sims[:, -1] >= least - 1e-4) & (ids.shape[1] < len(x))
-        r, c = np.nonzero((sims >= least - 1e-4) & (ids >= 0) & ~full[:, None])
-        r, c = todo[r], ids[r, c]
-        ok = _linked(x, q, r, c, least)
-        rows.append(r[ok])
-        cols.append(c[ok])
-        todo, width = todo[full], width * 2
-    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
+def _beams(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector) pairs that link, and the queries whose beam held nothing but links, which aren't among them."""
+    ids, sims = graph.search(q, width)
+    full = (sims[:, -1] >= least - 1e-4) & (ids.shape[1] < len(x))
+    r, c = np.nonzero((sims >= least - 1e-4) & (ids >= 0) & ~full[:, None])
+    c = ids[r, c]
+    ok = _linked(x, q, r, c, least)
+    return r[ok], c[ok], np.flatnonzero(full)
+
+
+def _mask(x: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Which queries link with which vectors; products too near the threshold for their rounding are summed again in one order."""
+    product = q @ x.T
+    linked = product >= least
+    r, c = np.nonzero(np.abs(product - least) <= 1e-9)
+    linked[r, c] = _linked(x, q, r, c, least)
+    return linked
+
+
+def _strip(x: np.ndarray) -> int:
+    """Queries whose products with all of ``x`` are held at once."""
+    return max(16, min(EXACT_ROWS, HELD_PAIRS // max(len(x), 1)))
+
+
+def _groups(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As much of all links between ``q`` and ``x`` as joins what they join: (query, vector) pairs and (vector, vector) pairs.
+
+    Least labels pass between queries and vectors until they rest, so pairs are never listed.
+    """
+    rows, cols, a, b = ([] for _ in range(4))
+    step = _strip(x)
+    for i in range(0, len(q), step):
+        linked = _mask(x, q[i : i + step], least)
+        own = np.arange(len(x), dtype=np.int32)
+        while True:
+            of_query = np.where(linked, own, np.int32(len(x))).min(axis=1)
+            new = np.minimum(own, np.where(linked, of_query[:, None], np.int32(len(x))).min(axis=0))
+            if (new == own).all():
+                break
+            own = new
+        some = np.flatnonzero(of_query < len(x))
+        rows.append(some + i)
+        cols.append(of_query[some])
+        moved = np.flatnonzero(own != np.arange(len(x)))
+        a.append(moved)
+        b.append(own[moved])
+    cat = lambda p: np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64)
+    return cat(rows), cat(cols), cat(a), cat(b)
 
 
 def _unit(t: pa.Table) -> np.ndarray:
@@ -221,32 +255,27 @@ def _build(t: pa.Table) -> dict[str, np.ndarray]:
     return {"x": x, "ids": t.column("node").to_numpy(), **Graph(x).packed()}
 
 
+def _exact_counts(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, least: float) -> np.ndarray:
+    """How many of ``x`` each query links with, itself left out."""
+    out, step = np.zeros(len(q), np.int64), _strip(x)
+    for i in range(0, len(q), step):
+        linked = _mask(x, q[i : i + step], least)
+        out[i : i + step] = linked.sum(axis=1) - (linked & (ids == qids[i : i + step, None])).sum(axis=1)
+    return out
+
+
 def _truth(least: float):
     """Exact links of each query to other vectors."""
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         out = np.zeros(len(queries), np.int64)
         if len(data) and len(queries):
-            x, q = _unit(data), _unit(queries)
-            ids, qids = data.column("node").to_numpy(), queries.column("query_id").to_numpy()
-            for a in range(0, len(q), EXACT_ROWS):
-                r, c = _exact(x, q[a : a + EXACT_ROWS], least)
-                r += a
-                out += np.bincount(r[qids[r] != ids[c]], minlength=len(q))
+            out = _exact_counts(_unit(data), data.column("node").to_numpy(), _unit(queries), queries.column("query_id").to_numpy(), least)
         return pa.table({"query_id": queries.column("query_id"), "links": pa.array(out)})
 
     return run
 
 
-def _exact(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs that link; products too near the threshold for their rounding are summed again in one order."""
-    product = q @ x.T
-    r, c = np.nonzero(product >= least - 1e-9)
-    ok = product[r, c] >= least + 1e-9
-    ok[~ok] = _linked(x, q, r[~ok], c[~ok], least)
-    return r[ok], c[ok]
-
-
 def _audit(least: float, widths: list[int]):
     """Links of each query to other vectors that beams of each width find."""
 
@@ -257,8 +286,9 @@ def _audit(least: float, widths: list[int]):
             x, ids, qids = arrays["x"], arrays["ids"], queries.column("query_id").to_numpy()
             graph = Graph.of(x, arrays)
             for w in widths:
-                r, c = _pairs(graph, x, q, least, w)
+                r, c, full = _beams(graph, x, q, least, w)
                 n = np.bincount(r[qids[r] != ids[c]], minlength=len(q))
+                n[full] = _exact_counts(x, ids, q[full], qids[full], least)
                 out["query_id"] += qids.tolist()
                 out["width"] += [w] * len(q)
                 out["found"] += n.tolist()
@@ -291,39 +321,41 @@ def audited_width(data: DataFrame, graphs: DataFrame, queries: DataFrame, n: int
     return next((w for w in widths if recall.get(w, 0.0) >= RECALL), 0 if recall else widths[-1])
 
 
-def _stars(ids: np.ndarray, qids: np.ndarray, size: int, search) -> pa.Table:
-    """The links that ``search`` finds for stretches of so many queries, as stars."""
-    a = b = np.zeros(0, np.int64)
-    for i in range(0, len(qids), size):
-        r, c = search(slice(i, i + size))
-        a, b = forest(np.concatenate([a, qids[r + i]]), np.concatenate([b, ids[c]]))
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+_NO_LINKS = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
-_NO_LINKS = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+def _stars(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, least: float, beams) -> pa.Table:
+    """A cell's links as stars. ``beams`` finds those of a stretch of queries but for some, which meet all vectors."""
+    a = b = np.zeros(0, np.int64)
+    size = max(16, min(BATCH, HELD_PAIRS // len(x)))
+    for i in range(0, len(q), size):
+        r, c, full = beams(q[i : i + size])
+        gr, gc, ga, gb = _groups(x, q[i : i + size][full], least)
+        own = qids[i : i + size]
+        a, b = forest(np.concatenate([a, own[r], own[full][gr], ids[ga]]), np.concatenate([b, ids[c], ids[gc], ids[gb]]))
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 def _links(least: float, width: int):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(data) or not len(queries):
             return _NO_LINKS
-        arrays, q = unpacked(data), _unit(queries)
+        arrays = unpacked(data)
         x = arrays["x"]
         graph = Graph.of(x, arrays)
-        size = max(16, min(BATCH, HELD_PAIRS // len(x)))
-        return _stars(arrays["ids"], queries.column("query_id").to_numpy(), size, lambda s: _pairs(graph, x, q[s], least, width))
+        return _stars(x, arrays["ids"], _unit(queries), queries.column("query_id").to_numpy(), least, lambda q: _beams(graph, x, q, least, width))
 
     return run
 
 
 def _all_links(least: float):
     """Where no audited beam is wide enough: all pairs of a cell are compared."""
+    none = np.zeros(0, np.int64)
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(data) or not len(queries):
             return _NO_LINKS
-        x, q = _unit(data), _unit(queries)
-        return _stars(data.column("node").to_numpy(), queries.column("query_id").to_numpy(), EXACT_ROWS, lambda s: _exact(x, q[s], least))
+        return _stars(_unit(data), data.column("node").to_numpy(), _unit(queries), queries.column("query_id").to_numpy(), least, lambda q: (none, none, np.arange(len(q))))
 
     return run
 
@@ -336,23 +368,27 @@ def _degrees(least: float):
         if len(data) and len(queries):
             x, q = _unit(data), _unit(queries)
             comp, qcomp, copies = data.column("component").to_numpy(), queries.column("component").to_numpy(), data.column("copies").to_numpy()
-            for a in range(0, len(q), EXACT_ROWS):
-                r, c = _exact(x, q[a : a + EXACT_ROWS], least)
-                same = qcomp[r + a] == comp[c]
-                out += np.bincount(r[same] + a, copies[c[same]], len(q)).astype(np.int64)
+            step = _strip(x)
+            for a in range(0, len(q), step):
+                linked = _mask(x, q[a : a + step], least) & (qcomp[a : a + step, None] == comp)
+                out[a : a + step] = linked @ copies
         return pa.table({"node": queries.column("query_id"), "n": pa.array(out)})
 
     return run
 
 
-def _counts(members: DataFrame, least: float) -> DataFrame:
-    """(node, n): rows that link with each vector, itself and its copies included; members: (node, component, embedding, copies)."""
+def _counts(members: DataFrame, least: float, dim: int) -> DataFrame:
+    """(node, n): rows that link with each vector, itself and its copies included; members: (node, component, embedding, copies).
+
+    A vector is sent once for each block of its component, and a block is as large as a task can well hold.
+    """
+    rows = max(CLASS_ROWS, CLASS_BYTES // (8 * dim))
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     total = sizes.where(F.col("size") <= CLASS_ROWS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # Small components share a home; a large one is cut into blocks, all of which meet.
     small = F.col("size") <= CLASS_ROWS
     home = F.when(small, F.pmod(F.xxhash64("component"), F.lit(total // CLASS_ROWS + 1))).otherwise(F.col("component"))
-    blocks = F.when(small, 1).otherwise(F.ceil(F.col("size") / CLASS_ROWS)).cast("int")
+    blocks = F.when(small, 1).otherwise(F.ceil(F.col("size") / rows)).cast("int")
     placed = members.join(sizes, "component").select("node", "component", "embedding", "copies", F.concat_ws("/", small.cast("string"), home).alias("home"), blocks.alias("blocks"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -387,7 +423,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     members = cut(groups.join(part, "node"))
     first = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = members.select("node", "component").join(first, "component").select("node", "component_id")
-    known = groups.join(named, "node", "left").join(_counts(members, least), "node", "left").select(
+    known = groups.join(named, "node", "left").join(_counts(members, least, dim), "node", "left").select(
         F.col("embedding").alias("_v"),
         (F.coalesce("n", "copies") - 1).alias("n_links"),
         F.coalesce("component_id", "rep").alias("component_id"),

@@ -1,6 +1,7 @@
 """Vector operators, components and the pipeline."""
 
 import collections
+import time
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,7 @@ def test_near_duplicates_name_rows_not_ids(spark):
 
 def test_links_of_a_large_component_are_counted_in_blocks(vectors, monkeypatch):
     monkeypatch.setattr(hnsw, "CLASS_ROWS", 16)
+    monkeypatch.setattr(hnsw, "CLASS_BYTES", 16 * 8 * 16)
     x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in table() if usable(v)])
     ids = [i for i, v, _ in table() if usable(v)]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -151,14 +153,16 @@ def test_audit_weighs_small_groups_like_large_ones(spark, monkeypatch):
     rows = [*x.tolist(), *(near(v, 1)[0] for v in x[:60]), *near(x[299], 120)]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").selectExpr("vec_id AS node", "embedding")
 
+    none = np.zeros(0, int)
+
     def lossy(graph, x, q, least, width):
         r, c = np.nonzero(q @ x.T >= least)
         small = np.bincount(r, minlength=len(q))[r] <= 2
         same = (np.abs(q[r] - x[c]) < 1e-12).all(axis=1)
         ok = ~small | same | (width >= 64)
-        return r[ok], c[ok]
+        return r[ok], c[ok], none
 
-    monkeypatch.setattr(hnsw, "_pairs", lossy)
+    monkeypatch.setattr(hnsw, "_beams", lossy)
     seen = []
     monkeypatch.setattr(hnsw, "meet", _local(hnsw.meet, seen))
     graphs = hnsw.indexes(df, "node", 1, hnsw._build)
@@ -228,4 +232,51 @@ def test_registry_names():
     import re
 
     names = [k for k in registry.QUERIES if re.match(r"op\d+_", k)]
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 14))
+
+
+def test_a_large_group_of_unequal_vectors_costs_products_not_walks(spark):
+    """A tight group, and two tight groups that only loose links join, all wider than any beam."""
+    rng = np.random.default_rng(9)
+    c, e = rng.normal(size=24), rng.normal(size=24)
+    e -= c * (e @ c) / (c @ c)
+    unit = lambda v: v / np.linalg.norm(v)
+    turned = np.cos(0.44) * unit(c) + np.sin(0.44) * unit(e)  # near the threshold from the first
+    far = unit(rng.normal(size=24))
+    x = np.concatenate([v + rng.normal(size=(n, 24)) * 0.006 for v, n in ((unit(c), 500), (turned, 500), (far, 700))] + [rng.normal(size=(100, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    cross = linked[:500, 500:1000]
+    assert 0 < cross.sum() < cross.size  # some pairs link the two groups, others don't
+    low = np.arange(len(x))
+    for _ in range(20):
+        low = np.where(linked, low, len(x)).min(axis=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    began = time.time()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df).collect()}
+    assert time.time() - began < 120
+    assert got == {i: (int(linked[i].sum()) - 1, int(low[i])) for i in range(len(x))}
+
+
+def test_label_groups_join_what_links_join():
+    rng = np.random.default_rng(10)
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        t = np.sort(rng.random(n) * 6)
+        x = np.stack([np.cos(t), np.sin(t)], axis=1)
+        pick = rng.permutation(n)[: int(rng.integers(1, n + 1))]
+        r, c, a, b = hnsw._groups(x, x[pick], 0.995)
+        want = common.forest(*(pick[i] if k == 0 else i for k, i in enumerate(np.nonzero(x[pick] @ x.T >= 0.995))))
+        have = common.forest(np.concatenate([pick[r], a]), np.concatenate([c, b]))
+        assert dict(zip(*map(np.ndarray.tolist, have), strict=True)) == dict(zip(*map(np.ndarray.tolist, want), strict=True))
+
+
+def test_rows_that_share_a_query_id_get_their_own_lists(spark):
+    rng = np.random.default_rng(11)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(60, 4)))]
+    asked = [(0, [1.0, 0.0, 0.0, 0.0], 0), (0, [0.0, -1.0, 0.0, 0.0], 0), (0, [0.0, -1.0, 0.0, 0.0], 0), (7, [0.0, 0.0, 1.0, 0.0], 0)]
+    got = ann.search(spark.createDataFrame(data, VECTORS), spark.createDataFrame(asked, VECTORS), k=20).collect()
+    assert collections.Counter(r.query_id for r in got) == {0: 60, 7: 20}
+    best = lambda axis, sign: max((sign * np.float32(v[axis]), -i) for i, v, _ in data if i)
+    assert sorted((r.score, -r.vec_id) for r in got if r["rank"] == 1 and r.query_id == 0) == sorted([best(0, 1), best(1, -1), best(1, -1)])
+    assert sorted(r["rank"] for r in got if r.query_id == 0) == sorted([*range(1, 21)] * 3)
