@@ -74,11 +74,11 @@ def _search(k: int, pivots: np.ndarray, share: float | None):
     """A cell's function. With no share: the k true neighbours and how far down the footrule order they are."""
 
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_v, out_s, out_f = [], [], [], []
+        out_q, out_o, out_v, out_s, out_f = [], [], [], [], []
         if len(data) and len(queries):
             files, q = unpacked(data), matrix(queries.column("embedding"))
             x, first, flat = files["x"], files["first"], files["ids"]
-            for own, vector, near in zip(queries.column("query_id").to_pylist(), q, nearest(q, pivots), strict=True):
+            for row, own, vector, near in zip(queries.column("query_id").to_pylist(), queries.column("own").to_pylist(), q, nearest(q, pivots), strict=True):
                 agree = _agreement(files, near)
                 if share is None:
                     pick = np.arange(len(x))
@@ -97,13 +97,14 @@ def _search(k: int, pivots: np.ndarray, share: float | None):
                 other = vec != own
                 vec, score, pick = vec[other], score[other], pick[other]
                 best = np.lexsort((vec, -score))[:k]
-                out_q += [own] * len(best)
+                out_q += [row] * len(best)
+                out_o += [own] * len(best)
                 out_v.append(vec[best])
                 out_s.append(score[best])
                 if share is None:
                     out_f.append(np.array([(agree > agree[i]).sum() / len(x) for i in pick[best]]))
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        table = {"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(cat(out_v, np.int64)), "score": pa.array(cat(out_s, np.float64))}
+        table = {"query_id": pa.array(out_q, pa.int64()), "own": pa.array(out_o, pa.int64()), "vec_id": pa.array(cat(out_v, np.int64)), "score": pa.array(cat(out_s, np.float64))}
         if share is None:
             table["depth"] = pa.array(cat(out_f, np.float64))
         return pa.table(table)
@@ -124,9 +125,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     tune(spark)
     data = cut(distinct_vectors(valid(vectors), k + 1).withColumn("key", F.element_at("ids", 1)))
-    asked = cut(valid(queries).withColumnRenamed("vec_id", "query_id").select("query_id", "embedding"))
+    # A query is a row: rows that share an id get lists of their own.
+    asked = cut(valid(queries).select(F.monotonically_increasing_id().alias("query_id"), F.col("vec_id").alias("own"), "embedding"))
     n, m = data.count(), asked.count()
-    schema = "query_id bigint, vec_id bigint, score double"
+    schema = "query_id bigint, own bigint, vec_id bigint, score double"
     if not n or not m:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = data.orderBy(F.xxhash64("key"), "key").limit(PIVOTS).collect()
@@ -136,12 +138,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     files = indexes(data, "key", shards, _files(pivots))
     share = audited_share(files, asked, pivots, n, shards, k)
     found = meet(files, asked, shards, blocks).applyInArrow(_search(k, pivots, share), schema)
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _best(found, k).select(F.col("own").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def audited_share(files: DataFrame, asked: DataFrame, pivots: np.ndarray, n: int, shards: int, k: int) -> float:
     """The share of each shard that has RECALL of the true neighbours of a sample of the queries."""
-    audit = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT)
-    depths = _best(meet(files, audit, shards, 1).applyInArrow(_search(k, pivots, None), "query_id bigint, vec_id bigint, score double, depth double"), k).select("depth").collect()
+    audit = asked.orderBy(F.xxhash64("own"), "own", "query_id").limit(AUDIT)
+    depths = _best(meet(files, audit, shards, 1).applyInArrow(_search(k, pivots, None), "query_id bigint, own bigint, vec_id bigint, score double, depth double"), k).select("depth").collect()
     deep = np.sort([r.depth for r in depths]) if depths else np.ones(1)
     return min(1.0, max(LEAST_SHARE, float(deep[min(len(deep) - 1, math.ceil(RECALL * len(deep)))]) + 1 / n))
