@@ -264,7 +264,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words as ``text``, and with ``_words`` and ``_removed``, their numbers before."""
     doc, key, key2, ranges = (free(docs, c) for c in ("doc", "key", "key2", "ranges"))
-    found = repeated_ranges(docs).groupBy("_doc", "_key").agg(F.collect_list(F.struct("lo", "hi")).alias(ranges))
+    # Equal rows have the same ranges, which each task names once, so a text's list is bounded by its words.
+    found = repeated_ranges(docs).groupBy("_doc", "_key").agg(F.collect_set(F.struct("lo", "hi")).alias(ranges))
     found = found.withColumnsRenamed({"_doc": doc, "_key": key2})
     rows = docs.withColumn(key, text_key())
     joined = rows.join(found, rows["doc_id"].cast("bigint").eqNullSafe(found[doc]) & (rows[key] == found[key2]), "left")
