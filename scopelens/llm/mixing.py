@@ -215,9 +215,16 @@ def copies_of(sizes: DataFrame) -> DataFrame:
 
 
 def _fingerprint(docs: DataFrame) -> Column:
-    """128 bits over all columns but maps and variants."""
-    known = [(c, t) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    parts = [F.struct(F.col(f"`{c}`"), F.col(f"`{c}`").isNull()) if t.startswith(("array", "struct")) else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00null")) for c, t in known]
+    """128 bits over all columns; those with a map or a variant anywhere inside count as JSON, whose fields keep their order."""
+
+    def part(c: str, kind: str) -> Column:
+        if "map<" in kind or "variant" in kind:
+            return F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"})
+        if kind.startswith(("array", "struct")):
+            return F.struct(F.col(f"`{c}`"), F.col(f"`{c}`").isNull())
+        return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00null"))
+
+    parts = [part(c, t) for c, t in docs.dtypes]
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b"))
 
 

@@ -597,3 +597,24 @@ def test_equals_sql(spark, sf_dir, name):
     want = connect(sf_dir).sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_rows_that_differ_only_in_a_map_are_mixed_as_they_are(spark):
+    df = spark.sql("""SELECT 1L AS doc_id, 'a b c' AS text, 's' AS source, map('k', i) AS m, array(map('x', i)) AS deep,
+                      CASE WHEN i = 2 THEN NULL ELSE named_struct('v', parse_json(concat('{"z": ', i, '}'))) END AS v FROM range(3) AS t(i)""")
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    assert sorted((r.m["k"], r.deep[0]["x"], r.v is None) for r in got.collect()) == [(0, 0, False), (1, 1, False), (2, 2, True)]
+
+
+def test_substring_dedup_of_very_many_equal_rows(spark):
+    """Their ranges are named once for each text, so the cost of a row doesn't rise with their number."""
+    text = " ".join(f"w{i % 61}x{i}" for i in range(90))
+    took = {}
+    for n in (5_000, 50_000):
+        df = spark.range(n).select(F.lit(3).cast("bigint").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(4, "short one")], "doc_id bigint, text string"))
+        began = time.time()
+        got = substrings.remove_repeated(df).groupBy("doc_id", "_removed", "text").count().collect()
+        took[n] = time.time() - began
+        assert sorted(map(tuple, got)) == [(3, 90, "", n), (4, 0, "short one", 1)]
+    assert took[50_000] < 20 * took[5_000]
