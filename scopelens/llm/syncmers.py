@@ -157,10 +157,11 @@ def with_next(docs: DataFrame, ready: Callable[[DataFrame], DataFrame], followin
     same = [F.col(f"`{order}`.`{c}`") == F.col(c) for c in ("none", "id", "key")]
     heads = ready(named.join(F.broadcast(least), same).drop("none", "id", "key").dropDuplicates([after]))
     heads = heads.select(F.explode(after).alias(part), *[F.col(c).alias(n) for c, n in following.items()])
-    dealt = named.withColumn(part, _range_of(F.col(order), bounds)).repartition(n, part)
+    # Never null, so that no filter on it comes between the scan and the exchange, which all parts of the plan share.
+    dealt = named.withColumn(part, F.coalesce(_range_of(F.col(order), bounds), F.lit(0))).repartition(n, part)
     w = Window.partitionBy(part).orderBy(order)
     inside = ready(dealt).select("*", *[F.lead(c).over(w).alias(n) for c, n in following.items()], F.lead(part).over(w).alias(after)).where(F.col(after).isNotNull())
-    ends = dealt.withColumn(after, F.lead(part).over(w)).where(F.col(after).isNull()).withColumn(part, (F.col(part) + 1) % len(bounds))
+    ends = dealt.withColumn(after, F.lead(part).over(w)).where(F.col(after).isNull()).withColumn(part, F.when(F.col(part) + 1 < len(bounds), F.col(part) + 1).otherwise(0))
     return inside.drop(order, part, after).unionByName(ready(ends).join(heads, part).drop(order, part, after))
 
 
