@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,12 @@ def named_route(answer: Column, catalog: list[str], default: str = "general") ->
     return F.coalesce(exact, longest, F.lit(default))
 
 
+def first_name(answer: Column, taxonomy: Sequence[str], default: Column) -> Column:
+    """The first name of the taxonomy, in its order, that the answer contains in any case; the default without any."""
+    line = F.lower(answer)
+    return F.coalesce(*[F.when(line.contains(n.lower()), F.lit(n)) for n in taxonomy], default)
+
+
 def literal_list(text: Column) -> Column:
     """A Python or JSON list of strings; anything else as a list of itself."""
     return F.coalesce(F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>", {"mode": "PERMISSIVE"}), F.array(text))

@@ -223,11 +223,26 @@ def llm_route_parse(t: Tables) -> DataFrame:
     return replies(t).select("id", parsing.named_route(F.col("b"), ["click", "purchase", "view"]).alias("route"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'licen') THEN 'licence' WHEN contains(lower(text), 'clown') THEN 'abuse' ELSE source END AS label FROM documents")
+TAXONOMY = ("en", "de", "es", "fr", "licence", "abuse", "table of numbers", "numbers", "common")
+
+
+class Librarian:
+    """A stand-in classifier: it quotes the document's last five words, then sometimes a line of its own."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return ["It ends in: " + " ".join(p.split()[-5:]) + ("\nI would say Numbers." if len(p) % 3 == 0 else "") for p in prompts]
+
+
+SAID = """a AS (SELECT doc_id, source, list_filter(string_split_regex(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' +'), lambda w: w <> '') AS w, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, source, lower('It ends in: ' || array_to_string(w[-5:], ' ') || CASE WHEN n % 3 = 0 THEN chr(10) || 'I would say Numbers.' ELSE '' END) AS said FROM a)"""
+FIRST_NAME = "CASE " + " ".join(f"WHEN contains(said, '{n}') THEN '{n}'" for n in TAXONOMY) + " ELSE source END"
+
+
+@query(f"WITH {SAID} SELECT doc_id, {FIRST_NAME} AS label FROM s")
 def document_classifier_parse(t: Tables) -> DataFrame:
-    """The first taxonomy name found in an answer, else the old label; the text stands for the answer."""
-    a = F.lower("text")
-    return t.documents.select("doc_id", F.when(a.contains("licen"), "licence").when(a.contains("clown"), "abuse").otherwise(F.col("source")).alias("label"))
+    """A model names each document's class; the first taxonomy name that its answer contains counts, else the old label."""
+    told = systems.generate(t.spread("documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), "text", Librarian)
+    return told.select("doc_id", parsing.first_name(F.col("answer"), TAXONOMY, F.col("source")).alias("label"))
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k, CASE WHEN json_extract_string(props, '$.answer') IS NOT NULL THEN 'inner' WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'step' ELSE 'refusal' END AS origin FROM events")
@@ -436,12 +451,17 @@ def router_then_scope(t: Tables) -> DataFrame:
 
 
 
+def _mean_sql(total: str, n: str) -> str:
+    """The mean of ``n`` whole numbers of that total, rounded half up; shifted so that none is negative."""
+    return f"((2 * ({total} + {n} * 1000000) + {n}) // (2 * {n}) - 1000000)"
+
 
-ROUNDS = f"""{SCOPED}, {CENTROIDS}, a AS (SELECT m.round, p.qid, count(*) AS context, avg(p.sim) AS q FROM (VALUES (0, 1), (1, 2), (2, 4)) AS m(round, m), p JOIN rt ON rt.qid = p.qid AND rt.scope = p.l WHERE rt.rank <= m.m AND p.srank <= 5 GROUP BY ALL),
-o AS (SELECT *, coalesce(max(q) OVER (PARTITION BY qid ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)"""
+ROUNDS = f"""{SCOPED}, {CENTROIDS}, a AS (SELECT m.round, p.qid, count(*) AS context, sum(CAST(round(p.sim * 1000000) AS BIGINT))::BIGINT AS total FROM (VALUES (0, 1), (1, 2), (2, 4)) AS m(round, m), p JOIN rt ON rt.qid = p.qid AND rt.scope = p.l WHERE rt.rank <= m.m AND p.srank <= 5 GROUP BY ALL),
+b AS (SELECT *, {_mean_sql("total", "context")} AS q FROM a),
+o AS (SELECT *, coalesce(max(q) OVER (PARTITION BY qid ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)"""
 
 
-@query(f"WITH {ROUNDS} SELECT qid, round, context, round(q, 6) AS quality FROM o WHERE before < 0.35")
+@query(f"WITH {ROUNDS} SELECT qid, round, context, q / 1000000 AS quality FROM o WHERE before < 350000")
 def refinement_loop(t: Tables) -> DataFrame:
     """Three rounds that deepen each query's scopes while its mean similarity is low; all queries of a round are one batch."""
     v = vectors(t)
@@ -452,9 +472,11 @@ def refinement_loop(t: Tables) -> DataFrame:
         scopes = route(t, m).select("qid", F.col("scope").cast("string").alias("scope"))
         found = dense.topk(q.join(scopes, "qid").withColumn("list", F.col("scope")), corpus, 5, exclude_self=True)
         found = settle(found)
-        quality = found.groupBy("qid").agg(F.avg("sim").alias("q"))
-        one = found.groupBy("qid").agg(F.count("*").alias("context")).join(quality, "qid").select("qid", F.lit(round_).alias("round"), "context", F.round("q", 6).alias("quality"))
+        # Whole millionths, so that neither the mean nor the test depends on the order of additions.
+        sums = found.groupBy("qid").agg(F.count("*").alias("context"), F.sum(F.round(F.col("sim") * 1_000_000).cast("bigint")).alias("total"))
+        quality = sums.withColumn("q", F.expr("(2 * (total + context * 1000000) + context) div (2 * context) - 1000000"))
+        one = quality.select("qid", F.lit(round_).alias("round"), "context", (F.col("q") / 1_000_000).alias("quality"))
         out = one if out is None else out.union(one)
         # The next round reads only the queries that are still open, not this round's work again.
-        q = settle(q.join(quality.where("q < 0.35").select("qid"), "qid", "left_semi"))
+        q = settle(q.join(quality.where("q < 350000").select("qid"), "qid", "left_semi"))
     return out
