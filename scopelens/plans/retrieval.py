@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.vector import doubles, dot, mean_pool
 from ..operators import dense, lexical
 from ..operators.fusion import hybrid_merge, interleave, rrf, two_stage
+from ..sources.indexes import source_version, token_index
 from .registry import Tables, query
 
 E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
@@ -276,6 +277,33 @@ def late_interaction_topk(t: Tables) -> DataFrame:
     return lexical.ranked(s, "label", "id", 10).select("label", "id", "score", F.col("rank").cast("bigint"))
 
 
+def as_tokens(t: Tables) -> DataFrame:
+    """Each vector read as eight token vectors."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.slice("v", j * 8 + 1, F.lit(8)))
+    return vectors(t).select("id", cut.alias("tokens"), F.col("label").cast("string").alias("scope"))
+
+
+LATE = f"""{E}, tk AS (SELECT vec_id, j, list_slice(v, 8 * j + 1, 8 * j + 8) AS tok, label FROM e, generate_series(0, 7) AS g(j)),
+s AS (SELECT a.vec_id AS qid, d.vec_id AS id, a.label AS ql, d.label AS l, a.j, max(list_dot_product(a.tok, d.tok)) AS m FROM tk a JOIN tk d ON a.vec_id <> d.vec_id WHERE a.vec_id % 25 = 0 GROUP BY ALL),
+f AS (SELECT qid, id, ql, l, round(sum(m), 6) AS score FROM s GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f)"""
+
+
+@query(f"WITH {LATE} SELECT qid, id, score, rank FROM o WHERE rank <= 10")
+def late_interaction_index(t: Tables) -> DataFrame:
+    """Late interaction over posted token vectors: candidates by centroids, the best scored exactly. The SQL compares all."""
+    index = token_index(as_tokens(t), source_version(t.embeddings.select("vec_id", "embedding", "label")))
+    asked = as_tokens(t).where("id % 25 = 0").select(F.col("id").alias("qid"), "tokens")
+    return index.search(asked, 10, exclude_self=True).select("qid", "id", "score", F.col("rank").cast("bigint"))
+
+
+@query(f"WITH {LATE}, c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM o WHERE rank <= 40 AND ql = l) SELECT qid, id, score, pos AS rank FROM c WHERE pos <= 10")
+def late_interaction_scoped(t: Tables) -> DataFrame:
+    """Forty rows first, the query's own label after: lists may come out short."""
+    index = token_index(as_tokens(t), source_version(t.embeddings.select("vec_id", "embedding", "label")))
+    asked = as_tokens(t).where("id % 25 = 0").select(F.col("id").alias("qid"), "tokens", "scope")
+    return index.search(asked, 10, exclude_self=True).select("qid", "id", "score", F.col("rank").cast("bigint"))
+
+
 T = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS term, source FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
 q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS term FROM benchmark) GROUP BY item_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
 BM25 = f"""{T}, dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS dl, source FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),

@@ -44,9 +44,13 @@ def _place(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+#: Goes up when the tables of an index change.
+FORMAT = 2
+
+
 def ensure(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
     """The folder of the index ``name``; ``build`` fills a new one unless it is there."""
-    path = f"{shared_folder(spark)}/indexes/{name}"
+    path = f"{shared_folder(spark)}/indexes/{FORMAT}/{name}"
     fs, at = _place(spark, path)
     if not fs.exists(at):
         draft = f"{path}.{uuid.uuid4().hex}"
@@ -294,3 +298,89 @@ def vector_index(vectors: DataFrame, version: str) -> VectorIndex:
     """The vector index of ``vectors`` (id, v, scope), whose source has that version."""
     spark = vectors.sparkSession
     return VectorIndex(spark, ensure(spark, f"vectors-{version}", lambda at: VectorIndex.build(vectors, at)))
+
+
+#: Cells that a query token looks into, and candidates for each row that is scored exactly and kept.
+PROBES, POOL = 64, 8
+ID_BUCKETS = 64
+
+
+class TokenIndex:
+    """Late interaction: documents as token vectors, posted by nearest centroid, under ``path``.
+
+    ``postings`` (cell, id, v) hold the token vectors by cell, ``documents`` (id, tokens, scope) by a hash of the id.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # one row for each centroid
+        self.centres = np.array([r.centre for r in rows]) if rows else np.zeros((0, 1))
+
+    @staticmethod
+    def build(docs: DataFrame, path: str) -> None:
+        """Writes the index of ``docs`` (id, tokens array<array<double>>, scope); documents without tokens are left out."""
+        spark = docs.sparkSession
+        good = docs.where(F.size("tokens") > 0).select(F.col("id").cast("bigint").alias("id"), F.col("tokens").cast("array<array<double>>").alias("tokens"), F.col("scope").cast("string").alias("scope"))
+        good.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")).repartition(min(ID_BUCKETS, 4 * spark.sparkContext.defaultParallelism), "bucket").write.partitionBy("bucket").parquet(f"{path}/documents")
+        flat = good.select("id", F.posexplode("tokens").alias("pos", "v"))
+        n = good.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+        sample = flat.orderBy(F.xxhash64("id", "pos"), "id", "pos").limit(SAMPLE_ROWS).select("v").collect()
+        cells = max(1, min(1024, int(4 * math.sqrt(n)), len(sample) // 8))
+        centres = _fit(np.array([r.v for r in sample]), cells) if sample else np.zeros((0, 1))
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = dense.matrix(b.column("v"))
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.argmax(x @ centres.T, axis=1).astype(np.int32)), "id": b.column("id"), "v": b.column("v")})
+
+        kinds = "cell int, id bigint, v array<double>"
+        posted = flat.select("id", "v").mapInArrow(post, kinds) if sample else spark.createDataFrame([], kinds)
+        posted.withColumn("part", F.col("cell") % ID_BUCKETS).repartition(min(ID_BUCKETS, 4 * spark.sparkContext.defaultParallelism), "part").sortWithinPartitions("part", "cell").write.partitionBy("part").parquet(f"{path}/postings")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/cells")
+
+    def search(self, queries: DataFrame, limit: int, exclude_self: bool = False) -> DataFrame:
+        """(qid, id, score, rank) for queries (qid, tokens[, scope]): the ``limit`` best by the sum of best token products.
+
+        A query token looks into its ``PROBES`` nearest cells. What it finds there counts by how far it is above the last
+        of these cells' centroids, which stands for tokens elsewhere; ``POOL`` times as many candidates as are kept are
+        scored exactly. For a query with a scope ``max(4 * limit, 40)`` rows are kept and filtered after, so its
+        list may come out short.
+        """
+        centres, probes = self.centres, min(PROBES, len(self.centres))
+        q = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("tokens").cast("array<array<double>>").alias("tokens"), (F.col("scope").cast("string") if "scope" in queries.columns else F.lit(None).cast("string")).alias("want"))
+        q = settle(q)
+        if not probes:
+            return self.spark.createDataFrame([], "qid bigint, id bigint, score double, rank int")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = dense.matrix(b.column("v")) @ centres.T
+                top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+                rep = lambda c: b.column(c).take(pa.array(np.repeat(np.arange(len(s)), probes)))  # noqa: B023, E731
+                last = np.take_along_axis(s, top, 1).min(axis=1)
+                yield pa.RecordBatch.from_pydict({"qid": rep("qid"), "pos": rep("pos"), "cell": pa.array(top.ravel().astype(np.int32)), "last": pa.array(np.repeat(last, probes)), "a": rep("v")})
+
+        asked = q.select("qid", F.posexplode("tokens").alias("pos", "v")).mapInArrow(probe, "qid bigint, pos int, cell int, last double, a array<double>")
+        asked = settle(asked.withColumn("part", F.col("cell") % ID_BUCKETS))
+        parts = [r[0] for r in asked.select("part").distinct().collect()]  # at most ID_BUCKETS
+        post = self.spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(parts))
+        product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        gain = product(F.col("a"), F.col("v")) - F.col("last") * F.sqrt(product(F.col("v"), F.col("v")))
+        met = post.join(light(asked)(asked), ["part", "cell"])
+        near = (met.where("qid <> id") if exclude_self else met).groupBy("qid", "id", "pos").agg(F.max(gain).alias("m"))
+        most = max(4 * limit, 40)
+        w = Window.partitionBy("qid").orderBy(F.desc("s"), "id")
+        rough = near.groupBy("qid", "id").agg(F.sum(F.greatest("m", F.lit(0.0))).alias("s")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= POOL * most).select("qid", "id")
+        docs = self.spark.read.parquet(f"{self.path}/documents").select("id", F.col("tokens").alias("t"), "scope")
+        both = rough.join(docs, "id").join(q, "qid")
+        score = F.aggregate("tokens", F.lit(0.0), lambda s, a: s + F.array_max(F.transform("t", lambda b: product(a, b))))
+        exact = both.select("qid", "id", "scope", "want", F.round(score, 6).alias("score"))
+        kept = exact.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= most)
+        kept = kept.where(F.col("want").isNull() | (F.col("want") == F.col("scope"))).drop("rank")
+        return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit).select("qid", "id", "score", "rank")
+
+
+def token_index(docs: DataFrame, version: str) -> TokenIndex:
+    """The token index of ``docs`` (id, tokens, scope), whose source has that version."""
+    spark = docs.sparkSession
+    return TokenIndex(spark, ensure(spark, f"tokens-{version}", lambda at: TokenIndex.build(docs, at)))
