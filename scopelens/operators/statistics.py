@@ -62,6 +62,16 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(q for x in range(max(0, k - r2), min(k, r1) + 1) if (q := p(x)) <= here * (1 + 1e-7)))
 
 
+def fisher_p(a: str, b: str, c: str, d: str) -> Column:
+    """``fisher_exact`` of four columns of counts, in batches."""
+
+    @F.pandas_udf("double")
+    def p(*cells: pd.Series) -> pd.Series:
+        return pd.Series([fisher_exact(*map(int, x)) for x in zip(*cells, strict=True)], dtype="float64")
+
+    return p(a, b, c, d)
+
+
 def wilcoxon_signed_rank(diffs: np.ndarray, zeros: str = "wilcox") -> tuple[float, float]:
     """(W, two-sided p). Exact for up to 50 untied differences, else the normal approximation with tie correction."""
     d = np.asarray(diffs, float)
@@ -150,19 +160,6 @@ def resampled(df: DataFrame, by: list[str], row: str, value: str, rounds: int, k
     return flat.groupBy(*by, "round").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"))
 
 
-def mcnemar_mde(n: int, base: float, correlation: float, power: float = 0.8, alpha: float = 0.05, rounds: int = 400, seed: int = 42) -> float:
-    """The smallest drop of a proportion that paired exact McNemar tests of size n find with that power, by simulation."""
-    rng = np.random.default_rng(seed)
-    for drop in np.arange(0.02, base + 1e-9, 0.02):
-        low = base - drop
-        both = min(base * low + correlation * math.sqrt(base * (1 - base) * low * (1 - low)), low)
-        b, c = base - both, low - both
-        draws = rng.multinomial(n, [max(b, 0), max(c, 0), max(1 - b - c, 0)], size=rounds)
-        if np.mean([mcnemar_exact(int(x), int(y)) < alpha for x, y, _ in draws]) >= power:
-            return float(drop)
-    return float(base)
-
-
 def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, slope, intercept, r, se) of y on x."""
     return df.agg(

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, dense, systems
-from ..operators import statistics as st
 from ..operators.sampling import draw_key
 from .registry import Tables, query
 from .retrieval import SCOPED, vectors
@@ -85,12 +84,3 @@ def pca_projection(t: Tables) -> DataFrame:
     sign = [1.0 if a[abs(a).argmax()] > 0 else -1.0 for a in axes.T]
     y = vector_to_array("y")
     return model.transform(v).select("id", *[F.round(y[i] * sign[i], 6).alias(n) for i, n in enumerate(("pc1", "pc2"))])
-
-
-@query()
-def mcnemar_power(t: Tables) -> DataFrame:
-    """Per language: the smallest drop of the share of good documents that paired tests of that size would find."""
-    j = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
-    rows = j.groupBy("lang").agg(F.count("*").alias("n"), F.avg("quality").alias("base")).where("n >= 5 AND base > 0.02").orderBy("lang").collect()  # a row per language
-    got = [(r.lang, r.n, round(r.base, 6), round(st.mcnemar_mde(r.n, r.base, 0.62), 6)) for r in rows]
-    return t.spark.createDataFrame(got, "lang string, n bigint, base double, mde double")

@@ -159,8 +159,7 @@ p AS (SELECT *, exp(lgamma(r1 + 1) - lgamma(i + 1) - lgamma(r1 - i + 1) + lgamma
 
 @query(f"WITH {FISHER} SELECT n11, n10, n01, n00, round(least(1.0, sum(p) FILTER (p <= here * (1 + 1e-7))), 6) AS p FROM (SELECT *, max(p) FILTER (i = n11) OVER () AS here FROM p) GROUP BY n11, n10, n01, n00")
 def fisher_exact_p(t: Tables) -> DataFrame:
-    r = contingency_2x2(t).first()
-    return t.spark.createDataFrame([(r.n11, r.n10, r.n01, r.n00, round(st.fisher_exact(r.n11, r.n10, r.n01, r.n00), 6))], "n11 bigint, n10 bigint, n01 bigint, n00 bigint, p double")
+    return contingency_2x2(t).select("n11", "n10", "n01", "n00", F.round(st.fisher_p("n11", "n10", "n01", "n00"), 6).alias("p"))
 
 
 RHO = f"{TREND}, rho AS (SELECT query, round(corr(rx, ry), 9) AS rho FROM k GROUP BY query HAVING count(*) >= 3 AND count(DISTINCT ry) > 1)"

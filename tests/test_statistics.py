@@ -53,10 +53,6 @@ def test_extreme_value_fit_recovers_a_line():
     assert (a, b, r2) == pytest.approx((0.3, 0.07, 1.0))
 
 
-def test_mde_is_in_range():
-    assert 0 < st.mcnemar_mde(60, 0.8, 0.3, rounds=60) <= 0.8
-
-
 def test_agreement_of_equal_labellings(spark):
     r = st.agreement(spark.createDataFrame([(0, 5, 10), (1, 6, 7), (2, 7, 3)], "a int, b int, n int")).first()
     assert (r.nmi, r.ari, r.homogeneity, r.purity) == (1.0, 1.0, 1.0, 1.0)
