@@ -193,3 +193,13 @@ def agreement(contingency: DataFrame) -> DataFrame:
         F.round(F.when(h("r") == 0, 1.0).otherwise(mi / h("r")), 6).alias("homogeneity"),
         F.round(F.col("most") / n, 6).alias("purity"),
     )
+
+
+def agreement_by(contingency: DataFrame, by: list[str]) -> DataFrame:
+    """(by, nmi, homogeneity) of each group's counts (a, b, n) of two labellings: a is the truth."""
+    ent = lambda keys, name: contingency.groupBy(*by, *keys).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum("n").alias(f"{name}_n"), F.sum(F.col("n") * F.log("n")).alias(f"{name}_nln"))
+    j = ent(["a", "b"], "c").join(ent(["a"], "r"), by).join(ent(["b"], "k"), by)
+    h = lambda x: F.log("c_n") - F.col(f"{x}_nln") / F.col("c_n")
+    mi = h("r") + h("k") - h("c")
+    both = h("r") + h("k")
+    return j.select(*by, F.round(F.when(both < 1e-12, 1.0).otherwise(2 * mi / both), 6).alias("nmi"), F.round(F.when(h("r") < 1e-12, 1.0).otherwise(mi / h("r")), 6).alias("homogeneity"))

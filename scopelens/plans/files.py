@@ -35,10 +35,28 @@ def crawl_frontier(t: Tables) -> DataFrame:
     return crawl.by_priority(u, "login|cart", "index|[02468]$", 100).select("page_id", "url", "priority")
 
 
-@query()
+_HOST = "regexp_extract({}, '^[a-z]+://([^/]+)', 1)"
+_PATH = "regexp_replace(url, '^[a-z]+://[^/?]*', '')"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT url, split_part(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '#', 1) AS href FROM pages),
+a AS (SELECT DISTINCT url AS src, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href ELSE regexp_replace(url, '[^/]*$', '') || href END AS url FROM p WHERE href <> ''),
+l AS (SELECT src, url, CASE WHEN length({_HOST.format('url')}) % 2 = 0 THEN starts_with({_PATH}, '/th') AND NOT starts_with({_PATH}, '/the') AND NOT (ends_with({_PATH}, 'n') AND length({_PATH}) > 4) OR ({_PATH} LIKE '/i%t' AND NOT starts_with({_PATH}, '/the'))
+  ELSE starts_with({_PATH}, '/d') AND NOT starts_with({_PATH}, '/de') END AS barred FROM a WHERE {_HOST.format('src')} = {_HOST.format('url')}),
+c AS (SELECT DISTINCT url, 0 AS depth FROM pages UNION SELECT l.url, depth + 1 FROM c JOIN l ON l.src = c.url WHERE depth < 2 AND NOT barred)
+SELECT url, min(depth)::INT AS depth FROM c GROUP BY url"""
+)
 def crawl_bfs(t: Tables) -> DataFrame:
-    """Pages that same-host links reach within two steps of the stored ones."""
-    return crawl.crawl(t.pages, t.pages.select("url").distinct(), 2)
+    """Pages that same-host links reach within two steps of the stored ones, where their hosts' robots files let the crawler.
+
+    The files are stand-ins: hosts with names of even length have a group for this crawler.
+    """
+    general = "# all others\nUser-agent: *\nDisallow: /d\nAllow: /de\n"
+    own = "User-Agent: other\nUser-agent: Scope # this one\nDisallow: /th\nallow: /the\nAllow: /th*n$\nDisallow: /i*t$\nCrawl-delay: 3\n\n"
+    hosts = t.pages.select(crawl.host_of("url").alias("host")).distinct()
+    robots = hosts.select("host", F.when(F.length("host") % 2 == 0, own + general).otherwise(general).alias("body"))
+    return crawl.crawl(t.pages, t.pages.select("url").distinct(), 2, crawl.robots_rules(robots, "ScopeLens/1.0"))
 
 
 @query("SELECT doc_id AS id, md5(text) AS text_md5 FROM documents")

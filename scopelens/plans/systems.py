@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..functions import text as tx
 from ..functions.vector import doubles, dot, mean_pool
-from ..operators import dense, lexical, systems
+from ..operators import clustering, dense, lexical, systems
 from ..operators import statistics as st
 from ..operators.sampling import draw, draw_key
 from ..session import settle
@@ -309,6 +309,23 @@ def granularity_sweep(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(*r, verdict) for r in rows], "k int, silhouette double, calinski_harabasz double, nmi_label double, nmi_parity double, verdict string")
 
 
+@query()
+def minibatch_granularity(t: Tables) -> DataFrame:
+    """Mini-batch k-means over a grid of k: cost and agreement with two labellings by k, which k agrees best with the
+    labels, and whether the finest one follows the labels or the coarser axis."""
+    v = vectors(t)
+    models = clustering.minibatch_kmeans(v, clustering.spaced(4, 12, 5))
+    a = settle(clustering.assigned(v, models).select("k", "cluster", "label", "distance"))
+    cost = a.groupBy("k").agg(F.sum("distance").alias("inertia"))
+    axes = F.explode(F.array(F.struct(F.lit("label").alias("axis"), F.col("label").alias("a")), F.struct(F.lit("parity").alias("axis"), (F.col("label") % 2).alias("a")))).alias("x")
+    counts = a.select("k", "cluster", axes).groupBy("k", "x.axis", F.col("x.a").alias("a"), F.col("cluster").alias("b")).agg(F.count("*").alias("n"))
+    s = st.agreement_by(counts, ["k", "axis"])
+    wide = s.groupBy("k").agg(*[F.max(F.when(F.col("axis") == x, F.col(m))).alias(f"{m}_{x}") for x in ("label", "parity") for m in ("nmi", "homogeneity")])
+    best, finest = F.max_by("k", F.struct("nmi_label", -F.col("k"))), F.max_by(F.col("nmi_label") > F.col("nmi_parity") + 0.05, "k")
+    verdict = wide.agg(best.alias("best_k"), F.when(finest, "fine").otherwise("coarse").alias("verdict"))
+    return wide.join(cost, "k").crossJoin(F.broadcast(verdict)).select("k", F.round("inertia", 4).alias("inertia"), "nmi_label", "homogeneity_label", "nmi_parity", "homogeneity_parity", "best_k", "verdict")
+
+
 @query()
 def seed_stability(t: Tables) -> DataFrame:
     """Agreement of partitions from different seeds, pair by pair."""

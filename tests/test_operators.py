@@ -182,3 +182,14 @@ def test_command_line_lists_queries(capsys, monkeypatch):
     monkeypatch.setattr("sys.argv", ["scopelens", "list"])
     cli.main()
     assert "knn_purity_by_label" in capsys.readouterr().out
+
+
+def test_robots_rules_by_group_and_length(spark):
+    body = "Allow: /before\r\nUser-agent: a\r\nUser-agent: scope\r\n\r\nDisallow: /x # all of it\nAllow: /x/y\nDisallow: /*.pdf$\nDisallow: /q?z=(1)\nUser-agent: *\nDisallow: /\nUser-agent: Lens\nDisallow: /lens\nAllow:\n"
+    robots = spark.createDataFrame([("h", body), ("open", "User-agent: *\nDisallow:\n"), ("shut", "user-agent: *\ndisallow: /"), ("tie", "User-agent: *\nDisallow: /ab\nAllow: /ab"), ("none", None)], "host string, body string")
+    urls = ["http://h/", "http://h/before", "http://h/x", "http://h/xx?a", "http://h/x/y/z", "http://h/f.pdf", "http://h/f.pdfs", "http://h/q?z=(1)&b", "http://h/q", "http://h/lens/1", "http://open/x", "http://shut/a", "http://shut", "http://tie/abc", "http://none/x", "http://unknown/x"]
+    table = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url for r in crawl.permitted(table, crawl.robots_rules(robots, "ScopeLens/1.0")).collect()}
+    assert set(urls) - got == {"http://h/x", "http://h/xx?a", "http://h/f.pdf", "http://h/q?z=(1)&b", "http://h/lens/1", "http://shut/a", "http://shut"}
+    general = {r.url for r in crawl.permitted(table, crawl.robots_rules(robots, "somebody")).collect()}
+    assert not any(u.startswith("http://h/") for u in general) and "http://open/x" in general
