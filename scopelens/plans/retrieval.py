@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vector import doubles, dot, mean_pool
-from ..operators import dense, lexical
+from ..operators import backends, dense, lexical
 from ..operators.fusion import hybrid_merge, interleave, rrf, two_stage
-from ..sources.indexes import source_version, token_index
+from ..operators.systems import embed
+from ..sources.indexes import source_version, token_index, vector_index
 from .registry import Tables, query
 
 E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
@@ -401,3 +402,37 @@ def hybrid_merge_topk(t: Tables) -> DataFrame:
     q = lexical.postings(t.benchmark, "item_id").withColumnRenamed("tf", "qtf")
     raw = lexical.postings(t.spread("documents"), "doc_id", terms=q.select("term").distinct()).join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
     return hybrid_merge([first, lexical.ranked(raw, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")], 15)
+
+
+#: The stand-in embedder in SQL: signed feature hashing of the words of the first 2000 characters, at length 1.
+def _embedded_sql(table: str, key: str) -> str:
+    return rf"""SELECT {key}, list(x ORDER BY i) AS v FROM (SELECT k.{key}, g.i, coalesce(h.x, 0)::DOUBLE AS x FROM {table} k CROSS JOIN generate_series(0, 63) AS g(i) LEFT JOIN (
+SELECT {key}, ('0x' || left(h, 2))::INT % 64 AS i, sum(CASE WHEN ('0x' || substring(h, 15, 2))::INT >= 128 THEN 1 ELSE -1 END) AS x FROM (SELECT {key}, md5(w) AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(left(text, 2000)), '[^\x09-\x0D\x1C-\x20\x{{85}}\x{{A0}}]+')) AS w FROM {table})) GROUP BY ALL) h ON h.{key} = k.{key} AND h.i = g.i) GROUP BY {key}"""
+
+
+_UNIT = "list_transform(v, lambda x: x / CASE WHEN list_dot_product(v, v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END)"
+_KINDS = ("bm25", "sparse", "dense")
+
+
+@query(
+    f"""WITH {BM25}, {TFIDF.split(T + ", ", 1)[1]}, de AS (SELECT doc_id, {_UNIT} AS v FROM ({_embedded_sql('documents', 'doc_id')})), qe AS (SELECT item_id, {_UNIT} AS v FROM ({_embedded_sql('benchmark', 'item_id')})),
+ds AS (SELECT item_id, doc_id, round(list_dot_product(qe.v, de.v), 6) AS score FROM qe, de), dr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ds),
+f AS (SELECT 'bm25' AS backend, item_id, doc_id, score, rank FROM br WHERE rank <= 30 UNION ALL SELECT 'sparse', item_id, doc_id, score, rank FROM sr WHERE rank <= 30 UNION ALL SELECT 'dense', item_id, doc_id, score, rank FROM dr WHERE rank <= 30),
+tk AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 1500)), '{tx.TOKEN}')) AS d FROM documents), tq AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS q FROM benchmark),
+c AS (SELECT backend, item_id, doc_id, round(len(list_intersect(q, d)) / (len(q) + len(d) - len(list_intersect(q, d)))::DOUBLE, 6) AS score FROM f JOIN tk USING (doc_id) JOIN tq USING (item_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY backend, item_id ORDER BY score DESC, doc_id) AS rank FROM c)
+SELECT backend, false AS reranked, item_id, doc_id, score, rank FROM f WHERE rank <= 10 UNION ALL SELECT backend, true, item_id, doc_id, score, rank FROM o WHERE rank <= 10"""
+)
+def backends_with_and_without_rerank(t: Tables) -> DataFrame:
+    """The same questions to three backends behind one interface, each as it is and reranked."""
+    docs = t.spread("documents").select("doc_id", "text")
+    embedded = embed(docs.withColumnRenamed("doc_id", "id"), "text").select("id", "v", F.lit(None).cast("string").alias("scope"))
+    dense_index = vector_index(embedded, "texts-" + source_version(t.documents.select("doc_id", "text")))
+    kinds = {"bm25": backends.Lexical(t.text_index()), "sparse": backends.Sparse(docs), "dense": backends.Dense(dense_index)}
+    out = None
+    for name, plain in kinds.items():
+        for again in (False, True):
+            b = backends.Reranked(plain, docs) if again else plain
+            one = b.search(t.benchmark.select("item_id", "text"), 10).select(F.lit(name).alias("backend"), F.lit(again).alias("reranked"), "item_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+            out = one if out is None else out.unionByName(one)
+    return out
