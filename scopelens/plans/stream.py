@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import events as ev
 from .registry import Tables, query
 
@@ -22,6 +25,32 @@ def stream_sessions(t: Tables) -> DataFrame:
     return ev.sessions(t.events)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+ARRIVED = """a AS (SELECT *, least(greatest(date_diff('day', TIMESTAMP '2024-01-01', ts), 0) // 10, 2) AS due FROM events),
+r AS (SELECT event_id, ts, event_type, value, least(due + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, 2) AS part FROM a UNION ALL SELECT event_id, ts, event_type, value, due + 1 FROM a WHERE event_id % 7 = 0 AND due < 2),
+m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM r GROUP BY part),
+w AS (SELECT r.*, mark, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM r JOIN m USING (part))"""
+
+
+def arrivals(t: Tables) -> list[DataFrame]:
+    """``events`` as they arrive in three parts of ten days: a tenth comes one part late, a seventh comes again."""
+    a = t.events.withColumn("due", F.expr("least(greatest(datediff(ts, DATE '2024-01-01'), 0) div 10, 2)"))
+    late = F.least(F.col("due") + (F.col("event_id") % 10 == 3).cast("int"), F.lit(2))
+    every = a.withColumn("part", late).unionByName(a.where("event_id % 7 = 0 AND due < 2").withColumn("part", F.col("due") + 1))
+    return [every.where(F.col("part") == k).drop("due", "part") for k in range(3)]
+
+
+def _folder(t: Tables) -> str:
+    return f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
+
+
+@query(f"WITH {ARRIVED} SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE (mark IS NULL OR start + INTERVAL 6 HOUR > mark) AND start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM r) GROUP BY ALL")
+def stream_late_windows(t: Tables) -> DataFrame:
+    """A live stream in three runs: rows whose window had closed before they came are dropped, open windows aren't given."""
+    given = ev.fed(arrivals(t), ev.tumbling_counts, _folder(t))
+    return given.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {ARRIVED} SELECT DISTINCT event_id, ts FROM w WHERE mark IS NULL OR ts > mark")
 def stream_unique_events(t: Tables) -> DataFrame:
-    return t.events.dropDuplicates(["event_id"]).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    """A live stream in three runs: an event that comes again is dropped, and so is one that comes after its watermark."""
+    return ev.fed(arrivals(t), ev.unique_events, _folder(t)).select("event_id", "ts")

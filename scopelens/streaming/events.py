@@ -5,7 +5,7 @@ An extension: what the batch operators do on stored logs, on logs that are still
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +64,18 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def fed(parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What ``stream`` has given once the parts have arrived one after the other.
+
+    Each part is appended to a folder of files and taken in by a run of its own, which goes on from the checkpoint of
+    the run before, so watermarks and state live on and rows that come after their watermark are dropped.
+    """
+    spark = parts[0].sparkSession
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/arrived")
+        events = read_events(spark, f"{folder}/arrived", per_trigger=1_000_000)
+        run = stream(events).writeStream.format("parquet").option("path", f"{folder}/given").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/given")
