@@ -60,6 +60,10 @@ ROUTES = [
 CRAWL_FIRST = ("design", "spec", "manual", "construct", "material", "bridge", "traffic", "plan", "publication", "document", "library", "report", "engineering", "standard", "safety", "program")
 CRAWL_LAST = ("news", "career", "espanol", "/es/", "contact", "calendar", "event", "press-release", "newsroom", "login", "search", "subscribe", "twitter", "facebook", "youtube", "instagram", "linkedin")
 
+#: What a title's stem leaves out, and its joining words.
+STEM_NOISE = r"\b(19|20)\d{2}\b|\bfy\s*\d+\b|\brev(ision)?\b|\bupdated\b|\(.*?\)|effective.*|[^a-z ]"
+STEM_WORDS = ("the", "for", "and", "of")
+
 
 def contains_any(value: Column, needles) -> Column:
     """One search for all needles, so that the text's expression occurs once."""

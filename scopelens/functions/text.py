@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import STOPWORDS
+from .rules import STEM_NOISE, STEM_WORDS, STOPWORDS
 
 TOKEN = "[a-z0-9_]+"
 
@@ -60,8 +60,8 @@ def title_bucket(title: Column) -> Column:
 
 def title_stem(title: Column, also: tuple[str, ...] = ()) -> Column:
     """Letters of a title without years, revision marks, parentheses and joining words (and those of ``also``)."""
-    bare = F.regexp_replace(F.lower(title), r"\b(19|20)\d{2}\b|\bfy\s*\d+\b|\brev(ision)?\b|\bupdated\b|\(.*?\)|effective.*|[^a-z ]", " ")
-    return F.array_join(F.filter(F.split(F.trim(bare), " +"), lambda w: ~w.isin("the", "for", "and", "of", *also)), " ")
+    bare = F.regexp_replace(F.lower(title), STEM_NOISE, " ")
+    return F.array_join(F.filter(F.split(F.trim(bare), " +"), lambda w: ~w.isin(*STEM_WORDS, *also)), " ")
 
 
 def composite_id(*parts: Column, index: Column) -> Column:

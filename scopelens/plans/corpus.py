@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, tables
 from ..functions import text as tx
 from ..operators import chunking
 from ..operators.sampling import by_hash, capped_by_hash, draw_key
@@ -26,6 +26,18 @@ def three_sentence_chunks(t: Tables) -> DataFrame:
     return chunking.sentence_groups(t.documents, "doc_id", "text").select("doc_id", L("part").alias("part"), F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("bigint").alias("chars"))
 
 
+@query(
+    r"""WITH p AS (SELECT doc_id, string_split(text, '. ') AS s FROM documents), g AS (SELECT doc_id, i AS part, array_to_string(s[i * 3 + 1 : i * 3 + 3], '. ') AS chunk FROM p, LATERAL (SELECT unnest(generate_series(0, (len(s) - 1) // 3)) AS i))
+SELECT doc_id, part, md5(chunk) AS chunk_md5, length(chunk) AS chars FROM g WHERE length(trim(chunk)) >= 50"""
+)
+def chunks_by_table_function(t: Tables) -> DataFrame:
+    """The same groups from a table function that SQL calls for each document."""
+    tables.register(t.spark)
+    t.spread("documents").select("doc_id", "text").createOrReplaceTempView("chunked_documents")
+    got = t.spark.sql("SELECT d.doc_id, c.part, c.chunk FROM chunked_documents d, LATERAL sentence_groups(d.text, 3, 50) c")
+    return got.select("doc_id", "part", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("bigint").alias("chars"))
+
+
 @query(
     r"""WITH s AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
 f AS (SELECT doc_id, text, list_reduce(list_transform(s, lambda x: {'chunks': []::VARCHAR[], 'cur': x}), lambda a, x: CASE WHEN length(a.cur) + length(x.cur) > 800 AND a.cur <> '' THEN {'chunks': list_append(a.chunks, a.cur), 'cur': x.cur} ELSE {'chunks': a.chunks, 'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END} END, {'chunks': []::VARCHAR[], 'cur': ''}) AS r FROM s),
@@ -109,9 +121,9 @@ def title_initial_bucket(t: Tables) -> DataFrame:
     return titled(t).select("doc_id", tx.title_bucket(F.col("title")).alias("bucket"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower({TITLE}), '\\b(19|20)\\d{{2}}\\b|\\bfy\\s*\\d+\\b|\\brev(ision)?\\b|\\bupdated\\b|\\(.*?\\)|effective.*|[^a-z ]', ' ', 'g')), ' +'), lambda w: w NOT IN ('the', 'for', 'and', 'of')), ' ') AS stem FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower({TITLE}), '\\b(19|20)\\d{{2}}\\b|\\bfy\\s*\\d+\\b|\\brev(ision)?\\b|\\bupdated\\b|\\(.*?\\)|effective.*|[^a-z ]', ' ', 'g')), ' +'), lambda w: w NOT IN ('the', 'for', 'and', 'of')), ' ') AS stem FROM documents")
 def title_stem(t: Tables) -> DataFrame:
-    return titled(t).where("lang = 'en'").select("doc_id", tx.title_stem(F.col("title")).alias("stem"))
+    return titled(t).select("doc_id", tx.title_stem(F.col("title")).alias("stem"))
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(lower(trim({TITLE})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")

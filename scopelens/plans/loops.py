@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import dense, lexical, loops
 from ..session import settle
 from .registry import Tables, query
-from .retrieval import BM25, CENTROIDS, SCOPED, as_queries, route, vectors
+from .retrieval import BM25, CENTROIDS, SCOPED, route, vectors
 
 #: Similarities to a scope's centroid from which on it is read first, to full depth or not; potential scopes' last place.
 HIGH, MODERATE, POTENTIAL = 0.1, 0.05, 5
@@ -64,6 +64,20 @@ def judged(held: DataFrame) -> DataFrame:
 def tiered_refinement(t: Tables) -> DataFrame:
     """Scopes by tier, evidence, a judge, and rounds that go deeper or wider until one of six reasons ends them; the
     judge and the follow-up questions (the query moved towards its two best rows) are stand-ins."""
+    states, evidence = refined(t, ROUNDS)
+    n = evidence.groupBy("qid").agg(F.count("*").alias("evidence"))
+    return states.join(n, "qid", "left").select("qid", "rounds", "reason", "strategies", "quality", "best_round", "calls", F.coalesce("evidence", F.lit(0)).alias("evidence"))
+
+
+@query(f"WITH {REFINED} SELECT qid, CASE WHEN reason IS NULL THEN how END AS strategy FROM hw0 WHERE reason IS NOT NULL OR q < {loops.GOOD}")
+def strategy_selector(t: Tables) -> DataFrame:
+    """How each query's loop goes on after its first judgement, by coverage, validity and time left; null where it was
+    answered from the whole corpus. Queries that are good enough at once have no strategy and no row."""
+    states, _ = refined(t, 1)
+    return states.where("reason <> 'quality_threshold'").select("qid", F.nullif("strategies", F.lit("")).alias("strategy"))
+
+
+def refined(t: Tables, rounds: int) -> tuple[DataFrame, DataFrame]:
     v = settle(vectors(t))
     corpus = v.withColumn("scope", F.col("label").cast("string"))
     queries = v.select(F.col("id").alias("qid"), F.col("v").alias("ask"))
@@ -80,9 +94,7 @@ def tiered_refinement(t: Tables) -> DataFrame:
         top = held.withColumn("part", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id"))).where(F.col("part") <= loops.MOST_FOLLOW_UPS)
         return top.join(v.select("id", "v"), "id").join(asked, "qid").select("qid", "part", F.zip_with("ask", "v", lambda a, b: (a + b) / 2).alias("ask"))
 
-    states, evidence = loops.refine(queries, tiers, search, judged, follow, ROUNDS, SECONDS, CALL_SECONDS)
-    n = evidence.groupBy("qid").agg(F.count("*").alias("evidence"))
-    return states.join(n, "qid", "left").select("qid", "rounds", "reason", "strategies", "quality", "best_round", "calls", F.coalesce("evidence", F.lit(0)).alias("evidence"))
+    return loops.refine(queries, tiers, search, judged, follow, rounds, SECONDS, CALL_SECONDS)
 
 
 #: Tools of the reasoning loop: a language each, and one for everything.

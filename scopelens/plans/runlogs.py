@@ -6,10 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..operators import aggregates as ag
 from ..operators import statistics as st
-from ..operators.joins import answered_by_all, average_present, choose_by_threshold, system_pairs
+from ..operators.joins import answered_by_all, average_present, system_pairs
 from .registry import Tables, query
 
 
@@ -202,17 +201,6 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return q.select("a", "b", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-TAU = "tau AS (SELECT * FROM (VALUES (0.0), (0.3), (0.4), (0.6)) AS v(tau)), c AS (SELECT doc_id, quality, toxic, (doc_id % 100) / 100.0 AS conf FROM labels)"
-
-
-@query(f"WITH {TAU} SELECT tau::DOUBLE AS tau, round(avg((conf < tau)::INT), 6) AS fallback_rate, round(avg(CASE WHEN conf < tau THEN toxic ELSE quality END), 6) AS correctness FROM c, tau GROUP BY tau")
-def tau_fallback_sweep(t: Tables) -> DataFrame:
-    """Below each threshold of confidence the other arm answers. Confidence is a stand-in from the id."""
-    c = t.labels.withColumn("conf", (F.col("doc_id") % 100) / 100.0)
-    x = choose_by_threshold(c, "conf", [0.0, 0.3, 0.4, 0.6], "quality", "toxic")
-    return x.groupBy("tau").agg(F.round(F.avg(F.col("fallback").cast("int")), 6).alias("fallback_rate"), F.round(F.avg("chosen"), 6).alias("correctness"))
-
-
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def resume_left_anti(t: Tables) -> DataFrame:
     """What is still to do: a row counts as done if it succeeded."""
@@ -290,13 +278,6 @@ def loop_termination(t: Tables) -> DataFrame:
     return d.select("query", F.col("step").cast("bigint").alias("step"), F.round("dq", 6).alias("dq"), verdict.alias("verdict"))
 
 
-@query("SELECT event_id, CASE WHEN c < 0.75 AND v < 0.70 AND tm > 20 THEN 'Hybrid' WHEN c < 0.75 AND tm > 15 THEN 'Depth' WHEN v < 0.70 AND tm > 10 THEN 'Breadth' ELSE 'Stop' END AS strategy FROM (SELECT event_id, (event_id % 100) / 100.0 AS c, (user_id % 100) / 100.0 AS v, event_id % 30 AS tm FROM events)")
-def strategy_selector(t: Tables) -> DataFrame:
-    """Coverage, validity and time left decide how to go on; all three are stand-ins from ids."""
-    e = t.events.select("event_id", ((F.col("event_id") % 100) / 100.0).alias("c"), ((F.col("user_id") % 100) / 100.0).alias("v"), (F.col("event_id") % 30).alias("tm"))
-    return e.select("event_id", rules.strategy(F.col("c"), F.col("v"), F.col("tm")).alias("strategy"))
-
-
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (coalesce(a.x, b.x) + coalesce(b.x, a.x)) / 2.0 AS mean FROM (SELECT doc_id, quality::DOUBLE AS x FROM labels WHERE quality = 1) a FULL OUTER JOIN (SELECT doc_id, toxic::DOUBLE AS x FROM labels WHERE toxic = 0) b USING (doc_id)")
 def full_outer_average(t: Tables) -> DataFrame:
     """Two annotators who each rated part of the rows; the mean of the ratings that exist."""

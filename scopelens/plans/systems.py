@@ -18,6 +18,7 @@ from ..functions import text as tx
 from ..functions.vector import doubles, dot, mean_pool
 from ..operators import clustering, dense, lexical, systems
 from ..operators import statistics as st
+from ..operators.joins import choose_by_threshold
 from ..operators.sampling import draw, draw_key
 from ..session import settle
 from .corpus import TOPICS, _topic_sql
@@ -447,9 +448,31 @@ def tail_composition(t: Tables) -> DataFrame:
     return nb.groupBy(kind.alias("population")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT vec_id, len(embedding)::DOUBLE AS dim FROM embeddings")
+@query(f"WITH {E} SELECT vec_id, len(v)::BIGINT AS dim, round(sqrt(list_dot_product(v, v)), 6) AS length, round(v[1], 6) AS first, round(v[len(v)], 6) AS last FROM e")
 def vector_scan(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", F.size(doubles("embedding")).cast("double").alias("dim"))
+    """Every vector read by its place in the stored array: size, length and both ends."""
+    v = t.embeddings.select("vec_id", doubles("embedding").alias("v"))
+    at = lambda i: F.round(F.element_at("v", i), 6)
+    return v.select("vec_id", F.size("v").cast("bigint").alias("dim"), F.round(F.sqrt(dot(F.col("v"), F.col("v"))), 6).alias("length"), at(1).alias("first"), at(-1).alias("last"))
+
+
+TAUS = (0.0, 0.02, 0.05, 0.1)
+
+
+@query(
+    f"""WITH {KNN}, {CENTROIDS}, one AS (SELECT a.qid, a.scope, round(a.sim - b.sim, 6) AS conf FROM rt a JOIN rt b USING (qid) WHERE a.rank = 1 AND b.rank = 2),
+c AS (SELECT qid, conf, (scope = ql)::INT AS routed, (l = ql)::INT AS everywhere FROM one JOIN r USING (qid) WHERE r.rank = 1), tau AS (SELECT unnest({list(TAUS)})::DOUBLE AS tau)
+SELECT tau, round(avg((conf < tau)::INT), 6) AS fallback_rate, round(avg(CASE WHEN conf < tau THEN everywhere ELSE routed END), 6) AS correctness FROM c, tau GROUP BY tau"""
+)
+def tau_fallback_sweep(t: Tables) -> DataFrame:
+    """The router's lead of its first scope over the second is its confidence; below each threshold the nearest row of
+    the whole corpus answers in its place. Right is the query's own label."""
+    r = settle(route(t, 2))
+    one = r.where("rank = 1").select("qid", "scope", F.col("sim").alias("a")).join(r.where("rank = 2").select("qid", F.col("sim").alias("b")), "qid")
+    near = neighbours(t, 1).select("qid", (F.col("l") == F.col("ql")).cast("int").alias("everywhere"), "ql")
+    c = one.join(near, "qid").select("qid", F.round(F.col("a") - F.col("b"), 6).alias("conf"), (F.col("scope") == F.col("ql")).cast("int").alias("routed"), "everywhere")
+    x = choose_by_threshold(c, "conf", list(TAUS), "routed", "everywhere")
+    return x.groupBy("tau").agg(F.round(F.avg(F.col("fallback").cast("int")), 6).alias("fallback_rate"), F.round(F.avg("chosen"), 6).alias("correctness"))
 
 
 @query(f"WITH {KNN}, c AS (SELECT qid, count(*) AS n FROM r WHERE rank <= 100 GROUP BY qid) SELECT n AS found, count(*) AS queries FROM c GROUP BY n")
