@@ -37,8 +37,9 @@ K, S, SIZE = 4, 2, 128
 #: Words of a block, and those beyond it that its last anchor's successor may need.
 BLOCK = 4096
 AHEAD = 2 * K - S + 1
-#: Bytes of text that a range of ids is meant to hold; ranges for each shuffle partition at least.
-RANGE_BYTES, RANGES = 16 << 20, 4
+#: Bytes of text that a range of ids is meant to hold; ranges for each shuffle partition at least; ranges at most,
+#: since each task gets the bounds of all (some 60 bytes each). Larger ranges are sorted on disk.
+RANGE_BYTES, RANGES, MOST_RANGES = 16 << 20, 4, 200_000
 #: White space other than the space.
 SPACES = "\t\n\v\f\r"
 
@@ -147,7 +148,7 @@ def with_next(docs: DataFrame, ready: Callable[[DataFrame], DataFrame], followin
         return ready(docs).select("*", *[F.col(c).alias(n) for c, n in following.items()])
     n = max(shuffle_partitions(spark), size // (RANGES * RANGE_BYTES))
     named = docs.withColumn(order, _order())
-    bounds = _bounds(named.select(f"`{order}`.*"), min(rows, RANGES * n))
+    bounds = _bounds(named.select(f"`{order}`.*"), min(rows, RANGES * n, MOST_RANGES))
     # Rows that a bound may name have equal texts, so any of them may stand for the first of its range; equal rows
     # may begin many ranges, but each meets one row here.
     parts: dict[tuple, list[int]] = {}
