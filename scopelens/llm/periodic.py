@@ -21,6 +21,7 @@ result are replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +39,14 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 class _Automaton:
-    """A suffix automaton; the first edge of a state is kept in lists, further ones in one dictionary."""
+    """A suffix automaton in packed arrays; a state's first edge is kept in two of them, further ones in a dictionary."""
 
     def __init__(self, word: list[int]):
-        self.first = [0]  # the end of each state's first occurrence
-        length, link = [0], [-1]
-        label, target = [-1], [-1]
+        self.first = array("i", [0])  # the end of each state's first occurrence
+        length, link = array("i", [0]), array("i", [-1])
+        label, target = array("i", [-1]), array("i", [-1])
         more: dict[tuple[int, int], int] = {}
-        others: list[list[int] | None] = [None]
+        others: dict[int, list[int]] = {}
         last = 0
         for i, c in enumerate(word):
             new = len(length)
@@ -54,7 +55,6 @@ class _Automaton:
             link.append(0)
             label.append(-1)
             target.append(-1)
-            others.append(None)
             p = last
             while p >= 0:
                 if label[p] == c:
@@ -67,10 +67,7 @@ class _Automaton:
                     label[p], target[p] = c, new
                 else:
                     more[p, c] = new
-                    if others[p] is None:
-                        others[p] = [c]
-                    else:
-                        others[p].append(c)
+                    others.setdefault(p, []).append(c)
                 p = link[p]
             if p >= 0:
                 if length[q] == length[p] + 1:
@@ -82,9 +79,10 @@ class _Automaton:
                     link.append(link[q])
                     label.append(label[q])
                     target.append(target[q])
-                    others.append(None if others[q] is None else list(others[q]))
-                    for x in others[q] or ():
-                        more[twin, x] = more[q, x]
+                    if q in others:
+                        others[twin] = list(others[q])
+                        for x in others[q]:
+                            more[twin, x] = more[q, x]
                     while p >= 0:
                         if label[p] == c:
                             if target[p] != q:
