@@ -30,6 +30,8 @@ from .common import cut, free, shuffle_partitions, tune
 
 #: Rows of equal text and id that travel as one.
 RUN = 100_000
+#: Rows that a range is meant to hold; a task has its range's keys in memory.
+RANGE_ROWS = 1_000_000
 _KEYS = "doc_id bigint, size bigint, text_crc32 bigint, ha bigint, hb bigint"
 
 
@@ -98,7 +100,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, spread: float = 0.125, id_co
     runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("all") - 1) / RUN))))
     keys = runs.select(*keys.columns, "run", F.least(F.col("all") - F.col("run") * RUN, F.lit(RUN)).alias("m"))
     order = ["ha", "hb", "doc_id", "run"]
-    keys = cut(keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order))
+    ranges = max(shuffle_partitions(spark), docs.count() // RANGE_ROWS)
+    keys = cut(keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
     parts = keys.mapInArrow(_totals, "pid bigint, n bigint, bytes bigint, runs bigint, head bigint, tail bigint, fa bigint, fb bigint, la bigint, lb bigint").collect()
     at, total = _offsets(parts)
     target = total / shards if total else 1.0

@@ -618,3 +618,29 @@ def test_substring_dedup_of_very_many_equal_rows(spark):
         took[n] = time.time() - began
         assert sorted(map(tuple, got)) == [(3, 90, "", n), (4, 0, "short one", 1)]
     assert took[50_000] < 20 * took[5_000]
+
+
+@pytest.mark.parametrize("range_rows", [10**6, 17])
+def test_cuts_are_those_of_one_long_row_of_texts(spark, monkeypatch, range_rows):
+    """Brute force over all rows in the order of their texts' fingerprints, whatever ranges they are dealt to."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", range_rows)
+    rng = np.random.default_rng(21)
+    texts = ["w" * int(n) for n in rng.integers(0, 400, 150)] + ["same text " * 30] * 40 + ["twice over"] * 2 + [None, "", "ü" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = sharding.assign_shards(df, shards=8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    rows_ = sorted(got, key=lambda r: (r.ha, r.hb, r.doc_id))
+    total = sum(r.size for r in rows_)
+    assert total == sum(len((t or "").encode()) + 1 for t in texts)
+    at, want, begin = 0, {}, {}
+    for r in rows_:
+        begin.setdefault((r.ha, r.hb), [at, 0])[1] += r.size
+        want[r.doc_id] = at
+        at += r.size
+    slots = collections.Counter()
+    for r in rows_:
+        start, size = begin[r.ha, r.hb]
+        middle = start + size / 2 if size <= 0.125 * total / 8 else want[r.doc_id] + r.size / 2
+        assert r.shard == min(int(middle // (total / 8)), 7)
+        assert r.slot == slots[r.shard]
+        slots[r.shard] += 1
