@@ -154,9 +154,10 @@ def with_next(docs: DataFrame, ready: Callable[[DataFrame], DataFrame], followin
     parts: dict[tuple, list[int]] = {}
     for k, b in enumerate(bounds):
         parts.setdefault((b.none, b.id, b.key), []).append(k)
-    least = spark.createDataFrame([(v, *key) for key, v in parts.items()], f"`{after}` array<int>, none boolean, id bigint, key bigint")
-    same = [F.col(f"`{order}`.`{c}`") == F.col(c) for c in ("none", "id", "key")]
-    heads = ready(named.join(F.broadcast(least), same).drop("none", "id", "key").dropDuplicates([after]))
+    names = {c: free(docs, f"least_{c}") for c in ("none", "id", "key")}
+    least = spark.createDataFrame([(v, *key) for key, v in parts.items()], f"`{after}` array<int>, " + ", ".join(f"`{names[c]}` {t}" for c, t in (("none", "boolean"), ("id", "bigint"), ("key", "bigint"))))
+    same = [F.col(f"`{order}`.`{c}`") == F.col(f"`{n}`") for c, n in names.items()]
+    heads = ready(named.join(F.broadcast(least), same).drop(*names.values()).dropDuplicates([after]))
     heads = heads.select(F.explode(after).alias(part), *[F.col(c).alias(n) for c, n in following.items()])
     # Never null, so that no filter on it comes between the scan and the exchange, which all parts of the plan share.
     dealt = named.withColumn(part, F.coalesce(_range_of(F.col(order), bounds), F.lit(0))).repartition(n, part)

@@ -156,6 +156,8 @@ def test_an_edit_leaves_distant_anchors_alone(spark):
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     docs = [(7, "one text that is long enough", "f"), (7, "another text that is long enough", "g"), (None, "without an id", "h"), (None, None, "i")] + [(5, "repeated row with its own text", "j")] * 40 + [(1, "last", "k")]
     table = spark.createDataFrame(docs, "doc_id bigint, text string, fingerprint string").repartition(6)
+    clash = table.selectExpr("*", "1 AS id", "2 AS key", "true AS none", "4 AS row", "5 AS _part", "'x' AS _next", "7 AS near_next")
+    assert syncmers.compare_edited(clash).where("id = 1 AND key = 2 AND none AND row = 4 AND _part = 5 AND _next = 'x' AND near_next <= 1").count() == len(docs)
     got = syncmers.compare_edited(table)
     assert got.columns[:2] == ["doc_id", "text"] and got.schema["fingerprint"].dataType.simpleString() == "array<bigint>"
     rows_ = result(got).collect()
