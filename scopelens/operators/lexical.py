@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, occurrences, tokens
+from ..session import settle
 
 #: Parameters of BM25 Okapi.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -116,9 +117,12 @@ def count_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     terms = asked.select("term").distinct()
     # Words and terms meet on the terms' first three letters at every place of the word.
     grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda i: F.substring(F.col("word"), i, F.lit(3))))).alias("g"))
-    holds = grams.join(terms.withColumn("g", F.substring("term", 1, 3)), "g").where(F.expr("contains(word, term)")).select("word", "term").distinct()
-    each = docs.select("doc_id", F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}_]+")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    per = each.join(holds, "word").groupBy("doc_id", "term").agg(F.sum(F.col("n") * occurrences(F.col("word"), F.col("term"))).alias("n"))
+    holds = settle(grams.join(terms.withColumn("g", F.substring("term", 1, 3)), "g").where(F.expr("contains(word, term)")).select("word", "term").distinct())
+    few = light(holds)
+    # Words without a keyword are dropped where the documents are, before anything is counted or shuffled.
+    flat = docs.select("doc_id", F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}_]+")).alias("word")).join(few(holds.select("word").distinct()), "word", "left_semi")
+    each = flat.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    per = each.join(few(holds), "word").groupBy("doc_id", "term").agg(F.sum(F.col("n") * occurrences(F.col("word"), F.col("term"))).alias("n"))
     scored = asked.join(per, "term").groupBy("item_id", "doc_id").agg(F.sum("n").alias("score")).where("score > 0")
     return ranked(scored, "item_id", "doc_id", k)
 

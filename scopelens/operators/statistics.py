@@ -35,12 +35,17 @@ def holm(df: DataFrame, p: str, family: list[str], order: str) -> DataFrame:
 
 
 def mcnemar_exact(b: int, c: int) -> float:
-    """Two-sided exact p of b and c discordant pairs."""
-    n = b + c
+    """Two-sided exact p of b and c discordant pairs: the terms of the lower tail, from its largest down."""
+    n, k = b + c, min(b, c)
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n
-    return min(1.0, 2 * tail)
+    total = term = 1.0
+    for i in range(k, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, 2 * total * math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)))
 
 
 def mcnemar_p(b: str, c: str) -> Column:

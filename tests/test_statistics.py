@@ -1,5 +1,7 @@
 """Statistics against known values and against plain restatements."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -83,3 +85,12 @@ def test_resampling_agrees_with_the_plain_tests(spark):
     lo, hi = np.quantile(b["s"] / b["w"], [0.025, 0.975])
     want = st.bootstrap_ci(d, rounds=4000)
     assert (lo, hi) == pytest.approx(want, abs=0.06)
+
+
+def test_mcnemar_tails():
+    exact = lambda b, c: min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c))
+    for b in range(0, 40, 3):
+        for c in range(0, 90, 7):
+            assert st.mcnemar_exact(b, c) == pytest.approx(exact(b, c), rel=1e-10)
+    assert st.mcnemar_exact(480, 560) == pytest.approx(exact(480, 560), rel=1e-9)
+    assert 0.004 < st.mcnemar_exact(49_600, 50_500) < 0.005
