@@ -57,8 +57,13 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the ``documents`` of ``sf_dir``."""
+    """The last stage's rows for the ``documents`` of ``sf_dir``; a stage's table goes when the next one is written."""
     root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
@@ -68,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{root}/{k}-{name}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            _remove(spark, f"{root}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
