@@ -88,16 +88,17 @@ class TextIndex:
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", scopes: tuple[str, ...] = ()) -> None:
         """Writes the index of ``docs``; a null text has no words and doesn't count towards the mean length."""
-        size = docs.select(F.size(tokens(text)).alias("n")).agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("words")).first()
-        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, size.words // BUCKET_ROWS))
-        files = max(1, math.ceil(size.words / buckets / FILE_ROWS))
-        cls._add(docs, path, 0, buckets, files, key, text, scopes)
+        cls._add(docs, path, 0, None, None, key, text, scopes)
 
     @classmethod
-    def _add(cls, docs: DataFrame, path: str, version: int, buckets: int, files: int, key: str, text: str, scopes: tuple[str, ...]) -> None:
+    def _add(cls, docs: DataFrame, path: str, version: int, buckets: int | None, files: int | None, key: str, text: str, scopes: tuple[str, ...]) -> None:
         spark = docs.sparkSession
         lengths = docs.select(key, *scopes, tokens(text).alias("w")).withColumn("dl", F.size("w"))
         lengths.select(key, *scopes, F.when(F.col("w").isNotNull(), F.col("dl")).alias("dl")).write.mode("overwrite").parquet(f"{path}/docs/version={version}")
+        if buckets is None:
+            words = spark.read.parquet(f"{path}/docs").agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+            buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, words // BUCKET_ROWS))
+            files = max(1, math.ceil(words / buckets / FILE_ROWS))
         flat = lengths.select(key, "dl", *scopes, F.explode("w").alias("term")).groupBy(key, "dl", "term", *scopes).agg(F.count("*").alias("tf"))
         # A term of most documents is dealt over the files of its bucket by document.
         dealt = flat.withColumn("bucket", cls._bucket("term", buckets)).withColumn("file", F.pmod(F.xxhash64(key), F.lit(files)))
