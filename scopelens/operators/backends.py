@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import settle
 from ..sources.indexes import TextIndex, VectorIndex
-from . import lexical
+from . import forward, lexical
 from .systems import HashEmbedder, embed
 
 #: Fixed value: characters of a text that a pair score reads.
@@ -40,27 +42,47 @@ class Lexical:
     scope: str | None = None
 
     def search(self, queries: DataFrame, limit: int) -> DataFrame:
-        every, some = _split(queries)
-        found = self.index.scores(every)
-        if self.scope is not None and "scope" in queries.columns:
-            found = found.unionByName(self.index.scores(some.withColumn(self.scope, F.col("scope")), scope=self.scope))
-        return lexical.ranked(found, "item_id", "doc_id", limit)
+        scoped = self.scope is not None and "scope" in queries.columns
+        return self.index.topk(queries, limit, scope="scope" if scoped else None, has=self.scope, every=True)
 
 
 @dataclass
 class Sparse:
-    """Dot products of sparse weights of documents (doc_id, text[, scope]) with those of the queries."""
+    """Dot products of sparse weights of documents (doc_id, text[, scope]), or of those of an index, with those of the queries."""
 
     docs: DataFrame
+    index: TextIndex | None = None
+    scope: str = "scope"
 
     def search(self, queries: DataFrame, limit: int) -> DataFrame:
-        q = lexical.tfidf_weights(queries, "item_id")
-        d = lexical.tfidf_weights(self.docs, "doc_id", terms=q.select("term").distinct())
-        found = q.select("item_id", "term", F.col("w").alias("a")).join(d, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("w")), 6).alias("score")).where("score > 0")
-        if "scope" in queries.columns:
-            has = self.docs.select("doc_id", F.col("scope").alias("_has"))
-            found = found.join(queries.select("item_id", "scope"), "item_id").join(has, "doc_id").where("scope IS NULL OR scope = _has").drop("scope", "_has")
-        return lexical.ranked(found, "item_id", "doc_id", limit)
+        scoped = "scope" in queries.columns
+        q = settle(lexical.tfidf_weights(queries, "item_id"))
+        if self.index is not None:
+            rows, n, df = self.index.table("docs"), self.index.stats.n, self.index.known(q)
+        else:
+            rows = forward.rows(self.docs, "doc_id", keep=(self.scope,) if scoped else ())
+            n, own = self.docs.count(), q.select("term").distinct()
+            df = rows.select(F.explode("terms").alias("term")).join(lexical.small(own), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        asked = q.join(df, "term").select("item_id", "term", (F.col("w") * F.log(1 + n / F.col("df"))).alias("w"))
+        if scoped:
+            asked, rows = asked.join(queries.select("item_id", F.col("scope").alias("want")), "item_id"), rows.withColumn("has", F.col(self.scope))
+        return forward.best(rows, asked, limit, "doc_id", lambda tf, dl: 1 + np.log(tf), every=True)
+
+
+@dataclass
+class Kept:
+    """Another backend's answers to one set of queries, searched for once: shorter lists begin longer ones."""
+
+    base: Backend
+    most: int
+    _found: DataFrame | None = None
+
+    def search(self, queries: DataFrame, limit: int) -> DataFrame:
+        if limit > self.most:
+            return self.base.search(queries, limit)
+        if self._found is None:
+            self._found = settle(self.base.search(queries, self.most))
+        return self._found.where(F.col("rank") <= limit)
 
 
 @dataclass
@@ -95,7 +117,8 @@ class Reranked:
     score: Callable[[Column, Column], Column] = overlap
 
     def search(self, queries: DataFrame, limit: int) -> DataFrame:
-        found = self.base.search(queries, self.candidates).select("item_id", "doc_id")
-        pairs = found.join(self.texts.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, PAIR_CHARS).alias("_d")), "doc_id").join(queries.select("item_id", F.col("text").alias("_q")), "item_id")
+        found = settle(self.base.search(queries, self.candidates).select("item_id", "doc_id"))
+        # Candidates go to the texts where they are few, else both are shuffled.
+        pairs = lexical.light(found)(found).join(self.texts.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, PAIR_CHARS).alias("_d")), "doc_id").join(queries.select("item_id", F.col("text").alias("_q")), "item_id")
         scored = pairs.select("item_id", "doc_id", F.round(self.score(F.col("_q"), F.col("_d")), 6).alias("score"))
         return lexical.ranked(scored, "item_id", "doc_id", min(limit, self.final))
