@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as s
+from pyspark.sql import functions as F
 
 from scopelens.operators import statistics as st
 
@@ -94,3 +95,46 @@ def test_mcnemar_tails():
             assert st.mcnemar_exact(b, c) == pytest.approx(exact(b, c), rel=1e-10)
     assert st.mcnemar_exact(480, 560) == pytest.approx(exact(480, 560), rel=1e-9)
     assert 0.004 < st.mcnemar_exact(49_600, 50_500) < 0.005
+
+
+def test_mcnemar_halves_round_up(spark):
+    """p of 7 and 1 pairs is 0.0703125, which sums of rounded terms miss."""
+    from fractions import Fraction
+    from math import comb
+
+    pairs = [(b, c) for b in range(13) for c in range(13) if b + c]
+    got = spark.createDataFrame(pairs, "b bigint, c bigint").select("b", "c", F.round(st.mcnemar_p("b", "c"), 6).alias("p")).collect()
+    for b, c, p in got:
+        exact = min(Fraction(1), Fraction(2 * sum(comb(b + c, i) for i in range(min(b, c) + 1)), 2 ** (b + c)))
+        assert p == float(Fraction(int(exact * 10**6 + Fraction(1, 2)), 10**6)), (b, c)
+
+
+def test_fisher_against_whole_numbers():
+    from fractions import Fraction
+    from math import comb
+
+    rng = np.random.default_rng(8)
+    tables = [(0, 0, 0, 0), (5, 0, 0, 5), (0, 9, 0, 4), (300, 10, 20, 200), (1, 1000, 1000, 1)] + [tuple(map(int, rng.integers(0, 60, 4))) for _ in range(150)]
+    for a, b, c, d in tables:
+        r1, r2, k = a + b, c + d, a + c
+        p = {x: Fraction(comb(r1, x) * comb(r2, k - x), comb(r1 + r2, k)) for x in range(max(0, k - r2), min(k, r1) + 1)}
+        want = sum(q for q in p.values() if q <= p[a] * (1 + Fraction(1, 10**7)))
+        assert st.fisher_exact(a, b, c, d) == pytest.approx(float(min(1, want)), rel=1e-9, abs=1e-300)
+
+
+def test_fisher_of_large_tables_takes_no_time():
+    import time
+
+    start = time.time()
+    assert 0 < st.fisher_exact(400_300, 600_000, 399_000, 600_500) < 1
+    assert time.time() - start < 5
+
+
+def test_tied_means_of_many_rows(spark, tmp_path):
+    """0.1 three times and 0.3 in one order or another have the mean 0.1 each; as doubles these differ."""
+    from scopelens.plans import QUERIES
+
+    rows = [(i, q, s, v) for i, (q, s, v) in enumerate([(q, "a", v) for q in range(4) for v in (0.1, 0.2, 0.3)] + [(q, "b", v) for q in range(4) for v in (0.3, 0.2, 0.1)] + [(9, "a", 1.0), (9, "b", 3.0)])]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").repartition(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["effect_size_dz"](spark, str(tmp_path)).collect()
+    assert [(r.better, r.worse, r.tied) for r in got] == [(0, 1, 4)]
