@@ -67,6 +67,14 @@ def means(t: Tables) -> DataFrame:
     return runs(t).groupBy("query", "system").agg(F.avg("latency").alias("v"))
 
 
+def exact_means(t: Tables) -> DataFrame:
+    """``means`` by sums that no order of rows changes, for values of up to 9 places; others, and infinite ones, are added as doubles."""
+    whole = F.col("latency").try_cast("decimal(27,9)")
+    fits = F.sum(F.when(F.col("latency").isNotNull() & ~F.coalesce(whole.cast("double") == F.col("latency"), F.lit(False)), 1).otherwise(0)) == 0
+    mean = (F.sum(whole) / F.count("latency").cast("decimal(20,0)")).cast("decimal(38,20)").cast("double")
+    return runs(t).groupBy("query", "system").agg(F.when(fits, mean).otherwise(F.avg("latency")).alias("v"))
+
+
 def paired(t: Tables) -> DataFrame:
     """(a, b, query, d) for every pair of systems that answered a query."""
     return system_pairs(means(t), "query", "system", "v")
@@ -79,9 +87,10 @@ def paired_deltas(t: Tables) -> DataFrame:
 
 @query(f"WITH {PAIRED} SELECT a, b, round(avg(d) / stddev_samp(d), 6) AS dz, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse, count(*) FILTER (d = 0) AS tied FROM pd GROUP BY a, b")
 def effect_size_dz(t: Tables) -> DataFrame:
+    """Two means are tied if they are equal as decimals: sums of doubles depend on the order of their rows."""
     n = lambda c: F.sum(c.cast("bigint"))
     d = F.col("d")
-    return paired(t).groupBy("a", "b").agg(F.round(F.avg(d) / F.stddev_samp(d), 6).alias("dz"), n(d > 0).alias("better"), n(d < 0).alias("worse"), n(d == 0).alias("tied"))
+    return system_pairs(exact_means(t), "query", "system", "v").groupBy("a", "b").agg(F.round(F.avg(d) / F.stddev_samp(d), 6).alias("dz"), n(d > 0).alias("better"), n(d < 0).alias("worse"), n(d == 0).alias("tied"))
 
 
 @query(f"WITH {PAIRED}, x AS (SELECT a, b, round(d, 9) AS d FROM pd WHERE round(d, 9) <> 0), r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS rk FROM x) SELECT a, b, count(*) AS n, round(sum(rk) FILTER (d > 0), 6)::DOUBLE AS w_plus, round(sum(rk) FILTER (d < 0), 6)::DOUBLE AS w_minus FROM r GROUP BY a, b")
