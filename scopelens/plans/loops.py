@@ -148,10 +148,8 @@ def reasoning_loop(t: Tables) -> DataFrame:
     def search(asks: DataFrame) -> DataFrame:
         """The stand-in's queries are labels; the words sought are the question's own."""
         q = asks.join(questions, "qid").select(F.col("qid").alias("item_id"), F.col("question").alias("text"), F.col("scope").alias("lang"))
-        some, every = q.where("lang IS NOT NULL"), q.where("lang IS NULL")
-        found = index.scores(some, scope="lang").unionByName(index.scores(every))
-        top = lexical.ranked(found, "item_id", "doc_id", 3)
-        return top.join(texts, "doc_id").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"), "rank", F.regexp_replace("text", r"\s+", " ").alias("text"))
+        top = settle(index.topk(q, 3, scope="lang", every=True))
+        return lexical.light(top)(top).join(texts, "doc_id").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"), "rank", F.regexp_replace("text", r"\s+", " ").alias("text"))
 
     done = loops.react(questions, search, TOOLS, Scripted)
     return done.select(F.col("qid").alias("item_id"), "iterations", "model_calls", "reason", "answer", F.array_join("tools", ",").alias("tools"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))

@@ -84,3 +84,30 @@ def test_rows_count_words(docs):
 def test_an_empty_corpus(spark, queries, tmp_path):
     TextIndex.build(spark.createDataFrame([], "doc_id bigint, text string"), f"{tmp_path}/t")
     assert TextIndex(spark, f"{tmp_path}/t").topk(queries.select("item_id", "text"), 3).collect() == []
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_whole_texts_in_documents(spark, monkeypatch, dealt):
+    monkeypatch.setattr(lexical, "SMALL_QUERIES", 0 if dealt else 20_000)
+    docs = spark.createDataFrame([(1, "x one two three y", "a"), (2, "zone two three y", "b"), (3, None, "a"), (4, "one two\nthree", "a"), (5, "one two three", None)], "doc_id bigint, text string, source string")
+    q = spark.createDataFrame([(1, "one two three"), (2, "x one"), (3, None), (4, "absent words here"), (5, "x one two three y")], "item_id bigint, text string")
+    got = lexical.containing(q, docs, keep=("source",))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, "a"), (1, 2, "b"), (1, 5, None), (5, 1, "a")}
+    assert dealt or "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evaluation_shuffles_no_document(spark, sf_dir):
+    """Every exchange of the plan carries ids and what is said of them; all scores and texts stay where they are."""
+    from scopelens.plans import QUERIES
+
+    plan = QUERIES["confusion_diagonal"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "term#" not in plan
+
+
+def test_a_document_in_several_sets(index, docs, queries):
+    has = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("even").alias("has")).union(docs.where("doc_id % 3 = 0").select("doc_id", F.lit("three")))
+    asked = queries.select("item_id", "text").withColumn("set", F.explode(F.array(F.lit("even"), F.lit("three"))))
+    got = {(r.set, r.item_id, r.doc_id, r.score, r["rank"]) for r in index.topk(asked, 4, scope="set", by=("item_id", "set"), has=has).collect()}
+    every = lexical.bm25_scores(queries, docs)
+    for name, of in (("even", 2), ("three", 3)):
+        assert {x[1:] for x in got if x[0] == name} == as_set(lexical.ranked(every.where(F.col("doc_id") % of == 0), "item_id", "doc_id", 4))
