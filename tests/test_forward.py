@@ -111,3 +111,29 @@ def test_a_document_in_several_sets(index, docs, queries):
     every = lexical.bm25_scores(queries, docs)
     for name, of in (("even", 2), ("three", 3)):
         assert {x[1:] for x in got if x[0] == name} == as_set(lexical.ranked(every.where(F.col("doc_id") % of == 0), "item_id", "doc_id", 4))
+
+
+def test_a_list_of_labels_counts_once_for_each(index, docs, queries):
+    """Runs of different scopes and of none are one search; null labels and null wants match nothing."""
+    label = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
+    arm = lambda system, want: F.struct(F.lit(system).alias("system"), want.alias("want"))
+    third = queries.withColumn("third", F.col("item_id") % 3)
+    arms = F.array(arm("all", F.lit(None).cast("string")), arm("source", label("source", "source")), arm("third", label("third", "third")))
+    asked = third.select("item_id", "text", F.explode(arms).alias("arm")).select("item_id", "text", "arm.*").where("want IS NOT NULL OR system = 'all'")
+    has = F.array(label("source", "source"), F.concat(F.lit("third/"), (F.col("doc_id") % 3).cast("string")))
+    found = index.topk(asked, 6, scope="want", by=("system", "item_id"), has=has, every=True)
+    got = {(r.system, r.item_id, r.doc_id, r.score, r["rank"]) for r in found.collect()}
+    every = lexical.bm25_scores(queries, docs)
+    of_third = every.join(third.select("item_id", "third"), "item_id").where(F.col("doc_id") % 3 == F.col("third"))
+    for name, scores in (("all", every), ("source", lexical.bm25_scores(queries, docs, scope="source")), ("third", of_third)):
+        assert {x[1:] for x in got if x[0] == name} == as_set(lexical.ranked(scores, "item_id", "doc_id", 6)) != set(), name
+
+
+def test_arms_read_the_index_once(spark, sf_dir, monkeypatch):
+    from scopelens.plans import evaluation
+    from scopelens.plans.registry import Tables
+
+    asked = []
+    monkeypatch.setattr(TextIndex, "topk", lambda self, *a, f=TextIndex.topk, **b: asked.append(b) or f(self, *a, **b))
+    assert {r.system for r in evaluation.arms(Tables(spark, sf_dir)).select("system").distinct().collect()} == {"monolithic", "by_source", "by_lang"}
+    assert len(asked) == 1
