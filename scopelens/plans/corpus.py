@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, tables
 from ..functions import text as tx
+from ..functions.rules import TOPICS
 from ..operators import chunking
 from ..operators.sampling import by_hash, capped_by_hash, draw_key
 from ..operators.scopes import disjunctive, in_scope
@@ -165,10 +166,6 @@ def default_fill_rename(t: Tables) -> DataFrame:
     return d.withColumns({"publisher": F.lit("unknown"), "page": F.lit(0)}).select("id", "collection", "publisher", "page", "n_chars")
 
 
-#: Ordered rules: the first that matches names the category.
-TOPICS = [("licen[sc]e", "licence"), ("[0-9]{3}", "numbers"), ("\\|", "table"), ("th", "common")]
-
-
 def _topic_sql(c: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({c}, '(?i){p}') THEN '{v}'" for p, v in TOPICS) + " ELSE 'general' END"
 

@@ -36,10 +36,10 @@ def monolithic_system(t: Tables) -> DataFrame:
     return t.text_index().topk(t.benchmark, 15).select("item_id", "doc_id", F.col("rank").cast("bigint"))
 
 
-def routed_search(t: Tables, routes: DataFrame, topics: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score, rank): 15 of the documents (doc_id, topic) whose topic is the query's route (item_id, route); of all by the route general."""
+def routed_search(t: Tables, routes: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score, rank): 15 of the documents whose topic is the query's route (item_id, route); of all by the route general."""
     q = t.benchmark.join(routes.select("item_id", F.nullif("route", F.lit("general")).alias("route")), "item_id")
-    return t.text_index().topk(q, 15, scope="route", has=topics.select("doc_id", F.col("topic").alias("has")), every=True)
+    return t.text_index().topk(q, 15, scope="route", has="topic", every=True)
 
 
 ROUTED = f"rt AS (SELECT item_id, {_topic_sql('text')} AS route FROM benchmark), dt AS (SELECT doc_id, {_topic_sql('text')} AS topic FROM documents)"
@@ -51,8 +51,7 @@ ROUTED = f"rt AS (SELECT item_id, {_topic_sql('text')} AS route FROM benchmark),
 def regex_scoped_system(t: Tables) -> DataFrame:
     """The first rule that matches a query names its scope; queries without one see all documents."""
     q = t.benchmark.withColumn("route", tx.first_match(F.col("text"), TOPICS, "general"))
-    d = t.documents.withColumn("topic", tx.first_match(F.col("text"), TOPICS, "general")).select("doc_id", "topic")
-    found = routed_search(t, q.select("item_id", "route"), d)
+    found = routed_search(t, q.select("item_id", "route"))
     return found.join(q.select("item_id", "route"), "item_id").select("item_id", "route", "doc_id", F.col("rank").cast("bigint"))
 
 
@@ -75,9 +74,8 @@ def hybrid_routed_system(t: Tables) -> DataFrame:
     named = parsing.named_route(F.col("answer"), sorted(v for _, v in TOPICS), default="")
     llm = F.when(named != "", named).when(F.lower("answer").contains("th"), "common").otherwise("general")
     routed = asked.select("item_id", F.lit("llm").alias("decision"), llm.alias("route")).union(q.where("regex IS NOT NULL").select("item_id", F.lit("regex"), "regex"))
-    d = t.documents.select("doc_id", tx.first_match(F.col("text"), TOPICS, "general").alias("topic"))
     routed = settle(routed)
-    return routed_search(t, routed, d).join(routed, "item_id").select("item_id", "decision", "route", "doc_id", F.col("rank").cast("bigint"))
+    return routed_search(t, routed).join(routed, "item_id").select("item_id", "decision", "route", "doc_id", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {SCOPED} SELECT qid, l::VARCHAR AS scope, id, srank AS rank FROM p WHERE l = ql AND srank <= 15 AND ql <> 0 UNION ALL SELECT qid, 'global', id, rank FROM r WHERE ql = 0 AND rank <= 15")

@@ -137,3 +137,23 @@ def test_arms_read_the_index_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(TextIndex, "topk", lambda self, *a, f=TextIndex.topk, **b: asked.append(b) or f(self, *a, **b))
     assert {r.system for r in evaluation.arms(Tables(spark, sf_dir)).select("system").distinct().collect()} == {"monolithic", "by_source", "by_lang"}
     assert len(asked) == 1
+
+
+def plan_of(name, spark, sf_dir):
+    from scopelens.plans import QUERIES
+
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def as_if_large(spark):
+    """No table is small enough for the planner to send it to every task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["hybrid_routed_system", "regex_scoped_system"])
+def test_routed_searches_join_no_documents(spark, sf_dir, monkeypatch, name, as_if_large):
+    monkeypatch.setattr(lexical, "SMALL_ROWS", 150)  # fewer than there are documents
+    assert "Exchange hashpartitioning(doc_id" not in plan_of(name, spark, sf_dir)
