@@ -157,3 +157,12 @@ def as_if_large(spark):
 def test_routed_searches_join_no_documents(spark, sf_dir, monkeypatch, name, as_if_large):
     monkeypatch.setattr(lexical, "SMALL_ROWS", 150)  # fewer than there are documents
     assert "Exchange hashpartitioning(doc_id" not in plan_of(name, spark, sf_dir)
+
+
+def test_growing_sets_list_a_document_once(spark, sf_dir, monkeypatch):
+    from scopelens.plans import QUERIES
+
+    seen = []
+    monkeypatch.setattr(TextIndex, "topk", lambda self, *a, f=TextIndex.topk, **b: seen.append(b["has"]) or f(self, *a, **b))
+    QUERIES["corpus_growth_curve"](spark, sf_dir)
+    assert seen[0].count() == seen[0].select("doc_id").distinct().count() > 0
