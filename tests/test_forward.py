@@ -166,3 +166,8 @@ def test_growing_sets_list_a_document_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(TextIndex, "topk", lambda self, *a, f=TextIndex.topk, **b: seen.append(b["has"]) or f(self, *a, **b))
     QUERIES["corpus_growth_curve"](spark, sf_dir)
     assert seen[0].count() == seen[0].select("doc_id").distinct().count() > 0
+
+
+def test_twins_are_sought_among_what_was_found(spark, sf_dir, as_if_large):
+    """No document is shuffled by its text's hash; those found and gold meet within their query."""
+    assert "hashpartitioning(h#" not in plan_of("lenient_precision", spark, sf_dir)
