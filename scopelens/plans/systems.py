@@ -150,7 +150,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 def cross_encoder_rerank(t: Tables) -> DataFrame:
     """Thirty candidates rescored by a pluggable pair score (here: word overlap with the text's first 1500 characters), ten kept."""
     found = settle(t.text_index().topk(t.benchmark, 30))
-    j = lexical.light(found)(found).join(t.documents.select("doc_id", tx.tokens(F.substring("text", 1, 1500)).alias("d")), "doc_id").join(t.benchmark.select("item_id", tx.tokens("text").alias("q")), "item_id")
+    # The documents' beginnings become words once they are few.
+    near = lexical.light(found)(found).join(t.documents.select("doc_id", F.substring("text", 1, 1500).alias("s")), "doc_id")
+    j = near.select("item_id", "doc_id", tx.tokens("s").alias("d")).join(t.benchmark.select("item_id", tx.tokens("text").alias("q")), "item_id")
     score = F.size(F.array_intersect("q", "d")) / F.size(F.array_union("q", "d"))
     return lexical.ranked(j.select("item_id", "doc_id", F.round(score, 6).alias("score")), "item_id", "doc_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
 

@@ -171,3 +171,9 @@ def test_growing_sets_list_a_document_once(spark, sf_dir, monkeypatch):
 def test_twins_are_sought_among_what_was_found(spark, sf_dir, as_if_large):
     """No document is shuffled by its text's hash; those found and gold meet within their query."""
     assert "hashpartitioning(h#" not in plan_of("lenient_precision", spark, sf_dir)
+
+
+def test_a_reranker_reads_words_of_candidates_only(spark, sf_dir):
+    plan = plan_of("cross_encoder_rerank", spark, sf_dir)
+    texts = [x for x in plan.split("\n") if "regexp_extract_all(lower(substring(text" in x]
+    assert not texts, texts
