@@ -113,6 +113,12 @@ def test_a_document_in_several_sets(index, docs, queries):
         assert {x[1:] for x in got if x[0] == name} == as_set(lexical.ranked(every.where(F.col("doc_id") % of == 0), "item_id", "doc_id", 4))
 
 
+def plan_of(name, spark, sf_dir):
+    from scopelens.plans import QUERIES
+
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_list_of_labels_counts_once_for_each(index, docs, queries):
     """Runs of different scopes and of none are one search; null labels and null wants match nothing."""
     label = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
@@ -139,12 +145,6 @@ def test_arms_read_the_index_once(spark, sf_dir, monkeypatch):
     assert len(asked) == 1
 
 
-def plan_of(name, spark, sf_dir):
-    from scopelens.plans import QUERIES
-
-    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-
-
 @pytest.fixture
 def as_if_large(spark):
     """No table is small enough for the planner to send it to every task."""
@@ -177,3 +177,16 @@ def test_a_reranker_reads_words_of_candidates_only(spark, sf_dir):
     plan = plan_of("cross_encoder_rerank", spark, sf_dir)
     texts = [x for x in plan.split("\n") if "regexp_extract_all(lower(substring(text" in x]
     assert not texts, texts
+
+
+@pytest.mark.parametrize("part", [8 << 20, 7])
+def test_words_are_those_of_the_pattern(spark, monkeypatch, part):
+    """Words end where texts do; letters outside ASCII part words unless they are lower-cased into it."""
+    from scopelens.functions.text import tokens
+
+    monkeypatch.setattr(forward, "TEXT_BYTES", part)
+    texts = ["ab", "cd ef", None, "", "x", "É-a_1 Zß", "Kelvin İx", "end ", " a\u0000b\n", "...", "naïve naïve a a", "last"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    want = {r.doc_id: None if r.w is None else sorted(r.w) for r in docs.select("doc_id", tokens("text").alias("w")).collect()}
+    got = {r.doc_id: None if r.dl is None else sorted(w for w, n in zip(r.terms, r.tfs, strict=True) for _ in range(n)) for r in forward.rows(docs, "doc_id").collect()}
+    assert got == want and all(r.dl == len(want[r.doc_id]) for r in forward.rows(docs, "doc_id").where("dl IS NOT NULL").collect())
