@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -71,18 +72,20 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p: tables with the same margins that are no more probable.
 
     Chances are relative to the most probable table's, from which both sides are walked by ratios of neighbours until
-    nothing is left to add, some tens of standard deviations away.
+    nothing is left to add, some tens of standard deviations away. That is where they leave the normal doubles: the least
+    of the others times a ratio above a half is itself again, so a walk down to 0 would be as long as the table is large.
     """
+    least = sys.float_info.min
     r1, r2, k = a + b, c + d, a + c
     low, high = max(0, k - r2), min(k, r1)
     mode = min(high, max(low, (r1 + 1) * (k + 1) // (r1 + r2 + 2)))
     up, down = [1.0], []
     x = mode
-    while x < high and up[-1] > 0.0:
+    while x < high and up[-1] > least:
         up.append(up[-1] * ((r1 - x) / (x + 1)) * ((k - x) / (r2 - k + x + 1)))
         x += 1
     x, last = mode, 1.0
-    while x > low and last > 0.0:
+    while x > low and last > least:
         last *= (x / (r1 - x + 1)) * ((r2 - k + x) / (k - x + 1))
         down.append(last)
         x -= 1

@@ -155,7 +155,7 @@ def spearman_trend(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n11, count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 0 AND toxic = 1) AS n01, count(*) FILTER (quality = 0 AND toxic = 0) AS n00, round(avg(quality) FILTER (toxic = 1), 6) AS given_1, round(avg(quality) FILTER (toxic = 0), 6) AS given_0 FROM labels")
 def contingency_2x2(t: Tables) -> DataFrame:
-    n = lambda q, x: F.sum(F.expr(f"quality = {q} AND toxic = {x}").cast("bigint"))
+    n = lambda q, x: F.count_if(F.expr(f"quality = {q} AND toxic = {x}"))  # 0 without labels
     given = lambda x: F.round(F.avg(F.when(F.col("toxic") == x, F.col("quality"))), 6)
     return t.labels.agg(n(1, 1).alias("n11"), n(1, 0).alias("n10"), n(0, 1).alias("n01"), n(0, 0).alias("n00"), given(1).alias("given_1"), given(0).alias("given_0"))
 
