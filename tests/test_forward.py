@@ -1,6 +1,7 @@
 """Searches over forward rows give what joins on terms give, however queries are dealt, and shuffle no pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,25 @@ def test_whole_texts_in_documents(spark, monkeypatch, dealt):
     assert dealt or "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_between_spaces():
+    """What is found by bytes is what a split by single spaces gives, and little else is looked at."""
+    texts = ["ab  é ab", None, "", " b\n ab", "x" * 70 + " " + "y" * 90, "é"] + ["word wxyd other"] * 3
+    arr = pa.array(["cut", *texts]).slice(1)
+    for words in ({"ab", "é", "", "x" * 70}, {"b\n", "y" * 90, "none"}, {"word"}, set()):
+        asked = {w.encode() for w in words}
+        met = [(i, w, bytes(t)) for i, w, t in forward.spaced(arr, forward.marks(asked))]
+        want = [(i, w.encode(), (t or "").encode()) for i, t in enumerate(texts) for w in (t or "").split(" ") if w in words]
+        assert [x for x in met if x[1] in asked] == want
+    assert [w for _, w, _ in forward.spaced(arr, forward.marks([b"word"]))] == [b"word"] * 3
+
+
+def test_words_of_texts_that_touch():
+    """Texts lie end to end in a batch, but a word ends with its text."""
+    texts = ["ab", "cd", "", "-", "é1 x_", "2"]
+    doc, words = forward._words(pa.array(["zz", *texts], pa.large_string()).slice(1))
+    assert list(zip(doc.tolist(), words.to_pylist(), strict=True)) == [(0, "ab"), (1, "cd"), (4, "1"), (4, "x_"), (5, "2")]
+
+
 def test_evaluation_shuffles_no_document(spark, sf_dir):
     """Every exchange of the plan carries ids and what is said of them; all scores and texts stay where they are."""
     from scopelens.plans import QUERIES
