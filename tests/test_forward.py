@@ -210,3 +210,49 @@ def test_words_are_those_of_the_pattern(spark, monkeypatch, part):
     want = {r.doc_id: None if r.w is None else sorted(r.w) for r in docs.select("doc_id", tokens("text").alias("w")).collect()}
     got = {r.doc_id: None if r.dl is None else sorted(w for w, n in zip(r.terms, r.tfs, strict=True) for _ in range(n)) for r in forward.rows(docs, "doc_id").collect()}
     assert got == want and all(r.dl == len(want[r.doc_id]) for r in forward.rows(docs, "doc_id").where("dl IS NOT NULL").collect())
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_short_texts_in_documents(spark, monkeypatch, passes):
+    """Texts of one or two words, and the empty one, are found inside words too, but not across texts."""
+    monkeypatch.setattr(lexical, "SHORT_QUERIES", 20_000 if passes == 1 else 4)
+    monkeypatch.setattr(lexical, "HITS", 3)
+    docs = spark.createDataFrame([(1, "x one two three y", "a"), (2, "é", None), (3, None, "a"), (4, "", "b"), (5, "stone twofold one two", None)], "doc_id bigint, text string, source string").coalesce(1)
+    texts = ["one two three", "one tw", "one two", "x", "é", "", None, "ne", "extraordinary", "yé", "stone twofold", " two three", "stone twofoldx", "one"]
+    q = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    got = [tuple(r) for r in lexical.holding(q, docs, keep=("source",)).collect()]
+    want = [(i, d.doc_id, d.source) for i, t in enumerate(texts) for d in docs.collect() if t is not None and d.text is not None and t in d.text]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_openings_are_met_once_in_parts(monkeypatch):
+    monkeypatch.setattr(forward, "TEXT_BYTES", 3)
+    texts = ["abcabcabc", None, "", "bc" * 9, "abcdefghi"]
+    begins = [b"a", b"bc", b"abc", b"cab", b"bcb", b"abcdefgh", b"ibc", b""]
+    got = [(i, b) for i, b, _ in forward.openings(pa.array(["cut", *texts]).slice(1), begins)]
+    assert len(got) == len(set(got)) and set(got) == {(i, b) for i, t in enumerate(texts) for b in begins if t is not None and b in t.encode()}
+
+
+@pytest.fixture(scope="module")
+def short_texts(spark, sf_dir, tmp_path_factory):
+    """The tables with benchmark texts of no, one and two words."""
+    import pyarrow.parquet as pq
+
+    path = tmp_path_factory.mktemp("short")
+    docs, bench = pq.read_table(f"{sf_dir}/documents.parquet"), pq.read_table(f"{sf_dir}/benchmark.parquet")
+    words = [w.split(" ") for w in docs.column("text").to_pylist()[:40:4] if w and w.count(" ") > 5]
+    texts = [" ".join(w[3 : 4 + i % 2]) for i, w in enumerate(words)] + [""]
+    more = pa.table({"item_id": [10_000 + i for i in range(len(texts))], "text": texts}).cast(bench.schema)
+    pq.write_table(docs, path / "documents.parquet")
+    pq.write_table(pa.concat_tables([bench, more]), path / "benchmark.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["chance_and_lift", "confusion_diagonal", "dilution_best_scoped", "failure_cases", "gold_field_ladder", "lenient_precision", "per_query_delta", "recall_at_k_sweep", "same_scope_nongold", "scope_precision_gold_hit"])
+def test_gold_of_short_texts(spark, short_texts, name):
+    import scopelens.plans as plans
+    from tests.oracle import connect, rows
+    from tests.test_queries import _close
+
+    want = rows(connect(short_texts).sql(plans.ORACLES[name]).df())
+    assert _close(rows(plans.QUERIES[name](spark, short_texts).toPandas()), want)
