@@ -3,7 +3,9 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scopelens.functions import parsing
 from scopelens.functions import text as tx
@@ -193,3 +195,36 @@ def test_robots_rules_by_group_and_length(spark):
     assert set(urls) - got == {"http://h/x", "http://h/xx?a", "http://h/f.pdf", "http://h/q?z=(1)&b", "http://h/lens/1", "http://shut/a", "http://shut"}
     general = {r.url for r in crawl.permitted(table, crawl.robots_rules(robots, "somebody")).collect()}
     assert not any(u.startswith("http://h/") for u in general) and "http://open/x" in general
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("ties", [False, True])
+def test_nearest_of_scopes_and_of_all(spark, monkeypatch, small, ties):
+    """Lists are those of all pairs however queries and rows are dealt; several lists a query, repeated ids and null scopes included."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50 if small else 10_000)
+    monkeypatch.setattr(dense, "LISTED", 64 if small else dense.LISTED)
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(700, 6)), 1)
+    rows = [(int(i % 690), v[i].tolist(), None if i % 11 == 0 else f"s{i % 4}") for i in range(700)]
+    asked = [(i, v[i].tolist(), s, n) for i in range(0, 600, 2) for s, n in ((None, "g"), (f"s{i % 3}", "a"), ("s9", "none"))]
+    corpus = spark.createDataFrame(rows, "id bigint, v array<double>, scope string")
+    queries = spark.createDataFrame(asked, "qid bigint, v array<double>, scope string, list string")
+    want = set()
+    for q, x, s, n in asked:
+        sims = sorted((-round(float(np.dot(x, y)), 6) + 0.0, i) for i, y, t in rows if i != q and (s is None or t == s))
+        for place, (sim, i) in enumerate(sims, 1):
+            rank = 1 + sum(o < sim for o, _ in sims) if ties else place
+            if rank <= 5:
+                want.add((q, n, i, round(-sim, 5) + 0.0, None if not ties else rank))
+    got = {(r.qid, r.list, r.id, round(r.sim, 5) + 0.0, None if not ties else r["rank"]) for r in dense.topk(queries, corpus, 5, exclude_self=True, ties=ties).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_a_scoped_search_sends_a_row_to_its_scope_only(spark):
+    """A query meets the rows of its part, and no list leaves a cell longer than it may be."""
+    corpus = spark.range(4000).selectExpr("id", "array(cast(id % 7 as double), 1D) AS v", "cast(id % 40 as string) AS scope")
+    queries = corpus.withColumnRenamed("id", "qid")
+    both, cells = dense._spread(dense._shape(corpus, "id"), dense._shape(queries, "qid"), 3)
+    met = both.where("kind = 0").select("cell", "scope").distinct().join(both.where("kind = 1").select("cell", F.col("scope").alias("of")), "cell")
+    assert cells > 1 and met.count() < 4000 * 40 // 4 and dict(both.dtypes)["v"] == "array<float>"
