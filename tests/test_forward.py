@@ -256,3 +256,20 @@ def test_gold_of_short_texts(spark, short_texts, name):
 
     want = rows(connect(short_texts).sql(plans.ORACLES[name]).df())
     assert _close(rows(plans.QUERIES[name](spark, short_texts).toPandas()), want)
+
+
+def test_the_corpus_grows_to_its_whole(spark):
+    """The largest set of the curve holds all documents, and sets in between are as large as they say, for ten times 100 documents and more."""
+    from scopelens.plans import QUERIES, evaluation
+    from scopelens.plans.registry import Tables
+
+    sf = "/root/testdata/sf0.01"
+    t = Tables(spark, sf)
+    n = t.documents.count()
+    sizes, has, rest = evaluation.grown(t)
+    assert sizes[0] == 100 and sizes[-1] == n
+    marked = t.documents.select("doc_id").join(has, "doc_id", "left").withColumn("has", F.coalesce("has", rest))
+    got = {r.h: r.n for r in marked.select(F.explode("has").alias("h")).groupBy("h").agg(F.count("*").alias("n")).collect()}
+    for s in (1, 2, 3):
+        assert [sum(got[f"{s}/{j}"] for j in range(i + 1)) for i in range(len(sizes))] == [max(z, has.count()) for z in sizes]
+    assert {r["size"] for r in QUERIES["corpus_growth_curve"](spark, sf).collect()} == set(sizes)
